@@ -155,3 +155,16 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", _fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for row, end, data, offsets in string_slices(batch.column(at)):
+                yield batch.slice(row, end - row).filter(pa.array(model.value.scores(features(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
