@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import BROADCAST_ROWS, materialize
+from tidemark.llm.scratch import BROADCAST_ROWS, bounded_broadcast, materialize
 from tidemark.llm.textkit import mix, shingle_hashes, string_slices, word_hashes, word_spans
 
 SHINGLE_WORDS = 5
@@ -56,8 +56,8 @@ def bucket_counts(docs: DataFrame, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def _ordered_set(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The distinct shingles as ids whose order puts those of common buckets last (a bijection)."""
-    ids = (rank[(hashes >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (hashes & np.uint64((1 << 48) - 1))
+    """The distinct shingles as 63-bit ids whose order puts those of common buckets last."""
+    ids = (rank[(hashes >> np.uint64(48)).astype(np.int64)] << np.uint64(47)) | (hashes & np.uint64((1 << 47) - 1))
     ids.sort()
     return ids[np.concatenate(([True], ids[1:] != ids[:-1]))] if len(ids) else ids
 
@@ -102,8 +102,20 @@ def _linkable(n1, n2, most):
     return 9 * most >= 4 * (n1 + n2)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) -> DataFrame:
-    """The pairs (a, b) of nodes that link: bitmap bound first, then exact sorted intersection."""
+def _key_bound(pairs: DataFrame, nodes: DataFrame, hint) -> DataFrame:
+    """Pairs whose tile keys allow a link: what both have up to the smaller last key is known exactly."""
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")).join(hint(pairs), "b")
+    heads = materialize(pairs.select("a").distinct(), "heads")
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")).join(hint(heads), "a")
+    both = right.join(left, "a").withColumn("last", F.least(F.element_at("ka", -1), F.element_at("kb", -1)))
+    seen = lambda k: F.size(F.filter(F.col(k), lambda x: x <= F.col("last")))
+    most = F.size(F.array_intersect("ka", "kb")) + F.least(F.col("na") - seen("ka"), F.col("nb") - seen("kb"))
+    return materialize(both.filter(_linkable(F.col("na"), F.col("nb"), most)).select("a", "b"), "pairs")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) -> DataFrame:
+    """The pairs (a, b) of nodes that link: bitmap and key bounds first, then exact sorted intersection."""
+    bits = nodes.select("node", "n", "bits")
     one = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     two = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     far = lambda p, q: sum(F.bit_count(F.col(p)[i].bitwiseAND(F.bitwise_not(F.col(q)[i]))) for i in range(BITMAP_WORDS))
@@ -111,6 +123,7 @@ def verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, rank: np.ndarray,
     open_pairs = materialize(pairs.join(one, "a").join(two, "b").filter(_linkable(F.col("na"), F.col("nb"), most)).select("a", "b"), "pairs")
     small = open_pairs.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
+    open_pairs = _key_bound(open_pairs, nodes, hint)
 
     def sets(batches):
         for batch in batches:
@@ -221,9 +234,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
     some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = materialize(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node")), "nodes")
-    nodes = some.join(reps.select(F.col("node").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "n", "bits", "keys")
-    bits = nodes.select("node", "n", "bits")
+    nodes = some.join(bounded_broadcast(reps.select(F.col("node").alias("doc_id"), "n", "h1", "h2")), ["doc_id", "n", "h1", "h2"])
+    nodes = materialize(nodes.select(F.col("doc_id").alias("node"), "n", "bits", "keys"), "node-signatures")
 
     by_tile = Window.partitionBy("s")
     tiles = nodes.select("node", "n", F.posexplode("keys").alias("pos", "s"))
@@ -232,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
     most = F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos"))
     star = tiles.filter((F.col("node") != F.col("head.node")) & _linkable(F.col("n"), F.col("head.n"), most))
-    links = verify(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), docs, bits, rank, size)
+    links = verify(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), docs, nodes, rank, size)
     comps = connected_components(links)
 
     rest = tiles.drop("head").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -242,10 +254,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     cells = F.when(F.col("split") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda j: F.least(j, F.col("block")) * F.col("split") + F.greatest(j, F.col("block")))
     )
-    rest = rest.withColumn("cell", F.explode(cells)).join(bits.select("node", "bits"), "node")
+    rest = rest.withColumn("cell", F.explode(cells)).join(nodes.select("node", "bits"), "node")
     rest = rest.select("s", "cell", "split", "node", "n", F.col("pos").cast("long").alias("pos"), "comp", "block", "bits")
     found = rest.repartition("s", "cell").sortWithinPartitions("s", "cell", "comp").mapInArrow(_tile_pairs, "a long, b long").distinct()
-    more = verify(found, docs, bits, rank, size)
+    more = verify(found, docs, nodes, rank, size)
 
     comps = connected_components(links.unionByName(more))
     marked = reps.join(comps, "node", "left").select("n", "h1", "h2", F.coalesce("comp", "node").alias("component_id"))

@@ -121,5 +121,5 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         out[np.cumsum(target[:-1]) > 0] = windows[np.cumsum(where[:-1])[: len(windows)] > 0]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
         w = words[first[i] : first[i + 1]]
-        out[begin[i]] = mix((w * _PLACE[32 : 32 + len(w)]).sum(dtype=np.uint64) + np.uint64(len(w)))
+        out[begin[i]] = mix((w * _PLACE[32 : 32 + len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))[0]
     return out, begin
