@@ -1,11 +1,150 @@
-"""All registered queries and the SQL that says the same."""
+"""All registered queries over the driver tables and the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import seq
+from tidemark.operators import calibrate, export, metrics, report, verdict
+from tidemark.plans import sql
+from tidemark.sources import adapters
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def _a1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.event_frames(adapters.table(spark, sf_dir, "events"))
+
+
+def _a2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.embedding_frames(adapters.table(spark, sf_dir, "embeddings"))
+
+
+def _a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.lineitem_frames(adapters.table(spark, sf_dir, "lineitem"))
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict.judged(verdict.scalars(_a1(spark, sf_dir)))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict.metric_results(_audit(spark, sf_dir))
+
+
+def _add(name: str, source: Callable[[SparkSession, str], DataFrame], plan: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: plan(source(spark, sf_dir))
+
+
+def _corrupt(frames: DataFrame) -> DataFrame:
+    v = F.when(F.col("event_id") % 97 == 0, float("nan")).when(F.col("event_id") % 89 == 0, float("inf")).otherwise(F.col("action")[0])
+    return frames.withColumn("action", F.array(v)).withColumn("state", F.array(v, F.col("state")[1]))
+
+
+def _user_decisions(audit: DataFrame) -> DataFrame:
+    names = F.element_at(F.array(F.lit("REMOVE"), F.lit("KEEP"), F.lit("UNCERTAIN")), (F.col("ep") % 3 + 1).cast("int"))
+    return audit.filter(F.col("ep") % 4 == 0).select("ep", names.alias("decision"))
+
+
+def _labelled(audit: DataFrame) -> DataFrame:
+    return audit.select("ep", "verdict", export.normalise_label(F.when(F.col("ep") % 5 == 0, " remove ").otherwise("keep")).alias("label"))
+
+
+def _z(audit: DataFrame) -> DataFrame:
+    scores = calibrate.score_metrics(audit)
+    return calibrate.bad_z(scores, calibrate.reference_profile(scores))
+
+
+_add("frames_canonical", _a1, lambda f: f.select("ep", "fi", "t", F.col("action")[0].alias("v"), F.col("state")[1].alias("k")))
+_add("frame_deltas", _a1, lambda f: metrics.steps(f).select("ep", "fi", F.get("d1", F.lit(0)).alias("d1")))
+_add("second_diff", _a1, lambda f: metrics.steps(f).select("ep", "fi", F.get("d2", F.lit(0)).alias("d2")))
+_add("motion_norm", _a1, lambda f: f.select("ep", "fi", seq.norm(seq.difference("state")).alias("sn")))
+_add("dt_percentiles", _a1, lambda f: metrics.dt_stats(f).select("ep", "dt_p50", "dt_p95", "dt_p99", "dt_max"))
+_add("sampling_jitter", _a1, lambda f: metrics.dt_stats(f).select("ep", F.round("dt_mean", 3).alias("dt_mean"), F.round("cv", 9).alias("cv")))
+_add("mad_per_episode", _a1, lambda f: seq.robust(metrics.steps(f), "jump").groupBy("ep").agg(F.first("med").alias("med"), F.first("mad").alias("mad")))
+_add("robust_z", _a1, lambda f: seq.robust(metrics.steps(f), "jump").select("ep", "fi", F.round("z", 9).alias("z")))
+_add("action_spikes", _a1, lambda f: metrics.action_discontinuity(f).select("ep", "spike_count"))
+_add("action_discontinuity", _a1, metrics.action_discontinuity)
+_add("joint_spikes", _a2, lambda f: metrics.joint_spikes(f, 8).withColumn("joint", F.col("joint").cast("long")))
+_add("motion_histogram", _a1, lambda f: metrics.motion_bins(f).groupBy("ep", "bin").agg(F.count("*").alias("n")))
+_add("idle_threshold", _a1, lambda f: metrics.idle_threshold(f).select("ep", "n", "method", "thr"))
+_add("idle_mask", _a1, lambda f: metrics.idle_mask(f).select("ep", "fi", "idle"))
+_add("idle_ratio", _a1, lambda f: metrics.idle_ratio(f).select("ep", "method", "thr", "idle_ratio"))
+_add("active_runs", _a1, metrics.active_runs)
+_add("temporal_sufficiency", _a1, metrics.temporal_sufficiency)
+_add("temporal_sufficiency_dataset", _a1, lambda f: report.quantile_row(metrics.temporal_sufficiency(f), "idle_total", "idle_prefix", "transitions", "run_p50", "run_max"))
+_add("timestamp_validity", _a3, metrics.timestamp_validity)
+_add("velocity_stats", _a1, lambda f: metrics.velocity_stats(f).select("ep", "status", "velocity_p50", "velocity_p95", "velocity_p99", "velocity_max", "acc_spikes"))
+_add("trajectory_stats", _a1, lambda f: metrics.trajectory_stats(f).select("ep", "frames", "duration", F.round("path_length", 6).alias("path_length"), F.col("end_state")[0].alias("end_v")))
+_add("coverage", _a2, metrics.coverage)
+_add("underrepresented_cells", _a2, lambda f: metrics.coverage_bins(f).groupBy("ep", "b0", "b1", "b2").agg(F.count("*").alias("n")))
+_add("missing_frames", _a1, lambda f: metrics.missing_frames(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))
+_add("invalid_values", _a1, lambda f: metrics.invalid_values(_corrupt(f)))
+_add("joint_limit", _a2, lambda f: metrics.joint_limit(f, f.sparkSession.createDataFrame([(0, -0.1, 0.1), (1, -0.05, 0.05), (2, 0.0, 0.2)], "joint int, lo double, hi double")))
+_add("action_dim_stats", _a3, lambda f: metrics.action_dim_stats(f, 3).select("ep", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "p05", "p50", "p95", "lo", "hi"))
+_add("sensor_sync_pairs", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync_pairs(x).select("ep", "one", "two", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "offset_max", "signed_median")]))
+_add("sensor_sync", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync(x).select("ep", "pairs", F.round("worst_p95", 3).alias("worst_p95"), F.round("worst_max", 3).alias("worst_max")))
+
+_add("episode_verdict", _audit, lambda a: a.select("ep", "frames", "spike_count", "effective_motion_ratio", "severity", "verdict"))
+_add("behavior_severity", _audit, lambda a: a.groupBy("severity").agg(F.count("*").alias("episodes")))
+_add("verdict_counts", _audit, verdict.verdict_counts)
+_add("episode_audit", _results, lambda r: r.select("ep", "metric", "availability", "status", "passed", "score"))
+_QUERIES["zero_frame_guard"] = lambda s, d: verdict.zero_frame_guard(adapters.table(s, d, "customer").select(F.col("c_custkey").alias("ep")).filter("ep < 200"), _audit(s, d))
+_add("integrity_summary", _results, report.integrity_summary)
+_add("score_distribution", _results, report.score_distribution)
+_add("failing_metrics", _results, report.failing_metrics)
+_add("issue_codes", _results, report.issue_codes)
+_add("evidence_summary", _results, lambda r: report.evidence_level(r).groupBy("evidence").agg(F.count("*").alias("episodes")))
+_add("deviation_stats", _results, lambda r: report.deviation_stats(r).select(F.round("mean_deviation", 6).alias("mean_deviation"), F.round("median_deviation", 6).alias("median_deviation")))
+_add("temporal_motion_summary", _audit, lambda a: report.quantile_row(a, "spike_count", "velocity_p95", "idle_ratio", "jump_p95"))
+_add("utility_summary", _audit, lambda a: report.quantile_row(a, "idle_ratio", "effective_motion_ratio", "duration"))
+_add("audit_summary", _audit, report.audit_summary)
+_add("pattern_type", _audit, lambda a: report.pattern_types(a).select("ep", "pattern", "place"))
+_add("pattern_distribution", _audit, report.pattern_distribution)
+_add("pattern_type_history", _audit, report.pattern_history)
+_add("pattern_counts", _audit, lambda a: report.pattern_history(a).groupBy("pattern").agg(F.count("*").alias("episodes")))
+_add("deviation_heuristic", _audit, lambda a: report.reason_vector(a).select("ep", "spikes", "low_motion", F.round("deviation", 2).alias("deviation")))
+_add("quality_dimensions", _audit, report.quality_dimensions)
+_add("dataset_health", _audit, lambda a: report.dataset_health(a).withColumn("health", F.round("health", 6)))
+_add("top_observations", _audit, report.top_observations)
+_QUERIES["episode_report"] = lambda s, d: report.episode_report(_audit(s, d), _results(s, d))
+_QUERIES["episode_table"] = lambda s, d: report.episode_table(_audit(s, d), _results(s, d)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6))
+_add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
+_add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))
+_QUERIES["spike_regions"] = lambda s, d: report.spike_regions(seq.robust(metrics.steps(_a1(s, d)), "jump").withColumn("frames", F.count("*").over(seq.WHOLE)).filter(F.abs("z") > 5))
+_QUERIES["episode_lookup"] = lambda s, d: _a1(s, d).filter("ep = 7").select("ep", "fi", F.col("action")[0].alias("v"))
+
+_add("portable_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", *calibrate.PORTABLE))
+_add("platform_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", "velocity_p95", "velocity_max", F.round("path_length", 6).alias("path_length")))
+_add("reference_profile", _audit, lambda a: calibrate.reference_profile(calibrate.score_metrics(a).drop("path_length")))
+_add("bad_z", _audit, lambda a: _z(a.withColumn("path_length", F.lit(0.0))).select("ep", "metric", F.round("z", 9).alias("z")))
+_add("percentile_rank", _audit, lambda a: _z(a.withColumn("path_length", F.lit(0.0))).select("ep", "metric", F.round("rank", 9).alias("rank")))
+_add("rms_score", _audit, lambda a: calibrate.rms_scores(_z(a.withColumn("path_length", F.lit(0.0)))).select("ep", *[F.round(c, 6).alias(c) for c in ("portable_score", "platform_score", "combined_rms")]))
+_add("pca_covariance", _audit, lambda a: calibrate.pca_covariance(_z(a.withColumn("path_length", F.lit(0.0)))).withColumn("cov", F.round("cov", 6)))
+_add("deviation_scores", _audit, lambda a: calibrate.deviation_scores(_z(a)))
+
+_QUERIES["export_decisions"] = lambda s, d: export.export_decisions(a := _audit(s, d), _user_decisions(a))
+_QUERIES["export_report"] = lambda s, d: export.export_report(_QUERIES["export_decisions"](s, d))
+_QUERIES["export_frames"] = lambda s, d: export.kept_frames(_a1(s, d).select("ep", "fi"), _QUERIES["export_decisions"](s, d))
+_add("risk_score", _audit, export.risk_score)
+_add("stable_sample", _audit, lambda a: export.stable_sample(a, 20, "salt", "a1"))
+_add("blind_sample", _audit, lambda a: export.blind_sample(a, 12, "salt", "a1"))
+_add("qc_normalise", _audit, lambda a: _labelled(a).select("ep", "label"))
+_add("qc_confusion", _audit, lambda a: export.confusion(_labelled(a)))
+_add("qc_metrics", _audit, lambda a: export.label_metrics(_labelled(a)))
+
+
+def _rounded(query: Query, columns: tuple[str, ...]) -> Query:
+    return lambda spark, sf_dir: query(spark, sf_dir).withColumns({c: F.round(c, 6) for c in columns})
+
+
+def queries() -> dict[str, Query]:
+    return {k: _rounded(q, sql.ROUNDED[k]) if k in sql.ROUNDED else q for k, q in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.ORACLES.items() if k in _QUERIES}
