@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_FRAME = Window.partitionBy("ep").orderBy("fi")
-WHOLE = Window.partitionBy("ep")
 BINS = 30
 
 
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("ep").orderBy("fi")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("ep")
+
+
 def difference(vector: str | Column) -> Column:
     """Elementwise difference to the frame before; null on the first."""
     vector = F.col(vector) if isinstance(vector, str) else vector
-    return F.zip_with(vector, F.lag(vector).over(BY_FRAME), lambda a, b: a - b)
+    return F.zip_with(vector, F.lag(vector).over(by_frame()), lambda a, b: a - b)
 
 
 def norm(vector: str | Column) -> Column:
@@ -26,8 +32,8 @@ def finite(vector: str | Column) -> Column:
 
 def robust(df: DataFrame, value: str) -> DataFrame:
     """Adds med, mad (of non-null values in the episode) and z = 0.6745 (x - med) / mad, 0 where mad is 0."""
-    df = df.withColumn("med", F.median(value).over(WHOLE))
-    df = df.withColumn("mad", F.median(F.abs(F.col(value) - F.col("med"))).over(WHOLE))
+    df = df.withColumn("med", F.median(value).over(whole()))
+    df = df.withColumn("mad", F.median(F.abs(F.col(value) - F.col("med"))).over(whole()))
     z = F.when(F.col("mad") == 0, 0.0).otherwise(F.try_divide(F.lit(0.6745) * (F.col(value) - F.col("med")), F.col("mad")))
     return df.withColumn("z", F.when(F.col(value).isNotNull(), z))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.seq import BINS, BY_FRAME, WHOLE, difference, edge_bin, finite, norm, percentiles, robust, valley_threshold
+from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, robust, valley_threshold, whole
 
 SPIKE_Z = 5.0
 IDLE_FLOOR = 1e-6
@@ -23,7 +23,7 @@ def steps(frames: DataFrame) -> DataFrame:
     return out.withColumn("motion", norm("d1")).withColumn("jump", norm("d2"))
 
 
-def _state(ok: str, enough) -> F.Column:
+def _state(ok: str, enough):
     return F.when(~enough, "na").when(F.col(ok), "pass").otherwise("exclude")
 
 
@@ -48,13 +48,13 @@ def joint_spikes(frames: DataFrame, joints: int) -> DataFrame:
 def motion_bins(frames: DataFrame) -> DataFrame:
     """Each step's motion with n, top and bin of its episode's histogram."""
     rows = steps(frames).filter("motion is not null").select("ep", "fi", "motion")
-    rows = rows.withColumn("n", F.count("*").over(WHOLE)).withColumn("top", F.max("motion").over(WHOLE))
+    rows = rows.withColumn("n", F.count("*").over(whole())).withColumn("top", F.max("motion").over(whole()))
     return rows.withColumn("bin", F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"))).otherwise(0))
 
 
 def idle_threshold(frames: DataFrame) -> DataFrame:
     """ep, n, method (bimodal_gap, mad, floor), thr and motion's mad."""
-    rows = motion_bins(frames).withColumn("med", F.median("motion").over(WHOLE))
+    rows = motion_bins(frames).withColumn("med", F.median("motion").over(whole()))
     hist = F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)])
     got = rows.groupBy("ep").agg(F.first("n").alias("n"), F.first("top").alias("top"), F.median(F.abs(F.col("motion") - F.col("med"))).alias("mad"), hist.alias("hist"))
     got = got.withColumn("valley", valley_threshold(F.col("hist"), F.col("n"), F.col("top")))
@@ -76,7 +76,7 @@ def idle_ratio(frames: DataFrame) -> DataFrame:
 
 def active_runs(frames: DataFrame) -> DataFrame:
     """ep, start, frames of each run of active steps (k steps are k + 1 frames)."""
-    island = F.sum(F.col("idle").cast("int")).over(BY_FRAME)
+    island = F.sum(F.col("idle").cast("int")).over(by_frame())
     rows = idle_mask(frames).withColumn("island", island).filter(~F.col("idle"))
     return rows.groupBy("ep", "island").agg(F.min("fi").alias("start"), (F.count("*") + 1).alias("frames")).drop("island")
 
@@ -84,11 +84,11 @@ def active_runs(frames: DataFrame) -> DataFrame:
 def temporal_sufficiency(frames: DataFrame) -> DataFrame:
     """Idle share and prefix, run lengths, transitions, share of fully active windows of 5, 10 and 20 frames."""
     mask = idle_mask(frames).withColumn("active", (~F.col("idle")).cast("int"))
-    moves = (F.col("active") == 1) & (F.lag("active", 1, 0).over(BY_FRAME) == 0)
-    mask = mask.withColumn("moves", moves).withColumn("step", F.row_number().over(BY_FRAME) - 1)
+    moves = (F.col("active") == 1) & (F.lag("active", 1, 0).over(by_frame()) == 0)
+    mask = mask.withColumn("moves", moves).withColumn("step", F.row_number().over(by_frame()) - 1)
     for n in WINDOWS:
-        whole = F.sum("active").over(BY_FRAME.rowsBetween(-(n - 2), 0)) == n - 1
-        mask = mask.withColumn(f"w{n}", whole & (F.col("step") >= n - 2))
+        full = F.sum("active").over(by_frame().rowsBetween(-(n - 2), 0)) == n - 1
+        mask = mask.withColumn(f"w{n}", full & (F.col("step") >= n - 2))
     first = F.min(F.when(F.col("active") == 1, F.col("step")))
     share = lambda n: F.when(F.count("*") + 1 < n, 0.0).otherwise(F.try_divide(F.count_if(f"w{n}"), F.count("*") + 2 - n)).alias(f"valid_{n}")
     prefix = F.when(first > 0, first + 1).when(first == 0, 0).otherwise(F.count("*") + 1)
@@ -100,7 +100,7 @@ def temporal_sufficiency(frames: DataFrame) -> DataFrame:
 
 def timestamp_validity(frames: DataFrame) -> DataFrame:
     """Backward or NaN steps exclude; equal time stamps only lower the score."""
-    rows = frames.withColumn("dt", F.col("t") - F.lag("t").over(BY_FRAME))
+    rows = frames.withColumn("dt", F.col("t") - F.lag("t").over(by_frame()))
     got = rows.groupBy("ep").agg(F.count("*").alias("frames"), F.count_if((F.col("dt") < 0) | F.isnan("dt")).alias("backward"), F.count_if(F.col("dt") == 0).alias("duplicates"))
     score = F.greatest(1 - F.col("duplicates") / F.col("frames"), F.lit(0.0))
     return got.select("ep", "frames", "backward", "duplicates", F.when(F.col("backward") > 0, "exclude").otherwise("pass").alias("status"), F.when(F.col("backward") > 0, 0.0).otherwise(score).alias("score"))
@@ -108,7 +108,7 @@ def timestamp_validity(frames: DataFrame) -> DataFrame:
 
 def dt_stats(frames: DataFrame) -> DataFrame:
     """Percentiles and maximum of |dt|, mean and deviation of signed dt, in milliseconds; cv = std / mean."""
-    rows = frames.withColumn("dt", (F.col("t") - F.lag("t").over(BY_FRAME)) * 1000).withColumn("size", F.abs("dt"))
+    rows = frames.withColumn("dt", (F.col("t") - F.lag("t").over(by_frame())) * 1000).withColumn("size", F.abs("dt"))
     got = rows.filter("dt is not null").groupBy("ep").agg(percentiles("size", 0.5, 0.95, 0.99).alias("p"), F.max("size").alias("dt_max"), F.avg("dt").alias("dt_mean"), F.stddev_pop("dt").alias("dt_std"))
     cv = F.when(F.col("dt_mean") > 0, F.try_divide("dt_std", "dt_mean")).otherwise(0.0)
     return got.select("ep", F.col("p")[0].alias("dt_p50"), F.col("p")[1].alias("dt_p95"), F.col("p")[2].alias("dt_p99"), "dt_max", "dt_mean", "dt_std", cv.alias("cv"))
@@ -116,7 +116,7 @@ def dt_stats(frames: DataFrame) -> DataFrame:
 
 def velocity_stats(frames: DataFrame) -> DataFrame:
     """Norms of the state's velocity and of its change (not divided by time); spikes of the latter over T."""
-    dt = F.col("t") - F.lag("t").over(BY_FRAME)
+    dt = F.col("t") - F.lag("t").over(by_frame())
     rows = frames.withColumn("dt", F.when(dt == 0, 1e-9).otherwise(dt)).withColumn("ds", difference("state"))
     rows = rows.withColumn("vel", F.transform("ds", lambda x: F.try_divide(x, F.col("dt")))).withColumn("acc", difference("vel"))
     rows = rows.withColumn("speed", norm("vel")).withColumn("change", norm("acc")).withColumn("ok", F.coalesce(finite("state"), F.lit(False)))
@@ -140,7 +140,7 @@ def coverage_bins(frames: DataFrame, dims: int = 3, resolution: int = 10) -> Dat
     out = frames.select("ep", "fi", *[F.get("state", F.lit(d)).alias(f"x{d}") for d in range(dims)])
     for d in range(dims):
         x = F.col(f"x{d}")
-        lo, hi = F.min(x).over(WHOLE), F.max(x).over(WHOLE)
+        lo, hi = F.min(x).over(whole()), F.max(x).over(whole())
         out = out.withColumn("lo", F.when(lo == hi, lo - 0.5).otherwise(lo)).withColumn("hi", F.when(lo == hi, hi + 0.5).otherwise(hi))
         out = out.withColumn(f"b{d}", edge_bin(x - F.col("lo"), F.col("hi") - F.col("lo"), resolution))
     return out.drop("lo", "hi")
@@ -150,7 +150,7 @@ def coverage(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFram
     """Occupied cells, their share, and cells with less than a tenth of an even share of frames."""
     cells = coverage_bins(frames, dims, resolution).groupBy("ep", *[f"b{d}" for d in range(dims)]).agg(F.count("*").alias("n"))
     total = resolution**dims
-    even = cells.withColumn("frames", F.sum("n").over(WHOLE))
+    even = cells.withColumn("frames", F.sum("n").over(whole()))
     got = even.groupBy("ep").agg(F.sum("n").alias("frames"), F.count("*").alias("occupied"), F.count_if(F.col("n") < 0.1 * F.col("frames") / total).alias("thin"))
     return got.select("ep", "frames", "occupied", (F.col("occupied") / total).alias("occupancy_rate"), (F.col("thin") + total - F.col("occupied")).alias("underrepresented"))
 

@@ -115,7 +115,7 @@ _QUERIES["episode_report"] = lambda s, d: report.episode_report(_audit(s, d), _r
 _QUERIES["episode_table"] = lambda s, d: report.episode_table(_audit(s, d), _results(s, d)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6))
 _add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
 _add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))
-_QUERIES["spike_regions"] = lambda s, d: report.spike_regions(seq.robust(metrics.steps(_a1(s, d)), "jump").withColumn("frames", F.count("*").over(seq.WHOLE)).filter(F.abs("z") > 5))
+_QUERIES["spike_regions"] = lambda s, d: report.spike_regions(seq.robust(metrics.steps(_a1(s, d)), "jump").withColumn("frames", F.count("*").over(seq.whole())).filter(F.abs("z") > 5))
 _QUERIES["episode_lookup"] = lambda s, d: _a1(s, d).filter("ep = 7").select("ep", "fi", F.col("action")[0].alias("v"))
 
 _add("portable_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", *calibrate.PORTABLE))
