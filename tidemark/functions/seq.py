@@ -47,14 +47,22 @@ def edge_bin(value: Column, top: Column, bins: int = BINS) -> Column:
 
 
 def valley_threshold(hist: Column, n: Column, top: Column, bins: int = BINS) -> Column:
-    """Upper edge of the emptiest bin between the idle peak and the next rise; null if there is none."""
-    share = lambda i: F.get(hist, i) / n
-    filled = lambda i: F.aggregate(F.slice(hist, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x) / n
-    index = F.array(*[F.lit(i) for i in range(bins)])
-    low = F.array_min(F.filter(index, lambda i: (filled(i) >= 0.1) & (share(i) < 0.01)))
-    rise = F.array_min(F.filter(index, lambda i: (i > low) & (share(i) > 0.02)))
-    inside = F.filter(index, lambda i: (i >= low) & (i < rise) & (share(i) < 0.01))
-    best = F.array_min(F.transform(inside, lambda i: F.struct(F.get(hist, i).alias("h"), i.alias("i"))))["i"]
+    """Upper edge of the emptiest bin between the idle peak and the next rise; null if there is none.
+
+    One fold over the bins: ``open`` once a tenth of all steps lie at or below a nearly empty bin,
+    ``shut`` at the next rise, ``best`` the emptiest bin (the first of equals) in between.
+    """
+
+    def step(s: Column, h: Column) -> Column:
+        seen, empty = s["seen"] + h, h / n < 0.01
+        opened = s["open"] | ((seen / n >= 0.1) & empty)
+        shut = s["shut"] | (s["open"] & (h / n > 0.02))
+        better = opened & ~shut & empty & (s["best"].isNull() | (h < s["least"]))
+        fields = {"i": s["i"] + 1, "seen": seen, "open": opened, "shut": shut, "best": F.when(better, s["i"]).otherwise(s["best"]), "least": F.when(better, h).otherwise(s["least"])}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    none = {"i": F.lit(0), "seen": F.lit(0).cast("long"), "open": F.lit(False), "shut": F.lit(False), "best": F.lit(None).cast("int"), "least": F.lit(None).cast("long")}
+    best = F.aggregate(hist, F.struct(*[c.alias(k) for k, c in none.items()]), step, lambda s: F.when(s["shut"], s["best"]))
     return F.when((n >= 10) & (top > 1e-6), (best + 1) * (top / bins))
 
 
