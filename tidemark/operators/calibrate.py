@@ -102,3 +102,10 @@ def load_profile(spark, path: str) -> tuple[DataFrame, list[dict[str, float]]]:
     with open(path, encoding="utf-8") as f:
         got = json.load(f)
     return spark.createDataFrame(got["metrics"], "metric string, n long, median double, mad double, p05 double, p25 double, p75 double, p95 double"), got["components"]
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """median, p95, mean and max of each score over the episodes that have it."""
+    names = ("portable_score", "platform_score", "combined_rms")
+    got = scores.agg(*[F.struct(F.lit(c).alias("score"), F.median(c).alias("median"), F.percentile(c, F.lit(0.95)).alias("p95"), F.avg(c).alias("mean"), F.max(c).alias("largest")).alias(c) for c in names])
+    return got.select(F.explode(F.array(*names)).alias("r")).select("r.*")

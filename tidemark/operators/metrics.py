@@ -169,6 +169,18 @@ def invalid_values(frames: DataFrame) -> DataFrame:
     return frames.groupBy("ep").agg(F.sum(F.size(cells)).alias("cells"), F.sum(count(F.isnan)).alias("nan_cells"), F.sum(count(lambda x: F.abs(x) == float("inf"))).alias("inf_cells"))
 
 
+def schema_consistency(frames: DataFrame, *features: str) -> DataFrame:
+    """Features with fewer values than the episode has frames; any such excludes it."""
+    got = frames.groupBy("ep").agg(F.count("*").alias("frames"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(features)])
+    short = sum(((F.col(f"n_{i}") != F.col("frames")).cast("int") for i in range(len(features))), F.lit(0))
+    return got.select("ep", "frames", short.alias("short"), F.when(short > 0, "exclude").otherwise("pass").alias("status"))
+
+
+def frame_totals(frames: DataFrame) -> DataFrame:
+    """Episodes and frames of a dataset whose metadata does not say."""
+    return frames.groupBy("ep").agg(F.count("*").alias("n")).agg(F.count("*").alias("episodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("frames"))
+
+
 def joint_limit(frames: DataFrame, limits: DataFrame) -> DataFrame:
     """Cells of state outside ``limits`` (joint, lo, hi), by joint; the limits are a handful of rows."""
     rows = frames.select("ep", F.posexplode("state").alias("joint", "x")).join(F.broadcast(limits), "joint")

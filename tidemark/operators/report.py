@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.seq import percentiles
-from tidemark.operators.verdict import effective_points, spike_points
+from tidemark.operators.verdict import CRITICAL, VERDICTS, effective_points, spike_points
 
 # Issue codes by metric; weights and grades of the health index.
 ISSUE_CODES = {"missing_dropout": "INT-01", "invalid_values": "INT-02", "schema_consistency": "INT-03", "timestamp_validity": "INT-04", "joint_limit": "INT-05", "sensor_synchronization": "TMP-03", "velocity_acceleration": "MOT-01", "action_discontinuity": "MOT-02", "idle_ratio": "MOT-03", "distribution": "DIS-01", "coverage": "DIS-03"}
@@ -172,3 +172,46 @@ def trend(snapshots: DataFrame, key: str) -> DataFrame:
 
 def divided(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
+
+
+def integrity_pass_rate(results: DataFrame) -> DataFrame:
+    """Share of episodes without an available critical metric that failed."""
+    bad = F.bool_or((F.col("availability") == "available") & ~F.col("passed") & F.col("metric").isin(*CRITICAL))
+    return results.groupBy("ep").agg(bad.alias("bad")).agg(F.round(F.count_if(~F.col("bad")) / F.count("*"), 4).alias("integrity_pass_rate"))
+
+
+def episode_integrity(results: DataFrame) -> DataFrame:
+    """ep, passed, codes: the codes of the critical metrics that failed, comma-joined."""
+    code = F.create_map(*[F.lit(x) for pair in ISSUE_CODES.items() for x in pair])
+    failed = (F.col("availability") == "available") & ~F.col("passed") & F.col("metric").isin(*CRITICAL)
+    codes = F.sort_array(F.collect_set(F.when(failed, F.try_element_at(code, F.col("metric")))))
+    return results.groupBy("ep").agg((F.size(codes) == 0).alias("passed"), F.concat_ws(",", codes).alias("codes"))
+
+
+def reference_medians(audit: DataFrame) -> DataFrame:
+    """The dataset's median duration, spikes and velocity p95."""
+    return audit.agg(F.median("duration").alias("duration"), F.median("spike_count").alias("spikes"), F.median("velocity_p95").alias("velocity_p95"))
+
+
+def validation_records(rows: DataFrame) -> DataFrame:
+    """ep, verdict, frames of the rows with frames and a known verdict."""
+    return rows.filter((F.col("frames") > 0) & F.col("verdict").isin(*VERDICTS)).select("ep", "verdict", "frames")
+
+
+def episode_csv(audit: DataFrame, results: DataFrame, *verdicts: str) -> DataFrame:
+    """The flat table that is exported: all episodes, or those with one of ``verdicts``."""
+    score = episode_table(audit, results).select("ep", "issue_severity")
+    rows = audit.filter(F.col("verdict").isin(*verdicts)) if verdicts else audit
+    return rows.join(score, "ep", "left").select("ep", "frames", "duration", "verdict", "spike_count", "idle_ratio", F.coalesce("issue_severity", F.lit(0.0)).alias("issue_severity"))
+
+
+def removal_list(table: DataFrame, decisions: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` removed episodes of the largest issue severity; uncertain ones are in no list."""
+    removed = decisions.filter(~F.col("kept") & (F.col("reason") != "uncertain")).select("ep", "reason")
+    return table.join(removed, "ep").orderBy(F.desc("issue_severity"), "ep").limit(n).select("ep", "reason", "issue_severity")
+
+
+def snapshots(audit: DataFrame, name: Column, run: Column) -> DataFrame:
+    """One row per dataset and run: episodes and pass rate, as the run history keeps them."""
+    rows = audit.select(name.alias("name"), run.alias("run"), "verdict")
+    return rows.groupBy("name", "run").agg(F.count("*").alias("episodes"), F.round(F.count_if(F.col("verdict") == "PASS") / F.count("*"), 4).alias("pass_rate"))

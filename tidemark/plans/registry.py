@@ -137,6 +137,22 @@ _add("qc_normalise", _audit, lambda a: _labelled(a).select("ep", "label"))
 _add("qc_confusion", _audit, lambda a: export.confusion(_labelled(a)))
 _add("qc_metrics", _audit, lambda a: export.label_metrics(_labelled(a)))
 
+_add("idle_prefix", _a1, lambda f: metrics.temporal_sufficiency(f).select("ep", "idle_prefix"))
+_add("idle_transitions", _a1, lambda f: metrics.temporal_sufficiency(f).select("ep", "transitions"))
+_add("valid_windows", _a1, lambda f: metrics.temporal_sufficiency(f).select("ep", *[f"valid_{n}" for n in metrics.WINDOWS]))
+_add("dt_stats", _a1, metrics.dt_stats)
+_add("dataset_info", _a1, metrics.frame_totals)
+_add("schema_consistency", _a1, lambda f: metrics.schema_consistency(f.withColumn("action", F.when(F.col("event_id") % 101 != 0, F.col("action"))), "action", "state", "t"))
+_add("integrity_pass_rate", _results, report.integrity_pass_rate)
+_add("episode_integrity", _results, report.episode_integrity)
+_add("reference_medians", _audit, report.reference_medians)
+_QUERIES["validation_records"] = lambda s, d: report.validation_records(_QUERIES["zero_frame_guard"](s, d))
+_QUERIES["episode_csv"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a))
+_QUERIES["review_queue"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a), "REVIEW", "EXCLUDE").select("ep", "verdict", "issue_severity")
+_QUERIES["removal_list"] = lambda s, d: report.removal_list(_QUERIES["episode_table"](s, d), export.export_decisions(a := _audit(s, d), _user_decisions(a), "aggressive"))
+_add("audit_trend", _audit, lambda a: report.trend(report.snapshots(a, F.lit("a1"), F.col("ep") % 5), "pass_rate").withColumns({"value": F.round("value", 4), "change": F.round("change", 4)}))
+_QUERIES["score_summary"] = lambda s, d: calibrate.score_summary(_QUERIES["rms_score"](s, d))
+
 
 def _rounded(query: Query, columns: tuple[str, ...]) -> Query:
     return lambda spark, sf_dir: query(spark, sf_dir).withColumns({c: F.round(c, 6) for c in columns})

@@ -232,6 +232,26 @@ ORACLES: dict[str, str] = {
 }
 
 # Interpolated percentiles and quotients differ between engines in the last bits: rounded alike on both sides.
+_TABLE = ORACLES["episode_table"]
+_RMS = ORACLES["rms_score"]
+ORACLES |= {
+    "idle_prefix": f"WITH {_RUNS} SELECT ep, idle_prefix FROM ts",
+    "idle_transitions": f"WITH {_RUNS} SELECT ep, transitions FROM ts",
+    "valid_windows": f"WITH {_RUNS} SELECT ep, valid_5, valid_10, valid_20 FROM ts",
+    "dt_stats": f"WITH {_STEPS} SELECT ep, quantile_cont(abs(dt * 1000), 0.5) dt_p50, quantile_cont(abs(dt * 1000), 0.95) dt_p95, quantile_cont(abs(dt * 1000), 0.99) dt_p99, max(abs(dt * 1000)) dt_max, avg(dt * 1000) dt_mean, stddev_pop(dt * 1000) dt_std, CASE WHEN avg(dt * 1000) > 0 THEN stddev_pop(dt * 1000) / avg(dt * 1000) ELSE 0.0 END cv FROM st WHERE dt IS NOT NULL GROUP BY ep",
+    "dataset_info": "SELECT count(DISTINCT user_id) episodes, count(*) frames FROM events",
+    "schema_consistency": "SELECT user_id ep, count(*) frames, CAST(bool_or(event_id % 101 = 0) AS INT) short, CASE WHEN bool_or(event_id % 101 = 0) THEN 'exclude' ELSE 'pass' END status FROM events GROUP BY user_id",
+    "integrity_pass_rate": f"WITH {_AUDIT} SELECT round(count(*) FILTER (NOT hard_fail) * 1.0e0 / count(*), 4) integrity_pass_rate FROM au",
+    "episode_integrity": f"WITH {_RESULTS} SELECT ep, NOT bool_or(b) passed, coalesce(string_agg(CASE metric WHEN 'invalid_values' THEN 'INT-02' ELSE 'INT-04' END, ',' ORDER BY metric) FILTER (b), '') codes FROM (SELECT *, availability = 'available' AND NOT passed AND metric IN ('invalid_values', 'timestamp_validity') b FROM rs) q GROUP BY ep",
+    "reference_medians": f"WITH {_AUDIT} SELECT median(duration) duration, median(spike_count) spikes, median(velocity_p95) velocity_p95 FROM au",
+    "validation_records": f"SELECT ep, verdict, frames FROM ({ORACLES['zero_frame_guard']}) q WHERE frames > 0",
+    "episode_csv": f"WITH {_AUDIT} SELECT ep, frames, duration, verdict, spike_count, idle_ratio, issue_severity FROM au JOIN ({_TABLE}) t USING (ep, verdict)",
+    "review_queue": f"SELECT ep, verdict, issue_severity FROM ({_TABLE}) t WHERE verdict <> 'PASS'",
+    "removal_list": f"SELECT ep, reason, issue_severity FROM (SELECT *, CASE WHEN ep % 4 = 0 THEN CASE ep % 3 WHEN 0 THEN 'by_user' END WHEN verdict = 'REVIEW' THEN 'by_review' WHEN verdict = 'EXCLUDE' THEN 'by_verdict' END reason FROM ({_TABLE}) t) q WHERE reason IS NOT NULL ORDER BY issue_severity DESC, ep LIMIT 20",
+    "audit_trend": f"WITH {_AUDIT}, sn AS (SELECT ep % 5 run, round(count(*) FILTER (verdict = 'PASS') * 1.0e0 / count(*), 4) v FROM au GROUP BY ep % 5) SELECT 'a1' AS name, run, v AS value, round(v - lag(v) OVER (ORDER BY run), 4) AS change FROM sn",
+    "score_summary": " UNION ALL ".join(f"SELECT '{c}' score, median({c}) median, quantile_cont({c}, 0.95) p95, avg({c}) mean, max({c}) largest FROM ({_RMS}) q" for c in ("portable_score", "platform_score", "combined_rms")),
+}
+
 ROUNDED: dict[str, tuple[str, ...]] = {
     "dt_percentiles": ("dt_p50", "dt_p95", "dt_p99", "dt_max"),
     "mad_per_episode": ("med", "mad"),
@@ -252,6 +272,11 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "platform_metrics": ("velocity_p95", "velocity_max"),
     "reference_profile": ("median", "mad", "p05", "p25", "p75", "p95"),
     "top_observations": ("ratio",),
+    "valid_windows": ("valid_5", "valid_10", "valid_20"),
+    "dt_stats": ("dt_p50", "dt_p95", "dt_p99", "dt_max", "dt_mean", "dt_std", "cv"),
+    "reference_medians": ("duration", "velocity_p95"),
+    "episode_csv": ("duration", "idle_ratio", "issue_severity"),
+    "score_summary": ("median", "p95", "mean", "largest"),
     "score_distribution": ("p05", "p50", "p95"),
     "qc_metrics": ("precision", "recall"),
 }
