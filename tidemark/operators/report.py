@@ -113,6 +113,43 @@ def dataset_health(audit: DataFrame) -> DataFrame:
     return both.withColumn("health", index).select("n", "health", grade.alias("grade"), ready.alias("readiness"), F.least(F.lit(20.0), 30 * x).alias("gain_after_cleanup"))
 
 
+def health_by_verdict(audit: DataFrame) -> DataFrame:
+    """The second index, shown to people: means over episodes instead of medians, consistency from the verdicts.
+
+    The term for steady time steps is fixed at 85: the audit gives no deviation of the steps by metric.
+    No episodes: nulls and a grade of Poor.
+    """
+    share = lambda v: F.count_if(F.col("verdict") == v) / F.count("*")
+    smooth = F.greatest(100 - 2 * F.col("spike_count"), F.lit(0)).cast("double")
+    got = audit.agg(
+        F.count("*").alias("n"),
+        (100 * F.count_if(~F.col("hard_fail")) / F.count("*")).alias("integrity"),
+        (70 * F.count_if(F.col("time_status") == "pass") / F.count("*") + 0.3 * 85).alias("temporal"),
+        (F.coalesce(F.avg(100 * F.col("effective_motion_ratio")), F.lit(90.0)) / 2 + F.coalesce(F.avg(F.when(F.col("jump_status") != "na", smooth)), F.lit(95.0)) / 2).alias("motion"),
+        *[share(v).alias(k) for v, k in zip(VERDICTS, ("p", "r", "x"), strict=True)],
+    )
+    got = got.withColumn("consistency", 100 * F.col("p") + 50 * F.col("r"))
+    got = got.withColumn("health", sum((F.col(k) * F.lit(w) for k, w in HEALTH_WEIGHTS.items()), F.lit(0.0)))
+    grade = F.when(F.col("health") >= 90, "Excellent").when(F.col("health") >= 75, "Good").when(F.col("health") >= 60, "Fair").otherwise("Poor")
+    ready = F.when((F.col("x") < 0.05) & (F.col("r") < 0.15), "Ready").when((F.col("x") < 0.1) & (F.col("r") < 0.3), "Conditionally Ready").otherwise("Not Ready")
+    clean = F.least(60 * F.try_divide(F.col("p") + 0.7 * F.col("r"), 1 - F.col("x")) + 0.4 * F.col("integrity"), F.lit(100.0))
+    after = F.when(F.col("x") < 1, clean).otherwise(F.col("health"))
+    return got.select("n", "integrity", "temporal", "motion", "consistency", "health", grade.alias("grade"), ready.alias("readiness"), after.alias("after_cleanup"))
+
+
+def hero_metrics(audit: DataFrame, sync: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row: sensor offsets (ep, worst_p95), spikes and occupied cells (ep, occupancy_rate), with their bands."""
+    offset, rate = F.col("sync_median"), F.col("occupancy_median")
+    a = sync.agg(F.count("worst_p95").alias("sync_episodes"), F.median("worst_p95").alias("sync_median"))
+    b = audit.agg(F.coalesce(F.sum("spike_count"), F.lit(0)).alias("total_spikes"), F.count_if(F.col("spike_count") > 0).alias("spiky_episodes"))
+    c = cells.agg(F.median("occupancy_rate").alias("occupancy_median"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    row = one(a).join(F.broadcast(one(b)), "one").join(F.broadcast(one(c)), "one").drop("one")
+    band = F.when(offset.isNull(), "na").when(offset < 5, "excellent").when(offset < 20, "acceptable").when(offset < 50, "needs_check").otherwise("severe")
+    filled = F.when(rate > 0.5, "good").when(rate > 0.2, "moderate").otherwise("low")
+    return row.withColumn("sync_band", band).withColumn("occupancy_band", filled)
+
+
 def reason_vector(audit: DataFrame) -> DataFrame:
     """duration, spikes, 1 - effective share, and their sum."""
     spikes, low = F.coalesce("spike_count", F.lit(0)), 1 - F.coalesce("effective_motion_ratio", F.lit(1.0))

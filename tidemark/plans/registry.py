@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import seq
-from tidemark.operators import calibrate, export, metrics, report, verdict
+from tidemark.operators import calibrate, export, metrics, report, text, verdict
 from tidemark.plans import sql
-from tidemark.sources import adapters
+from tidemark.sources import adapters, layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -54,6 +54,11 @@ def _labelled(audit: DataFrame) -> DataFrame:
     return audit.select("ep", "verdict", export.normalise_label(F.when(F.col("ep") % 5 == 0, " remove ").otherwise("keep")).alias("label"))
 
 
+def _feature_names(lineitem: DataFrame) -> DataFrame:
+    prefix = F.when(F.col("l_linenumber") % 3 == 0, "observation.").when(F.col("l_linenumber") % 3 == 1, "action.").otherwise("other.")
+    return lineitem.select(F.concat(prefix, "l_returnflag").alias("name")).distinct()
+
+
 def _z(audit: DataFrame) -> DataFrame:
     scores = calibrate.score_metrics(audit)
     return calibrate.bad_z(scores, calibrate.reference_profile(scores))
@@ -153,6 +158,11 @@ _QUERIES["removal_list"] = lambda s, d: report.removal_list(_QUERIES["episode_ta
 _add("audit_trend", _audit, lambda a: report.trend(report.snapshots(a, F.lit("a1"), F.col("ep") % 5), "pass_rate").withColumns({"value": F.round("value", 4), "change": F.round("change", 4)}))
 _QUERIES["score_summary"] = lambda s, d: calibrate.score_summary(_QUERIES["rms_score"](s, d))
 
+_add("dataset_health_ui", _audit, report.health_by_verdict)
+_QUERIES["hero_metrics"] = lambda s, d: report.hero_metrics(_audit(s, d), _QUERIES["sensor_sync"](s, d), metrics.coverage(_a2(s, d)))
+_add("episode_diagnosis", _audit, text.diagnosis)
+_add("feature_keys", lambda s, d: adapters.table(s, d, "lineitem"), lambda x: _feature_names(x).select("name", layouts.feature_kind(F.col("name")).alias("kind"), layouts.feature_label(F.col("name")).alias("label")))
+
 
 def _rounded(query: Query, columns: tuple[str, ...]) -> Query:
     return lambda spark, sf_dir: query(spark, sf_dir).withColumns({c: F.round(c, 6) for c in columns})

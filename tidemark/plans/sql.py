@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.operators.text import ADVICE, NOTHING
+
 _FRAMES = """
 fr AS (SELECT user_id ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 fi, epoch_us(ts) / 1e6 t, value v,
               CAST(json_extract_string(props, '$.k') AS DOUBLE) k, event_id FROM events)"""
@@ -252,6 +254,14 @@ ORACLES |= {
     "score_summary": " UNION ALL ".join(f"SELECT '{c}' score, median({c}) median, quantile_cont({c}, 0.95) p95, avg({c}) mean, max({c}) largest FROM ({_RMS}) q" for c in ("portable_score", "platform_score", "combined_rms")),
 }
 
+ORACLES |= {
+    "dataset_health_ui": f"WITH {_AUDIT}, q AS (SELECT count(*) n, 100 * count(*) FILTER (NOT hard_fail) * 1.0e0 / count(*) integrity, 70 * count(*) FILTER (backward = 0) * 1.0e0 / count(*) + 25.5e0 temporal, coalesce(avg(100 * effective_motion_ratio), 90.0e0) / 2 + coalesce(avg(greatest(100 - 2 * spike_count, 0)) FILTER (jump_status <> 'na'), 95.0e0) / 2 motion, count(*) FILTER (verdict = 'PASS') * 1.0e0 / count(*) p, count(*) FILTER (verdict = 'REVIEW') * 1.0e0 / count(*) r, count(*) FILTER (verdict = 'EXCLUDE') * 1.0e0 / count(*) x FROM au), z AS (SELECT *, 100 * p + 50 * r consistency, 0.4e0 * integrity + 0.2e0 * temporal + 0.2e0 * motion + 0.2e0 * (100 * p + 50 * r) health FROM q) SELECT n, integrity, temporal, motion, consistency, health, CASE WHEN health >= 90 THEN 'Excellent' WHEN health >= 75 THEN 'Good' WHEN health >= 60 THEN 'Fair' ELSE 'Poor' END grade, CASE WHEN x < 0.05e0 AND r < 0.15e0 THEN 'Ready' WHEN x < 0.1e0 AND r < 0.3e0 THEN 'Conditionally Ready' ELSE 'Not Ready' END readiness, CASE WHEN x < 1 THEN least(60 * (p + 0.7e0 * r) / (1 - x) + 0.4e0 * integrity, 100.0e0) ELSE health END after_cleanup FROM z",
+    "hero_metrics": f"WITH {_AUDIT}, b AS (SELECT CAST(coalesce(sum(spike_count), 0) AS BIGINT) total_spikes, count(*) FILTER (spike_count > 0) spiky_episodes FROM au), a AS (SELECT count(worst_p95) sync_episodes, median(worst_p95) sync_median FROM ({ORACLES['sensor_sync']}) s), c AS (SELECT median(occupancy_rate) occupancy_median FROM ({ORACLES['coverage']}) o) SELECT *, CASE WHEN sync_median IS NULL THEN 'na' WHEN sync_median < 5 THEN 'excellent' WHEN sync_median < 20 THEN 'acceptable' WHEN sync_median < 50 THEN 'needs_check' ELSE 'severe' END sync_band, CASE WHEN occupancy_median > 0.5e0 THEN 'good' WHEN occupancy_median > 0.2e0 THEN 'moderate' ELSE 'low' END occupancy_band FROM a, b, c",
+    "episode_diagnosis": f"WITH {_PATTERNS}, ad AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{k}', '{w}', '{n}')" for k, (w, n) in ADVICE.items())
+    + f") v(pattern, why, \"next\")) SELECT au.ep, 'Episode ' || concat_ws(', ', CASE WHEN duration > 0 THEN printf('duration = %.2fs', duration) END, CASE WHEN coalesce(spike_count, 0) > 0 THEN printf('%d action spikes', spike_count) END, 'effective motion = ' || CAST(CAST(round_even(100 * (1 - (1 - coalesce(effective_motion_ratio, 1.0e0))), 0) AS BIGINT) AS VARCHAR) || '%') || '.' AS what, coalesce(why, '{NOTHING[0]}') why, coalesce(\"next\", '{NOTHING[1]}') AS \"next\" FROM au LEFT JOIN pt ON au.ep = pt.ep AND place = 0 LEFT JOIN ad ON pt.pattern = ad.pattern",
+    "feature_keys": "SELECT DISTINCT n AS name, CASE WHEN starts_with(n, 'observation.') THEN 'modality' WHEN n = 'action' OR starts_with(n, 'action.') THEN 'action' END kind, regexp_replace(n, '^(observation|action)\\.', '') AS label FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'observation.' WHEN 1 THEN 'action.' ELSE 'other.' END || l_returnflag n FROM lineitem) q",
+}
 ROUNDED: dict[str, tuple[str, ...]] = {
     "dt_percentiles": ("dt_p50", "dt_p95", "dt_p99", "dt_max"),
     "mad_per_episode": ("med", "mad"),
@@ -265,6 +275,8 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "temporal_motion_summary": ("p05", "p50", "p95"),
     "utility_summary": ("p05", "p50", "p95"),
     "quality_dimensions": ("integrity", "temporal", "motion", "consistency"),
+    "dataset_health_ui": ("integrity", "temporal", "motion", "consistency", "health", "after_cleanup"),
+    "hero_metrics": ("sync_median", "occupancy_median"),
     "episode_report": ("median_duration", "median_velocity"),
     "episode_verdict": ("effective_motion_ratio",),
     "deviation_heuristic": ("low_motion",),

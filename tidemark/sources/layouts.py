@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_FPS = 50.0
@@ -20,6 +20,22 @@ def load_info(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta/info.json", wholetext=True).first()[0])
 
 
+def feature_kind(name: Column) -> Column:
+    """modality, action or null by the prefix of a feature's name."""
+    return F.when(name.startswith("observation."), "modality").when((name == "action") | name.startswith("action."), "action")
+
+
+def feature_label(name: Column) -> Column:
+    """The feature's name without its prefix, which is taken off once."""
+    return F.regexp_replace(name, r"^(observation|action)\.", "")
+
+
+def feature_keys(spark: SparkSession, info: dict) -> DataFrame:
+    """kind, label of every observation and action feature of ``info``; no features: no rows."""
+    rows = spark.createDataFrame([(k,) for k in info.get("features") or {}], "name string")
+    return rows.select(feature_kind(F.col("name")).alias("kind"), feature_label(F.col("name")).alias("label")).filter("kind is not null")
+
+
 def layout_version(info: dict) -> str:
     return "v2.1" if str(info.get("codebase_version", "")).lower().lstrip("v").startswith("2") else "v3.0"
 
@@ -28,7 +44,7 @@ def episodes_meta(spark: SparkSession, path: str, version: str) -> DataFrame:
     """One row per episode; a file pointer in it is not used, so a stale one does no harm."""
     if version == "v2.1":
         return spark.read.json(f"{path}/meta/episodes.jsonl")
-    return spark.read.parquet(f"{path}/meta/episodes/chunk-*/file-*.parquet")
+    return spark.read.parquet(f"{path}/meta/episodes/chunk-*/*.parquet")
 
 
 def read_frames(spark: SparkSession, path: str, info: dict) -> DataFrame:
