@@ -29,6 +29,7 @@ SHINGLE_WORDS = 5
 BUCKETS = 1 << 16
 BITMAP_WORDS = 8
 TILE_ROWS = 2048
+SEEN_PAIRS = 250_000
 
 
 def _shingles(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -198,7 +199,7 @@ def _tile_pairs(batches) -> Iterator[pa.RecordBatch]:
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         if len(got):  # a pair shares many tiles: say it once for each task, with a bounded memory of it
             got = np.array([p for p in map(tuple, got.tolist()) if p not in seen] or np.zeros((0, 2)), np.int64).reshape(-1, 2)
-            if len(seen) > 2_000_000:
+            if len(seen) > SEEN_PAIRS:
                 seen.clear()
             seen.update(map(tuple, got.tolist()))
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
