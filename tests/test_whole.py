@@ -1,5 +1,8 @@
 """Queries that must not leave part of their job out."""
 
+import collections
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.plans import registry
@@ -17,3 +20,23 @@ def test_zero_frame_guard_takes_every_customer(spark, tmp_path):
     assert all((r.verdict == "EXCLUDE") == (r.ep not in frames) for r in got)
     kept = registry.queries()["validation_records"](spark, str(tmp_path)).collect()
     assert frames and {r.ep: r.frames for r in kept} == frames
+
+
+def vectors(spark):
+    by = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect():
+        by[r.label].append(np.array(r.embedding, np.float64))
+    return {k: np.stack(v) for k, v in by.items()}
+
+
+def test_joint_spikes_of_all_joints_by_brute_force(spark):
+    want = {}
+    for ep, x in vectors(spark).items():
+        d2 = np.abs(np.diff(x, 2, axis=0))
+        med = np.median(d2, 0)
+        mad = np.median(np.abs(d2 - med), 0)
+        spikes = ((mad > 0) & (np.abs(0.6745 * (d2 - med)) > 5 * mad)).sum(0)
+        want |= {(ep, j): int(n) for j, n in enumerate(spikes)}
+    got = registry.queries()["joint_spikes"](spark, DIR).collect()
+    assert {(r.ep, r.joint): r.spikes for r in got} == want and len(got) == len(want)
+    assert {j for _, j in want} == set(range(64))

@@ -36,9 +36,9 @@ def action_discontinuity(frames: DataFrame) -> DataFrame:
     return got.select("ep", "status", use(F.col("spike_count")).alias("spike_count"), use(F.col("spike_count") / F.greatest(F.col("frames") - 2, F.lit(1))).alias("spike_rate"), use(F.col("p")[0]).alias("jump_p95"), use(F.col("p")[1]).alias("jump_p99"), use(F.col("jump_max")).alias("jump_max"))
 
 
-def joint_spikes(frames: DataFrame, joints: int) -> DataFrame:
-    """Spikes of each joint's absolute second difference."""
-    rows = steps(frames).select("ep", "fi", F.posexplode(F.slice("d2", 1, joints)).alias("joint", "x")).withColumn("x", F.abs("x"))
+def joint_spikes(frames: DataFrame) -> DataFrame:
+    """Spikes of each joint's absolute second difference, for all joints."""
+    rows = steps(frames).select("ep", "fi", F.posexplode("d2").alias("joint", "x")).withColumn("x", F.abs("x"))
     by = Window.partitionBy("ep", "joint")
     rows = rows.withColumn("med", F.median("x").over(by)).withColumn("mad", F.median(F.abs(F.col("x") - F.col("med"))).over(by))
     spike = (F.col("mad") > 0) & (F.abs(F.lit(0.6745) * (F.col("x") - F.col("med"))) > SPIKE_Z * F.col("mad"))

@@ -74,7 +74,7 @@ _add("mad_per_episode", _a1, lambda f: seq.robust(metrics.steps(f), "jump").grou
 _add("robust_z", _a1, lambda f: seq.robust(metrics.steps(f), "jump").select("ep", "fi", F.round("z", 9).alias("z")))
 _add("action_spikes", _a1, lambda f: metrics.action_discontinuity(f).select("ep", "spike_count"))
 _add("action_discontinuity", _a1, metrics.action_discontinuity)
-_add("joint_spikes", _a2, lambda f: metrics.joint_spikes(f, 8).withColumn("joint", F.col("joint").cast("long")))
+_add("joint_spikes", _a2, lambda f: metrics.joint_spikes(f).withColumn("joint", F.col("joint").cast("long")))
 _add("motion_histogram", _a1, lambda f: metrics.motion_bins(f).groupBy("ep", "bin").agg(F.count("*").alias("n")))
 _add("idle_threshold", _a1, lambda f: metrics.idle_threshold(f).select("ep", "n", "method", "thr"))
 _add("idle_mask", _a1, lambda f: metrics.idle_mask(f).select("ep", "fi", "idle"))
