@@ -5,6 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import metrics
 from tidemark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -40,3 +41,21 @@ def test_joint_spikes_of_all_joints_by_brute_force(spark):
     got = registry.queries()["joint_spikes"](spark, DIR).collect()
     assert {(r.ep, r.joint): r.spikes for r in got} == want and len(got) == len(want)
     assert {j for _, j in want} == set(range(64))
+
+
+def test_underrepresented_cells_are_thin_or_empty(spark):
+    want = {}
+    for ep, x in vectors(spark).items():
+        lo, hi = x[:, :3].min(0), x[:, :3].max(0)
+        cell = ((x[:, None, :3] - lo) >= np.arange(1, 10)[None, :, None] * ((hi - lo) / 10)).sum(1)
+        counts = collections.Counter(map(tuple, cell.tolist()))
+        want |= {(ep, *i): counts[i] for i in np.ndindex(10, 10, 10) if counts[i] < 0.1 * len(x) / 1000}
+    got = registry.queries()["underrepresented_cells"](spark, DIR).collect()
+    assert {(r.ep, r.b0, r.b1, r.b2): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_thin_cells_with_frames_are_kept_and_others_not(spark):
+    state = [[0.0] * 3] * 20_100 + [[1.0] * 3, [0.5, 0.5, 0.5], [0.5, 0.5, 0.5], [0.5, 0.5, 0.5]]
+    df = spark.createDataFrame([(7, i, x) for i, x in enumerate(state)], "ep long, fi int, state array<double>")
+    got = {(r.b0, r.b1, r.b2): r.n for r in metrics.underrepresented_cells(df).collect()}
+    assert len(got) == 998 and got[9, 9, 9] == 1 and (5, 5, 5) not in got and (0, 0, 0) not in got and got[0, 0, 1] == 0

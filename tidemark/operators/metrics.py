@@ -155,6 +155,16 @@ def coverage(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFram
     return got.select("ep", "frames", "occupied", (F.col("occupied") / total).alias("occupancy_rate"), (F.col("thin") + total - F.col("occupied")).alias("underrepresented"))
 
 
+def underrepresented_cells(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFrame:
+    """Cells of the full grid, empty ones included, with less than a tenth of an even share of the episode's frames."""
+    names, total = [f"b{d}" for d in range(dims)], resolution**dims
+    cells = coverage_bins(frames, dims, resolution).groupBy("ep", *names).agg(F.count("*").alias("n"))
+    grid = cells.groupBy("ep").agg(F.sum("n").alias("frames")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+    place = [F.pmod(F.floor(F.col("cell") / resolution ** (dims - 1 - d)), F.lit(resolution)).cast("int").alias(k) for d, k in enumerate(names)]
+    got = grid.select("ep", "frames", *place).join(cells, ["ep", *names], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return got.filter(F.col("n") < 0.1 * F.col("frames") / total).select("ep", *names, "n")
+
+
 def missing_frames(frames: DataFrame, number: str = "number") -> DataFrame:
     """Of the frame numbers 0 .. T-1, how many are not there."""
     return frames.groupBy("ep").agg(F.count("*").alias("frames"), (F.count("*") - F.count_distinct(F.when((F.col(number) >= 0), F.col(number)))).alias("holes"), F.sort_array(F.collect_set(number)).alias("have")).select(

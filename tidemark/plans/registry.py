@@ -86,7 +86,7 @@ _add("timestamp_validity", _a3, metrics.timestamp_validity)
 _add("velocity_stats", _a1, lambda f: metrics.velocity_stats(f).select("ep", "status", "velocity_p50", "velocity_p95", "velocity_p99", "velocity_max", "acc_spikes"))
 _add("trajectory_stats", _a1, lambda f: metrics.trajectory_stats(f).select("ep", "frames", "duration", F.round("path_length", 6).alias("path_length"), F.col("end_state")[0].alias("end_v")))
 _add("coverage", _a2, metrics.coverage)
-_add("underrepresented_cells", _a2, lambda f: metrics.coverage_bins(f).groupBy("ep", "b0", "b1", "b2").agg(F.count("*").alias("n")))
+_add("underrepresented_cells", _a2, metrics.underrepresented_cells)
 _add("missing_frames", _a1, lambda f: metrics.missing_frames(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))
 _add("invalid_values", _a1, lambda f: metrics.invalid_values(_corrupt(f)))
 _add("joint_limit", _a2, lambda f: metrics.joint_limit(f, f.sparkSession.createDataFrame([(0, -0.1, 0.1), (1, -0.05, 0.05), (2, 0.0, 0.2)], "joint int, lo double, hi double")))
