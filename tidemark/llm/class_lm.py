@@ -144,6 +144,17 @@ def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts:
     return classes
 
 
+def _most_frequent(vocabulary: DataFrame, bands: list) -> pa.Table:
+    """The ``CLUSTERED`` most frequent words (END is none), ties by unsigned hash; only bands that can hold them are sorted."""
+    least, size = None, 0
+    for r in bands:
+        if size > CLUSTERED:
+            break
+        least, size = r["band"], size + r["v"]
+    rows = vocabulary.filter((F.col("band") >= F.lit(least)) & (F.col("h") != F.lit(int(END.view(np.int64)))))
+    return rows.orderBy(F.desc("n"), F.col("h") < 0, "h").limit(CLUSTERED).select("h", "tail", "n").toArrow()
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -163,11 +174,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
         least = r["band"]
     head = vocabulary.filter(F.col("band") >= least).select("h", "tail", "n").toArrow()
     words, counts = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    order = np.lexsort((words, -counts))
-    order = order[words[order] != END][:CLUSTERED]
-    clustered, clustered_n, rank = words[order], counts[order], np.arange(len(order))
+    top = _most_frequent(vocabulary, bands)
+    clustered, clustered_n, clustered_tail = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("tail").to_numpy().astype(np.int64)
+    order = np.lexsort((clustered, -clustered_n))
+    clustered, clustered_n, clustered_tail, rank = clustered[order], clustered_n[order], clustered_tail[order], np.arange(len(order))
     by_hash = np.argsort(clustered)
-    clustered, clustered_n = clustered[by_hash], clustered_n[by_hash]
+    clustered, clustered_n, clustered_tail = clustered[by_hash], clustered_n[by_hash], clustered_tail[by_hash]
     model = WordClasses(clustered, (rank % CLASSES)[by_hash].astype(np.int64))
     for _ in range(SWEEPS):
         pairs, sides = neighbour_counts(train, model, True)
@@ -185,10 +197,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     is_clustered = clustered[at] == words if len(clustered) else np.zeros(len(words), bool)
     head_tail = head.column("tail").to_numpy().astype(np.int64)
     head_class = np.where(is_clustered, model.classes[at] if len(clustered) else head_tail, head_tail)
-    np.subtract.at(mass, head_tail[is_clustered], counts[is_clustered])
-    np.subtract.at(types, head_tail[is_clustered], 1)
-    np.add.at(mass, head_class[is_clustered], counts[is_clustered])
-    np.add.at(types, head_class[is_clustered], 1)
+    np.subtract.at(mass, clustered_tail, clustered_n)
+    np.subtract.at(types, clustered_tail, 1)
+    np.add.at(mass, model.classes, clustered_n)
+    np.add.at(types, model.classes, 1)
     scale = mass + WORD_ADD * (types + 1)
     floor = total + WORD_ADD * (distinct + 1)
     sort = np.argsort(words)
@@ -221,7 +233,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 times = np.diff(np.append(first, len(rest)))
                 rest = rest[first]
                 cut = pa.array(np.searchsorted(where[rest], np.arange(n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (hashes[rest].view(np.int64), tail[rest].astype(np.int32), times.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (hashes[rest].view(np.int64), cls[rest].astype(np.int32), times.astype(np.int32))]
                 columns = [batch.column(0).slice(row, n), rng.integers(0, 1 << 62, n), np.bincount(where, minlength=n), np.bincount(where[known], minlength=n), base, own]
                 yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:]), *lists], names)
 
