@@ -75,8 +75,28 @@ def test_near_duplicates(docs, empty, rows):
 
 def test_tile_cells_lose_no_pair(docs, rows, monkeypatch):
     want = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
-    monkeypatch.setattr(ngram_join, "TILE_ROWS", 3)
-    assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == want
+    for sizes in ({"TILE_ROWS": 3, "LIGHT_ROWS": 1}, {"TILE_ROWS": 3, "LIGHT_ROWS": 6, "HOT_TIMES": 0}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(ngram_join, name, value)
+        assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == want
+
+
+def test_bitmaps_of_any_width_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 23, 24, 120, 255, 257, 511, 513, 4000, 40_000):
+        for _ in range(8):
+            one = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            keep = rng.integers(0, n + 1)
+            two = np.concatenate((one[:keep], rng.integers(0, 1 << 62, rng.integers(0, n // 4 + 1), dtype=np.uint64)))
+            both = len(np.intersect1d(one, two))
+            link = 9 * both >= 4 * (len(one) + len(two))
+            assert ngram_join._may_link(len(one), len(two), *(ngram_join._bitmap(ngram_join.mix(x)).view(np.uint64) for x in (one, two))) or not link
+
+
+def test_tiles_walk_up_to_the_size_bound_only():
+    tile, n = np.array([0, 0, 0, 0, 1, 1]), np.array([8, 10, 11, 13, 13, 13])
+    x, y = ngram_join._walk(tile, n, lambda i, j: np.ones(len(i), bool))
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(0, 1), (1, 2), (2, 3), (4, 5)]
 
 
 def brute_spans(t):

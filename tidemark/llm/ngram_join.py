@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join: near-duplicate classes of whole texts, exactly.
 
-Texts become sets of 64-bit shingle hashes. Equal sets collapse to one node. A node's first
-``n // 5 + 1`` shingles, in an order that puts common shingles last, are its tile keys: two sets
-with Jaccard of at least 0.8 share a tile. Inside a tile only sizes in compatible bands meet,
-hashed bitmaps bound the overlap from above by their bit counts, and the pairs that survive are
+Texts become sets of 64-bit shingle hashes. Equal sets collapse to one node. A node's first shingles,
+in an order that puts common ones last, are its tile keys: ``n // 5`` and, for the number of shared
+keys that a link must show (``_shared``, 1 to 4 by size), as many more. Tiles are split by size
+bands, since sizes of linked sets differ by a quarter at most. Each node has a hashed bitmap in which
+every shingle flips one bit, as wide as its size band asks for: the bits in which two bitmaps differ
+bound the sets' difference from below, and so their overlap from above. Pairs that survive are
 decided by exact intersection of sorted arrays.
 
-Groups of copies: each node first meets only its tile's leader (links in proportion to the rows).
-Nodes so joined form components, and afterwards only pairs of different components are looked at,
-so a group of any size never lists its pairs. A tile of more than ``TILE_ROWS`` rows is dealt out
-in cells, one for each pair of its blocks.
+Groups of copies: each node first meets only the leader of its tile and band (links in proportion to
+the rows). Nodes so joined form components, and afterwards only pairs of different components are
+looked at, so a group of any size never lists its pairs. Tiles of up to ``LIGHT_ROWS`` rows list
+their pairs, walking each node's larger partners up to the size bound, and pairs that share enough
+tiles go on. Larger tiles check the first 256 bits of each pair inside the tile, by bands and, beyond
+``TILE_ROWS`` rows, by cells: one for each pair of the unit's blocks.
 """
 
 from __future__ import annotations
@@ -18,17 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import BROADCAST_ROWS, bounded_broadcast, materialize
+from tidemark.llm.scratch import BROADCAST_ROWS, bounded_broadcast, discard, materialize
 from tidemark.llm.textkit import mix, shingle_hashes, string_slices, word_hashes, word_spans
 
 SHINGLE_WORDS = 5
 BUCKETS = 1 << 16
-BITMAP_WORDS = 8
+MINI_WORDS = 4
+WIDEST_BITS = 1 << 14
+BAND_RATIO = 1.25
+LIGHT_ROWS = 32
 TILE_ROWS = 2048
+HOT_TIMES = 16
 SEEN_PAIRS = 250_000
 
 
@@ -63,14 +71,26 @@ def _ordered_set(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return ids[np.concatenate(([True], ids[1:] != ids[:-1]))] if len(ids) else ids
 
 
+def _shared(n: np.ndarray | int):
+    """How many tile keys a set of ``n`` shingles and a linked set of no fewer must share."""
+    return 1 + np.minimum(3, n // 24)
+
+
+def _bitmap(mixed: np.ndarray) -> np.ndarray:
+    """Bit k is the parity of the shingles that hash to k: at least 256 bits, else about one a shingle."""
+    width = min(max(64 * MINI_WORDS, 1 << max(len(mixed) - 1, 0).bit_length()), WIDEST_BITS)
+    flags = np.bincount((mixed & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, set size, set digest, bitmap of 512 bits and tile keys of every text."""
+    """doc_id, set size, set digest, bitmap and tile keys of every text."""
 
     def sign(batches):
         for batch in batches:
             for row, end, hashes, begin in _shingles(batch, 1, size):
                 n, one, two = (np.zeros(end - row, np.int64) for _ in range(3))
-                bits = np.zeros((end - row, BITMAP_WORDS), np.int64)
+                bits: list[np.ndarray] = []
                 keys: list[np.ndarray] = []
                 for i in range(end - row):
                     ids = _ordered_set(hashes[begin[i] : begin[i + 1]], rank)
@@ -78,22 +98,13 @@ def signatures(docs: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) ->
                     mixed = mix(ids)
                     one[i] = mixed.sum(dtype=np.uint64).astype(np.int64)
                     two[i] = mix(mixed ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
-                    flags = np.zeros(64 * BITMAP_WORDS, np.uint8)
-                    flags[(mixed & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)] = 1
-                    bits[i] = np.packbits(flags, bitorder="little").view(np.int64)
-                    keys.append(ids[: len(ids) // 5 + 1].view(np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, end - row),
-                        pa.array(n),
-                        pa.array(one),
-                        pa.array(two),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(bits.ravel())),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(keys))),
-                    ],
-                    ["doc_id", "n", "h1", "h2", "bits", "keys"],
-                )
+                    bits.append(_bitmap(mixed))
+                    keys.append(ids[: len(ids) // 5 + _shared(len(ids))].view(np.int64))
+                lists = []
+                for parts in (bits, keys):
+                    ends = np.concatenate(([0], np.cumsum([len(k) for k in parts])))
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n), pa.array(one), pa.array(two), *lists], ["doc_id", "n", "h1", "h2", "bits", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bits array<long>, keys array<long>")
 
@@ -103,28 +114,32 @@ def _linkable(n1, n2, most):
     return 9 * most >= 4 * (n1 + n2)
 
 
-def _key_bound(pairs: DataFrame, nodes: DataFrame, hint) -> DataFrame:
-    """Pairs whose tile keys allow a link: what both have up to the smaller last key is known exactly."""
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")).join(hint(pairs), "b")
-    heads = materialize(pairs.select("a").distinct(), "heads")
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")).join(hint(heads), "a")
-    both = right.join(left, "a").withColumn("last", F.least(F.element_at("ka", -1), F.element_at("kb", -1)))
-    seen = lambda k: F.size(F.filter(F.col(k), lambda x: x <= F.col("last")))
-    most = F.size(F.array_intersect("ka", "kb")) + F.least(F.col("na") - seen("ka"), F.col("nb") - seen("kb"))
-    return materialize(both.filter(_linkable(F.col("na"), F.col("nb"), most)).select("a", "b"), "pairs")
+def _may_link(n1: int, n2: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the bitmaps, the wider one folded to the other's width, allow a link."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return _linkable(n1, n2, (n1 + n2 - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
+def _bounded(batches) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, na, nb, xa, xb) the pairs (a, b) whose bitmaps allow a link."""
+    for batch in batches:
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        (at_a, bits_a), (at_b, bits_b) = ((c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column(4), batch.column(5)))
+        keep = [_may_link(int(na[i]), int(nb[i]), bits_a[at_a[i] : at_a[i + 1]], bits_b[at_b[i] : at_b[i + 1]]) for i in range(batch.num_rows)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) -> DataFrame:
-    """The pairs (a, b) of nodes that link: bitmap and key bounds first, then exact sorted intersection."""
-    bits = nodes.select("node", "n", "bits")
-    one = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    far = lambda p, q: sum(F.bit_count(F.col(p)[i].bitwiseAND(F.bitwise_not(F.col(q)[i]))) for i in range(BITMAP_WORDS))
-    most = F.least(F.col("na") - far("xa", "xb"), F.col("nb") - far("xb", "xa"))
-    open_pairs = materialize(pairs.join(one, "a").join(two, "b").filter(_linkable(F.col("na"), F.col("nb"), most)).select("a", "b"), "pairs")
-    small = open_pairs.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
-    open_pairs = _key_bound(open_pairs, nodes, hint)
+    """The pairs (a, b) of nodes that link: bitmap bound first, then exact sorted intersection."""
+    pairs = materialize(pairs, "pairs")
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    near = one.join(bounded_broadcast(pairs), "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb")
+    open_pairs = materialize(near.mapInArrow(_bounded, "a long, b long"), "open-pairs")
+    hint = F.broadcast if open_pairs.count() <= BROADCAST_ROWS else (lambda x: x)
 
     def sets(batches):
         for batch in batches:
@@ -160,63 +175,135 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rank: np.ndarray
     left = text.withColumnRenamed("b", "a").join(hint(heads), "a").select("a", F.col("a").alias("b"), "text")
     left = left.mapInArrow(sets, "a long, b long, ids array<long>").select("a", F.col("ids").alias("ids_a"))
     met = right.join(left, "a").select("a", "b", "ids", "ids_a")
-    return materialize(met.mapInArrow(meet, "a long, b long").distinct(), "links")
-
+    links = materialize(met.mapInArrow(meet, "a long, b long").distinct(), "links")
+    discard(pairs, open_pairs, heads)
+    return links
 
-def _tile_pairs(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each tile cell whose bounds allow a link.
 
-    Rows come sorted by (s, cell); a cell that goes over a batch's end is carried on. Pairs are
-    taken at distance 1, 2, ... in that order, for all cells of the batch at once.
-    """
-    seen: set[tuple[int, int]] = set()
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        col = {k: t.column(k).to_numpy() for k in ("s", "cell", "split", "node", "n", "pos", "comp", "block")}
-        bits = t.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITMAP_WORDS).view(np.uint64)
-        at, d = np.arange(t.num_rows), 0
-        out: list[np.ndarray] = []
-        while len(at):
-            d += 1
-            at = at[at + d < t.num_rows]
-            to = at + d
-            same = (col["s"][at] == col["s"][to]) & (col["cell"][at] == col["cell"][to])
-            at, to = at[same], to[same]
-            k = col["split"][at]
-            alone = col["cell"][at] // k == col["cell"][at] % k
-            ok = (col["comp"][at] != col["comp"][to]) & (alone | (col["block"][at] != col["block"][to]))
-            x, y = at[ok], to[ok]
-            n1, n2 = col["n"][x], col["n"][y]
-            ok = _linkable(n1, n2, np.minimum(n1 - col["pos"][x], n2 - col["pos"][y]))
-            x, y = x[ok], y[ok]
-            one = np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64)
-            two = np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64)
-            n1, n2 = col["n"][x], col["n"][y]
-            ok = _linkable(n1, n2, np.minimum(n1 - one, n2 - two))
-            if ok.any():
-                u, v = col["node"][x[ok]], col["node"][y[ok]]
-                out.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        if len(got):  # a pair shares many tiles: say it once for each task, with a bounded memory of it
-            got = np.array([p for p in map(tuple, got.tolist()) if p not in seen] or np.zeros((0, 2)), np.int64).reshape(-1, 2)
-            if len(seen) > SEEN_PAIRS:
-                seen.clear()
-            seen.update(map(tuple, got.tolist()))
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-
-    held: pa.Table | None = None
+def _carried(batches, *keys: str) -> Iterator[pa.Table]:
+    """Tables that end where a group of ``keys`` does: rows come sorted by them, a group that goes over a batch's end is carried on."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        if not t.num_rows:
+        if not batch.num_rows:
             continue
-        s, cell = t.column("s").to_numpy(), t.column("cell").to_numpy()
-        last = int(np.flatnonzero((s != s[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
-        if last:
-            yield pairs(t.slice(0, last))
-        held = t.slice(last)
-    if held is not None and held.num_rows:
-        yield pairs(held)
+        cols = [batch.column(k).to_numpy() for k in keys]
+        other = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            other |= c != c[-1]
+        last = int(np.flatnonzero(other).max(initial=-1)) + 1
+        if last or (held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols, strict=True))):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _walk(tile: np.ndarray, n: np.ndarray, allowed) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y), x before y, of one tile with n[y] <= 1.25 n[x] and ``allowed(x, y)``; rows come sorted by tile, then n."""
+    at, d, xs, ys = np.arange(len(n)), 0, [], []
+    while len(at):
+        d += 1
+        at = at[at + d < len(n)]
+        at = at[(tile[at] == tile[at + d]) & (4 * n[at + d] <= 5 * n[at])]  # beyond the size bound all later ones are
+        ok = allowed(at, at + d)
+        xs.append(at[ok])
+        ys.append(at[ok] + d)
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (at, at)
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """The running number of each run of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def _pair_batch(node: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller id first), how often each occurs and how many shared tiles it needs."""
+    pairs = np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), _shared(n[x])), 1)
+    got, times = np.unique(pairs, axis=0, return_counts=True)
+    return got[:, :2], times, got[:, 2]
+
+
+def _light_pairs(batches) -> Iterator[pa.RecordBatch]:
+    """(a, b, times, need) of pairs of different components in small tiles."""
+    for t in _carried(batches, "s"):
+        s, node, n, comp = (t.column(k).to_numpy() for k in ("s", "node", "n", "comp"))
+        x, y = _walk(_numbered(s), n, lambda i, j: comp[i] != comp[j])
+        got, times, need = _pair_batch(node, n, x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
+
+
+def _cell_pairs(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in each cell of a large tile whose bitmaps allow a link.
+
+    ``times`` says all that is needed: such a pair goes on by itself. A pair shares many tiles, so a
+    task says it once, with a bounded memory of what it said.
+    """
+    seen: set[tuple[int, int]] = set()
+    for t in _carried(batches, "s", "unit", "cell"):
+        s, unit, cell, split, node, n, comp, band, block = (t.column(k).to_numpy() for k in ("s", "unit", "cell", "split", "node", "n", "comp", "band", "block"))
+        bits = t.column("mini").combine_chunks().flatten().to_numpy().reshape(-1, MINI_WORDS).view(np.uint64)
+        alone = cell // split == cell % split
+
+        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = (comp[i] != comp[j]) & ((band[i] == unit[i]) | (band[j] == unit[j])) & (alone[i] | (block[i] != block[j]))
+            at = np.flatnonzero(ok)
+            i, j = i[at], j[at]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            ok[at] = _linkable(n[i], n[j], (n[i] + n[j] - differ) // 2)
+            return ok
+
+        x, y = _walk(_numbered(s, unit, cell), n, allowed)
+        got, _, need = _pair_batch(node, n, x, y)
+        new = np.array([p not in seen for p in map(tuple, got.tolist())], bool)
+        got, need = got[new], need[new]
+        if len(seen) > SEEN_PAIRS:
+            seen.clear()
+        seen.update(map(tuple, got.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(need), pa.array(need)], ["a", "b", "times", "need"])
+
+
+def _band(n: str) -> Column:
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(BAND_RATIO))).cast("int")
+
+
+def _tiles(nodes: DataFrame, hot_from: int) -> DataFrame:
+    """(s, node, n, band, tile, head, head_n) of every row of a tile with two rows or more.
+
+    head is the smallest node of the row's tile and band. The keys of hot buckets, those from
+    ``hot_from`` on, are summed up before they move; all others are sent to the task of their key at once.
+    """
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("s")).withColumn("band", _band("n"))
+    hot = F.shiftright("s", 47) >= hot_from
+    head = F.min(F.struct("node", "n"))
+    whole, banded = Window.partitionBy("s"), Window.partitionBy("s", "band")
+    cold = rows.filter(~hot).withColumn("tile", F.count("*").over(whole)).filter("tile > 1").withColumn("head", head.over(banded))
+    warm = rows.filter(hot)
+    by_band = warm.groupBy("s", "band").agg(F.count("*").alias("c"), head.alias("head"))
+    sums = by_band.groupBy("s").agg(F.sum("c").alias("tile"), F.collect_list(F.struct("band", "head")).alias("heads")).filter("tile > 1")
+    sums = sums.select("s", "tile", F.explode("heads").alias("h")).select("s", "tile", "h.*")
+    both = cold.unionByName(warm.join(sums, ["s", "band"]))
+    return both.select("s", "node", "n", "band", "tile", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+
+
+def _candidates(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share as many tiles as a link asks for."""
+    rows = tiles.select("s", "node", "n", "band", "tile").join(bounded_broadcast(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    light = rows.filter(F.col("tile") <= LIGHT_ROWS).select("s", "node", "n", "comp")
+    light = light.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(_light_pairs, "a long, b long, times long, need long")
+
+    units = rows.filter(F.col("tile") > LIGHT_ROWS).withColumn("unit", F.explode(F.array("band", F.col("band") - 1)))
+    sums = units.groupBy("s", "unit").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("band").alias("least"))
+    sums = materialize(sums.filter("lo <> hi and least = unit").select("s", "unit", F.ceil(F.col("rows") / TILE_ROWS).alias("split")), "units")
+    cells = units.join(bounded_broadcast(sums), ["s", "unit"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("split")))
+    dealt = F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda j: F.least(j, F.col("block")) * F.col("split") + F.greatest(j, F.col("block")))
+    cells = cells.withColumn("cell", F.explode(dealt)).join(nodes.select("node", "mini"), "node")
+    cells = cells.select("s", "unit", "cell", "split", "node", "n", "comp", "band", "block", "mini")
+    heavy = cells.repartition("s", "unit", "cell").sortWithinPartitions("s", "unit", "cell", "n", "node").mapInArrow(_cell_pairs, "a long, b long, times long, need long")
+    return light.unionByName(heavy).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -231,37 +318,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     counts = bucket_counts(docs, size)
     rank = np.empty(BUCKETS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    hot = int((counts > max(HOT_TIMES * counts.mean(), TILE_ROWS)).sum())
     sig = materialize(signatures(docs, rank, size), "signatures")
+    ids = materialize(sig.select("doc_id", "n", "h1", "h2"), "ids")
 
-    some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    some = ids.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = materialize(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node")), "nodes")
-    nodes = some.join(bounded_broadcast(reps.select(F.col("node").alias("doc_id"), "n", "h1", "h2")), ["doc_id", "n", "h1", "h2"])
-    nodes = materialize(nodes.select(F.col("doc_id").alias("node"), "n", "bits", "keys"), "node-signatures")
-
-    by_tile = Window.partitionBy("s")
-    tiles = nodes.select("node", "n", F.posexplode("keys").alias("pos", "s"))
-    tiles = tiles.withColumn("tile", F.count("*").over(by_tile)).withColumn("head", F.min(F.struct("node", "n", "pos")).over(by_tile))
-    tiles = materialize(tiles.filter("tile > 1").drop("tile"), "tiles")
-
-    most = F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos"))
-    star = tiles.filter((F.col("node") != F.col("head.node")) & _linkable(F.col("n"), F.col("head.n"), most))
-    links = verify(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), docs, nodes, rank, size)
+    own = sig.join(bounded_broadcast(reps.select(F.col("node").alias("doc_id"), "n", "h1", "h2")), ["doc_id", "n", "h1", "h2"]).withColumnRenamed("doc_id", "node")
+    fold = F.array(*[F.aggregate(F.sequence(F.lit(k), F.size("bits") - 1, F.lit(MINI_WORDS)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get("bits", i))) for k in range(MINI_WORDS)])
+    nodes = materialize(own.select("node", "n", "bits", fold.alias("mini")).dropDuplicates(["node"]), "bitmaps")
+    tiles = materialize(_tiles(own.select("node", "n", "keys"), BUCKETS - hot), "tiles")
+    discard(sig)
+
+    enough = 1 + F.least(F.lit(3), F.floor(F.least("n", "head_n") / 24))
+    star = tiles.filter(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b"), enough.alias("need")).agg(F.count("*").alias("times"))
+    links = verify(star.filter("times >= need").select("a", "b"), docs, nodes, rank, size)
     comps = connected_components(links)
-
-    rest = tiles.drop("head").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = rest.withColumn("lo", F.min("comp").over(by_tile)).withColumn("hi", F.max("comp").over(by_tile)).withColumn("tile", F.count("*").over(by_tile))
-    rest = rest.filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    rest = rest.withColumn("split", F.ceil(F.col("tile") / TILE_ROWS)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("split")))
-    cells = F.when(F.col("split") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda j: F.least(j, F.col("block")) * F.col("split") + F.greatest(j, F.col("block")))
-    )
-    rest = rest.withColumn("cell", F.explode(cells)).join(nodes.select("node", "bits"), "node")
-    rest = rest.select("s", "cell", "split", "node", "n", F.col("pos").cast("long").alias("pos"), "comp", "block", "bits")
-    found = rest.repartition("s", "cell").sortWithinPartitions("s", "cell", "comp").mapInArrow(_tile_pairs, "a long, b long").distinct()
-    more = verify(found, docs, nodes, rank, size)
+    more = verify(_candidates(tiles, comps, nodes), docs, nodes, rank, size)
+    discard(tiles, nodes)
 
     comps = connected_components(links.unionByName(more))
     marked = reps.join(comps, "node", "left").select("n", "h1", "h2", F.coalesce("comp", "node").alias("component_id"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(marked, ["n", "h1", "h2"], "left")
+    out = ids.join(marked, ["n", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -10,15 +10,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Above this many rows a side is joined by shuffle instead of broadcast (ids: 8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder if all of Spark is this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-scratch")
     return path.rstrip("/")
 
@@ -32,7 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that ``materialize`` gave, once all that was read from them is itself written."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(table.scratch)
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -40,6 +51,4 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
     ``df`` should be materialised and narrow: its rows are counted here.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.count() <= limit else df
