@@ -123,22 +123,61 @@ def test_pii(docs, empty, rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
-def test_warc_round_trip(spark):
-    trap = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\nWARC/1.1\r\n"
-    pages = [(1, "u\r\nv", trap), (2, None, None), (3, "u", ""), (4, "u", "é"), (9, "u", "é"), (5, "u", trap), (None, "u", "z")]
-    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload int")
-    got = {r.page_id: tuple(r)[1:] for r in warc.round_trip(df).collect()}
-    keep = {1: 5, 2: 3, 4: 9}
+def warc_pages():
+    fake = "x\r\n\r\nWARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: {}\r\n{}\r\nContent-Length: {}\r\n\r\n\r\n\r\nWARC/1.1\r\n"
+    traps = [
+        fake.format("response", "<urn:page:7>", "A: b", "0"),
+        fake.format("response", "<urn:page:7>", "A: b", "²"),
+        fake.format("revisit", "<urn:page:7>", "X-Payload-Length: abc", "0"),
+        fake.format("response", "<urn:page:99999999999999999999>", "A: b", "0"),
+        fake.format("response", "<urn:page:7>", "A: b", "9" * 40),
+        "WARC/1.1\r\nWWARC/1.1\r\nWARC/1.1",
+    ]
+    pages = [(1, "u\r\nv", traps[0]), (2, None, None), (3, "u", ""), (4, "u", "é"), (9, "u", "é"), (5, "u", traps[0]), (None, "u", "z")]
+    return pages + [(20 + k, "u", t) for k, t in enumerate(traps[1:])] + [(40 + k, "u", f"<p>{k}</p>" * k) for k in range(30)]
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_warc_round_trip(spark, split):
+    pages = warc_pages()
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload int").coalesce(2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = warc.round_trip(df).collect()
+        none = warc.round_trip(df.filter("page_id = 0")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.page_id: tuple(r)[1:] for r in rows}
+    assert len(rows) == len(pages) == len(got) and none == []
+    keep = {1: 5, 2: 40, 3: 40, 4: 9}  # page 40 is empty too
     for i, _, h in pages:
         b = (h or "").encode()
         kind = ("revisit", keep[i]) if i in keep else ("response", None)
         assert got[i] == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *kind)
-    assert warc.round_trip(df.filter("page_id = 0")).collect() == []
+
+
+def test_payloads_with_only_null_ids_and_repeated_ids_are_responses(spark):
+    df = spark.createDataFrame([(None, "u", "a"), (None, "u", "a"), (3, "u", "b"), (3, "u", "b"), (None, "u", "b")], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()) == [(0, "response", None), (0, "response", None), (0, "revisit", 3), (3, "response", None), (3, "response", None)]
+
+
+def test_archives_that_break_off_are_errors(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/ok")
+    (file,) = (tmp_path / "ok").glob("part-*")
+    whole = file.read_bytes()
+    said = lambda payload: b"Content-Length: %d" % (len(warc._HTTP) + payload)
+    for name, data in {"late": b"?" + whole, "short": whole[:-9], "none": b"no record at all", "gap": whole.replace(said(1), said(2), 1)}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.txt").write_bytes(data)
+        with pytest.raises(ValueError, match="record chain"):
+            warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+    assert warc.read_warc(spark, f"file://{tmp_path}/ok").count() == 2
 
 
 def test_pointer_jumping_keeps_the_chain_only():
     start, following = np.array([0, 10, 15, 30, 31]), np.array([10, 30, 31, 40, 40])
-    assert warc.reachable(start, following).tolist() == [True, True, False, True, False]
+    assert warc.reachable(start, following, start == 0).tolist() == [True, True, False, True, False]
+    assert warc.reachable(start, following, start == 15).tolist() == [False, False, True, False, True]
 
 
 def test_contamination(spark, docs, empty, rows):

@@ -2,9 +2,10 @@
 
 Writing: a row is one record, and the sink's line separator is the blank line pair that ends a
 record, so the part files are WARC files. Equal payloads are stored once; the others are revisit
-records. Reading: tasks emit, for every place where the magic line occurs, the offset of the record
-it would begin and of that record's successor. Magic lines inside payloads give candidates too.
-Pointer jumping from each file's start keeps the reachable ones only.
+records. Reading: Spark's text source, split at the magic line, gives the bytes between magic lines,
+by byte ranges; tasks emit for each the offset of the record it would be and of that record's
+successor. Magic lines inside payloads give candidates too. Pointer jumping from each file's start,
+inside ranges and then between them by joins, keeps the reachable ones only.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import bounded_broadcast, materialize, scratch_path
 
-# Bounds an archive file, and so what a reading task holds: records are dealt to the next file beyond it.
-RECORDS_PER_FILE = 2000
-MAGIC = b"WARC/1.1\r\n"
+MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+RECORD = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+# Bytes of a file for which spanning records and their segments meet in a join.
+SPAN = 1 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_HEAD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)+)\r\n")
 _PLAIN, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -67,78 +68,187 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
         F.lit("\r\n" + _HTTP),
         F.when(revisit, nothing).otherwise(F.col("payload")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END.decode()).text(path)
 
 
-def _number(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
-    return int(m[1]) if m else None
+def _field(head: bytes, name: bytes, pattern: bytes) -> bytes | None:
+    found = re.search(rb"(?m)^" + name + rb": " + pattern + rb"\r?$", head)
+    return found[1] if found else None
+
+
+def _long(digits: bytes | None) -> int | None:
+    """A number that fits 64 bits, else none: payloads may hold anything that looks like a field."""
+    value = int(digits) if digits is not None and len(digits) <= 20 else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
+
+
+def _record(segment: bytes) -> tuple:
+    """What a record that begins before ``segment`` would say: bytes to its successor, page_id, payload size, digest, type, refers_to, whole.
+
+    None for the first if it is no record. ``whole``: the segment holds all of it, so a response's
+    payload is known here; else size and digest are none.
+    """
+    end = segment.find(END)
+    head = segment[: max(end, 0)]
+    length = _long(_field(head, b"Content-Length", rb"([0-9]{1,18})"))
+    if end < 0 or length is None:
+        return None, None, None, None, None, None, False
+    block = end + len(END)
+    after = block + length + len(END)
+    kind = (_field(head, b"WARC-Type", rb"([a-z]+)") or b"").decode()
+    page, refers = (_long(_field(head, name, rb"<urn:page:(-?[0-9]{1,19})>")) for name in (b"WARC-Record-ID", b"WARC-Refers-To"))
+    size = digest = None
+    whole = after == len(segment)
+    if kind == "revisit":
+        size, digest = _long(_field(head, b"X-Payload-Length", rb"([0-9]{1,18})")), (_field(head, b"WARC-Payload-Digest", rb"sha1:([A-Z2-7]{32})") or b"").decode()
+    elif whole:
+        payload = segment[segment.find(END, block) + len(END) : block + length]
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return after + len(MAGIC), page, size, digest, kind, refers, whole
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """path, file_size, block, value of the bytes between magic lines: Spark's text source reads byte ranges of large files in several tasks."""
+    rows = spark.read.option("lineSep", MAGIC.decode()).option("pathGlobFilter", "part-*").text(path)
+    meta = F.col("_metadata")
+    return rows.select(meta["file_path"].alias("path"), meta["file_size"].alias("file_size"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("value"))
+
+
+def _offsets(batch: pa.RecordBatch, state: list) -> list[int]:
+    """Bytes of the same block before each segment; ``state`` (block, bytes so far) lives from batch to batch."""
+    out = []
+    for path, block, value in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), batch.column("value"), strict=True):
+        if state[0] != (path, block):
+            state[:] = [(path, block), 0]
+        out.append(state[1])
+        state[1] += value.as_buffer().size + len(MAGIC)
+    return out
 
 
 def _candidates(batches):
     """Every place where a record could begin, with its successor and what a record there would say."""
-    names = ["path", "start", "next", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "size"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    state: list = [None, 0]
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            data, rows, at = content.as_buffer().to_pybytes(), [], -1
-            while (at := data.find(MAGIC, at + 1)) >= 0:
-                if not (m := _HEAD.match(data, at)):
-                    continue
-                head = dict(x.split(": ", 1) for x in m[1].decode("utf-8", "replace").split("\r\n") if ": " in x)
-                length = head.get("Content-Length", "")
-                if not length.isdigit() or data[m.end() + int(length) : m.end() + int(length) + 4] != b"\r\n\r\n":
-                    continue
-                end = m.end() + int(length)
-                body = data.find(b"\r\n\r\n", m.end(), end) + 4
-                kind = head.get("WARC-Type", "")
-                if kind == "revisit":
-                    size, digest = int(head.get("X-Payload-Length", 0)), head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                else:
-                    size, digest = end - body, base64.b32encode(hashlib.sha1(data[body:end]).digest()).decode()
-                rows.append((path.as_py(), at, end + 4, _number(head.get("WARC-Record-ID")), size, digest, kind, _number(head.get("WARC-Refers-To")), len(data)))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names)
-
-
-def reachable(start: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """Which candidates the chain from offset 0 reaches, by pointer jumping in log(n) rounds."""
-    order = np.argsort(start, kind="stable")
-    s, n = start[order], len(start)
-    to = np.searchsorted(s, following[order])
-    jump = np.full(n + 1, n, np.int64)
-    ok = to < n
-    ok[ok] = s[to[ok]] == following[order][ok]
-    jump[:n][ok] = to[ok]
-    kept = np.zeros(n + 1, bool)
-    kept[: min(n, 1)] = s[:1] == 0
+        rel = _offsets(batch, state)
+        values = batch.column("value")
+        said = list(zip(*[_record(v.as_buffer().to_pybytes()) for v in values], strict=True)) or [()] * 7
+        sizes = [v.as_buffer().size + len(MAGIC) for v in values]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+        columns = [batch.column(k) for k in ("path", "file_size", "block")] + [pa.array(rel, pa.int64()), pa.array(sizes, pa.int64())] + [pa.array(list(c), t) for c, t in zip(said, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "file_size", "block", "rel", "bytes", "step", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole"])
+
+
+def _last_inside(start: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted candidates: the place of each one's successor (n: not among them), and of the last one on its chain, by pointer jumping."""
+    n = len(start)
+    to = np.searchsorted(start, following)
+    to[to < n] = np.where(start[to[to < n]] == following[to < n], to[to < n], n)
+    last = np.where(to < n, to, np.arange(n))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return to, last
+        last = further
+
+
+def reachable(start: np.ndarray, following: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Which of the sorted candidates the chains from the entries reach, by pointer jumping in log(n) rounds."""
+    to, _ = _last_inside(start, following)
+    jump, kept = np.append(to, len(start)), np.append(entry, False)
     while True:
-        before = kept.sum()
         kept[jump[kept]] = True
-        kept[n] = False
-        jump = jump[jump]
-        if kept.sum() == before and (jump == n).all():
-            break
-    out = np.zeros(n, bool)
-    out[order] = kept[:n]
-    return out
+        kept[-1] = False
+        further = jump[jump]
+        if (further == jump).all():
+            return kept[:-1]
+        jump = further
+
+
+def _exits(table: pa.Table) -> pa.Table:
+    table = table.sort_by("start")
+    start, following = table.column("start").to_numpy(), table.column("next").to_numpy()
+    _, last = _last_inside(start, following)
+    return pa.table({"path": table.column("path"), "at": start, "exit": following[last]})
+
+
+def _kept(table: pa.Table) -> pa.Table:
+    table = table.sort_by("start")
+    keep = reachable(table.column("start").to_numpy(), table.column("next").to_numpy(), table.column("entry").to_numpy(zero_copy_only=False))
+    return table.filter(pa.array(keep)).drop_columns(["entry"])
+
+
+def _entries(found: DataFrame) -> DataFrame:
+    """(path, at): where the chain from each file's start enters a block. Between blocks the pointers are doubled by joins."""
+    reached = found.filter("start = 0").select("path", F.col("start").alias("at"))
+    if found.filter("block > 0").isEmpty():
+        return reached
+    hops = materialize(found.select("path", "block", "start", "next").groupBy("path", "block").applyInArrow(_exits, "path string, at long, exit long"), "exits")
+    ends = hops.select("path", F.col("exit").alias("at")).unionByName(reached).distinct()
+    hops = materialize(hops.join(ends, ["path", "at"], "left_semi"), "hops")
+    reached = materialize(reached, "reached")
+    while not hops.isEmpty():
+        reached = materialize(reached.unionByName(reached.join(hops, ["path", "at"]).select("path", F.col("exit").alias("at"))).distinct(), "reached")
+        on = hops.select("path", F.col("at").alias("exit"), F.col("exit").alias("beyond"))
+        hops = materialize(hops.join(on, ["path", "exit"]).select("path", "at", F.col("beyond").alias("exit")), "hops")
+    return reached
+
+
+def _spanning(spark: SparkSession, path: str, kept: DataFrame, segments: DataFrame) -> DataFrame:
+    """payload_bytes and payload_digest of responses whose payload holds magic lines, put together from all their segments."""
+    parts = segments.join(kept.select("path", "start", "next", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor(F.col("next") / SPAN))).alias("part")), ["path", "part"])
+    parts = parts.filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("next"))).select("path", "block", "rel", "start", "at")
+
+    def placed(batches):
+        state: list = [None, 0]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), pa.array(_offsets(batch, state), pa.int64()), batch.column("value")], ["path", "block", "rel", "value"])
+
+    bytes_of = _segments(spark, path).mapInArrow(placed, "path string, block long, rel long, value binary").join(parts, ["path", "block", "rel"])
+
+    def digest(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        record = MAGIC.join(table.column("value").to_pylist())
+        block = record.find(END) + len(END)
+        payload = record[record.find(END, block) + len(END) : -len(END)]
+        return pa.table({"path": table.column("path")[:1], "start": table.column("start")[:1], "size": [len(payload)], "digest": [base64.b32encode(hashlib.sha1(payload).digest()).decode()]})
+
+    return bytes_of.groupBy("path", "start").applyInArrow(digest, "path string, start long, size long, digest string")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    fields = "path string, start long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, size long"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    found = files.mapInArrow(_candidates, fields)
-
-    def chain(table: pa.Table) -> pa.Table:
-        keep = reachable(table.column("start").to_numpy(), table.column("next").to_numpy())
-        kept = table.filter(pa.array(keep))
-        if kept.num_rows and max(kept.column("next").to_pylist()) != kept.column("size")[0].as_py():
-            raise ValueError(f"the record chain of {kept.column('path')[0]} breaks off before the file's end")
-        return kept.select(["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return found.groupBy("path").applyInArrow(chain, out)
+    """The records of the archives under ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A file is read by byte ranges and no task holds more than one range's offsets and one record. A
+    file whose chain of records does not lead from its first byte to its last is an error.
+    """
+    fields = "path string, file_size long, block long, rel long, bytes long, step long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean"
+    rows = materialize(_segments(spark, path).mapInArrow(_candidates, fields), "segments")
+    blocks = rows.groupBy("path", "block").agg(F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("path", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0).cast("long")).alias("base"))
+    rows = rows.join(bounded_broadcast(bases), ["path", "block"]).withColumn("start", F.col("base") + F.col("rel") - len(MAGIC))
+    found = rows.filter("start >= 0 and step is not null").withColumn("next", F.col("start") + F.col("step"))
+    found = materialize(found.drop("base", "bytes", "step"), "candidates")
+
+    entries = _entries(found).withColumn("entry", F.lit(True)).withColumnRenamed("at", "start")
+    flagged = found.join(entries, ["path", "start"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    flagged = flagged.select("path", "block", "start", "next", "entry", *RECORD, "whole")
+    schema = ", ".join(f"{k} {t}" for k, t in flagged.dtypes if k != "entry")
+    kept = materialize(flagged.groupBy("path", "block").applyInArrow(_kept, schema), "records")
+
+    files = rows.groupBy("path").agg(F.max("file_size").alias("file_size"), F.sum("bytes").alias("bytes"))
+    ends = kept.groupBy("path").agg(F.max("next").alias("end"))
+    whole = (F.col("bytes") - len(MAGIC) == F.col("file_size")) & (F.coalesce("end", F.lit(-1).cast("long")) == F.col("file_size"))
+    if broken := files.join(ends, "path", "left").filter((F.col("file_size") > 0) & ~whole).select("path").head(1):
+        raise ValueError(f"the record chain of {broken[0].path} does not lead from the file's start to its end")
+
+    spanning = kept.filter("not whole and record_type <> 'revisit'")
+    if spanning.isEmpty():
+        return kept.select(*RECORD)
+    at = rows.select("path", "block", "rel", (F.col("start")).alias("at")).withColumn("part", F.floor(F.col("at") / SPAN))
+    late = materialize(_spanning(spark, path, spanning, at), "payloads")
+    out = kept.join(late, ["path", "start"], "left").withColumns({"payload_bytes": F.coalesce("size", "payload_bytes"), "payload_digest": F.coalesce("digest", "payload_digest")})
+    return out.select(*RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
