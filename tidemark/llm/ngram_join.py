@@ -10,9 +10,9 @@ decided by exact intersection of sorted arrays.
 
 Groups of copies: each node first meets only the leader of its tile and band (links in proportion to
 the rows). Nodes so joined form components, and afterwards only pairs of different components are
-looked at, so a group of any size never lists its pairs. Tiles of up to ``LIGHT_ROWS`` rows list
-their pairs, walking each node's larger partners up to the size bound, and pairs that share enough
-tiles go on. Larger tiles check the first 256 bits of each pair inside the tile, by bands and, beyond
+looked at, so a group of any size never lists its pairs. A tile walks each node's larger partners up
+to the size bound and checks the pair's bitmaps, folded to 512 bits, before it says the pair; pairs
+that share enough tiles go on. Tiles of more than ``LIGHT_ROWS`` rows are taken by bands and, beyond
 ``TILE_ROWS`` rows, by cells: one for each pair of the unit's blocks.
 """
 
@@ -31,7 +31,7 @@ from tidemark.llm.textkit import mix, shingle_hashes, string_slices, word_hashes
 
 SHINGLE_WORDS = 5
 BUCKETS = 1 << 16
-MINI_WORDS = 4
+MINI_WORDS = 8
 WIDEST_BITS = 1 << 14
 BAND_RATIO = 1.25
 LIGHT_ROWS = 32
@@ -77,7 +77,7 @@ def _shared(n: np.ndarray | int):
 
 
 def _bitmap(mixed: np.ndarray) -> np.ndarray:
-    """Bit k is the parity of the shingles that hash to k: at least 256 bits, else about one a shingle."""
+    """Bit k is the parity of the shingles that hash to k: at least 512 bits, else about one a shingle."""
     width = min(max(64 * MINI_WORDS, 1 << max(len(mixed) - 1, 0).bit_length()), WIDEST_BITS)
     flags = np.bincount((mixed & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(flags.astype(np.uint8), bitorder="little").view(np.int64)
@@ -227,36 +227,50 @@ def _pair_batch(node: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return got[:, :2], times, got[:, 2]
 
 
+def _apart(t: pa.Table):
+    """Node, size and the test of a pair: different components and bitmaps that allow a link."""
+    node, n, comp = (t.column(k).to_numpy() for k in ("node", "n", "comp"))
+    bits = t.column("mini").combine_chunks().flatten().to_numpy().reshape(-1, MINI_WORDS).view(np.uint64)
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = comp[i] != comp[j]
+        at = np.flatnonzero(ok)
+        i, j = i[at], j[at]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        ok[at] = _linkable(n[i], n[j], (n[i] + n[j] - differ) // 2)
+        return ok
+
+    return node, n, allowed
+
+
 def _light_pairs(batches) -> Iterator[pa.RecordBatch]:
     """(a, b, times, need) of pairs of different components in small tiles."""
     for t in _carried(batches, "s"):
-        s, node, n, comp = (t.column(k).to_numpy() for k in ("s", "node", "n", "comp"))
-        x, y = _walk(_numbered(s), n, lambda i, j: comp[i] != comp[j])
+        node, n, allowed = _apart(t)
+        x, y = _walk(_numbered(t.column("s").to_numpy()), n, allowed)
         got, times, need = _pair_batch(node, n, x, y)
         yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
 
 
 def _cell_pairs(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each cell of a large tile whose bitmaps allow a link.
+    """Pairs of different components in each cell of a large tile.
 
     ``times`` says all that is needed: such a pair goes on by itself. A pair shares many tiles, so a
     task says it once, with a bounded memory of what it said.
     """
     seen: set[tuple[int, int]] = set()
     for t in _carried(batches, "s", "unit", "cell"):
-        s, unit, cell, split, node, n, comp, band, block = (t.column(k).to_numpy() for k in ("s", "unit", "cell", "split", "node", "n", "comp", "band", "block"))
-        bits = t.column("mini").combine_chunks().flatten().to_numpy().reshape(-1, MINI_WORDS).view(np.uint64)
+        node, n, allowed = _apart(t)
+        s, unit, cell, split, band, block = (t.column(k).to_numpy() for k in ("s", "unit", "cell", "split", "band", "block"))
         alone = cell // split == cell % split
 
-        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            ok = (comp[i] != comp[j]) & ((band[i] == unit[i]) | (band[j] == unit[j])) & (alone[i] | (block[i] != block[j]))
+        def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = ((band[i] == unit[i]) | (band[j] == unit[j])) & (alone[i] | (block[i] != block[j]))
             at = np.flatnonzero(ok)
-            i, j = i[at], j[at]
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            ok[at] = _linkable(n[i], n[j], (n[i] + n[j] - differ) // 2)
+            ok[at] = allowed(i[at], j[at])
             return ok
 
-        x, y = _walk(_numbered(s, unit, cell), n, allowed)
+        x, y = _walk(_numbered(s, unit, cell), n, own)
         got, _, need = _pair_batch(node, n, x, y)
         new = np.array([p not in seen for p in map(tuple, got.tolist())], bool)
         got, need = got[new], need[new]
@@ -292,7 +306,8 @@ def _tiles(nodes: DataFrame, hot_from: int) -> DataFrame:
 def _candidates(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share as many tiles as a link asks for."""
     rows = tiles.select("s", "node", "n", "band", "tile").join(bounded_broadcast(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    light = rows.filter(F.col("tile") <= LIGHT_ROWS).select("s", "node", "n", "comp")
+    minis = nodes.select("node", "mini")
+    light = rows.filter(F.col("tile") <= LIGHT_ROWS).join(minis, "node").select("s", "node", "n", "comp", "mini")
     light = light.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(_light_pairs, "a long, b long, times long, need long")
 
     units = rows.filter(F.col("tile") > LIGHT_ROWS).withColumn("unit", F.explode(F.array("band", F.col("band") - 1)))
@@ -300,7 +315,7 @@ def _candidates(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFra
     sums = materialize(sums.filter("lo <> hi and least = unit").select("s", "unit", F.ceil(F.col("rows") / TILE_ROWS).alias("split")), "units")
     cells = units.join(bounded_broadcast(sums), ["s", "unit"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("split")))
     dealt = F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda j: F.least(j, F.col("block")) * F.col("split") + F.greatest(j, F.col("block")))
-    cells = cells.withColumn("cell", F.explode(dealt)).join(nodes.select("node", "mini"), "node")
+    cells = cells.withColumn("cell", F.explode(dealt)).join(minis, "node")
     cells = cells.select("s", "unit", "cell", "split", "node", "n", "comp", "band", "block", "mini")
     heavy = cells.repartition("s", "unit", "cell").sortWithinPartitions("s", "unit", "cell", "n", "node").mapInArrow(_cell_pairs, "a long, b long, times long, need long")
     return light.unionByName(heavy).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
