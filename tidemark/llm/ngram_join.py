@@ -2,8 +2,8 @@
 
 Texts become sets of 64-bit shingle hashes. Equal sets collapse to one node. A node's first shingles,
 in an order that puts common ones last, are its tile keys: ``n // 5`` and, for the number of shared
-keys that a link must show (``_shared``, 1 to 4 by size), as many more. Tiles are split by size
-bands, since sizes of linked sets differ by a quarter at most. Each node has a hashed bitmap in which
+keys that a link must show (``_shared``, 1 to 4 by size), as many more; large sets take more keys and
+then let the most common ones go, by exact count. Tiles are split by size bands, since sizes of linked sets differ by a quarter at most. Each node has a hashed bitmap in which
 every shingle flips one bit, as wide as its size band asks for: the bits in which two bitmaps differ
 bound the sets' difference from below, and so their overlap from above. Pairs that survive are
 decided by exact intersection of sorted arrays.
@@ -38,6 +38,7 @@ LIGHT_ROWS = 32
 TILE_ROWS = 2048
 HOT_TIMES = 16
 SEEN_PAIRS = 250_000
+LARGE = 512
 
 
 def _shingles(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,6 +77,17 @@ def _shared(n: np.ndarray | int):
     return 1 + np.minimum(3, n // 24)
 
 
+def _first_keys(n: int) -> int:
+    """First shingles that are keys: at most n // 5 find no partner in a linked set; large sets have a tenth of n more to choose from."""
+    return n // 5 + int(_shared(n)) + (n // 10 if n >= LARGE else 0)
+
+
+def _spare_keys(n: Column) -> Column:
+    """Keys that a large set may let go: a tenth of the smallest set linked with it, which is large enough to have them too."""
+    least = n - F.floor(n / 5)
+    return F.when(least >= LARGE, F.floor(least / 10)).otherwise(0)
+
+
 def _bitmap(mixed: np.ndarray) -> np.ndarray:
     """Bit k is the parity of the shingles that hash to k: at least 512 bits, else about one a shingle."""
     width = min(max(64 * MINI_WORDS, 1 << max(len(mixed) - 1, 0).bit_length()), WIDEST_BITS)
@@ -99,7 +111,7 @@ def signatures(docs: DataFrame, rank: np.ndarray, size: int = SHINGLE_WORDS) ->
                     one[i] = mixed.sum(dtype=np.uint64).astype(np.int64)
                     two[i] = mix(mixed ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
                     bits.append(_bitmap(mixed))
-                    keys.append(ids[: len(ids) // 5 + _shared(len(ids))].view(np.int64))
+                    keys.append(ids[: _first_keys(len(ids))].view(np.int64))
                 lists = []
                 for parts in (bits, keys):
                     ends = np.concatenate(([0], np.cumsum([len(k) for k in parts])))
@@ -243,22 +255,34 @@ def _apart(t: pa.Table):
     return node, n, allowed
 
 
+class _Said:
+    """What a task has said of each pair, with a bounded memory: once it said as many tiles as a link needs, more change nothing."""
+
+    def __init__(self):
+        self.times: dict[tuple[int, int], int] = {}
+
+    def rows(self, pairs: np.ndarray, times: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        known = np.array([self.times.get(p, 0) for p in map(tuple, pairs.tolist())], np.int64)
+        new = known < need
+        pairs, times, need, known = pairs[new], times[new], need[new], known[new]
+        if len(self.times) > SEEN_PAIRS:
+            self.times.clear()
+        self.times.update(zip(map(tuple, pairs.tolist()), (known + times).tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
+
+
 def _light_pairs(batches) -> Iterator[pa.RecordBatch]:
     """(a, b, times, need) of pairs of different components in small tiles."""
+    said = _Said()
     for t in _carried(batches, "s"):
         node, n, allowed = _apart(t)
         x, y = _walk(_numbered(t.column("s").to_numpy()), n, allowed)
-        got, times, need = _pair_batch(node, n, x, y)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
+        yield said.rows(*_pair_batch(node, n, x, y))
 
 
 def _cell_pairs(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each cell of a large tile.
-
-    ``times`` says all that is needed: such a pair goes on by itself. A pair shares many tiles, so a
-    task says it once, with a bounded memory of what it said.
-    """
-    seen: set[tuple[int, int]] = set()
+    """Pairs of different components in each cell of a large tile. ``times`` says all that is needed: such a pair goes on by itself."""
+    said = _Said()
     for t in _carried(batches, "s", "unit", "cell"):
         node, n, allowed = _apart(t)
         s, unit, cell, split, band, block = (t.column(k).to_numpy() for k in ("s", "unit", "cell", "split", "band", "block"))
@@ -272,12 +296,7 @@ def _cell_pairs(batches) -> Iterator[pa.RecordBatch]:
 
         x, y = _walk(_numbered(s, unit, cell), n, own)
         got, _, need = _pair_batch(node, n, x, y)
-        new = np.array([p not in seen for p in map(tuple, got.tolist())], bool)
-        got, need = got[new], need[new]
-        if len(seen) > SEEN_PAIRS:
-            seen.clear()
-        seen.update(map(tuple, got.tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(need), pa.array(need)], ["a", "b", "times", "need"])
+        yield said.rows(got, need, need)
 
 
 def _band(n: str) -> Column:
@@ -285,22 +304,30 @@ def _band(n: str) -> Column:
 
 
 def _tiles(nodes: DataFrame, hot_from: int) -> DataFrame:
-    """(s, node, n, band, tile, head, head_n) of every row of a tile with two rows or more.
+    """(s, node, n, band) of every key that two nodes have.
 
-    head is the smallest node of the row's tile and band. The keys of hot buckets, those from
-    ``hot_from`` on, are summed up before they move; all others are sent to the task of their key at once.
+    Keys are counted over all nodes, and a large node lets its most common ones go (``_spare_keys``):
+    long texts share common phrases with all others. Keys of hot buckets, those from ``hot_from`` on, are
+    summed up before they move; all others are sent to the task of their key at once.
     """
-    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("s")).withColumn("band", _band("n"))
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.size("keys").alias("all"), F.explode("keys").alias("s"))
     hot = F.shiftright("s", 47) >= hot_from
-    head = F.min(F.struct("node", "n"))
-    whole, banded = Window.partitionBy("s"), Window.partitionBy("s", "band")
-    cold = rows.filter(~hot).withColumn("tile", F.count("*").over(whole)).filter("tile > 1").withColumn("head", head.over(banded))
+    cold = rows.filter(~hot).withColumn("tile", F.count("*").over(Window.partitionBy("s"))).filter("tile > 1")
     warm = rows.filter(hot)
-    by_band = warm.groupBy("s", "band").agg(F.count("*").alias("c"), head.alias("head"))
+    both = cold.unionByName(warm.join(warm.groupBy("s").agg(F.count("*").alias("tile")).filter("tile > 1"), "s"))
+    kept, large = ("s", "node", "n"), _spare_keys(F.col("n")) > 0
+    own = Window.partitionBy("node")
+    ranked = both.filter(large).withColumn("place", F.row_number().over(own.orderBy("tile", "s"))).withColumn("others", F.count("*").over(own))
+    rare = ranked.filter(F.col("place") - F.col("others") <= -_spare_keys(F.col("n"))).select(*kept)
+    return both.filter(~large).select(*kept).unionByName(rare).withColumn("band", _band("n"))
+
+
+def _headed(tiles: DataFrame) -> DataFrame:
+    """``tiles`` of two rows or more with tile (rows) and head, head_n: the smallest node of the row's tile and band."""
+    by_band = tiles.groupBy("s", "band").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head"))
     sums = by_band.groupBy("s").agg(F.sum("c").alias("tile"), F.collect_list(F.struct("band", "head")).alias("heads")).filter("tile > 1")
-    sums = sums.select("s", "tile", F.explode("heads").alias("h")).select("s", "tile", "h.*")
-    both = cold.unionByName(warm.join(sums, ["s", "band"]))
-    return both.select("s", "node", "n", "band", "tile", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    sums = sums.select("s", "tile", F.explode("heads").alias("h")).select("s", "tile", "h.band", F.col("h.head.node").alias("head"), F.col("h.head.n").alias("head_n"))
+    return tiles.join(sums, ["s", "band"])
 
 
 def _candidates(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -342,8 +369,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     own = sig.join(bounded_broadcast(reps.select(F.col("node").alias("doc_id"), "n", "h1", "h2")), ["doc_id", "n", "h1", "h2"]).withColumnRenamed("doc_id", "node")
     fold = F.array(*[F.aggregate(F.sequence(F.lit(k), F.size("bits") - 1, F.lit(MINI_WORDS)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get("bits", i))) for k in range(MINI_WORDS)])
     nodes = materialize(own.select("node", "n", "bits", fold.alias("mini")).dropDuplicates(["node"]), "bitmaps")
-    tiles = materialize(_tiles(own.select("node", "n", "keys"), BUCKETS - hot), "tiles")
-    discard(sig)
+    rare = materialize(_tiles(own.select("node", "n", "keys"), BUCKETS - hot), "keys")
+    tiles = materialize(_headed(rare), "tiles")
+    discard(sig, rare)
 
     enough = 1 + F.least(F.lit(3), F.floor(F.least("n", "head_n") / 24))
     star = tiles.filter(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b"), enough.alias("need")).agg(F.count("*").alias("times"))
