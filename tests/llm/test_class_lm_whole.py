@@ -1,12 +1,107 @@
+import collections
+import math
+import re
+import string
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import class_lm
+from tidemark.llm.textkit import word_hashes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def hashed(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
+
+
+def tokens(text):
+    return [*map(hashed, WORD.findall((text or "").translate(LOWER))), int(class_lm.END.view(np.int64))]
+
+
+def brute(docs, classes, held):
+    """log10 of each text's probability from the classes of the words, pair by pair."""
+    of, n = {r.h: r["class"] for r in classes}, {r.h: r.n for r in classes}
+    mass, types, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+    for h, c in of.items():
+        mass[c] += n[h]
+        types[c] += 1
+    total = sum(mass.values())
+    known = lambda t: [of.get(h, class_lm.OPEN) for h in t]
+    for i, text in docs.items():
+        if not held[i]:
+            cls = [class_lm.END_CLASS, *known(tokens(text))]
+            pairs.update(zip(cls, cls[1:]))
+    closed = [c for c in range(class_lm.ALL) if c != class_lm.OPEN]
+    column = {c: 0.1 + sum(pairs[a, c] for a in range(class_lm.ALL)) for c in closed}
+    row = {a: sum(pairs[a, c] for c in closed) for a in range(class_lm.ALL)}
+    unknown = min(max((sum(k == 1 for k in n.values()) + 0.5) / (total + 1), 1e-9), 0.5)
+
+    def step(a, c):
+        if c == class_lm.OPEN:
+            return unknown
+        return (1 - unknown) * (pairs[a, c] + 10 * column[c] / sum(column.values())) / (row[a] + 10)
+
+    for a in range(class_lm.ALL):
+        assert sum(step(a, c) for c in range(class_lm.ALL)) == pytest.approx(1)
+    for c in types:
+        assert sum((n[h] + 0.5) / (mass[c] + 0.5 * types[c]) for h in of if of[h] == c) == pytest.approx(1)
+    out = {}
+    for i, text in docs.items():
+        t = tokens(text)
+        cls = [class_lm.END_CLASS, *known(t)]
+        out[i] = sum(math.log10(step(a, c)) for a, c in zip(cls, cls[1:])) + sum(math.log10((n[h] + 0.5) / (mass[of[h]] + 0.5 * types[of[h]])) for h in t if h in of)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    return spark.createDataFrame([*((r.doc_id, r.text) for r in rows), (-1, None), (-2, ""), (None, "no id")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("head, anchors", [(1 << 17, 1 << 13), (40, 300), (0, 0)])
+def test_scores_by_brute_force(spark, docs, monkeypatch, head, anchors):
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    monkeypatch.setattr(class_lm, "ANCHORS", anchors)
+    train = docs.filter(~class_lm._held_out())
+    classes = class_lm.cluster(train).collect()
+    words = {h for r in train.collect() for h in tokens(r.text)}
+    assert {r.h for r in classes} == words and len(classes) == len(words)  # each word, however rare
+    assert all(r["class"] < class_lm.CLASSES or r.h == int(class_lm.END.view(np.int64)) for r in classes)
+    got = {r.doc_id: r for r in class_lm.score_texts(docs).collect()}
+    want = brute({r.doc_id: r.text for r in docs.collect()}, classes, {k: r.held_out for k, r in got.items()})
+    for k, r in got.items():
+        assert r.score == pytest.approx(want[k], rel=1e-9)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+
+
+def test_held_out_texts_are_likelier_than_by_single_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = class_lm.score_texts(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
+
+
+def test_words_of_one_kind_share_a_class(spark):
+    rng = np.random.default_rng(1)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abc"]
+    rows = [(i, " ".join(kinds[j % 3][rng.integers(12)] for j in range(60))) for i in range(80)]
+    got = class_lm.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {r.h: r["class"] for r in got}
+    sets = [{of[hashed(w)] for w in kind} for kind in kinds]
+    assert all(not sets[i] & sets[j] for i in range(3) for j in range(i))
 
 
-def test_clustered_words_do_not_depend_on_the_head(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    want = {r.doc_id: (r.n_known, r.score, r.perplexity) for r in class_lm.score_texts(docs).collect()}
-    monkeypatch.setattr(class_lm, "HEAD", 40)
-    got = {r.doc_id: (r.n_known, r.score, r.perplexity) for r in class_lm.score_texts(docs).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+def test_exchange_takes_a_word_out_of_its_class_first():
+    pairs = np.zeros((class_lm.ALL, class_lm.ALL), np.int64)
+    sides = np.zeros((2, 1, class_lm.ALL), np.int64)
+    pairs[class_lm.END_CLASS, 0], pairs[0, class_lm.END_CLASS] = 4, 4
+    pairs[class_lm.END_CLASS, 1], pairs[1, class_lm.END_CLASS] = 1, 1
+    sides[:, 0, class_lm.END_CLASS] = 1
+    moved = class_lm.exchange(pairs, sides, np.array([1]), np.array([1]), np.array([True]))
+    kept = class_lm.exchange(pairs, sides, np.array([1]), np.array([1]), np.array([False]))
+    assert kept.tolist() == [1] and moved[0] in (0, 1, 2) and (pairs >= 0).all()

@@ -1,108 +1,114 @@
 """A class-based n-gram language model: word classes by exchange clustering.
 
-Counts cover every training text. Words are 64-bit hashes. The ``CLUSTERED`` most frequent words are
-dealt to ``CLASSES`` classes by exchange: each sweep counts, over all training texts, the classes
-beside each of these words and moves words to the class that raises the likelihood of class pairs
-most. Every other word belongs to one of 16 classes by its last byte. A token's probability is
-class transition times word emission, both smoothed.
-
-Word counts grow with the corpus: they are joined by shuffle. Only the head, at most ``HEAD`` most
-frequent words, is sent to all tasks, so that just the rest takes part in that join.
+Counts cover every training text and every training word has a class of its own by exchange. Words
+are 64-bit hashes. The ``ANCHORS`` most frequent words settle first: each sweep counts, over all
+training texts, the classes beside each of them, and moves half of them, each to the class that
+raises the likelihood of class pairs most; the next sweep counts anew. Then every other word, however
+rare, is put where its own neighbours' classes gain most, given the anchors' classes; these counts
+are as many as the words, so they are dealt by word. A token's probability is class transition times
+word emission, both smoothed; a word that no training text has is one unknown type with a class of
+its own.
+
+The table of words grows with the corpus and is joined by shuffle. Only its head, at most ``HEAD``
+most frequent words, is sent to all tasks, which spares those words the join and changes no figure.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import discard, materialize
 from tidemark.llm.textkit import string_slices, word_hashes, word_spans
 
 HEAD = 1 << 17
-CLUSTERED = 1 << 13
-CLASSES = 48
-TAILS = 16
-SWEEPS = 2
+ANCHORS = 1 << 13
+CLASSES = 62
+OPEN, END_CLASS, ALL = CLASSES, CLASSES + 1, CLASSES + 2
+SWEEPS = 3
 END = np.uint64(0x243F6A8885A308D3)
-_ALL = CLASSES + TAILS + 1
-_END_CLASS = _ALL - 1
-WORD_ADD, CLASS_ADD = 0.5, 0.1
+WORD_ADD, CLASS_ADD, PRIOR = 0.5, 0.1, 10
 
 
 def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
 
 
-def _tokens(column: pa.Array):
-    """(first row, end row, hashes of all tokens with END after each text, tail classes, text of each token)."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes of all tokens with END after each text, text of each token)."""
     for row, end, data, offsets in string_slices(column):
         starts, ends, first = word_spans(data, offsets)
         n = end - row
         texts = np.repeat(np.arange(n), np.diff(first))
         hashes = np.full(len(starts) + n, END, np.uint64)
-        tails = np.full(len(starts) + n, _END_CLASS, np.int64)
-        at = np.arange(len(starts)) + texts
-        hashes[at] = word_hashes(data, starts, ends)
-        tails[at] = CLASSES + (data[ends - 1] & (TAILS - 1))
         where = np.full(len(hashes), -1, np.int64)
-        where[at] = texts
+        at = np.arange(len(starts)) + texts
+        hashes[at], where[at] = word_hashes(data, starts, ends), texts
         where[where < 0] = np.arange(n)
-        yield row, end, hashes, tails, where
+        yield row, end, hashes, where
+
+
+def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash is among the sorted words, or -1."""
+    if not len(words):
+        return np.full(len(hashes), -1)
+    at = np.searchsorted(words, hashes)
+    at[at == len(words)] = 0
+    return np.where(words[at] == hashes, at, -1)
 
 
 class WordClasses:
-    """Sorted hashes of the clustered words and their classes; all else by tail class."""
+    """Sorted hashes of some words and their classes; END has its own class and all else is open."""
 
     def __init__(self, words: np.ndarray, classes: np.ndarray):
         self.words, self.classes = words, classes
 
-    def of(self, hashes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes, and the clustered word's index or -1."""
-        if not len(self.words):
-            return tails, np.full(len(hashes), -1)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        known = self.words[at] == hashes
-        return np.where(known, self.classes[at], tails), np.where(known, at, -1)
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes, and each word's place or -1."""
+        at = _places(self.words, hashes)
+        classes = np.where(at >= 0, self.classes[at] if len(self.words) else OPEN, OPEN)
+        return np.where(hashes == END, END_CLASS, classes), at
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(h, tail, n) of every distinct token of the training texts, END included."""
+    """(h, n) of every distinct token of the training texts, END included."""
 
     def count(batches):
         for batch in batches:
-            got = [(h, t) for _, _, h, t, _ in _tokens(batch.column(0))]
-            hashes, tails = np.concatenate([h for h, _ in got] or [np.zeros(0, np.uint64)]), np.concatenate([t for _, t in got] or [np.zeros(0, np.int64)])
-            words, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(tails[first].astype(np.int32)), pa.array(n)], ["h", "tail", "n"])
+            hashes = np.concatenate([h for _, _, h, _ in _tokens(batch.column(0))] or [np.zeros(0, np.uint64)])
+            words, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    rows = train.select("text").mapInArrow(count, "h long, tail int, n long")
-    return rows.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def neighbour_counts(train: DataFrame, words: WordClasses, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Class pairs (left, right), and for each clustered word the classes to its left and right.
+def _pair_counts(classes: np.ndarray) -> np.ndarray:
+    """Counts of class pairs in a run of texts, each ended by END."""
+    left = np.concatenate(([END_CLASS], classes[:-1]))
+    return np.bincount(left * ALL + classes, minlength=ALL * ALL)
+
+
+def neighbour_counts(train: DataFrame, words: WordClasses) -> tuple[np.ndarray, np.ndarray]:
+    """Class pairs (left, right), and for each of ``words`` the classes to its left and right.
 
     Both tables have a fixed size; tasks add up their own before anything moves.
     """
     size = len(words.words)
 
     def count(batches):
-        pairs = np.zeros(_ALL * _ALL, np.int64)
-        sides = np.zeros(2 * size * _ALL if by_word else 0, np.int64)
+        pairs, sides = np.zeros(ALL * ALL, np.int64), np.zeros(2 * size * ALL, np.int64)
         for batch in batches:
-            for _, _, hashes, tails, _ in _tokens(batch.column(0)):
-                cls, index = words.of(hashes, tails)
-                left = np.concatenate(([_END_CLASS], cls[:-1]))
-                pairs += np.bincount(left * _ALL + cls, minlength=_ALL * _ALL)
-                if by_word and size:
-                    some = index >= 0
-                    sides[: size * _ALL] += np.bincount(index[some] * _ALL + left[some], minlength=size * _ALL)
-                    some[-1] = False
-                    sides[size * _ALL :] += np.bincount(index[some] * _ALL + cls[np.flatnonzero(some) + 1], minlength=size * _ALL)
+            for _, _, hashes, _ in _tokens(batch.column(0)):
+                cls, index = words.of(hashes)
+                pairs += _pair_counts(cls)
+                some = np.flatnonzero(index >= 0)  # never the last token, which is an END
+                left = np.where(some > 0, cls[some - 1], END_CLASS)
+                sides[: size * ALL] += np.bincount(index[some] * ALL + left, minlength=size * ALL)
+                sides[size * ALL :] += np.bincount(index[some] * ALL + cls[some + 1], minlength=size * ALL)
         for kind, table in ((0, pairs), (1, sides)):
             some = np.flatnonzero(table)
             for k in range(0, len(some), 100_000):
@@ -111,152 +117,275 @@ def neighbour_counts(train: DataFrame, words: WordClasses, by_word: bool) -> tup
 
     rows = train.select("text").mapInArrow(count, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
     kinds, cells, sums = (rows.column(k).to_numpy() for k in ("kind", "cell", "n"))
-    tables = np.zeros(_ALL * _ALL, np.int64), np.zeros(2 * size * _ALL, np.int64)
+    tables = np.zeros(ALL * ALL, np.int64), np.zeros(2 * size * ALL, np.int64)
     for kind, table in enumerate(tables):
         table[cells[kinds == kind]] = sums[kinds == kind]
-    return tables[0].reshape(_ALL, _ALL), tables[1].reshape(2, size, _ALL)
+    return tables[0].reshape(ALL, ALL), tables[1].reshape(2, size, ALL)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Move each word, most frequent first, to the class of the largest gain in class-pair likelihood."""
-    table, classes, k = pairs.astype(np.float64), classes.copy(), CLASSES
-    total = table.sum(0)
-    for w in np.argsort(-counts, kind="stable"):
-        left, right, n = sides[0, w].astype(np.float64), sides[1, w].astype(np.float64), float(counts[w])
-        was = classes[w]
-        table[:, was] -= left
-        table[was, :] -= right
-        total[was] -= n
-        np.maximum(table, 0, out=table)
+def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """The classes after each of the ``moving`` words went to its best one, all judged by the same counts.
+
+    A word is taken out of its class before it is judged; ties go to the first class.
+    """
+    table, total, out = pairs.astype(np.float64), pairs.sum(0).astype(np.float64), classes.copy()
+    for w in np.flatnonzero(moving):
+        left, right, n, was = sides[0, w].astype(np.float64), sides[1, w].astype(np.float64), float(counts[w]), classes[w]
         i, j = np.flatnonzero(left), np.flatnonzero(right)
-        into, out = table[i, :k], table[:k, j]
-        gain = (_xlogx(into + left[i, None]) - _xlogx(into)).sum(0) + (_xlogx(out + right[None, j]) - _xlogx(out)).sum(1)
-        gain -= 2 * (_xlogx(total[:k] + n) - _xlogx(total[:k]))
-        best = int(np.argmax(gain))
-        table[:, best] += left
-        table[best, :] += right
-        total[best] += n
-        classes[w] = best
-    return classes
+        into, onto, size = table[i, :CLASSES].copy(), table[:CLASSES, j].copy(), total[:CLASSES].copy()
+        into[:, was] -= left[i]
+        onto[was] -= right[j]
+        size[was] -= n
+        into, onto, size = np.maximum(into, 0), np.maximum(onto, 0), np.maximum(size, 0)  # a word beside itself is in both
+        gain = (_xlogx(into + left[i, None]) - _xlogx(into)).sum(0) + (_xlogx(onto + right[None, j]) - _xlogx(onto)).sum(1)
+        out[w] = int(np.argmax(gain - 2 * (_xlogx(size + n) - _xlogx(size))))
+    return out
+
+
+def _best_classes(words: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, classes, counts) of words given by sorted rows (word, left class, right class, times): ``exchange`` of open words."""
+    distinct, begin = np.unique(words, return_index=True)
+    number = np.repeat(np.arange(len(distinct)), np.diff(np.append(begin, len(words))))
+    counts = np.add.reduceat(n, begin).astype(np.float64)
+    total, gain = table.sum(0), np.zeros((len(distinct), CLASSES))
+    for side, known in ((left, table[:, :CLASSES]), (right, table[:CLASSES].T)):
+        cells, where = np.unique(number * ALL + side, return_inverse=True)
+        times = np.bincount(where, n).astype(np.float64)
+        was = known[cells % ALL]
+        np.add.at(gain, cells // ALL, _xlogx(was + times[:, None]) - _xlogx(was))
+    gain -= 2 * (_xlogx(total[None, :CLASSES] + counts[:, None]) - _xlogx(total[None, :CLASSES]))
+    return distinct, gain.argmax(1), counts.astype(np.int64)
+
+
+def open_words(train: DataFrame, anchors: WordClasses, pairs: np.ndarray) -> DataFrame:
+    """(h, class, n) of every training word that is no anchor."""
+    table = pairs.astype(np.float64)
+
+    def beside(batches):
+        for batch in batches:
+            for _, _, hashes, _ in _tokens(batch.column(0)):
+                cls, _ = anchors.of(hashes)
+                some = np.flatnonzero(cls == OPEN)
+                sides = np.where(some > 0, cls[some - 1], END_CLASS) * ALL + cls[np.minimum(some + 1, len(cls) - 1)]
+                order = np.lexsort((sides, hashes[some]))
+                h, sides = hashes[some][order], sides[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (sides[1:] != sides[:-1])
+                first = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(sides[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(h))).astype(np.int32))], ["h", "sides", "n"])
+
+    def decide(batches):
+        def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            h, sides, n = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
+            words, classes, counts = _best_classes(h, sides // ALL, sides % ALL, n, table)
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(classes.astype(np.int32)), pa.array(counts)], ["h", "class", "n"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            if last or (held and held[-1].column(0)[-1].as_py() != h[0]):
+                yield answer([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield answer(held)
+
+    rows = train.select("text").mapInArrow(beside, "h long, sides int, n int")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(decide, "h long, class int, n long")
+
+
+def _bands(vocabulary: DataFrame) -> list:
+    """(band, words, tokens) by frequency band, most frequent first: a few hundred rows."""
+    return vocabulary.groupBy("band").agg(F.count("*").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("band")).collect()
 
 
 def _most_frequent(vocabulary: DataFrame, bands: list) -> pa.Table:
-    """The ``CLUSTERED`` most frequent words (END is none), ties by unsigned hash; only bands that can hold them are sorted."""
+    """The ``ANCHORS`` most frequent words (END is none), ties by unsigned hash; only bands that can hold them are sorted."""
     least, size = None, 0
     for r in bands:
-        if size > CLUSTERED:
+        if size > ANCHORS:
             break
         least, size = r["band"], size + r["v"]
     rows = vocabulary.filter((F.col("band") >= F.lit(least)) & (F.col("h") != F.lit(int(END.view(np.int64)))))
-    return rows.orderBy(F.desc("n"), F.col("h") < 0, "h").limit(CLUSTERED).select("h", "tail", "n").toArrow()
+    return rows.orderBy(F.desc("n"), F.col("h") < 0, "h").limit(ANCHORS).select("h", "n").toArrow()
+
+
+def cluster(train: DataFrame) -> DataFrame:
+    """(h, class, n, band) of every distinct token of the training texts, END included."""
+    band = F.floor(F.log2("n") * 32).cast("int")
+    vocabulary = materialize(word_counts(train).withColumn("band", band), "vocabulary")
+    top = _most_frequent(vocabulary, _bands(vocabulary))
+    words, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    rank = np.lexsort((words, -counts))
+    order = np.argsort(words[rank])  # sorted by hash; the value is the rank by frequency
+    model = WordClasses(words[rank][order], order % CLASSES)
+    counts = counts[rank][order]
+    for sweep in range(SWEEPS):
+        pairs, sides = neighbour_counts(train, model)
+        model = WordClasses(model.words, exchange(pairs, sides, model.classes, counts, order // CLASSES % 2 == sweep % 2))
+    pairs, _ = neighbour_counts(train, model)
+    spark = train.sparkSession
+    fixed = pa.table({"h": np.append(model.words, END).view(np.int64), "class": np.append(model.classes, END_CLASS).astype(np.int32)})
+    known = vocabulary.join(F.broadcast(spark.createDataFrame(fixed)), "h").select("h", "class", "n")  # at most ANCHORS + 1 rows
+    classes = materialize(known.unionByName(open_words(train, model, pairs)).withColumn("band", band), "classes")
+    discard(vocabulary)
+    return classes
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+class Emissions:
+    """log10 of a word's probability in its class and in the unigram base, from sums over all training words."""
 
-    Training texts are those whose crc32(doc_id as text) mod 5 is not 1; a null doc_id counts as
-    training. Null texts are empty: one token, the end. Repeated rows are rows of their own; other
-    columns are ignored; without training texts every count is 0.
+    def __init__(self, classes: DataFrame):
+        sums = classes.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a class
+        self.mass, types = np.zeros(ALL), np.zeros(ALL)
+        for r in sums:
+            self.mass[r["class"]], types[r["class"]] = r["n"], r["v"]
+        self.tokens, self.types = int(self.mass.sum()), int(types.sum())
+        self.once = classes.filter("n = 1").count()
+        self.scale = self.mass + WORD_ADD * types
+        self.floor = self.tokens + WORD_ADD * (self.types + 1)
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + WORD_ADD) / self.floor)
+
+    def word(self, n: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Of known words; an unknown one is all there is of its class."""
+        return np.where(n > 0, np.log10((n + WORD_ADD) / np.maximum(self.scale[classes], WORD_ADD)), 0.0)
+
+    def transitions(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 of the class after each class; rows sum to 1. Unknown words take the share of words seen once."""
+        closed = np.arange(ALL) != OPEN
+        unknown = min(max((self.once + WORD_ADD) / (self.tokens + 1), 1e-9), 0.5)
+        pairs = np.where(closed[None, :], pairs, 0).astype(np.float64)
+        share = np.where(closed, pairs.sum(0) + CLASS_ADD, 0)
+        share /= share.sum()
+        out = (pairs + PRIOR * share[None, :]) / (pairs.sum(1, keepdims=True) + PRIOR) * (1 - unknown)
+        out[:, OPEN] = unknown
+        return np.log10(out)
+
+
+def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values))
+
+
+def _resolved(docs: DataFrame, classes: DataFrame, emissions: Emissions) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, emission and the class of each token (a byte each) of every row of ``docs``.
+
+    Words of the head are found in each task. The others of a text are joined with their rows of
+    ``classes``, a row for each distinct one, and come back to their text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = docs.filter(~_held_out())
-    vocabulary = materialize(word_counts(train).withColumn("band", F.floor(F.log2("n") * 32).cast("int")), "vocabulary")
-    bands = vocabulary.groupBy("band").agg(F.count("*").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("band")).collect()
-    total, distinct = sum(r["n"] for r in bands), sum(r["v"] for r in bands)
-    least, size = (bands[0]["band"] + 1 if bands else 0), 0
-    for r in bands:
+    least, size = None, 0
+    for r in _bands(classes):
         if (size := size + r["v"]) > HEAD:
             break
         least = r["band"]
-    head = vocabulary.filter(F.col("band") >= least).select("h", "tail", "n").toArrow()
-    words, counts = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    top = _most_frequent(vocabulary, bands)
-    clustered, clustered_n, clustered_tail = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("tail").to_numpy().astype(np.int64)
-    order = np.lexsort((clustered, -clustered_n))
-    clustered, clustered_n, clustered_tail, rank = clustered[order], clustered_n[order], clustered_tail[order], np.arange(len(order))
-    by_hash = np.argsort(clustered)
-    clustered, clustered_n, clustered_tail = clustered[by_hash], clustered_n[by_hash], clustered_tail[by_hash]
-    model = WordClasses(clustered, (rank % CLASSES)[by_hash].astype(np.int64))
-    for _ in range(SWEEPS):
-        pairs, sides = neighbour_counts(train, model, True)
-        model = WordClasses(clustered, exchange(pairs, sides, model.classes, clustered_n))
-    pairs, _ = neighbour_counts(train, model, False)
-
-    share = (pairs.sum(0) + CLASS_ADD) / (pairs.sum() + CLASS_ADD * _ALL)
-    transition = np.log10((pairs + 10 * share[None, :]) / (pairs.sum(1, keepdims=True) + 10))
-    tails = {r["tail"]: (r["n"], r["v"]) for r in vocabulary.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    mass, types = np.zeros(_ALL), np.zeros(_ALL)
-    for t, (n, v) in tails.items():
-        mass[t], types[t] = n, v
-    at = np.searchsorted(clustered, words)
-    at[at >= len(clustered)] = 0
-    is_clustered = clustered[at] == words if len(clustered) else np.zeros(len(words), bool)
-    head_tail = head.column("tail").to_numpy().astype(np.int64)
-    head_class = np.where(is_clustered, model.classes[at] if len(clustered) else head_tail, head_tail)
-    np.subtract.at(mass, clustered_tail, clustered_n)
-    np.subtract.at(types, clustered_tail, 1)
-    np.add.at(mass, model.classes, clustered_n)
-    np.add.at(types, model.classes, 1)
-    scale = mass + WORD_ADD * (types + 1)
-    floor = total + WORD_ADD * (distinct + 1)
-    sort = np.argsort(words)
-    words, counts, head_class = words[sort], counts[sort], head_class[sort]
-    base_log = np.log10((counts + WORD_ADD) / floor)
-    word_log = np.log10((counts + WORD_ADD) / scale[head_class])
-
-    def score(batches):
-        rng = np.random.default_rng()
-        names = ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "words", "tails", "times"]
+    in_head = F.col("h") == F.lit(int(END.view(np.int64)))  # every text has an END: it is never joined
+    if least is not None:
+        in_head |= F.col("band") >= least
+    head = classes.filter(in_head).select("h", "class", "n").toArrow()
+    order = np.argsort(head.column("h").to_numpy().view(np.uint64))
+    words, own, counts = (head.column(k).to_numpy()[order] for k in ("h", "class", "n"))
+    words = words.view(np.uint64)
+    base_log, word_log = emissions.base(counts), emissions.word(counts, own)
+
+    def begin(batches):
         for batch in batches:
-            for row, end, hashes, tail, where in _tokens(batch.column(1)):
+            for row, end, hashes, where in _tokens(batch.column(2)):
                 n = end - row
-                cls, _ = model.of(hashes, tail)
-                left = np.concatenate(([_END_CLASS], cls[:-1]))
-                if len(words):
-                    found = np.searchsorted(words, hashes)
-                    found[found == len(words)] = 0
-                    known = words[found] == hashes
-                else:
-                    found, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-                base = np.bincount(where[known], base_log[found[known]], n)
-                own = np.bincount(where, transition[left, cls], n) + np.bincount(where[known], word_log[found[known]], n)
+                at = _places(words, hashes)
+                known = at >= 0
+                cls = np.where(known, own[at] if len(words) else OPEN, OPEN).astype(np.uint8)
+                begins = np.searchsorted(where, np.arange(n + 1))
                 rest = np.flatnonzero(~known)
-                key = np.lexsort((hashes[rest], where[rest]))
-                rest = rest[key]
+                rest = rest[np.lexsort((hashes[rest], where[rest]))]  # by text, then word, then place
                 new = np.ones(len(rest), bool)
                 new[1:] = (hashes[rest[1:]] != hashes[rest[:-1]]) | (where[rest[1:]] != where[rest[:-1]])
                 first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rest)))
-                rest = rest[first]
-                cut = pa.array(np.searchsorted(where[rest], np.arange(n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (hashes[rest].view(np.int64), cls[rest].astype(np.int32), times.astype(np.int32))]
-                columns = [batch.column(0).slice(row, n), rng.integers(0, 1 << 62, n), np.bincount(where, minlength=n), np.bincount(where[known], minlength=n), base, own]
-                yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:]), *lists], names)
-
-    fields = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, words array<long>, tails array<int>, times array<int>"
-    scored = materialize(docs.mapInArrow(score, fields), "scores")
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "tails", "times")).alias("w")).select("row", F.col("w.words").alias("h"), F.col("w.tails").alias("t"), F.col("w.times").alias("k"))
-    counted = vocabulary.filter(F.col("band") < least).select("h", "n")
-    n = F.coalesce("n", F.lit(0))
-    scales = F.element_at(F.array(*[F.lit(float(x)) for x in scale]), F.col("t") + 1)
-    rest = rest.join(counted, "h", "left").groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * F.log10((n + WORD_ADD) / F.lit(float(floor)))).alias("more_base"),
-        F.sum(F.col("k") * F.log10((n + WORD_ADD) / scales)).alias("more_score"),
-    )
-    out = scored.drop("words", "tails", "times").join(rest, "row", "left")
-    whole = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        _held_out().alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        whole.alias("score"),
-        F.pow(F.lit(10.0), -whole / F.col("n_tokens")).alias("perplexity"),
-    )
+                places = _lists((rest - begins[where[rest]]).astype(np.int32), np.append(first, len(rest)))
+                cut = np.searchsorted(where[rest[first]], np.arange(n + 1))
+                lists = [_lists(hashes[rest[first]].view(np.int64), cut), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), places)]
+                sums = [np.bincount(where, minlength=n), np.bincount(where[known], minlength=n), np.bincount(where[known], base_log[at[known]] if len(words) else None, n).astype(np.float64), np.bincount(where[known], word_log[at[known]] if len(words) else None, n).astype(np.float64)]
+                text = cls.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), *map(pa.array, sums), pa.array([text[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary()), *lists],
+                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "emission", "classes", "words", "places"],
+                )
+
+    fields = "row long, doc_id long, n_tokens long, n_known long, base_score double, emission double, classes binary"
+    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    begun = materialize(marked.mapInArrow(begin, fields + ", words array<long>, places array<array<int>>"), "begun")
+    rest = begun.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("h"), F.col("w.places").alias("at"))
+    found = rest.join(classes.filter(~in_head).select("h", "class", "n"), "h").groupBy("row").agg(F.collect_list(F.struct("class", "n", "at")).alias("found"))
+
+    def finish(batches):
+        for batch in batches:
+            known, base, word = (batch.column(k).to_numpy().copy() for k in ("n_known", "base_score", "emission"))
+            tokens, texts, all_found = batch.column("n_tokens").to_numpy(), batch.column("classes").to_pylist(), batch.column("found")
+            for i in range(batch.num_rows):
+                cls, times, here = np.frombuffer(texts[i], np.uint8).copy(), 0, all_found[i].values
+                if here is not None and len(here):
+                    of, n = here.field("class").to_numpy(), here.field("n").to_numpy()
+                    at = here.field("at")
+                    k = np.diff(at.offsets.to_numpy())
+                    cls[at.flatten().to_numpy()] = np.repeat(of, k)
+                    times = int(k.sum())
+                    base[i] += (k * emissions.base(n)).sum()
+                    word[i] += (k * emissions.word(n, of)).sum()
+                known[i] += times
+                base[i] += (tokens[i] - known[i]) * emissions.base(np.zeros(1))[0]
+                texts[i] = cls.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(word), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "n_known", "base_score", "emission", "classes"])
+
+    both = begun.drop("words", "places").join(found, "row", "left")
+    done = materialize(both.mapInArrow(finish, fields.removeprefix("row long, ")), "resolved")
+    discard(begun)
+    return done.withColumn("held_out", _held_out())
+
+
+def _count_pairs(done: DataFrame) -> np.ndarray:
+    """Class pairs of all training texts, every word in its own class."""
+
+    def count(batches):
+        total = np.zeros(ALL * ALL, np.int64)
+        for batch in batches:
+            total += _pair_counts(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)) if batch.num_rows else 0
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    rows = done.filter(~F.col("held_out")).select("classes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ALL * ALL, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(ALL, ALL)
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Training texts are those whose crc32(doc_id as text) mod 5 is not 1; a null doc_id counts as
+    training. Null texts are empty: one token, the end. Repeated rows are rows of their own; other
+    columns are ignored; without training texts every count is 0.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    classes = cluster(docs.filter(~_held_out()))
+    emissions = Emissions(classes)
+    done = _resolved(docs, classes, emissions)
+    transition = emissions.transitions(_count_pairs(done))
+
+    def score(batches):
+        for batch in batches:
+            total = batch.column("emission").to_numpy().copy()
+            for i, text in enumerate(batch.column("classes").to_pylist()):
+                cls = np.frombuffer(text, np.uint8)
+                total[i] += transition[np.concatenate(([END_CLASS], cls[:-1])), cls].sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = done.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(emissions.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
