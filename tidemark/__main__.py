@@ -1,12 +1,18 @@
-"""``python -m tidemark``: audit a dataset, calibrate a reference, write a cleaned copy."""
+"""``python -m tidemark``: audit a dataset, calibrate a reference, write a cleaned copy.
+
+Exit codes: 0, 1 for a path that is no dataset, 2 for an audit that excludes an episode.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+import sys
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibrate, export, text, verdict
+from tidemark.operators import calibrate, export, metrics, report, text, verdict
 from tidemark.session import build_session
 from tidemark.sources import layouts, sinks
 
@@ -14,51 +20,88 @@ from tidemark.sources import layouts, sinks
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("tidemark", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
-    audit = commands.add_parser("audit", help="print the summary; with --report write the episode report as JSON")
+    audit = commands.add_parser("audit", help="print the summary; with --report write the reports as JSON")
     audit.add_argument("path")
     audit.add_argument("--report")
-    audit.add_argument("--history", help="folder of the run history; needs --run")
+    audit.add_argument("--history", help="folder of the run history")
     audit.add_argument("--run", default="0")
-    audit.add_argument("--max-episodes", type=int, help="only episodes with a smaller index")
+    audit.add_argument("--reference", help="a stored reference; scores go to REPORT/scores")
+    audit.add_argument("--max-episodes", type=int, help="only the first episodes of the metadata")
     fit = commands.add_parser("calibrate", help="store the medians and spreads of a dataset as a reference")
     fit.add_argument("path")
     fit.add_argument("out")
+    fit.add_argument("--min-episodes", type=int, default=calibrate.MIN_EPISODES)
     clean = commands.add_parser("clean", help="copy the episodes that stay")
     clean.add_argument("path")
     clean.add_argument("out")
     clean.add_argument("--strategy", choices=sorted(export.STRATEGIES), default="conservative")
+    clean.add_argument("--remove", nargs="+", choices=verdict.VERDICTS, help="verdicts to remove instead of the strategy's")
+    clean.add_argument("--decisions", help="JSON document of a user's decisions")
+    advise = commands.add_parser("recommend", help="print how idle the dataset is, as pruning advice takes it")
+    advise.add_argument("path")
+    advise.add_argument("--policy", default="frame-wise")
     return top
 
 
-def audited(spark, path: str, most: int | None = None):
-    """The audit of a stored dataset, ragged episodes left out."""
+def loaded(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """frames and metadata (ep) of a stored dataset: its listed episodes, without the skipped ones; v2.1 skips those without a file."""
     info = layouts.load_info(spark, path)
-    frames = layouts.read_frames(spark, path, info)
-    frames = frames.join(layouts.ragged_episodes(frames), "ep", "left_anti")
-    if most is not None:
-        frames = frames.filter(F.col("ep") < most)
-    return verdict.judged(verdict.scalars(frames))
+    version = layouts.layout_version(info, spark, path)
+    meta = layouts.episodes_meta(spark, path, version, most).select(F.col("episode_index").cast("long").alias("ep")).distinct()
+    frames = layouts.read_frames(spark, path, info).join(meta, "ep", "left_semi")
+    skipped = layouts.skipped_episodes(frames, meta, version).select("ep")
+    return frames.join(skipped, "ep", "left_anti"), meta.join(skipped, "ep", "left_anti")
+
+
+def audited(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The audit of a stored dataset; a listed episode without frames is EXCLUDE."""
+    frames, meta = loaded(spark, path, most)
+    return verdict.judged(verdict.with_empty(verdict.scalars(frames), meta))
+
+
+def _audit(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> int:
+    print(text.summary(audit))
+    if args.report:
+        sinks.save_report(audit, verdict.metric_results(audit), args.report)
+        if args.reference:
+            profile, loadings, _ = calibrate.load_profile(spark, args.reference)
+            calibrate.score_against(audit, profile, loadings).write.mode("overwrite").json(f"{args.report}/scores")
+    if args.history:
+        sinks.save_snapshot(audit, args.path.rstrip("/").rsplit("/", 1)[-1], args.run, args.history)
+    return 0 if audit.filter("verdict = 'EXCLUDE'").isEmpty() else 2
+
+
+def _calibrate(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> int:
+    scores = calibrate.score_metrics(audit)
+    profile = calibrate.calibrated(scores, args.min_episodes)
+    calibrate.save_profile(profile, *calibrate.pca_loadings(calibrate.bad_z(scores, profile)), args.out)
+    return 0
+
+
+def _clean(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> int:
+    decisions = sinks.read_decisions(spark, args.decisions).drop("notes") if args.decisions else spark.createDataFrame([], "ep long, decision string")
+    sinks.clean_dataset(spark, args.path, export.export_decisions(audit, decisions, args.strategy, remove=tuple(args.remove) if args.remove else None), args.out)
+    return 0
 
 
-def main(argv: list[str] | None = None, spark=None) -> None:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or build_session("tidemark")
-    audit = audited(spark, args.path, getattr(args, "max_episodes", None)).persist()
-    if args.command == "audit":
-        print(text.summary(audit))
-        if args.report:
-            sinks.save_report(audit, verdict.metric_results(audit), args.report)
-        if args.history:
-            sinks.save_snapshot(audit, args.path.rstrip("/").rsplit("/", 1)[-1], args.run, args.history)
-    elif args.command == "calibrate":
-        scores = calibrate.score_metrics(audit)
-        profile = calibrate.reference_profile(scores)
-        calibrate.save_profile(profile, calibrate.pca_loadings(calibrate.bad_z(scores, profile)), args.out)
-    else:
-        none = spark.createDataFrame([], "ep long, decision string")
-        sinks.clean_dataset(spark, args.path, export.export_decisions(audit, none, args.strategy), args.out)
-    audit.unpersist()
+    try:
+        if args.command == "recommend":
+            frames, _ = loaded(spark, args.path)
+            rows = report.quantile_row(metrics.temporal_sufficiency(frames), "idle_total", "idle_prefix", "transitions", "run_p50", "run_p90", "run_max", *[f"valid_{n}" for n in metrics.WINDOWS])
+            print(json.dumps({"policy": export.target_policy(args.policy), "metrics": [r.asDict() for r in rows.collect()]}, indent=1))
+            return 0
+        audit = audited(spark, args.path, getattr(args, "max_episodes", None)).persist()
+    except (FileNotFoundError, ValueError) as error:
+        print(f"error: {error}", file=sys.stderr)
+        return 1
+    try:
+        return {"audit": _audit, "calibrate": _calibrate, "clean": _clean}[args.command](args, spark, audit)
+    finally:
+        audit.unpersist()
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -14,6 +14,8 @@ PORTABLE = ("duration", "spike_count", "effective_motion_ratio")
 PLATFORM = ("velocity_p95", "path_length", "velocity_max")
 # Metrics for which a low value is the worse one.
 LOWER_IS_WORSE = ("effective_motion_ratio",)
+# The audit metric that a portable figure belongs to.
+METRIC_OF = {"duration": "distribution", "spike_count": "action_discontinuity", "effective_motion_ratio": "idle_ratio"}
 MIN_EPISODES = 30
 
 
@@ -23,14 +25,25 @@ def score_metrics(audit: DataFrame) -> DataFrame:
 
 
 def reference_profile(scores: DataFrame) -> DataFrame:
-    """metric, n, median, mad and percentiles."""
+    """metric, n, median, mad and percentiles. No metric column or no episode: no rows.
+
+    Exact percentiles: the closing task holds the distinct figures of all episodes, a number for each.
+    """
     names = [c for c in scores.columns if c != "ep"]
     long = scores.unpivot("ep", names, "metric", "x")
-    mid = long.groupBy("metric").agg(F.median("x").alias("median"))
+    mid = long.groupBy("metric").agg(F.median("x").alias("median"))  # a row a metric
     got = long.join(F.broadcast(mid), "metric").groupBy("metric").agg(F.count("*").alias("n"), F.first("median").alias("median"), F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"), percentiles("x", 0.05, 0.25, 0.75, 0.95).alias("p"))
     return got.select("metric", "n", "median", "mad", *[F.col("p")[i].alias(k) for i, k in enumerate(("p05", "p25", "p75", "p95"))])
 
 
+def calibrated(scores: DataFrame, min_episodes: int = MIN_EPISODES) -> DataFrame:
+    """``reference_profile``, but an error for fewer than ``min_episodes`` episodes: too few to be a reference."""
+    n = scores.count()
+    if n < min_episodes:
+        raise ValueError(f"{n} episodes are too few for a reference; it takes {min_episodes}")
+    return reference_profile(scores)
+
+
 def bad_z(scores: DataFrame, profile: DataFrame) -> DataFrame:
     """ep, metric, z with the sign turned where low is worse; 0 where mad is 0."""
     long = scores.unpivot("ep", [c for c in scores.columns if c != "ep"], "metric", "x").join(F.broadcast(profile), "metric")
@@ -54,54 +67,94 @@ def rms_scores(z: DataFrame) -> DataFrame:
     return z.groupBy("ep").agg(part(PORTABLE).alias("portable_score"), part(PLATFORM).alias("platform_score"), F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("combined_rms"))
 
 
-def pca_covariance(z: DataFrame) -> DataFrame:
-    """one, two, cov (population) of each pair of metrics."""
-    a, b = z.select("ep", F.col("metric").alias("one"), F.col("z").alias("x")), z.select("ep", F.col("metric").alias("two"), F.col("z").alias("y"))
-    return a.join(b, "ep").groupBy("one", "two").agg(F.covar_pop("x", "y").alias("cov"))
+def approx_percentile(z: DataFrame) -> DataFrame:
+    """ep, percentile: how far out an episode lies, as the largest max(rank, 1 - rank) of its portable metrics."""
+    far = F.max(F.when(F.col("metric").isin(*PORTABLE), F.greatest("rank", 1 - F.col("rank"))))
+    return z.groupBy("ep").agg(F.coalesce(far, F.lit(0.5)).alias("percentile"))
+
+
+def inject(results: DataFrame, z: DataFrame) -> DataFrame:
+    """The long metric table with z and percentile of the three metrics that a portable figure belongs to.
+
+    z is the plain robust z (not turned where low is worse); all other metrics have nulls.
+    """
+    name = F.create_map(*[F.lit(x) for pair in METRIC_OF.items() for x in pair])
+    turned = F.when(F.col("metric").isin(*LOWER_IS_WORSE), -F.col("z")).otherwise(F.col("z"))
+    own = z.filter(F.col("metric").isin(*METRIC_OF)).select("ep", F.element_at(name, F.col("metric")).alias("metric"), turned.alias("z"), F.col("rank").alias("percentile"))
+    return results.join(own, ["ep", "metric"], "left")
 
 
-def pca_loadings(z: DataFrame, k: int = 2) -> list[dict[str, float]]:
-    """Leading components of the metrics' covariance (at most 6 by 6, on the driver); largest loading positive."""
-    rows = pca_covariance(z).collect()
-    names = sorted({r["one"] for r in rows})
+def pca_covariance(z: DataFrame) -> DataFrame:
+    """one, two, cov (population) of each pair of metrics, from one aggregate over the episodes."""
+    names = sorted((*PORTABLE, *PLATFORM))
+    wide = z.groupBy("ep").agg(*[F.max(F.when(F.col("metric") == k, F.col("z"))).alias(k) for k in names])
+    pairs = [(a, b) for a in names for b in names]
+    got = wide.agg(*[F.covar_pop(a, b).alias(f"{a}:{b}") for a, b in pairs])
+    rows = [F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.col(f"{a}:{b}").alias("cov")) for a, b in pairs]
+    return got.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("cov is not null")
+
+
+def components(covariance: list, k: int = 2) -> tuple[list[dict[str, float]], list[float]]:
+    """The leading components of a covariance given as (one, two, cov), largest loading positive, and their shares of all variance."""
+    names = sorted({r["one"] for r in covariance})
     table = np.zeros((len(names), len(names)))
-    for r in rows:
+    for r in covariance:
         table[names.index(r["one"]), names.index(r["two"])] = r["cov"]
     values, vectors = np.linalg.eigh(table) if names else (np.zeros(0), np.zeros((0, 0)))
-    out = []
+    total, loadings, shares = np.maximum(values, 0).sum(), [], []
     for i in np.argsort(-values)[:k]:
-        if values[i] <= 0:
+        if values[i] <= 1e-12 * max(total, 1e-300):
             break
         v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(vectors[:, i])), i])
-        out.append(dict(zip(names, map(float, v), strict=True)))
-    return out
+        loadings.append(dict(zip(names, map(float, v), strict=True)))
+        shares.append(float(values[i] / total))
+    return loadings, shares
+
+
+def pca_loadings(z: DataFrame, k: int = 2) -> tuple[list[dict[str, float]], list[float]]:
+    """``components`` of the metrics' covariance (at most 6 by 6, so it comes to the driver)."""
+    return components(pca_covariance(z).collect(), k)
+
 
+def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = None, min_episodes: int = MIN_EPISODES) -> DataFrame:
+    """portable_score, platform_score, combined_score and the method of the last.
 
-def deviation_scores(z: DataFrame, min_episodes: int = MIN_EPISODES) -> DataFrame:
-    """portable and platform as RMS; combined by PCA when there are enough episodes, else RMS."""
-    z = z.persist()  # read by three jobs
-    base = rms_scores(z)
-    if base.count() < min_episodes:
-        return base.withColumnRenamed("combined_rms", "combined_score")
+    Components are used only if their metrics are all among a score's: for six metrics that is the
+    combined score. Without ``loadings`` they come from ``z`` itself if it has enough episodes.
+    """
+    if loadings is None:
+        enough = z.select("ep").distinct().count() >= min_episodes
+        loadings = pca_loadings(z)[0] if enough else []
+    base, used = rms_scores(z), bool(loadings)
+    if not used:
+        return base.withColumnRenamed("combined_rms", "combined_score").withColumn("method", F.lit("rms"))
     parts = []
-    for i, loading in enumerate(pca_loadings(z)):
+    for i, loading in enumerate(loadings):
         weights = F.create_map(*[F.lit(x) for pair in loading.items() for x in pair])
-        parts.append(F.sum(F.col("z") * F.try_element_at(weights, F.col("metric"))).alias(f"pc{i}"))
-    scores = z.groupBy("ep").agg(*parts) if parts else z.select("ep").distinct()
+        parts.append(F.sum(F.col("z") * F.coalesce(F.try_element_at(weights, F.col("metric")), F.lit(0.0))).alias(f"pc{i}"))
     combined = F.sqrt(sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(len(parts))), F.lit(0.0)))
-    return base.join(scores.select("ep", combined.alias("combined_score")), "ep").drop("combined_rms")
+    part = lambda names: F.sqrt(F.avg(F.when(F.col("metric").isin(*names), F.col("z") * F.col("z"))))
+    got = z.groupBy("ep").agg(part(PORTABLE).alias("portable_score"), part(PLATFORM).alias("platform_score"), *parts)
+    return got.select("ep", "portable_score", "platform_score", combined.alias("combined_score"), F.lit("pca").alias("method"))
+
+
+def score_against(audit: DataFrame, profile: DataFrame, loadings: list[dict[str, float]]) -> DataFrame:
+    """The three scores and the percentile of every audited episode against a stored reference."""
+    z = bad_z(score_metrics(audit), profile)
+    return deviation_scores(z, loadings).join(approx_percentile(z), "ep")
 
 
-def save_profile(profile: DataFrame, loadings: list[dict[str, float]], path: str) -> None:
-    """A JSON file on the driver: a handful of rows."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"metrics": [r.asDict() for r in profile.collect()], "components": loadings}, f)
+def save_profile(profile: DataFrame, loadings: list[dict[str, float]], shares: list[float], path: str) -> None:
+    """One JSON row, written by Spark: the metrics' figures, the components and their shares of variance."""
+    spark = profile.sparkSession
+    record = {"metrics": [r.asDict() for r in profile.collect()], "components": loadings, "explained": shares}
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_profile(spark, path: str) -> tuple[DataFrame, list[dict[str, float]]]:
-    with open(path, encoding="utf-8") as f:
-        got = json.load(f)
-    return spark.createDataFrame(got["metrics"], "metric string, n long, median double, mad double, p05 double, p25 double, p75 double, p95 double"), got["components"]
+def load_profile(spark, path: str) -> tuple[DataFrame, list[dict[str, float]], list[float]]:
+    """profile, loadings, explained shares as ``save_profile`` wrote them."""
+    got = json.loads("".join(r[0] for r in spark.read.text(path).collect()))  # one document of six metrics
+    return spark.createDataFrame(got["metrics"], "metric string, n long, median double, mad double, p05 double, p25 double, p75 double, p95 double"), got["components"], got.get("explained", [])
 
 
 def score_summary(scores: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
-"""The episode metrics. Each takes frames (ep, fi, t, action, state) and gives one row per episode.
+"""The episode metrics over frames (ep, fi, t, action, state), one row per episode.
 
-A metric that cannot be computed (too few frames, no action) has nulls and ``status`` 'na'; values
-that are not finite give ``status`` 'exclude'. All are window and aggregate plans on one distribution
-by episode.
+``measure`` works out every figure in one plan: frames are distributed by episode once, differences,
+medians and thresholds are windows on that distribution, and one aggregate closes it. The other
+functions pick columns from it, and what they do not pick is pruned from the plan. An episode is one
+window partition, so it is sorted and, if need be, spilled by one task.
+
+``status`` columns: 'na' where a metric cannot be computed, 'exclude' for values that are not finite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, robust, valley_threshold, whole
@@ -15,6 +18,9 @@ from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite,
 SPIKE_Z = 5.0
 IDLE_FLOOR = 1e-6
 WINDOWS = (5, 10, 20)
+DEFAULT_HZ = 30.0
+GRID_DIMS, RESOLUTION = 3, 10
+FEATURES = ("action", "state")
 
 
 def steps(frames: DataFrame) -> DataFrame:
@@ -23,17 +29,167 @@ def steps(frames: DataFrame) -> DataFrame:
     return out.withColumn("motion", norm("d1")).withColumn("jump", norm("d2"))
 
 
-def _state(ok: str, enough):
-    return F.when(~enough, "na").when(F.col(ok), "pass").otherwise("exclude")
+def _stepped(frames: DataFrame) -> DataFrame:
+    """``steps`` with the time step and the state's step, speed and change of speed."""
+    before = F.lag("t").over(by_frame())
+    out = frames.withColumns({"dt": F.col("t") - before, "first": F.lag("fi").over(by_frame()).isNull(), "d1": difference("action"), "ds": difference("state")})
+    safe = F.when(F.col("dt") == 0, 1e-9).otherwise(F.coalesce("dt", F.lit(1.0)))
+    out = out.withColumn("vel", F.transform("ds", lambda x: x / safe))
+    out = out.withColumns({"d2": difference("d1"), "acc": difference("vel")})
+    return out.withColumns({"motion": norm("d1"), "jump": norm("d2"), "sn": norm("ds"), "speed": norm("vel"), "change": norm("acc"), "delta_ok": F.coalesce(finite("d1"), F.lit(True))})
+
+
+def _cells(columns: tuple[str, ...] = FEATURES) -> dict[str, Column]:
+    values = F.concat(*[F.coalesce(c, F.array().cast("array<double>")) for c in columns])
+    count = lambda test: F.size(F.filter(values, test)).cast("long")
+    return {"cells": F.size(values).cast("long"), "nan_cells": count(F.isnan), "inf_cells": count(lambda x: F.abs(x) == float("inf"))}
+
+
+def _idle(rows: DataFrame) -> DataFrame:
+    """Adds n, top, bin, motion_mad, thr, method, idle and active (null on an episode's first frame)."""
+    rows = rows.withColumns({"n": F.count("motion").over(whole()), "top": F.max("motion").over(whole()), "motion_med": F.median("motion").over(whole())})
+    place = F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"))).otherwise(0)
+    rows = rows.withColumn("bin", F.when(F.col("motion").isNotNull(), place))
+    hist = F.array(*[F.count_if(F.col("bin") == i).over(whole()) for i in range(BINS)])
+    rows = rows.withColumns({"motion_mad": F.median(F.abs(F.col("motion") - F.col("motion_med"))).over(whole()), "hist": hist})
+    rows = rows.withColumn("valley", F.when(F.col("first"), valley_threshold(F.col("hist"), F.col("n"), F.col("top"))))  # once an episode
+    rows = rows.withColumn("valley", F.max("valley").over(whole()))
+    method = F.when(F.col("valley").isNotNull(), "bimodal_gap").when(3 * F.col("motion_mad") < IDLE_FLOOR, "floor").otherwise("mad")
+    rows = rows.withColumns({"method": method, "thr": F.greatest(F.coalesce("valley", 3 * F.col("motion_mad")), F.lit(IDLE_FLOOR))})
+    idle = F.col("motion") < F.col("thr")
+    return rows.withColumns({"idle": idle, "active": (~idle).cast("int")})
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Adds step (from 0), moves (an active step after none), run (frames of a run, at its last step) and the full windows."""
+    rows = rows.withColumn("step", F.row_number().over(by_frame()) - 2)
+    upto = by_frame().rowsBetween(Window.unboundedPreceding, 0)
+    full = {f"w{n}": F.sum("active").over(by_frame().rowsBetween(-(n - 2), 0)) == n - 1 for n in WINDOWS}
+    rows = rows.withColumns({"was": F.lag("active").over(by_frame()), "then": F.lead("active").over(by_frame()), "paused": F.max(F.when(F.col("idle"), F.col("step"))).over(upto), **full})
+    on = F.col("active") == 1
+    run = F.when(on & (F.coalesce("then", F.lit(0)) == 0), F.col("step") - F.coalesce("paused", F.lit(-1)) + 1)
+    return rows.withColumns({"moves": on & (F.coalesce("was", F.lit(0)) == 0), "run": run.cast("long")})
+
+
+def _grid(rows: DataFrame) -> DataFrame:
+    """Adds cell, the code of the frame's cell over the first (at most three) state dimensions."""
+    for d in range(GRID_DIMS):
+        rows = rows.withColumn(f"x{d}", F.get("state", F.lit(d)))
+    ends = {f"{k}{d}": f(f"x{d}").over(whole()) for d in range(GRID_DIMS) for k, f in (("lo", F.min), ("hi", F.max))}
+    rows, cell = rows.withColumns(ends), F.lit(0)
+    for d in range(GRID_DIMS):
+        lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
+        low, high = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
+        cell = cell * RESOLUTION + F.coalesce(edge_bin(F.col(f"x{d}") - low, high - low, RESOLUTION), F.lit(0))
+    return rows.withColumn("cell", F.when(F.coalesce(finite("state"), F.lit(False)), cell))
+
+
+def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float = SPIKE_Z) -> DataFrame:
+    """Every figure of every episode, from one distribution of the frames.
+
+    ``frames`` may also have number (the stored frame number: missing ones are counted) and cells,
+    nan_cells, inf_cells (counts over features that are not in action and state).
+    """
+    rows = _stepped(frames)
+    for name, count in _cells().items():
+        rows = rows.withColumn(name, count + F.coalesce(name, F.lit(0).cast("long")) if name in frames.columns else count)
+    rows = _grid(_runs(_idle(rows)))
+    rows = rows.withColumns({f"{c}_med": F.median(c).over(whole()) for c in ("jump", "change")})
+    rows = rows.withColumns({f"{c}_mad": F.median(F.abs(F.col(c) - F.col(f"{c}_med"))).over(whole()) for c in ("jump", "change")})
+    spike = lambda c: (F.col(f"{c}_mad") > 0) & (F.abs(F.try_divide(F.lit(0.6745) * (F.col(c) - F.col(f"{c}_med")), F.col(f"{c}_mad"))) > spike_z)
+    ms, count = 1000 * F.col("dt"), F.count("*")
+    pace = F.when(F.col("dt").isNull(), F.col("sn") * default_hz).otherwise(F.try_divide("sn", F.when(F.col("dt") <= 0, 1e-9).otherwise(F.col("dt"))))
+    missing = F.lit(0).cast("long")
+    if "number" in frames.columns:
+        rows = rows.withColumn("inside", F.when((F.col("number") >= 0) & (F.col("number") < F.count("*").over(whole())), F.col("number")))
+        missing = count - F.size(F.collect_set("inside")).cast("long")
+    first = F.min(F.when(F.col("active") == 1, F.col("step")))
+    n_steps = F.count("motion")
+    got = rows.groupBy("ep").agg(
+        count.alias("frames"),
+        *[F.count(c).alias(f"n_{c}") for c in FEATURES],
+        F.count("t").alias("n_t"),
+        F.every(F.coalesce(finite("action"), F.lit(True))).alias("action_ok"),
+        F.every("delta_ok").alias("delta_ok"),
+        F.every(F.coalesce(finite("state"), F.lit(True))).alias("state_ok"),
+        F.max(F.size("state")).alias("width"),
+        F.size(F.collect_set("cell")).cast("long").alias("occupied"),
+        *[F.sum(c).alias(c) for c in ("cells", "nan_cells", "inf_cells")],
+        missing.alias("missing"),
+        F.count_if(spike("jump")).alias("spike_count"),
+        percentiles("jump", 0.95, 0.99).alias("jump_p"),
+        F.max("jump").alias("jump_max"),
+        n_steps.alias("n"),
+        F.first("method").alias("method"),
+        F.first("thr").alias("thr"),
+        F.first("motion_mad").alias("motion_mad"),
+        F.count_if("idle").alias("idle_steps"),
+        F.when(first > 0, first + 1).when(first == 0, 0).otherwise(n_steps + 1).cast("long").alias("idle_prefix"),
+        F.count_if("moves").alias("transitions"),
+        *[F.when(n_steps + 1 < k, 0.0).otherwise(F.try_divide(F.count_if(f"w{k}"), n_steps + 2 - k)).alias(f"valid_{k}") for k in WINDOWS],
+        percentiles("run", 0.5, 0.9).alias("run_p"),
+        F.coalesce(F.max("run"), F.lit(0).cast("long")).alias("run_max"),
+        F.count_if((F.col("dt") < 0) | F.isnan("dt")).alias("backward"),
+        F.count_if(F.col("dt") == 0).alias("duplicates"),
+        F.percentile(F.abs(ms), F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("dt_p"),
+        F.max(F.abs(ms)).alias("dt_max"),
+        F.avg(ms).alias("dt_mean"),
+        F.stddev_pop(ms).alias("dt_std"),
+        percentiles("speed", 0.5, 0.95, 0.99).alias("speed_p"),
+        F.max("speed").alias("velocity_max"),
+        F.count_if(spike("change")).alias("acc_spikes"),
+        F.when(F.count("t") == count, F.max_by("t", "fi") - F.min_by("t", "fi")).otherwise((count - 1) / F.lit(default_hz)).alias("duration"),
+        F.coalesce(F.sum("sn"), F.lit(0.0)).alias("path_length"),
+        F.max_by("state", "fi").alias("end_state"),
+        F.avg(pace).alias("pace_mean"),
+        F.stddev_pop(pace).alias("pace_std"),
+        F.percentile(pace, F.lit(0.95)).alias("pace_p95"),
+    )
+    some_action, some_state = F.col("n_action") > 0, F.col("n_state") > 0
+    jump = F.when(~some_action, "na").when(~F.col("action_ok"), "exclude").when(F.col("frames") < 3, "na").otherwise("pass")
+    idle = F.when(~some_action | (F.col("frames") < 2), "na").when(~F.col("delta_ok"), "exclude").otherwise("pass")
+    speed = F.when(~some_state, "na").when(~F.col("state_ok"), "exclude").when(F.col("frames") < 3, "na").otherwise("pass")
+    got = got.withColumns({"jump_status": jump, "idle_status": idle, "velocity_status": speed, "time_status": F.when(F.col("backward") > 0, "exclude").otherwise("pass")})
+    got = got.withColumns(
+        {
+            "distribution_status": F.when(some_action | some_state, "pass").otherwise("na"),
+            "coverage_status": F.when(some_state & F.col("state_ok"), "pass").otherwise("na"),
+            "sufficiency_status": F.when(idle == "pass", "pass").otherwise("na"),
+            "jitter_status": F.when(F.col("n_t") < 2, "na").otherwise("pass"),
+        }
+    )
+    use = lambda status, c: F.when(F.col(status) == "pass", c)
+    features = [F.col(f"n_{c}") for c in FEATURES]
+    reference = F.when(F.col("n_state") > 0, F.col("n_state")).otherwise(F.greatest(*features))
+    off = lambda want: sum((((n > 0) & (n != want)).cast("long") for n in features), F.lit(0).cast("long"))
+    ratio = use("idle_status", F.try_divide("idle_steps", "n"))
+    late = F.greatest(1 - F.try_divide("duplicates", "frames"), F.lit(0.0))
+    plain = ("frames", "missing", "cells", "nan_cells", "inf_cells", "backward", "duplicates", "duration", "path_length", "end_state", "pace_mean", "pace_std", "pace_p95", "dt_max", "dt_mean", "dt_std")
+    states = [c for c in got.columns if c.endswith("_status")]
+    return got.select(
+        "ep",
+        *plain,
+        *states,
+        off(reference).alias("dropout"),
+        off(F.col("frames")).alias("mismatched"),
+        F.when(F.col("backward") > 0, 0.0).otherwise(F.coalesce(late, F.lit(1.0))).alias("time_score"),
+        *[F.col("dt_p")[i].alias(f"dt_p{k}") for i, k in enumerate((50, 95, 99))],
+        F.when(F.col("dt_mean") > 0, F.try_divide("dt_std", "dt_mean")).otherwise(0.0).alias("cv"),
+        *[use("jump_status", c).alias(k) for k, c in {"spike_count": F.col("spike_count"), "spike_rate": F.col("spike_count") / F.greatest(F.col("frames") - 2, F.lit(1)), "jump_p95": F.col("jump_p")[0], "jump_p99": F.col("jump_p")[1], "jump_max": F.col("jump_max")}.items()],
+        "n",
+        *[use("idle_status", F.col(c)).alias(c) for c in ("method", "thr", "motion_mad")],
+        ratio.alias("idle_ratio"),
+        (1 - ratio).alias("effective_motion_ratio"),
+        *[use("sufficiency_status", c).alias(k) for k, c in {"idle_total": ratio, **{k: F.col(k) for k in ("idle_prefix", "transitions", *[f"valid_{k}" for k in WINDOWS])}, "run_p50": F.coalesce(F.col("run_p")[0], F.lit(0.0)), "run_p90": F.coalesce(F.col("run_p")[1], F.lit(0.0)), "run_max": F.col("run_max")}.items()],
+        *[use("velocity_status", c).alias(k) for k, c in {**{f"velocity_p{k}": F.col("speed_p")[i] for i, k in enumerate((50, 95, 99))}, "velocity_max": F.col("velocity_max"), "acc_spikes": F.col("acc_spikes"), "acc_spike_rate": F.col("acc_spikes") / F.col("frames")}.items()],
+        use("coverage_status", F.col("occupied")).alias("occupied"),
+        use("coverage_status", F.col("occupied") / F.pow(F.lit(float(RESOLUTION)), F.least("width", F.lit(GRID_DIMS)))).alias("occupancy_rate"),
+    )
 
 
 def action_discontinuity(frames: DataFrame) -> DataFrame:
     """Spikes (robust z above 5) of the second difference's norm: count, rate over T - 2, p95, p99, max."""
-    rows = robust(steps(frames).withColumn("ok", F.coalesce(finite("action"), F.lit(False))), "jump")
-    got = rows.groupBy("ep").agg(F.count("*").alias("frames"), F.every("ok").alias("ok"), F.count_if(F.abs("z") > SPIKE_Z).alias("spike_count"), percentiles("jump", 0.95, 0.99).alias("p"), F.max("jump").alias("jump_max"))
-    use = lambda c: F.when(F.col("status") == "pass", c)
-    got = got.withColumn("status", _state("ok", F.col("frames") >= 3))
-    return got.select("ep", "status", use(F.col("spike_count")).alias("spike_count"), use(F.col("spike_count") / F.greatest(F.col("frames") - 2, F.lit(1))).alias("spike_rate"), use(F.col("p")[0]).alias("jump_p95"), use(F.col("p")[1]).alias("jump_p99"), use(F.col("jump_max")).alias("jump_max"))
+    return measure(frames).select("ep", F.col("jump_status").alias("status"), "spike_count", "spike_rate", "jump_p95", "jump_p99", "jump_max")
 
 
 def joint_spikes(frames: DataFrame) -> DataFrame:
@@ -45,94 +201,79 @@ def joint_spikes(frames: DataFrame) -> DataFrame:
     return rows.groupBy("ep", "joint").agg(F.count_if(spike).alias("spikes"))
 
 
+def affected_joints(frames: DataFrame) -> DataFrame:
+    """ep, joints: the joints with a spike, in order; none: an empty list."""
+    hit = F.collect_list(F.when(F.col("spikes") > 0, F.col("joint").cast("long")))
+    return joint_spikes(frames).groupBy("ep").agg(F.sort_array(hit).alias("joints"))
+
+
 def motion_bins(frames: DataFrame) -> DataFrame:
     """Each step's motion with n, top and bin of its episode's histogram."""
-    rows = steps(frames).filter("motion is not null").select("ep", "fi", "motion")
-    rows = rows.withColumn("n", F.count("*").over(whole())).withColumn("top", F.max("motion").over(whole()))
-    return rows.withColumn("bin", F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"))).otherwise(0))
+    return _idle(_stepped(frames)).filter("motion is not null").select("ep", "fi", "motion", "n", "top", "bin")
 
 
 def idle_threshold(frames: DataFrame) -> DataFrame:
     """ep, n, method (bimodal_gap, mad, floor), thr and motion's mad."""
-    rows = motion_bins(frames).withColumn("med", F.median("motion").over(whole()))
-    hist = F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)])
-    got = rows.groupBy("ep").agg(F.first("n").alias("n"), F.first("top").alias("top"), F.median(F.abs(F.col("motion") - F.col("med"))).alias("mad"), hist.alias("hist"))
-    got = got.withColumn("valley", valley_threshold(F.col("hist"), F.col("n"), F.col("top")))
-    method = F.when(F.col("valley").isNotNull(), "bimodal_gap").when(3 * F.col("mad") < IDLE_FLOOR, "floor").otherwise("mad")
-    return got.select("ep", "n", method.alias("method"), F.greatest(F.coalesce("valley", 3 * F.col("mad")), F.lit(IDLE_FLOOR)).alias("thr"), "mad")
+    return measure(frames).filter("n > 0").select("ep", "n", "method", "thr", F.col("motion_mad").alias("mad"))
 
 
 def idle_mask(frames: DataFrame) -> DataFrame:
     """ep, fi, motion, idle: motion below the episode's threshold."""
-    rows = steps(frames).filter("motion is not null").select("ep", "fi", "motion")
-    return rows.join(idle_threshold(frames), "ep").withColumn("idle", F.col("motion") < F.col("thr"))
+    return _idle(_stepped(frames)).filter("motion is not null").select("ep", "fi", "motion", "n", "method", "thr", "idle")
 
 
 def idle_ratio(frames: DataFrame) -> DataFrame:
-    """Share of idle steps, its complement, the threshold and how it was found."""
-    mask = idle_mask(frames)
-    return mask.groupBy("ep").agg(F.first("method").alias("method"), F.first("thr").alias("thr"), (F.count_if("idle") / F.count("*")).alias("idle_ratio")).withColumn("effective_motion_ratio", 1 - F.col("idle_ratio"))
+    """Share of idle steps, its complement, the threshold and how it was found.
+
+    Fewer than two frames or no action: 'na'; a difference that is not finite: 'exclude'.
+    """
+    return measure(frames).select("ep", F.col("idle_status").alias("status"), "method", "thr", "idle_ratio", "effective_motion_ratio", "motion_mad")
 
 
 def active_runs(frames: DataFrame) -> DataFrame:
     """ep, start, frames of each run of active steps (k steps are k + 1 frames)."""
-    island = F.sum(F.col("idle").cast("int")).over(by_frame())
-    rows = idle_mask(frames).withColumn("island", island).filter(~F.col("idle"))
-    return rows.groupBy("ep", "island").agg(F.min("fi").alias("start"), (F.count("*") + 1).alias("frames")).drop("island")
+    rows = _runs(_idle(_stepped(frames))).filter("run is not null")
+    return rows.select("ep", (F.col("fi") - F.col("run") + 2).cast("int").alias("start"), F.col("run").alias("frames"))
 
 
 def temporal_sufficiency(frames: DataFrame) -> DataFrame:
-    """Idle share and prefix, run lengths, transitions, share of fully active windows of 5, 10 and 20 frames."""
-    mask = idle_mask(frames).withColumn("active", (~F.col("idle")).cast("int"))
-    moves = (F.col("active") == 1) & (F.lag("active", 1, 0).over(by_frame()) == 0)
-    mask = mask.withColumn("moves", moves).withColumn("step", F.row_number().over(by_frame()) - 1)
-    for n in WINDOWS:
-        full = F.sum("active").over(by_frame().rowsBetween(-(n - 2), 0)) == n - 1
-        mask = mask.withColumn(f"w{n}", full & (F.col("step") >= n - 2))
-    first = F.min(F.when(F.col("active") == 1, F.col("step")))
-    share = lambda n: F.when(F.count("*") + 1 < n, 0.0).otherwise(F.try_divide(F.count_if(f"w{n}"), F.count("*") + 2 - n)).alias(f"valid_{n}")
-    prefix = F.when(first > 0, first + 1).when(first == 0, 0).otherwise(F.count("*") + 1)
-    got = mask.groupBy("ep").agg((1 - F.sum("active") / F.count("*")).alias("idle_total"), prefix.cast("long").alias("idle_prefix"), F.count_if("moves").alias("transitions"), *[share(n) for n in WINDOWS])
-    runs = active_runs(frames).groupBy("ep").agg(percentiles("frames", 0.5, 0.9).alias("p"), F.max("frames").alias("run_max"))
-    zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
-    return got.join(runs, "ep", "left").select("ep", "idle_total", "idle_prefix", "transitions", *[f"valid_{n}" for n in WINDOWS], zero(F.col("p")[0], "double").alias("run_p50"), zero(F.col("p")[1], "double").alias("run_p90"), zero(F.col("run_max"), "long").alias("run_max"))
+    """Idle share and prefix, run lengths, transitions, share of fully active windows of 5, 10 and 20 frames.
+
+    Not available (status 'na') without an action, with fewer than two frames or values that are not finite.
+    """
+    return measure(frames).select("ep", F.col("sufficiency_status").alias("status"), "idle_total", "idle_prefix", "transitions", *[f"valid_{n}" for n in WINDOWS], "run_p50", "run_p90", "run_max")
 
 
 def timestamp_validity(frames: DataFrame) -> DataFrame:
     """Backward or NaN steps exclude; equal time stamps only lower the score."""
-    rows = frames.withColumn("dt", F.col("t") - F.lag("t").over(by_frame()))
-    got = rows.groupBy("ep").agg(F.count("*").alias("frames"), F.count_if((F.col("dt") < 0) | F.isnan("dt")).alias("backward"), F.count_if(F.col("dt") == 0).alias("duplicates"))
-    score = F.greatest(1 - F.col("duplicates") / F.col("frames"), F.lit(0.0))
-    return got.select("ep", "frames", "backward", "duplicates", F.when(F.col("backward") > 0, "exclude").otherwise("pass").alias("status"), F.when(F.col("backward") > 0, 0.0).otherwise(score).alias("score"))
+    return measure(frames).select("ep", "frames", "backward", "duplicates", F.col("time_status").alias("status"), F.col("time_score").alias("score"))
 
 
 def dt_stats(frames: DataFrame) -> DataFrame:
     """Percentiles and maximum of |dt|, mean and deviation of signed dt, in milliseconds; cv = std / mean."""
-    rows = frames.withColumn("dt", (F.col("t") - F.lag("t").over(by_frame())) * 1000).withColumn("size", F.abs("dt"))
-    got = rows.filter("dt is not null").groupBy("ep").agg(percentiles("size", 0.5, 0.95, 0.99).alias("p"), F.max("size").alias("dt_max"), F.avg("dt").alias("dt_mean"), F.stddev_pop("dt").alias("dt_std"))
-    cv = F.when(F.col("dt_mean") > 0, F.try_divide("dt_std", "dt_mean")).otherwise(0.0)
-    return got.select("ep", F.col("p")[0].alias("dt_p50"), F.col("p")[1].alias("dt_p95"), F.col("p")[2].alias("dt_p99"), "dt_max", "dt_mean", "dt_std", cv.alias("cv"))
+    return measure(frames).filter("jitter_status = 'pass'").select("ep", "dt_p50", "dt_p95", "dt_p99", "dt_max", "dt_mean", "dt_std", "cv")
 
 
 def velocity_stats(frames: DataFrame) -> DataFrame:
     """Norms of the state's velocity and of its change (not divided by time); spikes of the latter over T."""
-    dt = F.col("t") - F.lag("t").over(by_frame())
-    rows = frames.withColumn("dt", F.when(dt == 0, 1e-9).otherwise(dt)).withColumn("ds", difference("state"))
-    rows = rows.withColumn("vel", F.transform("ds", lambda x: F.try_divide(x, F.col("dt")))).withColumn("acc", difference("vel"))
-    rows = rows.withColumn("speed", norm("vel")).withColumn("change", norm("acc")).withColumn("ok", F.coalesce(finite("state"), F.lit(False)))
-    rows = robust(rows, "change")
-    got = rows.groupBy("ep").agg(F.count("*").alias("frames"), F.every("ok").alias("ok"), percentiles("speed", 0.5, 0.95, 0.99).alias("p"), F.max("speed").alias("velocity_max"), F.count_if((F.col("mad") > 0) & (F.abs("z") > SPIKE_Z)).alias("spikes"))
-    got = got.withColumn("status", _state("ok", F.col("frames") >= 3))
-    use = lambda c: F.when(F.col("status") == "pass", c)
-    return got.select("ep", "status", *[use(F.col("p")[i]).alias(f"velocity_p{k}") for i, k in enumerate((50, 95, 99))], use(F.col("velocity_max")).alias("velocity_max"), use(F.col("spikes")).alias("acc_spikes"), use(F.col("spikes") / F.col("frames")).alias("acc_spike_rate"))
+    return measure(frames).select("ep", F.col("velocity_status").alias("status"), *[f"velocity_p{k}" for k in (50, 95, 99)], "velocity_max", "acc_spikes", "acc_spike_rate")
+
+
+def trajectory_stats(frames: DataFrame, default_hz: float = DEFAULT_HZ) -> DataFrame:
+    """Duration (frames over ``default_hz`` where time is missing), path length, velocity and end point of the state."""
+    return measure(frames, default_hz).select("ep", "frames", F.col("distribution_status").alias("status"), "duration", "path_length", "end_state", *[F.col(f"pace_{k}").alias(f"velocity_{k}") for k in ("mean", "std", "p95")])
+
 
+def missing_dropout(frames: DataFrame) -> DataFrame:
+    """Stored frame numbers (``number``) that are missing and features shorter than the state; either asks for exclusion."""
+    bad = (F.col("missing") > 0) | (F.col("dropout") > 0)
+    return measure(frames).select("ep", "frames", "missing", "dropout", F.when(bad, "review").otherwise("pass").alias("status"))
 
-def trajectory_stats(frames: DataFrame, default_hz: float = 30.0) -> DataFrame:
-    """Duration (frames over ``default_hz`` where time is missing), path length and end point of the state."""
-    rows = frames.withColumn("step", norm(difference("state")))
-    timed = F.max_by("t", "fi") - F.min_by("t", "fi")
-    duration = F.when(F.count("t") == F.count("*"), timed).otherwise((F.count("*") - 1) / F.lit(default_hz))
-    return rows.groupBy("ep").agg(F.count("*").alias("frames"), duration.alias("duration"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_length"), F.max_by("state", "fi").alias("end_state"))
+
+def invalid_values(frames: DataFrame) -> DataFrame:
+    """NaN and infinite cells over action and state; any excludes."""
+    bad = F.col("nan_cells") + F.col("inf_cells") > 0
+    return measure(frames).select("ep", "cells", "nan_cells", "inf_cells", F.when(bad, "exclude").otherwise("pass").alias("status"))
 
 
 def coverage_bins(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFrame:
@@ -172,13 +313,6 @@ def missing_frames(frames: DataFrame, number: str = "number") -> DataFrame:
     )
 
 
-def invalid_values(frames: DataFrame) -> DataFrame:
-    """NaN and infinite cells over action and state."""
-    cells = F.concat("action", "state")
-    count = lambda test: F.size(F.filter(cells, test))
-    return frames.groupBy("ep").agg(F.sum(F.size(cells)).alias("cells"), F.sum(count(F.isnan)).alias("nan_cells"), F.sum(count(lambda x: F.abs(x) == float("inf"))).alias("inf_cells"))
-
-
 def schema_consistency(frames: DataFrame, *features: str) -> DataFrame:
     """Features with fewer values than the episode has frames; any such excludes it."""
     got = frames.groupBy("ep").agg(F.count("*").alias("frames"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(features)])
@@ -192,8 +326,8 @@ def frame_totals(frames: DataFrame) -> DataFrame:
 
 
 def joint_limit(frames: DataFrame, limits: DataFrame) -> DataFrame:
-    """Cells of state outside ``limits`` (joint, lo, hi), by joint; the limits are a handful of rows."""
-    rows = frames.select("ep", F.posexplode("state").alias("joint", "x")).join(F.broadcast(limits), "joint")
+    """Cells of state outside ``limits`` (joint, lo, hi), by joint; joints without a limit are left out."""
+    rows = frames.select("ep", F.posexplode("state").alias("joint", "x")).join(limits, "joint")
     return rows.groupBy("ep", "joint").agg(F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("violations"))
 
 
@@ -217,20 +351,20 @@ def sensor_offsets(streams: DataFrame) -> DataFrame:
     sides = pairs.select("ep", "one", "two", "base", F.explode(F.array("one", "two")).alias("stream"))
     rows = streams.join(sides, ["ep", "stream"]).withColumn("query", F.col("stream") == F.col("base"))
     other = F.when(~F.col("query"), F.col("t"))
-    by = Window.partitionBy("ep", "one", "two").orderBy("t")
-    back = F.max(other).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(other).over(by.rangeBetween(0, Window.unboundedFollowing))
+    upto = lambda order: Window.partitionBy("ep", "one", "two").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    back, ahead = F.max(other).over(upto(F.asc("t"))), F.min(other).over(upto(F.desc("t")))  # both run once over the stream
     rows = rows.withColumn("back", back).withColumn("ahead", ahead).filter("query")
     near = F.when(F.col("back").isNull(), F.col("ahead")).when(F.col("ahead").isNull() | (F.col("t") - F.col("back") <= F.col("ahead") - F.col("t")), F.col("back")).otherwise(F.col("ahead"))
     return rows.select("ep", "one", "two", "t", ((near - F.col("t")) * 1000).alias("offset"))
 
 
 def sensor_sync_pairs(streams: DataFrame) -> DataFrame:
+    """Offsets of every pair of an episode's streams, in milliseconds."""
     rows = sensor_offsets(streams).withColumn("size", F.abs("offset"))
-    got = rows.groupBy("ep", "one", "two").agg(F.count("*").alias("n"), percentiles("size", 0.5, 0.95, 0.99).alias("p"), F.max("size").alias("offset_max"), F.median("offset").alias("signed_median"))
-    return got.select("ep", "one", "two", "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "offset_max", "signed_median")
+    got = rows.groupBy("ep", "one", "two").agg(F.count("*").alias("n"), F.avg("offset").alias("offset_mean"), F.stddev_pop("offset").alias("offset_std"), percentiles("size", 0.5, 0.95, 0.99).alias("p"), F.max("size").alias("offset_max"), F.median("offset").alias("signed_median"))
+    return got.select("ep", "one", "two", "n", "offset_mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "offset_max", "offset_std", "signed_median")
 
 
 def sensor_sync(streams: DataFrame) -> DataFrame:
-    """The worst pair of each episode."""
+    """The worst pair of each episode; an episode with one stream has no row: not available."""
     return sensor_sync_pairs(streams).groupBy("ep").agg(F.count("*").alias("pairs"), F.max("p95").alias("worst_p95"), F.max("offset_max").alias("worst_max"))

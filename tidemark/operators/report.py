@@ -6,23 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.seq import percentiles
-from tidemark.operators.verdict import CRITICAL, VERDICTS, effective_points, spike_points
+from tidemark.operators.verdict import CRITICAL, METRICS, VERDICTS, effective_points, spike_points
 
 # Issue codes by metric; weights and grades of the health index.
 ISSUE_CODES = {"missing_dropout": "INT-01", "invalid_values": "INT-02", "schema_consistency": "INT-03", "timestamp_validity": "INT-04", "joint_limit": "INT-05", "sensor_synchronization": "TMP-03", "velocity_acceleration": "MOT-01", "action_discontinuity": "MOT-02", "idle_ratio": "MOT-03", "distribution": "DIS-01", "coverage": "DIS-03"}
 HEALTH_WEIGHTS = {"integrity": 0.4, "temporal": 0.2, "motion": 0.2, "consistency": 0.2}
-GRADES = ((90, "A"), (75, "B"), (60, "C"))
+GRADES = ((90, "Excellent"), (75, "Good"), (60, "Fair"))
+READY = ((0.05, 0.15, "Ready"), (0.1, 0.3, "Conditionally Ready"))
+BEHAVIOUR = ("action_discontinuity", "idle_ratio")
+SIGNIFICANCE = ("high", "medium", "low", "info")
+HISTORY_PATTERNS = ("Stuck", "Frozen", "Jittery", "Inefficient", "Unusual")
 PATTERNS = ("STUCK", "FROZEN", "JITTERY", "INEFFICIENT", "UNUSUAL")
 
 
 def quantile_row(audit: DataFrame, *columns: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """metric, p05, p50, p95 of each column over the episodes that have it."""
-    got = audit.agg(*[percentiles(c, *shares).alias(c) for c in columns])
+    """metric, available, p05, p50, p95 of each column over the episodes that have it.
+
+    Exact: the closing task holds the distinct figures of all episodes, a number for each.
+    """
+    got = audit.agg(*[F.struct(F.count(c).alias("n"), percentiles(c, *shares).alias("p")).alias(c) for c in columns])
     names = [f"p{round(100 * s):02d}" for s in shares]
-    rows = [F.struct(F.lit(c).alias("metric"), *[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(names)]) for c in columns]
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(c)["n"].alias("available"), *[F.get(F.col(c)["p"], F.lit(i)).alias(n) for i, n in enumerate(names)]) for c in columns]
     return got.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+TEMPORAL_MOTION = ("dt_p50", "worst_p95", "velocity_p95", "spike_count", "idle_total", "idle_prefix_ratio", "run_p50", "run_p90", "run_max", "transitions", "valid_5", "valid_10", "valid_20")
+UTILITY = ("idle_ratio", "effective_motion_ratio", "occupancy_rate", "duration", "path_length")
+
+
+def temporal_motion_summary(audit: DataFrame) -> DataFrame:
+    """Percentiles of time steps, sensor offsets, velocity, spikes and idle structure; total is set for spikes, touched counts episodes above 0."""
+    rows = audit.withColumn("idle_prefix_ratio", F.try_divide("idle_prefix", "frames"))
+    shares = quantile_row(rows, *TEMPORAL_MOTION, shares=(0.05, 0.5, 0.95, 0.99))
+    spikes = audit.agg(F.coalesce(F.sum("spike_count"), F.lit(0).cast("long")).alias("total"), F.count_if(F.col("spike_count") > 0).alias("touched")).withColumn("metric", F.lit("spike_count"))
+    return shares.join(spikes, "metric", "left")
+
+
+def utility_summary(audit: DataFrame) -> DataFrame:
+    """Percentiles of idle and effective shares, occupied cells, duration and path length."""
+    return quantile_row(audit, *UTILITY)
+
+
 def integrity_summary(results: DataFrame) -> DataFrame:
     """available, passed, failed, na and pass_rate of each metric."""
     on = F.col("availability") == "available"
@@ -53,11 +77,25 @@ def issue_codes(results: DataFrame) -> DataFrame:
 
 
 def evidence_level(results: DataFrame) -> DataFrame:
-    """HARD_FAIL before RISK_SIGNAL before UNVERIFIABLE before NONE, by episode."""
-    on, bad = F.col("availability") == "available", ~F.col("passed")
-    hard = F.col("metric").isin(*[k for k, v in ISSUE_CODES.items() if v.startswith("INT")])
-    got = results.groupBy("ep").agg(F.bool_or(on & bad & hard).alias("h"), F.bool_or(on & bad & ~hard).alias("r"), F.bool_or(~on).alias("u"))
-    return got.select("ep", F.when(F.col("h"), "HARD_FAIL").when(F.col("r"), "RISK_SIGNAL").when(F.col("u"), "UNVERIFIABLE").otherwise("NONE").alias("evidence"))
+    """HARD_FAIL before RISK_SIGNAL before UNVERIFIABLE before NO_FINDING, by episode.
+
+    Hard: an integrity metric failed. Risk: a behavioural finding. The rest depends on metrics that are not available.
+    """
+    on = F.col("availability") == "available"
+    hard, risk = on & ~F.col("passed") & F.col("metric").isin(*CRITICAL), on & (F.col("status") == "review") & F.col("metric").isin(*BEHAVIOUR)
+    got = results.groupBy("ep").agg(F.bool_or(hard).alias("h"), F.bool_or(risk).alias("r"), F.bool_or(F.col("availability") == "not_available").alias("u"))
+    return got.select("ep", F.when(F.col("h"), "HARD_FAIL").when(F.col("r"), "RISK_SIGNAL").when(F.col("u"), "UNVERIFIABLE").otherwise("NO_FINDING").alias("evidence"))
+
+
+def evidence_summary(results: DataFrame) -> DataFrame:
+    """evidence, metric, episodes: how many failed hard or show a risk (metric null), and for how many each metric is not available."""
+    on = F.col("availability") == "available"
+    hard, risk = on & ~F.col("passed") & F.col("metric").isin(*CRITICAL), on & (F.col("status") == "review") & F.col("metric").isin(*BEHAVIOUR)
+    per = results.groupBy("ep").agg(F.bool_or(hard).alias("h"), F.bool_or(risk).alias("r")).agg(F.count_if("h").alias("h"), F.count_if("r").alias("r"))
+    row = lambda name, c: F.struct(F.lit(name).alias("evidence"), F.lit(None).cast("string").alias("metric"), F.col(c).alias("episodes"))
+    both = per.select(F.explode(F.array(row("HARD_FAIL", "h"), row("RISK_SIGNAL", "r"))).alias("x")).select("x.*")
+    off = results.filter("availability = 'not_available'").groupBy("metric").agg(F.count("*").alias("episodes"))
+    return both.unionByName(off.select(F.lit("UNVERIFIABLE").alias("evidence"), "metric", "episodes"))
 
 
 def pattern_types(audit: DataFrame) -> DataFrame:
@@ -82,35 +120,70 @@ def pattern_distribution(audit: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("episodes")) for p in PATTERNS])).alias("r")).select("r.*")
 
 
+def _history_pattern() -> Column:
+    effective, shaky = F.coalesce("effective_motion_ratio", F.lit(1.0)), F.coalesce("spike_count", F.lit(0)) > 20
+    low = effective < 0.3
+    return F.when(low & shaky, "Stuck").when(low, "Frozen").when(shaky, "Jittery").when(effective < 0.5, "Inefficient").otherwise("Unusual")
+
+
 def pattern_history(audit: DataFrame) -> DataFrame:
     """The simpler ladder that the run history uses."""
-    low, shaky = F.coalesce("effective_motion_ratio", F.lit(1.0)) < 0.3, F.coalesce("spike_count", F.lit(0)) > 20
-    return audit.select("ep", F.when(low & shaky, "Stuck").when(low, "Frozen").when(shaky, "Jittery").when(F.coalesce("effective_motion_ratio", F.lit(1.0)) < 0.5, "Inefficient").otherwise("Unusual").alias("pattern"))
+    return audit.select("ep", _history_pattern().alias("pattern"))
+
+
+def _state(name: str, field: str) -> Column:
+    """A field of one metric's result."""
+    return F.get("results", F.lit(METRICS.index(name)))[field]
+
+
+def _integrity_counts() -> list[Column]:
+    on = lambda k: _state(k, "availability") == "available"
+    return [sum((F.count_if(on(k)) for k in CRITICAL), F.lit(0)).alias("available"), sum((F.count_if(on(k) & _state(k, "passed")) for k in CRITICAL), F.lit(0)).alias("passed")]
 
 
 def quality_dimensions(audit: DataFrame) -> DataFrame:
-    """integrity, temporal, motion and consistency, 0 to 100."""
+    """integrity, temporal, motion and consistency, 0 to 100, to one digit (halves to even).
+
+    Integrity: passed of the available results of the five integrity metrics. What cannot be computed
+    takes 100, 100, 75 and 70.
+    """
     got = audit.agg(
-        (100 * F.count_if(~F.col("hard_fail")) / F.count("*")).alias("integrity"),
-        (50 + 50 * F.count_if(F.expr("time_status = 'pass'")) / F.count("*")).alias("temporal"),
-        F.coalesce(100 * F.median("effective_motion_ratio"), F.lit(75.0)).alias("motion"),
+        *_integrity_counts(),
+        F.count("*").alias("n"),
+        F.count_if(_state("timestamp_validity", "passed")).alias("timed"),
+        F.median("effective_motion_ratio").alias("moving"),
         percentiles("duration", 0.5, 0.95).alias("d"),
     )
-    spread = F.least(F.try_divide(F.col("d")[1], F.col("d")[0]) - 1, F.lit(1.0))
-    return got.select("integrity", "temporal", "motion", F.coalesce(100 * (1 - spread), F.lit(70.0)).alias("consistency"))
+    mid, high = F.col("d")[0], F.col("d")[1]
+    spread = F.when((mid > 0) & (high > 0), 100 * (1 - F.least(F.try_divide(high, mid) - 1, F.lit(1.0))))
+    dims = {
+        "integrity": F.coalesce(100 * F.try_divide("passed", "available"), F.lit(100.0)),
+        "temporal": 50 + 50 * F.coalesce(F.try_divide("timed", "n"), F.lit(1.0)),
+        "motion": F.coalesce(100 * F.col("moving"), F.lit(75.0)),
+        "consistency": F.greatest(F.coalesce(spread, F.lit(70.0)), F.lit(0.0)),
+    }
+    return got.select(*[F.bround(c, 1).alias(k) for k, c in dims.items()])
 
 
 def dataset_health(audit: DataFrame) -> DataFrame:
-    """The weighted index, its grade and training readiness (5 % / 15 % excluded, 10 % / 30 % in review)."""
-    dims, counts = quality_dimensions(audit), audit.agg(F.count("*").alias("n"), F.count_if(F.expr("verdict = 'EXCLUDE'")).alias("x"), F.count_if(F.expr("verdict = 'REVIEW'")).alias("r"))
-    both = dims.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one")
-    index = sum((F.col(k) * F.lit(w) for k, w in HEALTH_WEIGHTS.items()), F.lit(0.0))
-    grade = F.lit("D")
+    """The weighted index as a whole number, its grade, training readiness and the index after a clean-up.
+
+    Ready: fewer than 5 % excluded and 15 % in review; conditionally: 10 % and 30 %. integrity_passed is
+    the integrity results that passed, divided by the five metrics and rounded down, as reports show it.
+    """
+    counts = audit.agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(k) for v, k in zip(VERDICTS, ("passes", "review", "excluded"), strict=True)], *_integrity_counts()
+    ).withColumn("integrity_passed", F.floor(F.col("passed") / len(CRITICAL)))
+    both = quality_dimensions(audit).withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one")
+    both = both.withColumn("health", F.bround(sum((F.col(k) * F.lit(w) for k, w in HEALTH_WEIGHTS.items()), F.lit(0.0)), 0).cast("long"))
+    grade, ready = F.lit("Poor"), F.lit("Not Ready")
     for bound, name in reversed(GRADES):
         grade = F.when(F.col("health") >= bound, name).otherwise(grade)
-    x, r = F.col("x") / F.col("n"), F.col("r") / F.col("n")
-    ready = F.when((x > 0.15) | (r > 0.3), "not_ready").when((x > 0.05) | (r > 0.1), "needs_review").otherwise("ready")
-    return both.withColumn("health", index).select("n", "health", grade.alias("grade"), ready.alias("readiness"), F.least(F.lit(20.0), 30 * x).alias("gain_after_cleanup"))
+    x, r = F.coalesce(F.try_divide("excluded", "n"), F.lit(0.0)), F.coalesce(F.try_divide("review", "n"), F.lit(0.0))
+    for most_x, most_r, name in reversed(READY):
+        ready = F.when((x < most_x) & (r < most_r), name).otherwise(ready)
+    after = F.least(F.lit(100.0), F.col("health") + F.least(F.lit(20.0), 30 * x)).cast("long")
+    return both.select("n", "passes", "review", "excluded", *HEALTH_WEIGHTS, "health", grade.alias("grade"), ready.alias("readiness"), "integrity_passed", (F.col("n") - F.col("integrity_passed")).alias("integrity_failed"), after.alias("after_cleanup"))
 
 
 def health_by_verdict(audit: DataFrame) -> DataFrame:
@@ -156,13 +229,29 @@ def reason_vector(audit: DataFrame) -> DataFrame:
     return audit.select("ep", "duration", spikes.alias("spikes"), low.alias("low_motion"), (F.col("duration") + spikes + low).alias("deviation"))
 
 
-def top_observations(audit: DataFrame, n: int = 5) -> DataFrame:
-    """The dataset's ranked findings: graver first, then by the share of episodes they touch."""
+def top_observations(audit: DataFrame, n: int = 5, occupancy: bool = False) -> DataFrame:
+    """The dataset's ranked findings: graver first, then by the share of episodes they touch, then in the order listed here.
+
+    A row for each integrity metric that failed; sensor offsets (info where no episode has them);
+    spikes, high from a tenth of the episodes on; spikes of acceleration; with ``occupancy`` the
+    occupied cells, medium below a median of a tenth; idle shares of a median above 0.3.
+    """
     total = F.count("*")
-    one = lambda name, level, hits: F.struct(F.lit(level).alias("level"), (-(hits / total)).alias("less"), F.lit(name).alias("observation"), hits.alias("episodes"))
-    hits = audit.agg(F.array(one("integrity", 0, F.count_if("hard_fail")), one("action_spikes", 1, F.count_if(F.col("spike_count") > 0)), one("low_motion", 1, F.count_if(F.col("effective_motion_ratio") < 0.3)), one("duplicate_times", 2, F.count_if(F.col("time_score") < 1)), one("short_episode", 3, F.count_if(F.col("frames") < 10))).alias("r"))
-    ranked = hits.select(F.posexplode(F.array_sort(F.filter("r", lambda x: x["episodes"] > 0))).alias("rank", "r")).filter(F.col("rank") < n)
-    return ranked.select((F.col("rank") + 1).cast("long").alias("rank"), "r.observation", "r.episodes", (-F.col("r.less")).alias("ratio"))
+    one = lambda name, level, hits: F.struct(level.cast("int").alias("level"), hits.alias("episodes"), F.lit(name).alias("observation"))
+    on = lambda k: F.count_if(_state(k, "availability") == "available")
+    found = [one(k, F.when(bad > 0, 0), bad) for k in CRITICAL for bad in [F.count_if((_state(k, "availability") == "available") & ~_state(k, "passed"))]]
+    sync, spiky, rough = on("sensor_synchronization"), F.count_if(F.col("spike_count") > 0), F.count_if(F.col("acc_spikes") > 0)
+    found.append(one("sensor_synchronization", F.when(sync > 0, 1).otherwise(3), sync))
+    found.append(one("action_discontinuity", F.when(spiky > 0, F.when(spiky / total < 0.1, 1).otherwise(0)), spiky))
+    found.append(one("velocity_acceleration", F.when(rough > 0, 2), rough))
+    if occupancy:
+        found.append(one("state_space_occupancy", F.when(on("coverage") > 0, F.when(F.median("occupancy_rate") < 0.1, 1).otherwise(2)), on("coverage")))
+    found.append(one("idle_ratio", F.when(F.median("idle_ratio") > 0.3, 1), on("idle_ratio")))
+    rows = audit.agg(total.alias("n"), F.array(*found).alias("r")).filter("n > 0")
+    rows = rows.select("n", F.transform("r", lambda x, i: F.struct(x["level"].alias("level"), (-x["episodes"]).alias("less"), i.alias("place"), x["observation"].alias("observation"), x["episodes"].alias("episodes"))).alias("r"))
+    ranked = rows.select("n", F.posexplode(F.array_sort(F.filter("r", lambda x: x["level"].isNotNull()))).alias("rank", "r")).filter(F.col("rank") < n)
+    level = F.element_at(F.array(*map(F.lit, SIGNIFICANCE)), F.col("r.level") + 1)
+    return ranked.select((F.col("rank") + 1).cast("long").alias("rank"), "r.observation", level.alias("significance"), "r.episodes", (F.col("r.episodes") / F.col("n")).alias("ratio"))
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
@@ -171,11 +260,22 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 
 
 def episode_report(audit: DataFrame, results: DataFrame) -> DataFrame:
-    """verdict, severity, evidence, primary pattern of each episode beside the dataset's medians."""
+    """Each episode's report: verdict, evidence, codes, patterns, reasons, figures, what could not be judged, and the dataset's medians."""
     medians = audit.agg(F.median("duration").alias("median_duration"), F.median("spike_count").alias("median_spikes"), F.median("velocity_p95").alias("median_velocity")).withColumn("one", F.lit(1))
-    first = pattern_types(audit).filter("place = 0").select("ep", "pattern")
-    rows = audit.select("ep", "verdict", "severity").join(evidence_level(results), "ep", "left").join(first, "ep", "left")
-    return rows.withColumn("one", F.lit(1)).join(F.broadcast(medians), "one").drop("one")
+    patterns = pattern_types(audit).groupBy("ep").agg(F.max(F.when(F.col("place") == 0, F.col("pattern"))).alias("pattern"), F.max(F.when(F.col("place") == 1, F.col("pattern"))).alias("second_pattern"))
+    code = F.create_map(*[F.lit(x) for pair in ISSUE_CODES.items() for x in pair])
+    on = F.col("availability") == "available"
+    named = lambda test, what=F.col("metric"): F.concat_ws(",", F.sort_array(F.collect_set(F.when(test, what))))
+    issue = F.coalesce(F.try_element_at(code, F.col("metric")), F.lit("UNK-00"))
+    lists = results.groupBy("ep").agg(
+        named(on & ~F.col("passed"), issue).alias("issues"),
+        named(on & ~F.col("passed") & F.col("metric").isin(*CRITICAL), issue).alias("hard_fail_issues"),
+        named(on & (F.col("status") == "review") & F.col("metric").isin(*BEHAVIOUR)).alias("risk_signals"),
+        named(F.col("availability") == "not_available").alias("unverifiable"),
+    )
+    figures = audit.select("ep", "verdict", "severity", "frames", "duration", "spike_count", "effective_motion_ratio", "velocity_p95", "path_length")
+    rows = figures.join(evidence_level(results), "ep", "left").join(lists, "ep", "left").join(patterns, "ep", "left").join(reason_vector(audit).select("ep", "low_motion", "deviation"), "ep", "left")
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(medians), "one").drop("one")  # medians: one row
 
 
 def anonymized(rows: DataFrame, column: str) -> DataFrame:
@@ -203,12 +303,12 @@ def findings(audit: DataFrame) -> DataFrame:
 
 
 def trend(snapshots: DataFrame, key: str) -> DataFrame:
-    """Each run's value and its change to the run before."""
-    return snapshots.select("name", "run", F.col(key).alias("value"), (F.col(key) - F.lag(key).over(Window.partitionBy("name").orderBy("run"))).alias("change"))
-
-
-def divided(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
+    """name, run, value, change of each run in order of time: a rate, a count or any column of the snapshots, to four digits."""
+    share = lambda c: F.coalesce(F.try_divide(c, "episodes"), F.lit(0.0))
+    known = {"pass_rate": share("passes"), "review_rate": share("review"), "exclude_rate": share("excluded"), "exclude_count": F.col("excluded").cast("double"), "total_episodes": F.col("episodes").cast("double")}
+    value = known[key] if key in known else F.coalesce(F.col(key).cast("double"), F.lit(0.0)) if key in snapshots.columns else F.lit(0.0)
+    rows = snapshots.select("name", "run", F.round(value, 4).alias("value"))
+    return rows.withColumn("change", F.col("value") - F.lag("value").over(Window.partitionBy("name").orderBy("run")))
 
 
 def integrity_pass_rate(results: DataFrame) -> DataFrame:
@@ -249,6 +349,19 @@ def removal_list(table: DataFrame, decisions: DataFrame, n: int = 20) -> DataFra
 
 
 def snapshots(audit: DataFrame, name: Column, run: Column) -> DataFrame:
-    """One row per dataset and run: episodes and pass rate, as the run history keeps them."""
-    rows = audit.select(name.alias("name"), run.alias("run"), "verdict")
-    return rows.groupBy("name", "run").agg(F.count("*").alias("episodes"), F.round(F.count_if(F.col("verdict") == "PASS") / F.count("*"), 4).alias("pass_rate"))
+    """One row per dataset and run, as the run history keeps them: verdict counts, integrity, deviations, patterns and headline figures."""
+    rows = audit.withColumns({"name": name, "run": run})
+    off = F.filter("results", lambda r: r["availability"] == "available")
+    mean = F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, r: a + r["score"]), F.size(off))
+    rows = rows.withColumns({"off": 100 * (1 - mean), "pattern": _history_pattern()})
+    return rows.groupBy("name", "run").agg(
+        F.count("*").alias("episodes"),
+        *[F.count_if(F.col("verdict") == v).alias(k) for v, k in zip(VERDICTS, ("passes", "review", "excluded"), strict=True)],
+        F.round(F.count_if(~F.col("hard_fail")) / F.count("*"), 4).alias("integrity_pass_rate"),
+        F.avg("off").alias("mean_deviation_score"),
+        F.median("off").alias("median_deviation_score"),
+        *[F.count_if(F.col("pattern") == p).alias(f"n_{p.lower()}") for p in HISTORY_PATTERNS],
+        F.median("worst_p95").alias("sync_median"),
+        F.coalesce(F.sum("spike_count"), F.lit(0).cast("long")).alias("total_spikes"),
+        F.median("occupancy_rate").alias("occupancy_median"),
+    )

@@ -47,6 +47,6 @@ def summary(audit: DataFrame) -> str:
     if not counts["episodes"]:
         return "No episodes."
     lines = [f"Episodes: {counts['episodes']}", f"PASS {counts['passed']}  REVIEW {counts['review']}  EXCLUDE {counts['excluded']}  (pass rate {counts['pass_rate']:.1%})"]
-    lines.append(f"Health: {health['health']:.1f} ({health['grade']}), {health['readiness']}")
-    lines += [f"{r['rank']}. {r['observation']}: {r['episodes']} episodes ({r['ratio']:.1%})" for r in top_observations(audit).orderBy("rank").collect()]
+    lines.append(f"Health: {health['health']} ({health['grade']}), {health['readiness']}; after a clean-up {health['after_cleanup']}")
+    lines += [f"{r['rank']}. {r['observation']} ({r['significance']}): {r['episodes']} episodes ({r['ratio']:.1%})" for r in top_observations(audit).orderBy("rank").collect()]
     return "\n".join(lines)

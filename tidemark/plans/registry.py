@@ -32,6 +32,13 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.judged(verdict.scalars(_a1(spark, sf_dir)))
 
 
+def _full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the event types as sensor streams, limits of both state dimensions, and customers without events as empty episodes."""
+    limits = spark.createDataFrame([(0, 0.0, 400.0), (1, 0.0, 98.5)], "joint int, lo double, hi double")
+    wide = verdict.scalars(_a1(spark, sf_dir), adapters.event_streams(adapters.table(spark, sf_dir, "events")), limits)
+    return verdict.judged(verdict.with_empty(wide, adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ep"))))
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.metric_results(_audit(spark, sf_dir))
 
@@ -51,7 +58,14 @@ def _user_decisions(audit: DataFrame) -> DataFrame:
 
 
 def _labelled(audit: DataFrame) -> DataFrame:
-    return audit.select("ep", "verdict", export.normalise_label(F.when(F.col("ep") % 5 == 0, " remove ").otherwise("keep")).alias("label"))
+    said = F.when(F.col("ep") % 5 == 0, " bad ").when(F.col("ep") % 5 == 1, "review").otherwise("Good")
+    return audit.select("ep", "verdict", export.normalise_label(said).alias("label"))
+
+
+def _reports(audit: DataFrame) -> DataFrame:
+    """Three datasets of episodes, as reports list them."""
+    name = F.concat(F.lit("d"), (F.col("ep") % 3).cast("string"))
+    return audit.select(name.alias("dataset"), F.concat(F.lit("/r/"), name).alias("source"), "ep", "hard_fail", export.risk_points().alias("risk"))
 
 
 def _feature_names(lineitem: DataFrame) -> DataFrame:
@@ -75,38 +89,44 @@ _add("robust_z", _a1, lambda f: seq.robust(metrics.steps(f), "jump").select("ep"
 _add("action_spikes", _a1, lambda f: metrics.action_discontinuity(f).select("ep", "spike_count"))
 _add("action_discontinuity", _a1, metrics.action_discontinuity)
 _add("joint_spikes", _a2, lambda f: metrics.joint_spikes(f).withColumn("joint", F.col("joint").cast("long")))
+_add("affected_joints", _a2, lambda f: metrics.affected_joints(f).select("ep", F.array_join("joints", ",").alias("joints")))
 _add("motion_histogram", _a1, lambda f: metrics.motion_bins(f).groupBy("ep", "bin").agg(F.count("*").alias("n")))
 _add("idle_threshold", _a1, lambda f: metrics.idle_threshold(f).select("ep", "n", "method", "thr"))
 _add("idle_mask", _a1, lambda f: metrics.idle_mask(f).select("ep", "fi", "idle"))
 _add("idle_ratio", _a1, lambda f: metrics.idle_ratio(f).select("ep", "method", "thr", "idle_ratio"))
 _add("active_runs", _a1, metrics.active_runs)
-_add("temporal_sufficiency", _a1, metrics.temporal_sufficiency)
+_add("temporal_sufficiency", _a1, lambda f: metrics.temporal_sufficiency(f).drop("status"))
 _add("temporal_sufficiency_dataset", _a1, lambda f: report.quantile_row(metrics.temporal_sufficiency(f), "idle_total", "idle_prefix", "transitions", "run_p50", "run_max"))
 _add("timestamp_validity", _a3, metrics.timestamp_validity)
 _add("velocity_stats", _a1, lambda f: metrics.velocity_stats(f).select("ep", "status", "velocity_p50", "velocity_p95", "velocity_p99", "velocity_max", "acc_spikes"))
-_add("trajectory_stats", _a1, lambda f: metrics.trajectory_stats(f).select("ep", "frames", "duration", F.round("path_length", 6).alias("path_length"), F.col("end_state")[0].alias("end_v")))
+_add("trajectory_stats", _a1, lambda f: metrics.trajectory_stats(f).select("ep", "frames", "duration", F.round("path_length", 6).alias("path_length"), F.col("end_state")[0].alias("end_v"), F.round("velocity_p95", 6).alias("velocity_p95")))
 _add("coverage", _a2, metrics.coverage)
 _add("underrepresented_cells", _a2, metrics.underrepresented_cells)
 _add("missing_frames", _a1, lambda f: metrics.missing_frames(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))
+_add("missing_dropout", _a1, lambda f: metrics.missing_dropout(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))
 _add("invalid_values", _a1, lambda f: metrics.invalid_values(_corrupt(f)))
+_add("corrupt_verdict", _a1, lambda f: verdict.judged(verdict.scalars(_corrupt(f))).select("ep", "jump_status", "idle_status", "velocity_status", "coverage_status", "hard_fail", "verdict"))
 _add("joint_limit", _a2, lambda f: metrics.joint_limit(f, f.sparkSession.createDataFrame([(0, -0.1, 0.1), (1, -0.05, 0.05), (2, 0.0, 0.2)], "joint int, lo double, hi double")))
 _add("action_dim_stats", _a3, lambda f: metrics.action_dim_stats(f, 3).select("ep", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "p05", "p50", "p95", "lo", "hi"))
-_add("sensor_sync_pairs", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync_pairs(x).select("ep", "one", "two", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "offset_max", "signed_median")]))
+_add("sensor_sync_pairs", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync_pairs(x).select("ep", "one", "two", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "offset_max", "offset_mean", "offset_std", "signed_median")]))
 _add("sensor_sync", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync(x).select("ep", "pairs", F.round("worst_p95", 3).alias("worst_p95"), F.round("worst_max", 3).alias("worst_max")))
 
 _add("episode_verdict", _audit, lambda a: a.select("ep", "frames", "spike_count", "effective_motion_ratio", "severity", "verdict"))
 _add("behavior_severity", _audit, lambda a: a.groupBy("severity").agg(F.count("*").alias("episodes")))
 _add("verdict_counts", _audit, verdict.verdict_counts)
-_add("episode_audit", _results, lambda r: r.select("ep", "metric", "availability", "status", "passed", "score"))
+_add("episode_audit", _results)
+_add("episode_audit_full", _full_audit, verdict.metric_results)
+_add("episode_verdict_full", _full_audit, lambda a: a.select("ep", "frames", "severity", "hard_fail", "verdict"))
 _QUERIES["zero_frame_guard"] = lambda s, d: verdict.zero_frame_guard(adapters.table(s, d, "customer").select(F.col("c_custkey").alias("ep")), _audit(s, d))
 _add("integrity_summary", _results, report.integrity_summary)
 _add("score_distribution", _results, report.score_distribution)
 _add("failing_metrics", _results, report.failing_metrics)
 _add("issue_codes", _results, report.issue_codes)
-_add("evidence_summary", _results, lambda r: report.evidence_level(r).groupBy("evidence").agg(F.count("*").alias("episodes")))
+_add("evidence_summary", _results, report.evidence_summary)
+_add("evidence_level", _results, report.evidence_level)
 _add("deviation_stats", _results, lambda r: report.deviation_stats(r).select(F.round("mean_deviation", 6).alias("mean_deviation"), F.round("median_deviation", 6).alias("median_deviation")))
-_add("temporal_motion_summary", _audit, lambda a: report.quantile_row(a, "spike_count", "velocity_p95", "idle_ratio", "jump_p95"))
-_add("utility_summary", _audit, lambda a: report.quantile_row(a, "idle_ratio", "effective_motion_ratio", "duration"))
+_add("temporal_motion_summary", _audit, report.temporal_motion_summary)
+_add("utility_summary", _audit, report.utility_summary)
 _add("audit_summary", _audit, report.audit_summary)
 _add("pattern_type", _audit, lambda a: report.pattern_types(a).select("ep", "pattern", "place"))
 _add("pattern_distribution", _audit, report.pattern_distribution)
@@ -114,10 +134,11 @@ _add("pattern_type_history", _audit, report.pattern_history)
 _add("pattern_counts", _audit, lambda a: report.pattern_history(a).groupBy("pattern").agg(F.count("*").alias("episodes")))
 _add("deviation_heuristic", _audit, lambda a: report.reason_vector(a).select("ep", "spikes", "low_motion", F.round("deviation", 2).alias("deviation")))
 _add("quality_dimensions", _audit, report.quality_dimensions)
-_add("dataset_health", _audit, lambda a: report.dataset_health(a).withColumn("health", F.round("health", 6)))
+_add("dataset_health", _audit, report.dataset_health)
 _add("top_observations", _audit, report.top_observations)
-_QUERIES["episode_report"] = lambda s, d: report.episode_report(_audit(s, d), _results(s, d))
-_QUERIES["episode_table"] = lambda s, d: report.episode_table(_audit(s, d), _results(s, d)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6))
+_add("top_observations_full", _full_audit, lambda a: report.top_observations(a, occupancy=True))
+_add("episode_report", _audit, lambda a: report.episode_report(a, verdict.metric_results(a)))
+_add("episode_table", _audit, lambda a: report.episode_table(a, verdict.metric_results(a)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6)))
 _add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
 _add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))
 _QUERIES["spike_regions"] = lambda s, d: report.spike_regions(seq.robust(metrics.steps(_a1(s, d)), "jump").withColumn("frames", F.count("*").over(seq.whole())).filter(F.abs("z") > 5))
@@ -125,22 +146,25 @@ _QUERIES["episode_lookup"] = lambda s, d: _a1(s, d).filter("ep = 7").select("ep"
 
 _add("portable_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", *calibrate.PORTABLE))
 _add("platform_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", "velocity_p95", "velocity_max", F.round("path_length", 6).alias("path_length")))
-_add("reference_profile", _audit, lambda a: calibrate.reference_profile(calibrate.score_metrics(a).drop("path_length")))
-_add("bad_z", _audit, lambda a: _z(a.withColumn("path_length", F.lit(0.0))).select("ep", "metric", F.round("z", 9).alias("z")))
-_add("percentile_rank", _audit, lambda a: _z(a.withColumn("path_length", F.lit(0.0))).select("ep", "metric", F.round("rank", 9).alias("rank")))
-_add("rms_score", _audit, lambda a: calibrate.rms_scores(_z(a.withColumn("path_length", F.lit(0.0)))).select("ep", *[F.round(c, 6).alias(c) for c in ("portable_score", "platform_score", "combined_rms")]))
-_add("pca_covariance", _audit, lambda a: calibrate.pca_covariance(_z(a.withColumn("path_length", F.lit(0.0)))).withColumn("cov", F.round("cov", 6)))
+_add("reference_profile", _audit, lambda a: calibrate.reference_profile(calibrate.score_metrics(a)))
+_add("bad_z", _audit, lambda a: _z(a).select("ep", "metric", F.round("z", 9).alias("z")))
+_add("percentile_rank", _audit, lambda a: _z(a).select("ep", "metric", F.round("rank", 9).alias("rank")))
+_add("rms_score", _audit, lambda a: calibrate.rms_scores(_z(a)).select("ep", *[F.round(c, 6).alias(c) for c in ("portable_score", "platform_score", "combined_rms")]))
+_add("pca_covariance", _audit, lambda a: calibrate.pca_covariance(_z(a)).withColumn("cov", F.round("cov", 6)))
 _add("deviation_scores", _audit, lambda a: calibrate.deviation_scores(_z(a)))
+_add("approx_percentile", _audit, lambda a: calibrate.approx_percentile(_z(a)).withColumn("percentile", F.round("percentile", 9)))
+_add("reference_injection", _audit, lambda a: calibrate.inject(verdict.metric_results(a), _z(a)).select("ep", "metric", F.round("z", 9).alias("z"), F.round("percentile", 9).alias("percentile")))
 
 _QUERIES["export_decisions"] = lambda s, d: export.export_decisions(a := _audit(s, d), _user_decisions(a))
 _QUERIES["export_report"] = lambda s, d: export.export_report(_QUERIES["export_decisions"](s, d))
 _QUERIES["export_frames"] = lambda s, d: export.kept_frames(_a1(s, d).select("ep", "fi"), _QUERIES["export_decisions"](s, d))
 _add("risk_score", _audit, export.risk_score)
 _add("stable_sample", _audit, lambda a: export.stable_sample(a, 20, "salt", "a1"))
-_add("blind_sample", _audit, lambda a: export.blind_sample(a, 12, "salt", "a1"))
+_add("blind_sample", _audit, lambda a: export.blind_sample(_reports(a), 6))
 _add("qc_normalise", _audit, lambda a: _labelled(a).select("ep", "label"))
 _add("qc_confusion", _audit, lambda a: export.confusion(_labelled(a)))
-_add("qc_metrics", _audit, lambda a: export.label_metrics(_labelled(a)))
+_add("qc_metrics", _audit, lambda a: export.label_metrics(_labelled(a).withColumn("seconds", (F.col("ep") % 7).cast("double"))))
+_add("export_custom", _audit, lambda a: export.export_decisions(a, _user_decisions(a), remove=("REVIEW",), stored=a.sparkSession.range(0, 400, 2).select(F.col("id").alias("ep"))))
 
 _add("idle_prefix", _a1, lambda f: metrics.temporal_sufficiency(f).select("ep", "idle_prefix"))
 _add("idle_transitions", _a1, lambda f: metrics.temporal_sufficiency(f).select("ep", "transitions"))
@@ -154,7 +178,7 @@ _add("reference_medians", _audit, report.reference_medians)
 _QUERIES["validation_records"] = lambda s, d: report.validation_records(_QUERIES["zero_frame_guard"](s, d))
 _QUERIES["episode_csv"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a))
 _QUERIES["review_queue"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a), "REVIEW", "EXCLUDE").select("ep", "verdict", "issue_severity")
-_QUERIES["removal_list"] = lambda s, d: report.removal_list(_QUERIES["episode_table"](s, d), export.export_decisions(a := _audit(s, d), _user_decisions(a), "aggressive"))
+_add("removal_list", _audit, lambda a: report.removal_list(report.episode_table(a, verdict.metric_results(a)).withColumn("issue_severity", F.round("issue_severity", 6)), export.export_decisions(a, _user_decisions(a), "aggressive")))
 _add("audit_trend", _audit, lambda a: report.trend(report.snapshots(a, F.lit("a1"), F.col("ep") % 5), "pass_rate").withColumns({"value": F.round("value", 4), "change": F.round("change", 4)}))
 _QUERIES["score_summary"] = lambda s, d: calibrate.score_summary(_QUERIES["rms_score"](s, d))
 

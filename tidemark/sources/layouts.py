@@ -9,14 +9,29 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_FPS = 50.0
+PICTURES = ("image", "video")
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def load_info(spark: SparkSession, path: str) -> dict:
-    """``meta/info.json``: one small file."""
+    """``meta/info.json``: one small file; FileNotFoundError without it."""
+    if not _there(spark, f"{path}/meta/info.json"):
+        raise FileNotFoundError(f"{path}/meta/info.json")
     return json.loads(spark.read.text(f"{path}/meta/info.json", wholetext=True).first()[0])
 
 
@@ -36,42 +51,89 @@ def feature_keys(spark: SparkSession, info: dict) -> DataFrame:
     return rows.select(feature_kind(F.col("name")).alias("kind"), feature_label(F.col("name")).alias("label")).filter("kind is not null")
 
 
-def layout_version(info: dict) -> str:
-    return "v2.1" if str(info.get("codebase_version", "")).lower().lstrip("v").startswith("2") else "v3.0"
+def profile(info: dict) -> dict:
+    """robot, dof, fps and tasks as the metadata say; dof is else the number of action features, a missing fps is not guessed."""
+    actions = [k for k in info.get("features") or {} if k == "action" or k.startswith("action.")]
+    dof = int(info.get("action_dim") or info.get("dof") or len(actions)) if actions else 0
+    return {"robot": info.get("robot_type") or info.get("robot") or "unknown", "dof": dof, "fps": float(info["fps"]) if info.get("fps") else None, "tasks": int(info.get("total_tasks") or info.get("num_tasks") or 0)}
+
+
+def layout_version(info: dict, spark: SparkSession | None = None, path: str | None = None) -> str:
+    """By ``codebase_version``; without one by which metadata are there, v3.0 if none are."""
+    said = str(info.get("codebase_version", "")).lower().lstrip("v")
+    if said.startswith("2"):
+        return "v2.1"
+    if not said.startswith("3") and spark is not None and _there(spark, f"{path}/meta/episodes.jsonl"):
+        return "v2.1"
+    return "v3.0"
+
 
+def episodes_meta(spark: SparkSession, path: str, version: str, most: int | None = None) -> DataFrame:
+    """One row per episode, the first ``most`` as stored; a file pointer in it is not used, so a stale one does no harm.
 
-def episodes_meta(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """One row per episode; a file pointer in it is not used, so a stale one does no harm."""
-    if version == "v2.1":
-        return spark.read.json(f"{path}/meta/episodes.jsonl")
-    return spark.read.parquet(f"{path}/meta/episodes/chunk-*/*.parquet")
+    Metadata that are missing or empty are an error.
+    """
+    where = f"{path}/meta/episodes.jsonl" if version == "v2.1" else f"{path}/meta/episodes/chunk-*/*.parquet"
+    if not _there(spark, where):
+        raise FileNotFoundError(where)
+    rows = spark.read.json(where) if version == "v2.1" else spark.read.parquet(where)
+    if "episode_index" not in rows.columns or rows.isEmpty():
+        raise ValueError(f"{where} lists no episodes")
+    if most is None:
+        return rows
+    stored = [F.monotonically_increasing_id()] if version == "v2.1" else [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    order = [c.alias(f"_order{i}") for i, c in enumerate(stored)]
+    return rows.select("*", *order).orderBy(*[f"_order{i}" for i in range(len(order))]).limit(most).select(*[f"`{c}`" for c in rows.columns])
+
+
+def kept_columns(raw: DataFrame) -> dict[str, str]:
+    """name and type of the columns that reach the scan: frame data and observations that are no pictures."""
+    wanted = lambda c: c in ("episode_index", "timestamp", "action", "next.reward", "next.done") or c.startswith("action.") or (c.startswith("observation.") and not any(p in c.lower() for p in PICTURES))
+    return {c: t for c, t in raw.dtypes if wanted(c)}
 
 
 def read_frames(spark: SparkSession, path: str, info: dict) -> DataFrame:
-    """ep, fi, t, action, state of all frames; image and video columns never reach the scan."""
-    version, fps = layout_version(info), float(info.get("fps") or DEFAULT_FPS)
+    """ep, fi, t, action, state of all frames in the order they are stored, reward and done where there are any.
+
+    action is ``action`` or else all ``action.*`` side by side. A state that is one number a frame is no
+    vector: state is null. cells, nan_cells and inf_cells count the other numeric features. Picture
+    columns never reach the scan.
+    """
+    version, fps = layout_version(info, spark, path), float(info.get("fps") or DEFAULT_FPS)
     raw = spark.read.parquet(f"{path}/data/chunk-*/*.parquet")
+    kept = kept_columns(raw)
     name = lambda c: F.col(f"`{c}`")
-    if version == "v2.1":
-        ep = F.regexp_extract(F.col("_metadata.file_path"), r"episode_(\d+)", 1).cast("long")
-    else:
-        ep = name("episode_index").cast("long")
-    vector = lambda c: name(c).cast("array<double>") if dict(raw.dtypes)[c].startswith("array") else F.array(name(c).cast("double"))
-    parts = ["action"] if "action" in raw.columns else sorted(c for c in raw.columns if c.startswith("action."))
+    from_path = F.regexp_extract(F.col("_metadata.file_path"), r"episode_(\d+)", 1).cast("long")
+    ep = from_path if version == "v2.1" else name("episode_index").cast("long")
+    vector = lambda c: name(c).cast("array<double>") if kept[c].startswith("array") else F.array(name(c).cast("double"))
+    parts = ["action"] if "action" in kept else sorted(c for c in kept if c.startswith("action."))
     action = F.concat(*[vector(c) for c in parts]) if parts else F.lit(None).cast("array<double>")
-    state = vector("observation.state") if "observation.state" in raw.columns else F.lit(None).cast("array<double>")
-    order = name("frame_index") if "frame_index" in raw.columns else name("timestamp") if "timestamp" in raw.columns else F.monotonically_increasing_id()
-    time = name("timestamp").cast("double") if "timestamp" in raw.columns else F.lit(None).cast("double")
-    rows = raw.select(ep.alias("ep"), order.alias("order"), time.alias("t"), action.alias("action"), state.alias("state"))
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("fi", F.row_number().over(Window.partitionBy("ep").orderBy("order")) - 1)
-    return rows.select("ep", "fi", F.coalesce("t", F.col("fi") / F.lit(fps)).alias("t"), "action", "state")
+    has_state = kept.get("observation.state", "").startswith("array")
+    state = vector("observation.state") if has_state else F.lit(None).cast("array<double>")
+    time = name("timestamp").cast("double") if "timestamp" in kept else F.lit(None).cast("double")
+    others = [c for c, t in kept.items() if c.startswith("observation.") and not (has_state and c == "observation.state") and t.removeprefix("array<").removesuffix(">") in NUMBERS]
+    values = F.concat(*[F.coalesce(vector(c), F.array().cast("array<double>")) for c in others]) if others else F.array().cast("array<double>")
+    count = lambda test: F.size(F.filter(values, test)).cast("long")
+    more = {"cells": F.size(values).cast("long"), "nan_cells": count(F.isnan), "inf_cells": count(lambda x: F.abs(x) == float("inf"))}
+    more |= {k: name(f"next.{k}") for k in ("reward", "done") if f"next.{k}" in kept}
+    rows = raw.select(ep.alias("ep"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), time.alias("t"), action.alias("action"), state.alias("state"), *[c.alias(k) for k, c in more.items()])
+    rows = rows.withColumn("fi", F.row_number().over(Window.partitionBy("ep").orderBy("file", "row")) - 1)
+    return rows.select("ep", "fi", F.coalesce("t", F.col("fi") / F.lit(fps)).alias("t"), "action", "state", *more)
 
 
 def ragged_episodes(frames: DataFrame) -> DataFrame:
-    """Episodes whose action has more than one width: they are skipped."""
-    return frames.groupBy("ep").agg(F.count_distinct(F.size("action")).alias("widths")).filter("widths > 1").select("ep")
+    """Episodes whose action or state has more than one width: they are skipped."""
+    widths = frames.groupBy("ep").agg(*[(F.min(F.size(c)) != F.max(F.size(c))).alias(c) for c in ("action", "state")])
+    return widths.filter("action or state").select("ep")
+
+
+def skipped_episodes(frames: DataFrame, meta: DataFrame, version: str) -> DataFrame:
+    """ep, reason of the episodes that an audit leaves out: ragged ones and, in v2.1, those of ``meta`` (ep) without a file."""
+    ragged = ragged_episodes(frames).withColumn("reason", F.lit("ragged"))
+    if version != "v2.1":
+        return ragged
+    absent = meta.select("ep").distinct().join(frames.select("ep").distinct(), "ep", "left_anti")
+    return ragged.unionByName(absent.withColumn("reason", F.lit("missing file")))
 
 
 def dataset_info(meta: DataFrame, info: dict) -> DataFrame:
