@@ -3,8 +3,9 @@
 An Aho-Corasick automaton finds the anchors: at-signs, plus signs, digits, URL schemes and
 identifier cues. From each anchor a deterministic local parser grows the span to both sides and
 validates it. Base kinds are email, ip, card and phone (leftmost, non-overlapping per kind, failing
-matches dropped without a retry); the anchors add ``account`` (a value named by an identifier cue)
-and ``url`` (an address with credentials).
+matches dropped without a retry); the anchors add ``account`` (a value named by an identifier cue in
+any case, checked by what the cue says: IBAN by its check number, SSN by its ranges, others by length
+and digits) and ``url`` (an address with credentials). Every parser is linear in the text.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"(?:[\x20_-]?(?:number|no|id|key))?[\x20.:=#\"']{1,6}([A-Za-z0-9][A-Za-z0-9-]{5,63})(?![A-Za-z0-9-])")
-_AUTHORITY = re.compile(r"[^\s/?#@\"'<>]+:[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+_LEAD = re.compile(r"(?:[\x20_-]?(?:number|no|id|key))?+[\x20.:=#\"']{1,6}+", re.I)
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{5,63}+(?![A-Za-z0-9-])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([\x20-]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9-])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", re.I)
+# The user part ends at the first colon and every part is possessive, so a failed match costs its own length only.
+_AUTHORITY = re.compile(r"[^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++@[A-Za-z0-9.-]++(?::[0-9]++)?+[^\s\"'<>]*+")
+_LENGTHS = {"passport": (6, 9), "account": (6, 34), "acct": (6, 34)}
+_FOLD = {c: c + 32 for c in range(65, 91)}
 _DOUBLED = tuple(int(c) for c in "0246813579")
 
 
@@ -40,8 +47,7 @@ def _automaton():
     for anchor, kind in [("@", 0), ("+", 1), *((d, 2) for d in "0123456789"), ("://", 3)]:
         found.add_word(anchor, (kind, len(anchor)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (4, len(form)))
+        found.add_word(cue, (4, len(cue)))
     found.make_automaton()
     return found
 
@@ -53,11 +59,42 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest run of 15 to 34 letters and digits from ``at``, single spaces allowed, whose check number (mod 97) is right."""
+    if not (m := _IBAN.match(text, at)):
+        return None
+    end = m.end()
+    while end > at:
+        code = text[at:end].replace(" ", "").upper()
+        if len(code) < 15:
+            return None
+        whole = end == len(text) or not (text[end].isascii() and text[end].isalnum())
+        if whole and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return at, end
+        end -= 2 if text[end - 2] == " " else 1
+    return None
+
+
+def _account(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """The value that a cue ending at ``at`` names, checked by what the cue says it is; four digits at least."""
+    if not (lead := _LEAD.match(text, at)):
+        return None
+    at = lead.end()
+    if cue == "iban":
+        return _iban(text, at)
+    if not (m := (_SSN if cue == "ssn" else _VALUE).match(text, at)):
+        return None
+    least, most = _LENGTHS.get(cue, (6, 64))
+    fits = cue == "ssn" or (least <= len(m.group()) <= most and sum("0" <= c <= "9" for c in m.group()) >= 4)
+    return m.span() if fits else None
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in code points, end exclusive, by start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = ip_end = card_end = phone_end = account_end = 0
-    for last, (kind, size) in _automaton().iter(text):
+    email_end = ip_end = card_end = phone_end = account_end = url_end = 0
+    folded = text.translate(_FOLD)
+    for last, (kind, size) in _automaton().iter(folded):
         at = last - size + 1
         if kind == 2:
             if at >= card_end:
@@ -88,16 +125,16 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                     spans["phone"].append(m.span())
         elif kind == 3:
-            if m := _AUTHORITY.match(text, last + 1):
+            if at >= url_end and (m := _AUTHORITY.match(text, last + 1)):
                 start = at
-                while start and text[start - 1].isascii() and text[start - 1].isalnum():
+                while start > url_end and text[start - 1].isascii() and text[start - 1].isalnum():
                     start -= 1
-                if start < at and (not spans["url"] or start >= spans["url"][-1][1]):
-                    spans["url"].append((start, m.end()))
-        elif at >= account_end and (at == 0 or not text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-            if sum("0" <= c <= "9" for c in m.group(1)) >= 4:
-                account_end = m.end()
-                spans["account"].append(m.span(1))
+                if start < at:
+                    url_end = m.end()
+                    spans["url"].append((start, url_end))
+        elif at >= account_end and (at == 0 or not text[at - 1].isalnum()) and (span := _account(text, folded[at : last + 1], last + 1)):
+            account_end = span[1]
+            spans["account"].append(span)
     return spans
 
 
