@@ -47,13 +47,14 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) against ``benchmark`` (item_id, text).
 
     doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 (ids
     sorted as strings), contaminated (n_hit > 0 and at least 5 % of the words). Null texts have no
     words; items without words or without an id occur nowhere; repeated rows are all returned; null
-    doc_ids pass through; other columns are ignored; an empty benchmark hits nothing.
+    doc_ids pass through; other columns are ignored; an empty benchmark hits nothing. ``with_hash`` adds
+    text_hash (xxhash64 of the text), which with doc_id says what was judged.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
@@ -74,11 +75,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     near = docs.alias("d").join(bounded_broadcast(hits).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.th") == F.col("k.th")), "left_semi")
     places = near.select("doc_id", "th", F.explode(let(_word_hashes(F.col("text")), lambda h: _windows(h, lengths))).alias("w"))
-    found = places.select("doc_id", "th", "w.pos", "w.len", "w.hash").join(bounded_broadcast(windows), ["len", "hash"])
-    spans = F.sort_array(F.collect_set(F.struct("pos", "len")))
-    found = found.groupBy("doc_id", "th").agg(spans.alias("spans"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-    found = found.select("doc_id", "th", _covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"))
-    found = materialize(found, "found")
+    # A window is looked up once for each place, its items once for each document that has it.
+    kinds = bounded_broadcast(materialize(windows.select("len", "hash").distinct(), "kinds"))
+    found = places.select("doc_id", "th", "w.pos", "w.len", "w.hash").join(kinds, ["len", "hash"])
+    spans, hit = F.sort_array(F.collect_set(F.struct("pos", "len"))), F.collect_set(F.struct("len", "hash"))
+    found = materialize(found.groupBy("doc_id", "th").agg(spans.alias("spans"), hit.alias("hit")), "spans")
+    ids = found.select("doc_id", "th", F.explode("hit").alias("w")).select("doc_id", "th", "w.len", "w.hash").join(bounded_broadcast(windows), ["len", "hash"])
+    ids = ids.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    found = found.select("doc_id", "th", _covered(F.col("spans")).alias("n_hit")).alias("s").join(ids.alias("i"), F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.th").eqNullSafe(F.col("i.th"))))
+    found = materialize(found.select("s.doc_id", "s.th", "n_hit", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids")), "found")
 
     out = base.select("doc_id", "th", "n_words").alias("b").join(bounded_broadcast(found).alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.th") == F.col("f.th")), "left")
     n_hit = F.coalesce("f.n_hit", F.lit(0).cast("long"))
@@ -89,6 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("f.n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("f.ids", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *([F.col("b.th").alias("text_hash")] if with_hash else []),
     )
 
 
