@@ -1,9 +1,11 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's features are its byte-class bigram counts and a few shape figures. A bounded sample of
-labelled rows (``SAMPLE`` at most) gives a truncated SVD and the labelled vectors, which are sent to
-all tasks. Every whole text is projected and compared with all of them by exact cosine products,
-block by block; its nearest neighbours vote with their similarity as weight.
+A text's terms are its words (hashed to ``TERMS`` places, weighted by their rarity in the sample) and
+its byte-class bigrams, which stand for words not seen before; a few shape figures join them. A
+bounded sample of labelled rows (``SAMPLE`` at most) gives the rarities, a truncated SVD and the
+labelled vectors, which are sent to all tasks. Every whole text is projected and compared with all of
+them by exact cosine products, block by block; its nearest neighbours, ties by the smaller doc_id,
+vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ SHARPNESS = 8
 BLOCK = 512
 _CLASSES = 64
 SHAPES = 8
-WIDTH = _CLASSES * _CLASSES + SHAPES
+TERMS = 1 << 11
+TERM_WEIGHT = 0.5
+WIDTH = TERMS + _CLASSES * _CLASSES + SHAPES
 
 
 def _byte_classes() -> np.ndarray:
@@ -51,7 +55,7 @@ _CLASS = _byte_classes()
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of ``WIDTH`` features for each text: square roots of bigram shares, then shape figures."""
+    """A row of ``WIDTH`` features for each text: square roots of word and of bigram shares, then shape figures."""
     n = len(offsets) - 1
     out = np.zeros((n, WIDTH), np.float32)
     cls = _CLASS[data]
@@ -63,10 +67,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             continue
         c = cls[a:b]
         pair = np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
-        out[i, :-SHAPES] = np.sqrt(pair / max(1, pair.sum()))
+        out[i, TERMS:-SHAPES] = np.sqrt(pair / max(1, pair.sum()))
         one = np.bincount(c, minlength=_CLASSES) / (b - a)
         lo, hi = first[i], first[i + 1]
         m = hi - lo
+        term = np.bincount((hashes[lo:hi] & np.uint64(TERMS - 1)).astype(np.int64), minlength=TERMS)
+        out[i, :TERMS] = np.sqrt(term / max(1, m))
         grams = hashes[lo : hi - 2] + 3 * hashes[lo + 1 : hi - 1] + 9 * hashes[lo + 2 : hi] if m > 2 else np.zeros(0, np.uint64)
         repeated = 1 - len(np.unique(grams)) / len(grams) if len(grams) else 0.0
         length = (ends[lo:hi] - starts[lo:hi]).mean() if m else 0.0
@@ -75,14 +81,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class NeighbourModel:
-    """Projection, labelled unit vectors and labels; a prior for texts without features."""
+    """Projection, labelled unit vectors and labels; a prior for texts without features. ``rows`` are taken over and changed."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 0.5
+        seen = (rows[:, :TERMS] > 0).sum(0)
+        rarity = np.log((1 + len(rows)) / (1 + seen)) / max(np.log(1 + len(rows)), 1.0)
+        self.scale = np.concatenate((TERM_WEIGHT * rarity, np.ones(WIDTH - TERMS))).astype(np.float32)
+        rows *= self.scale  # in place: the rows are the largest thing on the driver
         self.mean = rows.mean(0) if len(rows) else np.zeros(WIDTH, np.float32)
+        rows -= self.mean
         self.labels = labels.astype(np.float32)
-        self.basis = self._basis(rows - self.mean)
-        self.vectors = self.project(rows)
+        self.basis = self._basis(rows)
+        self.vectors = self._unit(rows)
 
     @staticmethod
     def _basis(rows: np.ndarray) -> np.ndarray:
@@ -97,7 +108,11 @@ class NeighbourModel:
         return (q @ v[:k].T).astype(np.float32)
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        v = (rows - self.mean) @ self.basis
+        """Unit vectors of rows of features."""
+        return self._unit(rows * self.scale - self.mean)
+
+    def _unit(self, centred: np.ndarray) -> np.ndarray:
+        v = centred @ self.basis
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -108,9 +123,11 @@ class NeighbourModel:
         for at in range(0, len(rows), BLOCK):
             block = rows[at : at + BLOCK]
             cosine = self.project(block) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS
-            vote = (weight * self.labels[near]).sum(1) / weight.sum(1)
+            least = np.partition(cosine, -k, axis=1)[:, -k, None]
+            above, tied = cosine > least, cosine == least
+            near = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True)))
+            weight = np.where(near, np.maximum(cosine, 1e-3) ** SHARPNESS, 0)
+            vote = (weight * self.labels).sum(1) / weight.sum(1)
             full = np.abs(block).sum(1) > 0
             out[at : at + BLOCK][full] = vote[full]
         return np.clip(out, 0.0, 1.0)
