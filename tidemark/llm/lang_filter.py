@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import materialize
 from tidemark.llm.textkit import mix, string_slices
 
 # Labelled rows learned from, for each language about so many (by hash of the id).
@@ -101,7 +102,7 @@ def fit(docs: DataFrame) -> LanguageFilter:
                 codes, n = np.unique(np.concatenate([c for k, c in parts if k == lang]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(codes) + 1)), pa.array(np.append(codes.astype(np.int64), -1)), pa.array(np.append(n, langs.count(lang)))], ["lang", "gram", "n"])
 
-    found = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = materialize(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     texts = {r["lang"]: r["n"] for r in found.filter("gram = -1").collect()}
     if not texts:
         return LanguageFilter(languages, np.zeros(0, np.uint64), np.zeros(0, np.int64))
