@@ -1,16 +1,21 @@
 """Token counts of whole texts with a public tokenizer file.
 
 Huge texts are encoded in overlapping chunks with offsets. Two neighbours are spliced at a boundary
-that both encodings have, that is proven stable (a word end before white space: no pre-token holds a
-non-space before a space), and after which both agree to the overlap's end. If no such boundary lies
-in the overlap it is doubled, at most to the text's end. Other texts are cut at the same stable
-boundaries, and each distinct piece is encoded once for each task.
+that both encodings have, that is proven stable, and after which both agree to the overlap's end. If
+no such boundary lies in the overlap it is doubled, at most to the text's end. Other texts are cut at
+the same stable boundaries, and each distinct piece is encoded once for each task.
+
+Stable is the end of a word before ASCII white space, if the word's last character cannot be white
+space itself: a byte-level pre-tokenizer has no token with a non-space before a space. A tokenizer of
+any other make (see ``_cuttable``) has no proof, so its texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from bisect import bisect_right
 from functools import cache
 
 import pyarrow as pa
@@ -25,10 +30,11 @@ HUGE_CHARS = 4 * CHUNK_CHARS
 CACHE_PIECES = 300_000
 TOKEN_LIMIT = 512
 
-_PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-# Other characters that a tokenizer may take as white space: such texts are not cut.
+# Other characters that a tokenizer may take as white space: no boundary right after them.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _SPACES = frozenset(" \t\n\r\x0b\x0c")
+_S, _R = r" \t\n\r\x0b\x0c", _RARE_SPACE.pattern[1:-1]
+_PIECE = re.compile(f"[{_S}]*+(?:[^{_S}{_R}]++|[{_R}][{_S}{_R}]*+)++|[{_S}]++")
 
 
 @cache
@@ -39,27 +45,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _cuttable(path: str) -> bool:
+    """Whether the file is plain byte-level BPE: no normalizer, the usual split, no prefix space, no added token with or beside white space."""
+    said = json.loads(_tokenizer(path).to_str())
+    split, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = said.get("normalizer") is None and model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    alone = all(not (t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"])) for t in said.get("added_tokens") or [])
+    return bool(plain and alone)
+
+
 def _ends(tokenizer, text: str) -> list[int]:
     return [e for _, e in tokenizer.encode(text, add_special_tokens=False).offsets]
 
 
 def _stable(text: str, at: int) -> bool:
-    return text[at] in _SPACES and text[at - 1] not in _SPACES
+    return text[at] in _SPACES and text[at - 1] not in _SPACES and not _RARE_SPACE.match(text[at - 1])
 
 
 def splice(text: str, left: list[int], right: list[int], lo: int, hi: int) -> int | None:
     """The first stable boundary in (lo, hi) from which both lists of token ends agree up to hi's last stable one."""
-    marks = [p for p in range(lo + 1, hi) if _stable(text, p)]
-    if not marks:
+    one, two = ([e for e in ends if lo < e < hi] for ends in (left, right))
+    both = set(one) & set(two)
+    last = next((p for p in range(hi - 1, lo, -1) if p in both and _stable(text, p)), None)
+    if last is None:
         return None
-    inside_l, inside_r = set(left), set(right)
-    last = next((p for p in reversed(marks) if p in inside_l and p in inside_r), None)
-    for p in marks:
-        if last is None or p > last:
-            return None
-        if p in inside_l and p in inside_r and [e for e in left if p < e <= last] == [e for e in right if p < e <= last]:
-            return p
-    return None
+    found, i, j = last, bisect_right(one, last) - 1, bisect_right(two, last) - 1
+    while i >= 0 and j >= 0 and one[i] == two[j]:  # back as far as both agree, token by token
+        if _stable(text, one[i]):
+            found = one[i]
+        i, j = i - 1, j - 1
+    return found
 
 
 def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
@@ -92,14 +108,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     """
 
     def count(batches):
-        tokenizer, known = _tokenizer(path), {}
+        tokenizer, known, may_cut = _tokenizer(path), {}, _cuttable(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 whole, cut = {}, {}
                 for i, text in enumerate(texts):
-                    if _RARE_SPACE.search(text):
+                    if not may_cut:
                         whole[i] = len(tokenizer.encode(text, add_special_tokens=False).ids)
                     elif len(text) > HUGE_CHARS:
                         whole[i] = count_huge(tokenizer, text)
