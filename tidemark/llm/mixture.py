@@ -66,9 +66,11 @@ def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
     rows of their own. Null ids pass through, other columns are ignored, no rows give no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    sized = materialize(sized.withColumn("key", F.substring(key, 1, 15)), "sizes")
+    # The text is part of the key, so that rows without an id, or with one id, are dealt to all strata.
+    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)), 256)
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.substring(key, 1, 15).alias("key"))
+    sized = materialize(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sums = materialize(sums, "sources")
     targets = water_fill(sums.select("source", "source_size")).withColumnRenamed("source", "of")
@@ -89,7 +91,7 @@ def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 MIXTURE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size,
-                  substr(sha256('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS "key" FROM {docs}),
+                  substr(sha256('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS "key" FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, count(*) n_docs FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END weight, 2 * source_size cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source IS NULL, source) r FROM w),
