@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import class_lm, decontam, host_rules, lang_filter, mixture, ngram_join, pii, quality_knn, token_resync, warc
 
@@ -287,3 +288,137 @@ def test_token_counts(docs, empty, rows):
     for s in ("a" * 3000 + " b", "x y\n\n  z" * 900, "é" * 300 + "  \n" * 800 + "it's <|endoftext|> ok" * 90):
         for chunk, overlap in ((1000, 16), (300, 2)):
             assert token_resync.count_huge(plain, s, chunk, overlap) == len(plain.encode(s).ids)
+
+
+def test_added_spans_by_brute_force():
+    url = re.compile(r"[A-Za-z0-9]+://[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+    rng = random.Random(8)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["a", "b1", ":", "/", "://", "@", ".", " ", "é", "#"]) for _ in range(rng.randint(0, 14)))
+        assert pii.find_spans(t)["url"] == [m.span() for m in url.finditer(t)], t
+
+
+def test_accounts_are_checked_by_what_the_cue_says():
+    said = {
+        "IBAN: DE89 3704 0044 0532 0130 00 and more": "DE89 3704 0044 0532 0130 00",
+        "iban GB82WEST12345698765432.": "GB82WEST12345698765432",
+        "IBAN DE88370400440532013000": None,
+        "SSN: 123-45-6789": "123-45-6789",
+        "ssn 000-45-6789": None,
+        "Passport no. X1234567": "X1234567",
+        "passport 12345678901": None,
+        "API_Key = 12ab34cd": "12ab34cd",
+        "Account number: 00123456": "00123456",
+        "account of the year": None,
+        "mytoken: 12345678": None,
+        "İİ Token: 12345678": "12345678",
+    }
+    for text, want in said.items():
+        assert [text[a:b] for a, b in pii.find_spans(text)["account"]] == ([want] if want else []), text
+
+
+def test_parsers_take_time_in_proportion(capsys):
+    import time
+
+    for unit in ("a:", "x://a:", "iban DE89 3704 0044 ", "a.a@", "+1(", "1-", "1.", "token:a"):
+        times = []
+        for n in (20_000, 80_000):
+            text = "x://" + unit * n
+            began = time.perf_counter()
+            pii.find_spans(text)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 10 * times[0] + 0.5, unit
+
+
+def test_tokens_of_texts_with_rare_spaces(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public.path("byte_bpe_50k.json"))
+    plain, rng = Tokenizer.from_file(path), random.Random(9)
+    parts = ["a", "it's", " ", "  ", "\u00a0", "\u200b", "\ufeff", "\n", "é", "12", ",", "<|endoftext|>", "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    texts += ["".join(rng.choice(parts) for _ in range(90_000))]
+    assert token_resync._cuttable(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_resync.count_tokens(df, path).collect()}
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public.path("word_bpe_49k.json"))
+    assert not token_resync._cuttable(path)
+    df = spark.createDataFrame([(1, "Hello  World it's"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_resync.count_tokens(df, path).collect()}
+    assert got == {1: len(Tokenizer.from_file(path).encode("Hello  World it's", add_special_tokens=False).ids), 2: 0}
+
+
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(3)
+    rows = rng.random((60, quality_knn.WIDTH)).astype(np.float32)
+    rows[30:40] = rows[20:30]  # ties
+    labels = rng.integers(0, 2, 60)
+    model = quality_knn.NeighbourModel(rows.copy(), labels)
+    queries = np.concatenate((rows[:25], rng.random((7, quality_knn.WIDTH)).astype(np.float32), np.zeros((1, quality_knn.WIDTH), np.float32)))
+    got = model.scores(queries)
+    cosine = model.project(queries) @ model.vectors.T
+    for q in range(len(queries) - 1):
+        near = sorted(range(60), key=lambda i: (-cosine[q, i], i))[: quality_knn.NEIGHBOURS]
+        weight = [max(cosine[q, i], 1e-3) ** quality_knn.SHARPNESS for i in near]
+        assert got[q] == pytest.approx(sum(w * labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), rel=1e-4)
+    assert got[-1] == model.prior
+    assert np.allclose(np.linalg.norm(model.vectors, axis=1), 1, atol=1e-4)
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = quality_knn.score_quality(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert len(got) > 500 and (got.predicted == got.quality).mean() > 0.97
+
+
+def test_filters_by_exact_sets():
+    rng = random.Random(2)
+    codes = {k: {rng.randrange(1 << 32) for _ in range(n)} for k, n in ((0, 3000), (1, 9000), (2, 50))}
+    flat = np.array([c for k in codes for c in codes[k]], np.int64)
+    langs = np.array([k for k in codes for _ in codes[k]], np.int64)
+    model = lang_filter.LanguageFilter(["a", "b", "c"], flat, langs)
+    one, two = lang_filter._slots(flat.astype(np.uint64))
+    both = model.tables[0][one] & model.tables[0][two]
+    assert all(int(both[i]) >> int(k) & 1 for i, k in enumerate(langs))  # no gram is lost
+    rng2 = np.random.default_rng(5)
+    other = rng2.integers(1 << 33, 1 << 34, 400_000).astype(np.uint64)
+    a, b = lang_filter._slots(other)
+    for k in range(3):
+        rate = float((((model.tables[0][a] & model.tables[0][b]) >> np.uint64(k)) & np.uint64(1)).mean())
+        assert rate == pytest.approx(model.false[k], rel=0.15, abs=2e-4)  # the rate that counts are corrected by
+    text = b"the house and the garden"
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    code, whole = lang_filter.grams(data, offsets)
+    own = lang_filter.LanguageFilter(["x", "y"], code[whole].astype(np.int64), np.zeros(int(whole.sum()), np.int64))
+    counts = own.counts(data, offsets)[0]
+    assert counts[0] == pytest.approx(whole.sum(), rel=1e-6) and counts[1] == 0
+
+
+def test_a_failing_host_takes_its_documents_along(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, "x y z", "bad") for i in range(60)] + [(100, good, "bad")] + [(200 + i, good, "fine") for i in range(30)] + [(300, "x y", "fine"), (400, good, None)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in host_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == (True, False) and got[100] == (False, False) and got[200] == (False, True) and got[300] == (True, False) and got[400] == (False, True)
+
+
+def test_null_and_repeated_ids_come_back_row_by_row(spark, docs):
+    odd = docs.filter("doc_id in (7, 8, 9, 12)")
+    odd = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(8, 1, 0), (9, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "two words here")], "item_id long, text string")
+    for rows in (decontam.contamination(odd, bench), quality_knn.score_quality(odd, labels), host_rules.quality_rules(odd), lang_filter.identify(odd), mixture.mix_sources(odd), class_lm.score_texts(odd), pii.scan_pii(odd), ngram_join.near_duplicates(odd)):
+        ids = collections.Counter(r.doc_id for r in rows.select("doc_id").collect())
+        assert ids == {7: 2, 8: 2, 9: 2, 12: 2, None: 4}
+    mixed = mixture.mix_sources(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    total, target = mixed.agg(F.sum("taken")).first()[0], sum(r.target for r in mixed.select("source_size", "target").distinct().collect())
+    assert abs(total - target) <= 3
