@@ -17,18 +17,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_knn.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _odd_ids(docs: DataFrame) -> DataFrame:
+    """doc_ids that say no single row: null, or on more than one row."""
+    return materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "odd-ids")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class stays; a row without an id stays."""
-    classes = ngram_join.near_duplicates(docs)
-    first = materialize(classes.filter("component_id = doc_id").select("doc_id").distinct(), "first")
-    return docs.join(bounded_broadcast(first), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each near-duplicate class stays, that of the smallest doc_id.
+
+    Rows without an id and rows that share one take part by a number made of id and text, larger than
+    any usual id: of rows alike in both, one stays; texts that differ are documents of their own.
+    """
+    odd = _odd_ids(docs)
+    if odd.isEmpty():
+        first = ngram_join.near_duplicates(docs).filter("component_id = doc_id").select("doc_id")
+        return docs.join(bounded_broadcast(materialize(first, "first")), "doc_id", "left_semi")
+    odd = bounded_broadcast(odd.select(F.col("doc_id").alias("odd_id"), F.lit(True).alias("odd")))
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    number = F.when(F.col("odd"), made).otherwise(F.col("doc_id"))
+    marked = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left").withColumn("number", number).drop("odd_id")
+    classes = ngram_join.near_duplicates(marked.select(F.col("number").alias("doc_id"), "text"))
+    first = materialize(classes.filter("component_id = doc_id").select(F.col("doc_id").alias("number")).distinct(), "first")
+    kept = marked.join(bounded_broadcast(first), "number", "left_semi")
+    single = kept.filter("odd").dropDuplicates(["number"])
+    return kept.filter("odd is null").unionByName(single).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    judged = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialize(judged.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bounded_broadcast(bad), "doc_id", "left_anti")
+    """Contaminated documents go, told by id and text, so rows without an id or with a shared one are judged too."""
+    judged = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_hash=True)
+    bad = materialize(judged.filter("contaminated").select(F.col("doc_id").alias("bad_id"), "text_hash").distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash"))
+    return docs.join(bounded_broadcast(bad), same, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
