@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import SPACES
 from tidemark.llm.scratch import bounded_broadcast, materialize
 
 WEIGHTS = (5, 2, 1)
