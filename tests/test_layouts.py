@@ -1,37 +1,93 @@
+"""The cases that a stored dataset can show, for both layouts."""
+
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from tidemark.operators import verdict
+from tidemark.__main__ import audited, loaded, main
+from tidemark.operators import metrics
 from tidemark.sources import layouts
 
+VERSIONS = pytest.mark.parametrize("version", ["v2.1", "v3.0"])
+
 
-@pytest.mark.parametrize("version", ["v2.1", "v3.0"])
-def test_frames_of_both_layouts(spark, tmp_path, version):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+def frame(k, i, **over):
+    return {"episode_index": k, "timestamp": i / 10, "action": [float(i % 7), 0.0], "observation.state": [float(i), float(k)], "observation.images.top": b"x"} | over
 
-    (tmp_path / "data/chunk-000").mkdir(parents=True)
-    (tmp_path / "meta/episodes/chunk-000").mkdir(parents=True)
-    info = {"codebase_version": version, "fps": 10}
-    (tmp_path / "meta/info.json").write_text(json.dumps(info))
-    meta = [{"episode_index": k, "length": 4} for k in range(3)]
-    (tmp_path / "meta/episodes.jsonl").write_text("\n".join(map(json.dumps, meta)))
-    pq.write_table(pa.Table.from_pylist(meta), tmp_path / "meta/episodes/chunk-000/file-000.parquet")
-    rows = lambda k: [{"episode_index": k, "timestamp": i / 10, "action": [float(i), 0.0], "observation.state": [float(k)], "observation.images.top": b"x"} for i in range(4)]
+
+def store(root, version, episodes, meta=None, info=None):
+    """``episodes``: rows by index. Files of v3.0 hold two episodes each."""
+    (root / "data/chunk-000").mkdir(parents=True)
+    (root / "meta").mkdir()
+    (root / "meta/info.json").write_text(json.dumps({"codebase_version": version, "fps": 10} if info is None else info))
+    meta = meta or [{"episode_index": k, "length": len(v), "data/file_index": 99} for k, v in episodes.items()]
     if version == "v2.1":
-        for k in range(2):
-            pq.write_table(pa.Table.from_pylist(rows(k)), tmp_path / f"data/chunk-000/episode_{k:06d}.parquet")
+        (root / "meta/episodes.jsonl").write_text("\n\n".join(map(json.dumps, meta)))
+        for k, rows in episodes.items():
+            pq.write_table(pa.Table.from_pylist(rows), root / f"data/chunk-000/episode_{k:06d}.parquet")
     else:
-        pq.write_table(pa.Table.from_pylist(rows(0) + rows(1)), tmp_path / "data/chunk-000/file-007.parquet")
-    path = str(tmp_path)
-    loaded = layouts.load_info(spark, path)
-    assert layouts.layout_version(loaded) == version
-    frames = layouts.read_frames(spark, path, loaded)
-    assert [tuple(r) for r in frames.select("ep", "fi", "t").orderBy("ep", "fi").collect()] == [(k, i, i / 10) for k in range(2) for i in range(4)]
-    assert layouts.ragged_episodes(frames).count() == 0
+        (root / "meta/episodes/chunk-000").mkdir(parents=True)
+        pq.write_table(pa.Table.from_pylist(meta), root / "meta/episodes/chunk-000/file-000.parquet")
+        ks = sorted(episodes)
+        for n in range(0, len(ks), 2):
+            pq.write_table(pa.Table.from_pylist([r for k in ks[n : n + 2] for r in episodes[k]]), root / f"data/chunk-000/file-{n:03d}.parquet")
+    return str(root)
+
+
+@VERSIONS
+def test_clean_absent_ragged_and_swapped_episodes(spark, tmp_path, version):
+    rows = {k: [frame(k, i) for i in range(20)] for k in range(5)}
+    rows[1][4]["action"] = [1.0]
+    rows[2][5], rows[2][6] = rows[2][6], rows[2][5]
+    rows[3][7]["timestamp"] = rows[3][6]["timestamp"]
+    rows[4][3]["observation.state"] = [float("nan"), 0.0]
+    meta = [{"episode_index": k, "length": 20} for k in (0, 1, 2, 3, 4, 9)]
+    path = store(tmp_path / "set", version, rows, meta)
+    got = {r.ep: (r.frames, r.verdict, r.time_status) for r in audited(spark, path).collect()}
+    assert got[0] == (20, "PASS", "pass") and got[3] == (20, "PASS", "pass") and 1 not in got
+    assert got[2] == (20, "EXCLUDE", "exclude") and got[4] == (20, "EXCLUDE", "pass")
+    assert got.get(9) == (None if version == "v2.1" else (0, "EXCLUDE", None))
+    assert {r.ep: r.duplicates for r in metrics.timestamp_validity(loaded(spark, path)[0]).collect()}[3] == 1
+    info = layouts.load_info(spark, path)
+    frames = layouts.read_frames(spark, path, info)
+    want = {(1, "ragged")} | ({(9, "missing file")} if version == "v2.1" else set())
     table = layouts.episodes_meta(spark, path, version)
-    assert tuple(layouts.dataset_info(table, loaded).first()) == (3, 12)
-    audit = verdict.judged(verdict.scalars(frames))
-    guarded = verdict.zero_frame_guard(table.selectExpr("episode_index ep"), audit)
-    assert {r.ep: r.verdict for r in guarded.collect()}[2] == "EXCLUDE"
+    assert {tuple(r) for r in layouts.skipped_episodes(frames, table.selectExpr("episode_index ep"), version).collect()} == want
+    assert tuple(layouts.dataset_info(table, info).first()) == (6, 120)
+    assert [r.episode_index for r in layouts.episodes_meta(spark, path, version, 3).collect()] == [0, 1, 2]
+    plan = frames._jdf.queryExecution().executedPlan().toString() if hasattr(frames, "_jdf") else ""
+    assert "observation.state" in plan and "images" not in plan
+
+
+@VERSIONS
+def test_no_time_several_actions_and_a_scalar_state(spark, tmp_path, version):
+    rows = {0: [{"episode_index": 0, "action.joint_pos": [float(i)], "action.gripper": float(i == 3), "observation.state": float("nan") if i == 2 else 1.0, "next.reward": 0.5, "next.done": i == 5} for i in range(6)]}
+    path = store(tmp_path / "set", version, rows, info={"codebase_version": version})
+    frames = layouts.read_frames(spark, path, layouts.load_info(spark, path))
+    got = frames.orderBy("fi").collect()
+    assert [r.t for r in got] == [i / 50 for i in range(6)]
+    assert [r.action for r in got] == [[float(i == 3), float(i)] for i in range(6)]
+    assert all(r.state is None and r.reward == 0.5 and r.cells == 1 for r in got) and got[5].done
+    row = metrics.measure(frames).first()
+    assert (row.velocity_status, row.coverage_status, row.distribution_status) == ("na", "na", "pass")
+    assert (row.cells, row.nan_cells) == (18, 1)
+
+
+@VERSIONS
+def test_layout_is_found_without_a_version(spark, tmp_path, version):
+    path = store(tmp_path / "set", version, {0: [frame(0, i) for i in range(4)]}, info={"fps": 10})
+    assert layouts.layout_version(layouts.load_info(spark, path), spark, path) == version
+
+
+def test_what_is_no_dataset(spark, tmp_path, capsys):
+    assert main(["audit", str(tmp_path / "none")], spark) == 1 and "info.json" in capsys.readouterr().err
+    path = store(tmp_path / "set", "v3.0", {0: [frame(0, i) for i in range(4)]})
+    (tmp_path / "set/meta/episodes/chunk-000/file-000.parquet").unlink()
+    assert main(["audit", path], spark) == 1
+
+
+def test_profile_does_not_guess():
+    assert layouts.profile({}) == {"robot": "unknown", "dof": 0, "fps": None, "tasks": 0}
+    assert layouts.profile({"features": {"action.a": {}, "action.b": {}}, "fps": 30, "robot_type": "x"}) == {"robot": "x", "dof": 2, "fps": 30.0, "tasks": 0}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, robust, valley_threshold, whole
+from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, valley_threshold, whole
 
 SPIKE_Z = 5.0
 IDLE_FLOOR = 1e-6
