@@ -47,7 +47,7 @@ def test_thirteen_results_and_the_guard(spark):
 
 
 def test_side_tables_and_stored_frame_numbers(spark):
-    df = frames(spark, wave(), wave()).withColumn("number", F.col("fi").cast("long") + F.when(F.col("ep") == 1, F.col("fi") // 20).otherwise(0))
+    df = frames(spark, wave(), wave()).withColumn("number", F.col("fi").cast("long") + F.when(F.col("ep") == 1, F.floor(F.col("fi") / 20)).otherwise(0))
     limits = spark.createDataFrame([(0, -1e9, 1e9), (1, -1e9, 0.0)], "joint int, lo double, hi double")
     streams = spark.createDataFrame([(0, "a", 0.0), (0, "b", 0.25), (1, "a", 0.0)], "ep long, stream string, t double")
     got = states(verdict.judged(verdict.scalars(df, streams, limits)))
