@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import class_lm, decontam, host_rules, lang_filter, mixture, ngram_join, pii, quality_knn, token_resync, warc
+from tidemark.llm import class_lm, decontam, host_rules, lang_filter, mixture, ngram_join, pii, quality_knn, simhash, token_align, token_resync, vector_codes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,9 +55,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op11_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align_tokenizers(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_pii_anchors, op3_warc_chain, op4_winnow_decontaminate, op5_class_lm, op6_quality_neighbours, op7_host_rules, op8_language_filters, op9_token_resync, op10_mix_sources)
+    for f in (op1_ngram_jaccard_join, op2_pii_anchors, op3_warc_chain, op4_winnow_decontaminate, op5_class_lm, op6_quality_neighbours, op7_host_rules, op8_language_filters, op9_token_resync, op10_mix_sources, op11_simhash_ball, op12_token_alignment, op13_vector_codes)
 }
 
 NEAR_SQL = r"""
@@ -80,10 +94,28 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) payload_bytes,
 FROM p
 """
 
+CODES_SQL = r"""
+WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, CAST(i AS INTEGER) part, v[4 * i + 1] x0, v[4 * i + 2] x1, v[4 * i + 3] x2, v[4 * i + 4] x3 FROM e, range(16) t(i)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 k FROM (SELECT vec_id FROM e ORDER BY vec_id LIMIT 64)),
+c0 AS MATERIALIZED (SELECT part, k, x0, x1, x2, x3 FROM p JOIN f USING (vec_id)),
+{round}
+SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY part) code, CAST(sum(d) AS BIGINT) error, CAST(sum(sum(d)) OVER (PARTITION BY any_value(label)) AS BIGINT) label_error,
+       (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, k)) FROM c2) codebooks_sha256
+FROM a3 JOIN e USING (vec_id) GROUP BY vec_id
+"""
+_ASSIGN = """a{i} AS MATERIALIZED (SELECT vec_id, part, m.k, m.d, x0, x1, x2, x3 FROM (SELECT p.vec_id, p.part, any_value(p.x0) x0, any_value(p.x1) x1, any_value(p.x2) x2, any_value(p.x3) x3,
+    min({'d': (p.x0 - c.x0) ** 2 + (p.x1 - c.x1) ** 2 + (p.x2 - c.x2) ** 2 + (p.x3 - c.x3) ** 2, 'k': c.k}) m FROM p JOIN c{j} c USING (part) GROUP BY p.vec_id, p.part))"""
+_UPDATE = """c{i} AS MATERIALIZED (SELECT c.part, c.k, coalesce(g.x0, c.x0) x0, coalesce(g.x1, c.x1) x1, coalesce(g.x2, c.x2) x2, coalesce(g.x3, c.x3) x3 FROM c{j} c LEFT JOIN
+    (SELECT part, k, {sums} FROM a{i} GROUP BY part, k) g ON g.part = c.part AND g.k = c.k)"""
+_SUMS = ", ".join(f"CAST(floor(sum(x{d}) / count(*)) AS BIGINT) x{d}" for d in range(4))
+_ROUND = ", ".join(step.replace("{i}", str(i)).replace("{j}", str(i - 1)).replace("{sums}", _SUMS) for i in (1, 2, 3) for step in ([_ASSIGN, _UPDATE] if i < 3 else [_ASSIGN]))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": NEAR_SQL,
     "op3_warc_chain": WARC_SQL,
     "op4_winnow_decontaminate": decontam.CONTAMINATION_SQL.replace("{docs}", "documents"),
     "op7_host_rules": host_rules.QUALITY_SQL,
     "op10_mix_sources": mixture.MIXTURE_SQL.replace("{docs}", "documents"),
+    "op13_vector_codes": CODES_SQL.replace("{round}", _ROUND),
 }

@@ -30,11 +30,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -52,3 +52,21 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be materialised and narrow: its rows are counted here.
     """
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def attach(rows: DataFrame, marks: DataFrame, key: str, heavy_keys: int = 1024) -> DataFrame:
+    """``rows`` with the columns of ``marks`` (a row for each distinct ``key``; n: how many rows have it), nulls together.
+
+    Keys that more than one row in ``heavy_keys`` has are so many at most, whatever the size: these are
+    broadcast, so a hot key is never dealt to one task. The others are joined by shuffle. Both tables
+    are read twice and should be materialised.
+    """
+    total = marks.agg(F.sum("n")).first()[0] or 0
+    own = marks.drop("n").withColumnRenamed(key, "_key").withColumn("_hit", F.lit(True))
+    heavy = marks.filter(F.col("n") * heavy_keys > total).select(F.col(key).alias("_heavy"))
+    hot = own.join(F.broadcast(heavy), F.col("_key").eqNullSafe(F.col("_heavy")), "left_semi")
+    cold = own.join(F.broadcast(heavy), F.col("_key").eqNullSafe(F.col("_heavy")), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    near = rows.join(F.broadcast(hot), same)
+    far = rows.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_heavy")), "left_anti").join(cold, same, "left")
+    return near.unionByName(far).drop("_key", "_hit")
