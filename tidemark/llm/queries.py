@@ -95,7 +95,7 @@ FROM p
 """
 
 CODES_SQL = r"""
-WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS MATERIALIZED (SELECT vec_id, CAST(i AS INTEGER) part, v[4 * i + 1] x0, v[4 * i + 2] x1, v[4 * i + 3] x2, v[4 * i + 4] x3 FROM e, range(16) t(i)),
 f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 k FROM (SELECT vec_id FROM e ORDER BY vec_id LIMIT 64)),
 c0 AS MATERIALIZED (SELECT part, k, x0, x1, x2, x3 FROM p JOIN f USING (vec_id)),
