@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calibrate, export, metrics, report, text, verdict
 from tidemark.session import build_session
-from tidemark.sources import layouts, sinks
+from tidemark.sources import files, layouts, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,13 +44,16 @@ def parser() -> argparse.ArgumentParser:
 
 
 def loaded(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """frames and metadata (ep) of a stored dataset: its listed episodes, without the skipped ones; v2.1 skips those without a file."""
+    """frames and metadata (ep) of a stored dataset: its listed episodes, without the skipped ones (``layouts.skipped_episodes``)."""
     info = layouts.load_info(spark, path)
     version = layouts.layout_version(info, spark, path)
-    meta = layouts.episodes_meta(spark, path, version, most).select(F.col("episode_index").cast("long").alias("ep")).distinct()
-    frames = layouts.read_frames(spark, path, info).join(meta, "ep", "left_semi")
-    skipped = layouts.skipped_episodes(frames, meta, version).select("ep")
-    return frames.join(skipped, "ep", "left_anti"), meta.join(skipped, "ep", "left_anti")
+    listed = layouts.episodes_meta(spark, path, version, most)
+    pointers = [f"`{c}`" for c in ("data/chunk_index", "data/file_index") if c in listed.columns]
+    meta = listed.select(F.col("episode_index").cast("long").alias("ep"), *pointers).dropDuplicates(["ep"])
+    broken = files.broken_files(spark, layouts.data_glob(path, version), layouts.scan_frames(spark, path, info))
+    frames = layouts.read_frames(spark, path, info, broken).join(meta, "ep", "left_semi")
+    skipped = layouts.skipped_episodes(frames, meta, version, broken).select("ep").distinct()
+    return frames.join(skipped, "ep", "left_anti"), meta.select("ep").join(skipped, "ep", "left_anti")
 
 
 def audited(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:

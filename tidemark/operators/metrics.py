@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, valley_threshold, whole
+from tidemark.sources.features import NUMBERS, STATE, keys
 
 SPIKE_Z = 5.0
 IDLE_FLOOR = 1e-6
 WINDOWS = (5, 10, 20)
 DEFAULT_HZ = 30.0
-GRID_DIMS, RESOLUTION = 3, 10
+GRID_DIMS, RESOLUTION, THIN = 3, 10, 0.1
 FEATURES = ("action", "state")
 
 
@@ -87,8 +88,9 @@ def _grid(rows: DataFrame) -> DataFrame:
 def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float = SPIKE_Z) -> DataFrame:
     """Every figure of every episode, from one distribution of the frames.
 
-    ``frames`` may also have number (the stored frame number: missing ones are counted) and cells,
-    nan_cells, inf_cells (counts over features that are not in action and state).
+    ``frames`` may also have number (the stored frame number: missing ones are counted), cells,
+    nan_cells, inf_cells (counts over features that are not in action and state) and features (what is
+    counted of each feature, see ``sources.features``; else action and state are the features).
     """
     rows = _stepped(frames)
     for name, count in _cells().items():
@@ -103,11 +105,19 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
     if "number" in frames.columns:
         rows = rows.withColumn("inside", F.when((F.col("number") >= 0) & (F.col("number") < F.count("*").over(whole())), F.col("number")))
         missing = count - F.size(F.collect_set("inside")).cast("long")
+    names = keys(frames)
+    counts, n_of, n_any = [], {"action": F.col("n_action"), STATE: F.col("n_state")}, [F.col("n_action"), F.col("n_state")]
+    if names:  # no two columns of the same count: the optimizer would say every constraint of the plan in both names
+        counts = [F.count(F.col("features").getField(k)).alias(f"_n{i}") for i, k in enumerate(names)]
+        counts += [F.max(F.col("features").getField(k).getField("dtype")).isin(*NUMBERS.values()).alias(f"_number{i}") for i, k in enumerate(names)]
+        n_any = [F.col(f"_n{i}") for i in range(len(names))]
+        n_of = {k: F.when(F.col(f"_number{i}"), n_any[i]).otherwise(F.lit(0).cast("long")) for i, k in enumerate(names)}
     first = F.min(F.when(F.col("active") == 1, F.col("step")))
     n_steps = F.count("motion")
     got = rows.groupBy("ep").agg(
         count.alias("frames"),
         *[F.count(c).alias(f"n_{c}") for c in FEATURES],
+        *counts,
         F.count("t").alias("n_t"),
         F.every(F.coalesce(finite("action"), F.lit(True))).alias("action_ok"),
         F.every("delta_ok").alias("delta_ok"),
@@ -159,9 +169,9 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         }
     )
     use = lambda status, c: F.when(F.col(status) == "pass", c)
-    features = [F.col(f"n_{c}") for c in FEATURES]
-    reference = F.when(F.col("n_state") > 0, F.col("n_state")).otherwise(F.greatest(*features))
-    off = lambda want: sum((((n > 0) & (n != want)).cast("long") for n in features), F.lit(0).cast("long"))
+    most = F.greatest(*n_of.values(), F.lit(0).cast("long"))
+    want = F.when(n_of[STATE] > 0, n_of[STATE]).otherwise(most) if STATE in n_of else most
+    off = lambda columns, right: sum((((n > 0) & (n != right)).cast("long") for n in columns), F.lit(0).cast("long"))
     ratio = use("idle_status", F.try_divide("idle_steps", "n"))
     late = F.greatest(1 - F.try_divide("duplicates", "frames"), F.lit(0.0))
     plain = ("frames", "missing", "cells", "nan_cells", "inf_cells", "backward", "duplicates", "duration", "path_length", "end_state", "pace_mean", "pace_std", "pace_p95", "dt_max", "dt_mean", "dt_std")
@@ -170,8 +180,8 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         "ep",
         *plain,
         *states,
-        off(reference).alias("dropout"),
-        off(F.col("frames")).alias("mismatched"),
+        off(n_of.values(), want).alias("dropout"),
+        off(n_any, F.col("frames")).alias("mismatched"),
         F.when(F.col("backward") > 0, 0.0).otherwise(F.coalesce(late, F.lit(1.0))).alias("time_score"),
         *[F.col("dt_p")[i].alias(f"dt_p{k}") for i, k in enumerate((50, 95, 99))],
         F.when(F.col("dt_mean") > 0, F.try_divide("dt_std", "dt_mean")).otherwise(0.0).alias("cv"),
@@ -276,34 +286,41 @@ def invalid_values(frames: DataFrame) -> DataFrame:
     return measure(frames).select("ep", "cells", "nan_cells", "inf_cells", F.when(bad, "exclude").otherwise("pass").alias("status"))
 
 
-def coverage_bins(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFrame:
-    """Each frame's cell over the first ``dims`` state dimensions, edges by comparison, last edge closed."""
-    out = frames.select("ep", "fi", *[F.get("state", F.lit(d)).alias(f"x{d}") for d in range(dims)])
+def coverage_bins(frames: DataFrame, dims: int = GRID_DIMS, resolution: int = RESOLUTION) -> DataFrame:
+    """ep, fi, total, b0 ...: each frame's cell over the first ``dims`` state dimensions, edges by comparison, last edge closed.
+
+    A state of fewer dimensions has a grid of as many: the others' columns are null, total is the
+    number of its cells. Episodes with a state that is not finite have no grid and no rows.
+    """
+    rows = frames.filter("state is not null").withColumns({"ok": F.every(F.coalesce(finite("state"), F.lit(False))).over(whole()), "width": F.least(F.max(F.size("state")).over(whole()), F.lit(dims))})
+    out = rows.filter("ok and width > 0").select("ep", "fi", F.pow(F.lit(float(resolution)), "width").cast("long").alias("total"), *[F.get("state", F.lit(d)).alias(f"x{d}") for d in range(dims)])
     for d in range(dims):
         x = F.col(f"x{d}")
         lo, hi = F.min(x).over(whole()), F.max(x).over(whole())
         out = out.withColumn("lo", F.when(lo == hi, lo - 0.5).otherwise(lo)).withColumn("hi", F.when(lo == hi, hi + 0.5).otherwise(hi))
-        out = out.withColumn(f"b{d}", edge_bin(x - F.col("lo"), F.col("hi") - F.col("lo"), resolution))
+        out = out.withColumn(f"b{d}", F.when(x.isNotNull(), edge_bin(x - F.col("lo"), F.col("hi") - F.col("lo"), resolution)))
     return out.drop("lo", "hi")
 
 
-def coverage(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFrame:
-    """Occupied cells, their share, and cells with less than a tenth of an even share of frames."""
-    cells = coverage_bins(frames, dims, resolution).groupBy("ep", *[f"b{d}" for d in range(dims)]).agg(F.count("*").alias("n"))
-    total = resolution**dims
+def coverage(frames: DataFrame, dims: int = GRID_DIMS, resolution: int = RESOLUTION, thin: float = THIN) -> DataFrame:
+    """Occupied cells, their share, and cells with less than ``thin`` of an even share of frames; without a grid no row."""
+    cells = coverage_bins(frames, dims, resolution).groupBy("ep", "total", *[f"b{d}" for d in range(dims)]).agg(F.count("*").alias("n"))
     even = cells.withColumn("frames", F.sum("n").over(whole()))
-    got = even.groupBy("ep").agg(F.sum("n").alias("frames"), F.count("*").alias("occupied"), F.count_if(F.col("n") < 0.1 * F.col("frames") / total).alias("thin"))
-    return got.select("ep", "frames", "occupied", (F.col("occupied") / total).alias("occupancy_rate"), (F.col("thin") + total - F.col("occupied")).alias("underrepresented"))
-
-
-def underrepresented_cells(frames: DataFrame, dims: int = 3, resolution: int = 10) -> DataFrame:
-    """Cells of the full grid, empty ones included, with less than a tenth of an even share of the episode's frames."""
-    names, total = [f"b{d}" for d in range(dims)], resolution**dims
-    cells = coverage_bins(frames, dims, resolution).groupBy("ep", *names).agg(F.count("*").alias("n"))
-    grid = cells.groupBy("ep").agg(F.sum("n").alias("frames")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    place = [F.pmod(F.floor(F.col("cell") / resolution ** (dims - 1 - d)), F.lit(resolution)).cast("int").alias(k) for d, k in enumerate(names)]
-    got = grid.select("ep", "frames", *place).join(cells, ["ep", *names], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return got.filter(F.col("n") < 0.1 * F.col("frames") / total).select("ep", *names, "n")
+    got = even.groupBy("ep", "total").agg(F.sum("n").alias("frames"), F.count("*").alias("occupied"), F.count_if(F.col("n") < thin * F.col("frames") / F.col("total")).alias("thin"))
+    return got.select("ep", "frames", "occupied", (F.col("occupied") / F.col("total")).alias("occupancy_rate"), (F.col("thin") + F.col("total") - F.col("occupied")).alias("underrepresented"))
+
+
+def underrepresented_cells(frames: DataFrame, dims: int = GRID_DIMS, resolution: int = RESOLUTION, thin: float = THIN) -> DataFrame:
+    """Cells of the full grid, empty ones included, with less than ``thin`` of an even share of the episode's frames."""
+    names = [f"b{d}" for d in range(dims)]
+    cells = coverage_bins(frames, dims, resolution).groupBy("ep", "total", *names).agg(F.count("*").alias("n"))
+    code = F.aggregate(F.array(*names), F.lit(0).cast("long"), lambda a, b: F.when(b.isNull(), a).otherwise(a * resolution + b))
+    cells = cells.withColumn("cell", code)
+    grid = cells.groupBy("ep", "total").agg(F.sum("n").alias("frames")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
+    got = grid.join(cells.select("ep", "cell", "n"), ["ep", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    got = got.filter(F.col("n") < thin * F.col("frames") / F.col("total")).withColumn("width", F.round(F.log10("total") / F.log10(F.lit(resolution))))
+    place = lambda d: F.when(F.col("width") > d, F.pmod(F.floor(F.col("cell") / F.pow(F.lit(float(resolution)), F.col("width") - 1 - d)), F.lit(resolution)).cast("int"))
+    return got.select("ep", *[place(d).alias(k) for d, k in enumerate(names)], "n")
 
 
 def missing_frames(frames: DataFrame, number: str = "number") -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.seq import percentiles
 from tidemark.operators.verdict import CRITICAL, METRICS, VERDICTS, effective_points, spike_points
 
-# Issue codes by metric; weights and grades of the health index.
-ISSUE_CODES = {"missing_dropout": "INT-01", "invalid_values": "INT-02", "schema_consistency": "INT-03", "timestamp_validity": "INT-04", "joint_limit": "INT-05", "sensor_synchronization": "TMP-03", "velocity_acceleration": "MOT-01", "action_discontinuity": "MOT-02", "idle_ratio": "MOT-03", "distribution": "DIS-01", "coverage": "DIS-03"}
+# Issue codes by metric; weights and grades of the health index; names of patterns.
+ISSUE_CODES = {"missing_dropout": "INT-01", "invalid_values": "INT-02", "schema_consistency": "INT-03", "timestamp_validity": "INT-04", "joint_limit": "INT-05", "sensor_synchronization": "TMP-03", "sampling_jitter": "TMP-03", "action_discontinuity": "MOT-01", "velocity_acceleration": "MOT-02", "idle_ratio": "MOT-03", "distribution": "DIS-01", "coverage": "DIS-03"}
 HEALTH_WEIGHTS = {"integrity": 0.4, "temporal": 0.2, "motion": 0.2, "consistency": 0.2}
 GRADES = ((90, "Excellent"), (75, "Good"), (60, "Fair"))
 READY = ((0.05, 0.15, "Ready"), (0.1, 0.3, "Conditionally Ready"))
 BEHAVIOUR = ("action_discontinuity", "idle_ratio")
 SIGNIFICANCE = ("high", "medium", "low", "info")
 HISTORY_PATTERNS = ("Stuck", "Frozen", "Jittery", "Inefficient", "Unusual")
-PATTERNS = ("STUCK", "FROZEN", "JITTERY", "INEFFICIENT", "UNUSUAL")
+PATTERNS = ("STUCK_LIKE", "FROZEN_LIKE", "JITTERY_LIKE", "INEFFICIENT", "UNUSUAL")
 
 
 def quantile_row(audit: DataFrame, *columns: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
@@ -98,20 +98,36 @@ def evidence_summary(results: DataFrame) -> DataFrame:
     return both.unionByName(off.select(F.lit("UNVERIFIABLE").alias("evidence"), "metric", "episodes"))
 
 
-def pattern_types(audit: DataFrame) -> DataFrame:
-    """ep, pattern, score, place of every behaviour pattern that applies, strongest first."""
-    dur, low, spikes, path = F.col("duration"), 1 - F.col("effective_motion_ratio"), F.col("spike_count"), F.col("path_length")
-    one = lambda i, name, when, score: F.struct(F.when(when, score.cast("double")).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("pattern"))
+def _figure(column: str, metric: str | None = None) -> Column:
+    """A figure that counts as 0 where it, or the metric that it belongs to, is missing."""
+    value = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    return value if metric is None else F.when(_state(metric, "availability") == "available", value).otherwise(0.0)
+
+
+def reasons() -> dict[str, Column]:
+    """duration, spikes, low_motion, velocity, path of an audited episode; what is not available is 0."""
+    low = F.when(_state("idle_ratio", "availability") == "available", 1 - F.coalesce("effective_motion_ratio", F.lit(1.0))).otherwise(0.0)
+    return {"duration": _figure("duration", "distribution"), "spikes": _figure("spike_count", "action_discontinuity"), "low_motion": low, "velocity": _figure("velocity_p95", "velocity_acceleration"), "path": _figure("path_length", "distribution")}
+
+
+def patterns() -> Column:
+    """score, order, pattern of every behaviour pattern that applies to an audited episode, strongest first; none: empty."""
+    r = reasons()
+    dur, low, spikes, path = r["duration"], r["low_motion"], r["spikes"], r["path"]
+    one = lambda i, when, score: F.struct(F.when(when, score.cast("double")).alias("score"), F.lit(-i).alias("order"), F.lit(PATTERNS[i]).alias("pattern"))
     rows = F.array(
-        one(0, "STUCK", (dur > 0) & (low > 0.5) & (spikes < 5), dur * low),
-        one(1, "FROZEN", (low > 0.8) & (spikes < 2), low * 10),
-        one(2, "JITTERY", spikes > 10, spikes),
-        one(3, "INEFFICIENT", (dur > 0) & (path > 0) & (low < 0.3), dur + path / 100),
+        one(0, (dur > 0) & (low > 0.5) & (spikes < 5), dur * low),
+        one(1, (low > 0.8) & (spikes < 2), low * 10),
+        one(2, spikes > 10, spikes),
+        one(3, (dur > 0) & (path > 0) & (low < 0.3), dur + path / 100),
     )
     found = F.reverse(F.array_sort(F.filter(rows, lambda x: x["score"].isNotNull())))
-    unusual = F.array(F.struct(dur.alias("score"), F.lit(-4).alias("order"), F.lit("UNUSUAL").alias("pattern")))
-    found = F.when(F.size(found) > 0, found).when(dur > 0, unusual)
-    return audit.select("ep", F.posexplode(found).alias("place", "r")).select("ep", F.col("r.pattern").alias("pattern"), F.col("r.score").alias("score"), F.col("place").cast("long").alias("place"))
+    return F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(one(4, dur > 0, dur * 0.1)), lambda x: x["score"].isNotNull()))
+
+
+def pattern_types(audit: DataFrame) -> DataFrame:
+    """ep, pattern, score, place of every behaviour pattern that applies, strongest first."""
+    return audit.select("ep", F.posexplode(patterns()).alias("place", "r")).select("ep", F.col("r.pattern").alias("pattern"), F.col("r.score").alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def pattern_distribution(audit: DataFrame) -> DataFrame:
@@ -152,7 +168,7 @@ def quality_dimensions(audit: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(_state("timestamp_validity", "passed")).alias("timed"),
         F.median("effective_motion_ratio").alias("moving"),
-        percentiles("duration", 0.5, 0.95).alias("d"),
+        F.percentile(F.when(_state("distribution", "availability") == "available", F.col("duration")), F.array(F.lit(0.5), F.lit(0.95))).alias("d"),
     )
     mid, high = F.col("d")[0], F.col("d")[1]
     spread = F.when((mid > 0) & (high > 0), 100 * (1 - F.least(F.try_divide(high, mid) - 1, F.lit(1.0))))
@@ -224,9 +240,9 @@ def hero_metrics(audit: DataFrame, sync: DataFrame, cells: DataFrame) -> DataFra
 
 
 def reason_vector(audit: DataFrame) -> DataFrame:
-    """duration, spikes, 1 - effective share, and their sum."""
-    spikes, low = F.coalesce("spike_count", F.lit(0)), 1 - F.coalesce("effective_motion_ratio", F.lit(1.0))
-    return audit.select("ep", "duration", spikes.alias("spikes"), low.alias("low_motion"), (F.col("duration") + spikes + low).alias("deviation"))
+    """duration, spikes, 1 - effective share (0 where not available), and their sum."""
+    r = reasons()
+    return audit.select("ep", r["duration"].alias("duration"), r["spikes"].cast("long").alias("spikes"), r["low_motion"].alias("low_motion"), (r["duration"] + r["spikes"] + r["low_motion"]).alias("deviation"))
 
 
 def top_observations(audit: DataFrame, n: int = 5, occupancy: bool = False) -> DataFrame:

@@ -9,9 +9,9 @@ from tidemark.operators.report import audit_summary, dataset_health, pattern_typ
 
 # pattern: (why, next). Findings are signals of statistics and never labels.
 ADVICE = {
-    "STUCK": ("Long and with little motion: a signal, no proof of a blockage.", "Look at the trajectory and see if the still part is expected."),
-    "FROZEN": ("Almost no motion: waiting and failure look the same in the figures.", "Review by hand; do not leave it out for this alone."),
-    "JITTERY": ("Many jumps of the action: control, noise or a sharp but valid move.", "Check how smooth the actions are and how the controller is set."),
+    "STUCK_LIKE": ("Long and with little motion: a signal, no proof of a blockage.", "Look at the trajectory and see if the still part is expected."),
+    "FROZEN_LIKE": ("Almost no motion: waiting and failure look the same in the figures.", "Review by hand; do not leave it out for this alone."),
+    "JITTERY_LIKE": ("Many jumps of the action: control, noise or a sharp but valid move.", "Check how smooth the actions are and how the controller is set."),
     "INEFFICIENT": ("A long way to the end: it may be a valid variant of the task.", "Compare the path with the task before recording it anew."),
     "UNUSUAL": ("An unusual course: rare but maybe valid.", "Look at the trajectory and confirm that it is valid."),
 }

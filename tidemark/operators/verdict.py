@@ -164,7 +164,7 @@ def classify(results: DataFrame, critical: tuple[str, ...] = CRITICAL, review: t
 
 def metric_results(audit: DataFrame) -> DataFrame:
     """The long table: ep, metric, availability, status, passed, has_finding, score."""
-    return audit.select("ep", F.explode("results").alias("r")).select("ep", "r.*")
+    return audit.select("ep", F.inline("results"))
 
 
 def verdict_counts(audit: DataFrame) -> DataFrame:

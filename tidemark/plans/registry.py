@@ -101,6 +101,7 @@ _add("timestamp_validity", _a3, metrics.timestamp_validity)
 _add("velocity_stats", _a1, lambda f: metrics.velocity_stats(f).select("ep", "status", "velocity_p50", "velocity_p95", "velocity_p99", "velocity_max", "acc_spikes"))
 _add("trajectory_stats", _a1, lambda f: metrics.trajectory_stats(f).select("ep", "frames", "duration", F.round("path_length", 6).alias("path_length"), F.col("end_state")[0].alias("end_v"), F.round("velocity_p95", 6).alias("velocity_p95")))
 _add("coverage", _a2, metrics.coverage)
+_add("coverage_two_dims", _a1, metrics.coverage)
 _add("underrepresented_cells", _a2, metrics.underrepresented_cells)
 _add("missing_frames", _a1, lambda f: metrics.missing_frames(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))
 _add("missing_dropout", _a1, lambda f: metrics.missing_dropout(f.filter(F.col("event_id") % 7 != 0).withColumn("number", F.col("fi").cast("long"))))

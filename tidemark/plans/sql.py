@@ -86,7 +86,8 @@ au AS (SELECT *, idle_points + spike_points severity, backward > 0 hard_fail,
               CASE WHEN backward > 0 THEN 'EXCLUDE' WHEN idle_points + spike_points >= 20 THEN 'REVIEW' ELSE 'PASS' END verdict FROM sc)"""
 )
 # The bin of v and of k: how many of the nine inner edges lie at or below.
-_AUDIT = _AUDIT.replace("@V", " + ".join(f"CAST(v - lv >= {i} * ((hv - lv) / 10) AS INT)" for i in range(1, 10))).replace("@K", " + ".join(f"CAST(k - lk >= {i} * ((hk - lk) / 10) AS INT)" for i in range(1, 10)))
+_PLACE = {"@V": " + ".join(f"CAST(v - lv >= {i} * ((hv - lv) / 10) AS INT)" for i in range(1, 10)), "@K": " + ".join(f"CAST(k - lk >= {i} * ((hk - lk) / 10) AS INT)" for i in range(1, 10))}
+_AUDIT = _AUDIT.replace("@V", _PLACE["@V"]).replace("@K", _PLACE["@K"])
 # The metrics with the frames they need; two of them need a side table.
 _NEEDS = """(VALUES ('missing_dropout', 0), ('invalid_values', 0), ('schema_consistency', 0), ('timestamp_validity', 0), ('joint_limit', NULL), ('sensor_synchronization', NULL), ('sampling_jitter', 2),
                 ('velocity_acceleration', 3), ('action_discontinuity', 3), ('temporal_sufficiency', 2), ('idle_ratio', 2), ('distribution', 1), ('coverage', 1)) nd(metric, need)"""
@@ -100,11 +101,12 @@ rs AS (SELECT {_LISTED} FROM re)"""
 _PATTERNS = (
     _AUDIT
     + """,
-pc AS (SELECT ep, duration * (1 - effective_motion_ratio) s, 0 o, 'STUCK' pattern FROM au WHERE duration > 0 AND 1 - effective_motion_ratio > 0.5 AND spike_count < 5
-       UNION ALL SELECT ep, (1 - effective_motion_ratio) * 10, 1, 'FROZEN' FROM au WHERE 1 - effective_motion_ratio > 0.8 AND spike_count < 2
-       UNION ALL SELECT ep, spike_count, 2, 'JITTERY' FROM au WHERE spike_count > 10
-       UNION ALL SELECT ep, duration + path_length / 100, 3, 'INEFFICIENT' FROM au WHERE duration > 0 AND path_length > 0 AND 1 - effective_motion_ratio < 0.3),
-pa AS (SELECT * FROM pc UNION ALL SELECT ep, duration, 4, 'UNUSUAL' FROM au WHERE duration > 0 AND ep NOT IN (SELECT ep FROM pc)),
+q0 AS (SELECT ep, coalesce(duration, 0) dur, coalesce(1 - effective_motion_ratio, 0) low, coalesce(spike_count, 0) spk, coalesce(path_length, 0) pth FROM au),
+pc AS (SELECT ep, dur * low s, 0 o, 'STUCK_LIKE' pattern FROM q0 WHERE dur > 0 AND low > 0.5 AND spk < 5
+       UNION ALL SELECT ep, low * 10, 1, 'FROZEN_LIKE' FROM q0 WHERE low > 0.8 AND spk < 2
+       UNION ALL SELECT ep, spk, 2, 'JITTERY_LIKE' FROM q0 WHERE spk > 10
+       UNION ALL SELECT ep, dur + pth / 100, 3, 'INEFFICIENT' FROM q0 WHERE dur > 0 AND pth > 0 AND low < 0.3),
+pa AS (SELECT * FROM pc UNION ALL SELECT ep, dur * 0.1e0, 4, 'UNUSUAL' FROM q0 WHERE dur > 0 AND ep NOT IN (SELECT ep FROM pc)),
 pt AS (SELECT ep, pattern, row_number() OVER (PARTITION BY ep ORDER BY s DESC, o) - 1 place FROM pa),
 ph AS (SELECT ep, CASE WHEN effective_motion_ratio < 0.3 AND spike_count > 20 THEN 'Stuck' WHEN effective_motion_ratio < 0.3 THEN 'Frozen' WHEN spike_count > 20 THEN 'Jittery'
                        WHEN effective_motion_ratio < 0.5 THEN 'Inefficient' ELSE 'Unusual' END pattern FROM au)"""
@@ -240,21 +242,21 @@ ORACLES: dict[str, str] = {
     "integrity_summary": f"WITH {_RESULTS} SELECT metric, count(*) FILTER (availability = 'available') available, count(*) FILTER (availability = 'available' AND passed) passed, count(*) FILTER (availability = 'available' AND NOT passed) failed, count(*) FILTER (availability <> 'available') na, coalesce(count(*) FILTER (availability = 'available' AND passed) * 1.0e0 / nullif(count(*) FILTER (availability = 'available'), 0), 0.0) pass_rate FROM rs GROUP BY metric",
     "score_distribution": f"WITH {_RESULTS}, d AS (SELECT metric, CAST(score AS DOUBLE) s FROM rs) SELECT metric, min(s) lo, quantile_cont(s, 0.05) p05, quantile_cont(s, 0.5) p50, quantile_cont(s, 0.95) p95, max(s) hi FROM d GROUP BY metric",
     "failing_metrics": f"WITH {_RESULTS} SELECT metric, count(*) episodes FROM rs WHERE availability = 'available' AND NOT passed GROUP BY metric",
-    "issue_codes": f"WITH {_RESULTS} SELECT ep, metric, CASE metric WHEN 'timestamp_validity' THEN 'INT-04' WHEN 'action_discontinuity' THEN 'MOT-02' WHEN 'idle_ratio' THEN 'MOT-03' END code FROM rs WHERE availability = 'available' AND NOT passed",
+    "issue_codes": f"WITH {_RESULTS} SELECT ep, metric, CASE metric WHEN 'timestamp_validity' THEN 'INT-04' WHEN 'action_discontinuity' THEN 'MOT-01' WHEN 'idle_ratio' THEN 'MOT-03' END code FROM rs WHERE availability = 'available' AND NOT passed",
     "evidence_summary": f"WITH {_RESULTS}, hr AS (SELECT ep, bool_or(availability = 'available' AND NOT passed AND metric = 'timestamp_validity') h, bool_or(status = 'review' AND metric IN ('action_discontinuity', 'idle_ratio')) r FROM rs GROUP BY ep) SELECT 'HARD_FAIL' evidence, CAST(NULL AS VARCHAR) metric, count(*) FILTER (h) episodes FROM hr UNION ALL SELECT 'RISK_SIGNAL', NULL, count(*) FILTER (r) FROM hr UNION ALL SELECT 'UNVERIFIABLE', metric, count(*) FROM rs WHERE availability = 'not_available' GROUP BY metric",
     "deviation_stats": f"WITH {_RESULTS}, d AS (SELECT ep, 100 * (1 - avg(CAST(score AS DOUBLE))) d FROM rs WHERE availability = 'available' GROUP BY ep) SELECT round(avg(d), 6) mean_deviation, round(median(d), 6) median_deviation FROM d",
     "temporal_motion_summary": f"WITH {_AUDIT} {_RUNS.removeprefix(_IDLE)}, tm AS (SELECT au.*, ts.* EXCLUDE (ep), idle_prefix * 1.0e0 / frames idle_prefix_ratio, CAST(NULL AS DOUBLE) worst_p95 FROM au LEFT JOIN ts ON au.ep = ts.ep), qq AS (" + _quantile_rows("tm", (0.05, 0.5, 0.95, 0.99), *TEMPORAL_MOTION) + ") SELECT qq.*, CASE WHEN metric = 'spike_count' THEN t.total END total, CASE WHEN metric = 'spike_count' THEN t.touched END touched FROM qq, (SELECT CAST(sum(spike_count) AS BIGINT) total, count(*) FILTER (spike_count > 0) touched FROM au) t",
     "utility_summary": _quantiles(_AUDIT, "au", *UTILITY),
     "audit_summary": f"WITH {_AUDIT} SELECT count(*) episodes, count(*) FILTER (verdict = 'PASS') passed, count(*) FILTER (verdict = 'REVIEW') review, count(*) FILTER (verdict = 'EXCLUDE') excluded, count(*) FILTER (verdict = 'PASS') * 1.0e0 / count(*) pass_rate FROM au",
     "pattern_type": f"WITH {_PATTERNS} SELECT ep, pattern, place FROM pt",
-    "pattern_distribution": f"WITH {_PATTERNS} SELECT p pattern, count(pt.ep) episodes FROM (SELECT unnest(['STUCK', 'FROZEN', 'JITTERY', 'INEFFICIENT', 'UNUSUAL']) p) LEFT JOIN pt ON p = pattern AND place = 0 GROUP BY p",
+    "pattern_distribution": f"WITH {_PATTERNS} SELECT p pattern, count(pt.ep) episodes FROM (SELECT unnest(['STUCK_LIKE', 'FROZEN_LIKE', 'JITTERY_LIKE', 'INEFFICIENT', 'UNUSUAL']) p) LEFT JOIN pt ON p = pattern AND place = 0 GROUP BY p",
     "pattern_type_history": f"WITH {_PATTERNS} SELECT ep, pattern FROM ph",
     "pattern_counts": f"WITH {_PATTERNS} SELECT pattern, count(*) episodes FROM ph GROUP BY pattern",
-    "deviation_heuristic": f"WITH {_AUDIT} SELECT ep, spike_count spikes, 1 - effective_motion_ratio low_motion, round(duration + spike_count + (1 - effective_motion_ratio), 2) deviation FROM au",
+    "deviation_heuristic": f"WITH {_AUDIT} SELECT ep, coalesce(spike_count, 0) spikes, coalesce(1 - effective_motion_ratio, 0) low_motion, round(duration + coalesce(spike_count, 0) + coalesce(1 - effective_motion_ratio, 0), 2) deviation FROM au",
     "quality_dimensions": f"WITH {_AUDIT}, {_DIMS} SELECT integrity, temporal, motion, consistency FROM qd",
     "dataset_health": f"WITH {_AUDIT}, {_DIMS}, q AS (SELECT count(*) n, count(*) FILTER (verdict = 'PASS') passes, count(*) FILTER (verdict = 'REVIEW') review, count(*) FILTER (verdict = 'EXCLUDE') excluded, count(*) FILTER (backward = 0) ok FROM au), z AS (SELECT *, CAST(round_even(0.4e0 * integrity + 0.2e0 * temporal + 0.2e0 * motion + 0.2e0 * consistency, 0) AS BIGINT) health, excluded * 1.0e0 / n x, review * 1.0e0 / n r FROM qd, q) SELECT n, passes, review, excluded, integrity, temporal, motion, consistency, health, CASE WHEN health >= 90 THEN 'Excellent' WHEN health >= 75 THEN 'Good' WHEN health >= 60 THEN 'Fair' ELSE 'Poor' END grade, CASE WHEN x < 0.05e0 AND r < 0.15e0 THEN 'Ready' WHEN x < 0.1e0 AND r < 0.3e0 THEN 'Conditionally Ready' ELSE 'Not Ready' END readiness, (3 * n + ok) // 5 integrity_passed, n - (3 * n + ok) // 5 integrity_failed, CAST(floor(least(100.0e0, health + least(20.0e0, 30 * x))) AS BIGINT) after_cleanup FROM z",
     "top_observations": f"WITH {_AUDIT} " + _observed("au", {"timestamp_validity": "backward > 0"}, "false"),
-    "episode_report": f"WITH {_RESULTS}, {_PATTERNS.removeprefix(_AUDIT).lstrip(',')}, e AS (SELECT ep, {_EVIDENCE} evidence, coalesce(string_agg(CASE metric WHEN 'timestamp_validity' THEN 'INT-04' WHEN 'action_discontinuity' THEN 'MOT-02' WHEN 'idle_ratio' THEN 'MOT-03' END, ',' ORDER BY CASE metric WHEN 'timestamp_validity' THEN 1 WHEN 'action_discontinuity' THEN 2 ELSE 3 END) FILTER (availability = 'available' AND NOT passed), '') issues, coalesce(string_agg('INT-04', ',') FILTER (metric = 'timestamp_validity' AND NOT passed), '') hard_fail_issues, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (status = 'review'), '') risk_signals, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (availability = 'not_available'), '') unverifiable FROM rs GROUP BY ep), md2 AS (SELECT median(duration) median_duration, median(spike_count) median_spikes, median(velocity_p95) median_velocity FROM au) SELECT au.ep, verdict, severity, frames, duration, spike_count, effective_motion_ratio, velocity_p95, path_length, e.* EXCLUDE (ep), p0.pattern, p1.pattern second_pattern, 1 - coalesce(effective_motion_ratio, 1.0e0) low_motion, duration + coalesce(spike_count, 0) + (1 - coalesce(effective_motion_ratio, 1.0e0)) deviation, md2.* FROM au LEFT JOIN e ON au.ep = e.ep LEFT JOIN pt p0 ON au.ep = p0.ep AND p0.place = 0 LEFT JOIN pt p1 ON au.ep = p1.ep AND p1.place = 1 CROSS JOIN md2",
+    "episode_report": f"WITH {_RESULTS}, {_PATTERNS.removeprefix(_AUDIT).lstrip(',')}, e AS (SELECT ep, {_EVIDENCE} evidence, coalesce(string_agg(CASE metric WHEN 'timestamp_validity' THEN 'INT-04' WHEN 'action_discontinuity' THEN 'MOT-01' WHEN 'idle_ratio' THEN 'MOT-03' END, ',' ORDER BY CASE metric WHEN 'timestamp_validity' THEN 1 WHEN 'action_discontinuity' THEN 2 ELSE 3 END) FILTER (availability = 'available' AND NOT passed), '') issues, coalesce(string_agg('INT-04', ',') FILTER (metric = 'timestamp_validity' AND NOT passed), '') hard_fail_issues, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (status = 'review'), '') risk_signals, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (availability = 'not_available'), '') unverifiable FROM rs GROUP BY ep), md2 AS (SELECT median(duration) median_duration, median(spike_count) median_spikes, median(velocity_p95) median_velocity FROM au) SELECT au.ep, verdict, severity, frames, duration, spike_count, effective_motion_ratio, velocity_p95, path_length, e.* EXCLUDE (ep), p0.pattern, p1.pattern second_pattern, 1 - coalesce(effective_motion_ratio, 1.0e0) low_motion, duration + coalesce(spike_count, 0) + (1 - coalesce(effective_motion_ratio, 1.0e0)) deviation, md2.* FROM au LEFT JOIN e ON au.ep = e.ep LEFT JOIN pt p0 ON au.ep = p0.ep AND p0.place = 0 LEFT JOIN pt p1 ON au.ep = p1.ep AND p1.place = 1 CROSS JOIN md2",
     "episode_table": f"WITH {_RESULTS}, d AS (SELECT ep, 100 * (1 - avg(CAST(score AS DOUBLE))) d FROM rs GROUP BY ep) SELECT au.ep, verdict, CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END AS \"class\", round(d, 6) deviation, round(greatest(d, CAST(severity AS DOUBLE)), 6) issue_severity FROM au JOIN d ON au.ep = d.ep",
     "issue_stats": f"WITH {_AUDIT}, f AS (SELECT 'action_discontinuity' metric, spike_points p FROM au UNION ALL SELECT 'idle_ratio', idle_points FROM au) SELECT metric, CASE WHEN p >= 20 THEN 'medium' ELSE 'low' END AS level, count(*) episodes FROM f WHERE p > 0 GROUP BY ALL",
     "anonymize": "SELECT DISTINCT user_id ep, 'redacted:' || substr(sha256('/data/' || user_id), 1, 16) path FROM events",
@@ -300,6 +302,7 @@ ORACLES |= {
 }
 
 ORACLES |= {
+    "coverage_two_dims": f"WITH {_AUDIT}, cn AS (SELECT ep, 10 * (@V) + @K c, count(*) n FROM e1 GROUP BY ALL), ct AS (SELECT ep, sum(n) t FROM cn GROUP BY ep) SELECT cn.ep, CAST(sum(n) AS BIGINT) frames, count(*) occupied, count(*) / 100.0e0 occupancy_rate, count(*) FILTER (n < 0.1e0 * t / 100) + 100 - count(*) underrepresented FROM cn JOIN ct ON cn.ep = ct.ep GROUP BY cn.ep".replace("@V", _PLACE["@V"]).replace("@K", _PLACE["@K"]),
     "export_custom": f"WITH {_DECIDED}, i AS (SELECT ep FROM au UNION SELECT unnest(range(0, 400, 2))), j AS (SELECT i.ep, de.u, coalesce(de.verdict, 'PASS') v FROM i LEFT JOIN de ON i.ep = de.ep) SELECT ep, CASE WHEN u = 'REMOVE' THEN false WHEN u IN ('KEEP', 'UNCERTAIN') THEN true ELSE v <> 'REVIEW' END kept, CASE WHEN u = 'REMOVE' THEN 'by_user' WHEN u = 'KEEP' THEN 'kept_by_user' WHEN u = 'UNCERTAIN' THEN 'uncertain' WHEN v = 'REVIEW' THEN 'by_review' ELSE 'kept' END reason FROM j",
     "affected_joints": f"SELECT ep, coalesce(string_agg(joint, ',' ORDER BY joint) FILTER (spikes > 0), '') joints FROM ({_JOINTS}) q GROUP BY ep",
     "missing_dropout": f"WITH {_FRAMES}, k AS (SELECT ep, fi FROM fr WHERE event_id % 7 <> 0), m AS (SELECT ep, count(*) frames, count(*) - count(DISTINCT CASE WHEN fi < c THEN fi END) missing FROM (SELECT *, count(*) OVER (PARTITION BY ep) c FROM k) GROUP BY ep) SELECT ep, frames, missing, CAST(0 AS BIGINT) dropout, CASE WHEN missing > 0 THEN 'review' ELSE 'pass' END status FROM m",
