@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("path")
     fit.add_argument("out")
     fit.add_argument("--min-episodes", type=int, default=calibrate.MIN_EPISODES)
+    fit.add_argument("--include-platform", action="store_true", help="also the metrics that only compare within one platform")
     clean = commands.add_parser("clean", help="copy the episodes that stay")
     clean.add_argument("path")
     clean.add_argument("out")
@@ -75,9 +76,8 @@ def _audit(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> i
 
 
 def _calibrate(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> int:
-    scores = calibrate.score_metrics(audit)
-    profile = calibrate.calibrated(scores, args.min_episodes)
-    calibrate.save_profile(profile, *calibrate.pca_loadings(calibrate.bad_z(scores, profile)), args.out)
+    calibrate.calibrated(calibrate.score_metrics(audit), args.min_episodes)  # too few episodes are an error here
+    calibrate.save_profile(*calibrate.calibrate(audit, args.min_episodes, args.include_platform), args.out)
     return 0
 
 

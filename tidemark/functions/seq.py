@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BINS = 30
+# Frames that a block sees of the one before: the longest window and two differences.
+HALO = 22
+BROADCAST_EPISODES = 1_000_000
 
 
 def by_frame() -> WindowSpec:
@@ -16,10 +21,70 @@ def whole() -> WindowSpec:
     return Window.partitionBy("ep")
 
 
-def difference(vector: str | Column) -> Column:
+def difference(vector: str | Column, by: WindowSpec | None = None) -> Column:
     """Elementwise difference to the frame before; null on the first."""
     vector = F.col(vector) if isinstance(vector, str) else vector
-    return F.zip_with(vector, F.lag(vector).over(by_frame()), lambda a, b: a - b)
+    return F.zip_with(vector, F.lag(vector).over(by or by_frame()), lambda a, b: a - b)
+
+
+@dataclass(frozen=True)
+class Cut:
+    """How frames are dealt: an episode whole, or in blocks of ``block`` frames, for episodes longer than a task should sort.
+
+    In blocks the frame number ``fi`` must run from 0 without gaps. A block also gets the ``HALO`` frames
+    before it and the one after it (``halo``), so that what looks at neighbours is right for its own
+    frames; what needs the whole episode is a grouping joined back. Its table has a row an episode and
+    is broadcast if there are at most ``BROADCAST_EPISODES`` (``few``).
+    """
+
+    block: int | None = None
+    few: bool = True
+
+    @classmethod
+    def of(cls, frames: DataFrame, block: int | None) -> Cut:
+        if block is None:
+            return cls()
+        if block <= HALO:
+            raise ValueError(f"a block takes more than {HALO} frames")
+        return cls(block, frames.select("ep").distinct().limit(BROADCAST_EPISODES + 1).count() <= BROADCAST_EPISODES)
+
+    def deal(self, frames: DataFrame) -> DataFrame:
+        if self.block is None:
+            return frames
+        own, at = F.floor(F.col("fi") / self.block), F.col("fi") % self.block
+        more = F.array(own, F.when(at >= self.block - HALO, own + 1), F.when((at == 0) & (own > 0), own - 1))
+        return frames.withColumn("block", F.explode(F.filter(more, lambda b: b.isNotNull()))).withColumn("halo", F.col("block") != own)
+
+    def by_frame(self) -> WindowSpec:
+        return by_frame() if self.block is None else Window.partitionBy("ep", "block").orderBy("fi")
+
+    def first(self) -> Column:
+        """Whether a frame is its episode's first."""
+        return F.lag("fi").over(by_frame()).isNull() if self.block is None else F.col("fi") == 0
+
+    def own(self, rows: DataFrame) -> DataFrame:
+        """Every frame once."""
+        return rows if self.block is None else rows.filter(~F.col("halo")).drop("block", "halo")
+
+    def know(self, rows: DataFrame, known: dict[str, Column], then: dict[str, Column] | None = None) -> DataFrame:
+        """``rows`` with aggregates over each whole episode, and in blocks what follows from them alone (``then``)."""
+        if self.block is None:
+            return rows.withColumns({k: c.over(whole()) for k, c in known.items()})
+        table = self.own(rows).groupBy("ep").agg(*[c.alias(k) for k, c in known.items()]).withColumns(then or {})
+        return rows.join(F.broadcast(table) if self.few else table, "ep")
+
+    def highest_before(self, rows: DataFrame, name: str, value: Column) -> DataFrame:
+        """``rows`` with the highest ``value`` of the episode up to each frame."""
+        upto = self.by_frame().rowsBetween(Window.unboundedPreceding, 0)
+        if self.block is None:
+            return rows.withColumn(name, F.max(value).over(upto))
+        ends = rows.filter(~F.col("halo")).groupBy("ep", "block").agg(F.max(value).alias("end"))
+        carried = F.max("end").over(Window.partitionBy("ep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+        rows = rows.join(ends.select("ep", "block", carried.alias("carried")), ["ep", "block"], "left")
+        return rows.withColumn(name, F.greatest(F.max(value).over(upto), "carried")).drop("carried")
+
+
+WHOLE = Cut()
 
 
 def norm(vector: str | Column) -> Column:

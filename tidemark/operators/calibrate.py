@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles, median_deviations
 from tidemark.functions.seq import percentiles
 
 PORTABLE = ("duration", "spike_count", "effective_motion_ratio")
@@ -36,6 +37,14 @@ def reference_profile(scores: DataFrame) -> DataFrame:
     return got.select("metric", "n", "median", "mad", *[F.col("p")[i].alias(k) for i, k in enumerate(("p05", "p25", "p75", "p95"))])
 
 
+def refined_profile(scores: DataFrame, **how: int) -> DataFrame:
+    """``reference_profile`` for more episodes than one task should hold: by refinement (``functions.quantiles``), ``scores`` read several times."""
+    names = tuple(c for c in scores.columns if c != "ep")
+    spread, anchors = median_deviations(scores, names, **how), exact_quantiles(scores, names, (0.05, 0.25, 0.75, 0.95), **how)
+    rows = [(c, anchors[c][0], *spread[c], *anchors[c][1]) for c in names if anchors[c][0]]
+    return scores.sparkSession.createDataFrame(rows, "metric string, n long, median double, mad double, p05 double, p25 double, p75 double, p95 double")
+
+
 def calibrated(scores: DataFrame, min_episodes: int = MIN_EPISODES) -> DataFrame:
     """``reference_profile``, but an error for fewer than ``min_episodes`` episodes: too few to be a reference."""
     n = scores.count()
@@ -84,9 +93,10 @@ def inject(results: DataFrame, z: DataFrame) -> DataFrame:
     return results.join(own, ["ep", "metric"], "left")
 
 
-def pca_covariance(z: DataFrame) -> DataFrame:
-    """one, two, cov (population) of each pair of metrics, from one aggregate over the episodes."""
-    names = sorted((*PORTABLE, *PLATFORM))
+def pca_covariance(z: DataFrame, names: tuple[str, ...] | None = (*PORTABLE, *PLATFORM)) -> DataFrame:
+    """one, two, cov (population) of each pair of ``names``, from one aggregate over the episodes; None: those that ``z`` has."""
+    wide_names = {r.metric for r in z.select("metric").distinct().collect()} if names is None else set(names)
+    names = sorted(wide_names)
     wide = z.groupBy("ep").agg(*[F.max(F.when(F.col("metric") == k, F.col("z"))).alias(k) for k in names])
     pairs = [(a, b) for a in names for b in names]
     got = wide.agg(*[F.covar_pop(a, b).alias(f"{a}:{b}") for a, b in pairs])
@@ -113,35 +123,58 @@ def components(covariance: list, k: int = 2) -> tuple[list[dict[str, float]], li
 
 def pca_loadings(z: DataFrame, k: int = 2) -> tuple[list[dict[str, float]], list[float]]:
     """``components`` of the metrics' covariance (at most 6 by 6, so it comes to the driver)."""
-    return components(pca_covariance(z).collect(), k)
+    return components(pca_covariance(z, None).collect(), k)
+
 
+def _composite(names: tuple[str, ...], loadings: list[dict[str, float]]) -> Column:
+    """A score over the metrics ``names``, by episode: from the components if theirs are all among them, else their root mean square."""
+    if loadings and loadings[0] and set(loadings[0]) <= set(names):
+        parts = []
+        for loading in loadings:
+            weights = F.create_map(*[F.lit(x) for pair in loading.items() for x in pair])
+            parts.append(F.coalesce(F.sum(F.col("z") * F.coalesce(F.try_element_at(weights, F.col("metric")), F.lit(0.0))), F.lit(0.0)))
+        return F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
+    return F.sqrt(F.avg(F.when(F.col("metric").isin(*names), F.col("z") * F.col("z"))))
 
-def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = None, min_episodes: int = MIN_EPISODES) -> DataFrame:
-    """portable_score, platform_score, combined_score and the method of the last.
 
-    Components are used only if their metrics are all among a score's: for six metrics that is the
-    combined score. Without ``loadings`` they come from ``z`` itself if it has enough episodes.
+def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = None, min_episodes: int = MIN_EPISODES, score_type: str = "combined") -> DataFrame:
+    """portable_score, platform_score, combined_score, the score of ``score_type`` as deviation_score, and its method.
+
+    A score takes components only if their metrics are all among its own. Without platform metrics in
+    the reference the platform score is 0 and the combined score is the portable one. Without
+    ``loadings`` they come from ``z`` itself if it has enough episodes.
     """
+    if score_type not in ("portable", "platform", "combined"):
+        raise ValueError(f"no such score: {score_type}")
     if loadings is None:
         enough = z.select("ep").distinct().count() >= min_episodes
         loadings = pca_loadings(z)[0] if enough else []
-    base, used = rms_scores(z), bool(loadings)
-    if not used:
-        return base.withColumnRenamed("combined_rms", "combined_score").withColumn("method", F.lit("rms"))
-    parts = []
-    for i, loading in enumerate(loadings):
-        weights = F.create_map(*[F.lit(x) for pair in loading.items() for x in pair])
-        parts.append(F.sum(F.col("z") * F.coalesce(F.try_element_at(weights, F.col("metric")), F.lit(0.0))).alias(f"pc{i}"))
-    combined = F.sqrt(sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(len(parts))), F.lit(0.0)))
-    part = lambda names: F.sqrt(F.avg(F.when(F.col("metric").isin(*names), F.col("z") * F.col("z"))))
-    got = z.groupBy("ep").agg(part(PORTABLE).alias("portable_score"), part(PLATFORM).alias("platform_score"), *parts)
-    return got.select("ep", "portable_score", "platform_score", combined.alias("combined_score"), F.lit("pca").alias("method"))
+    sets = {"portable": PORTABLE, "platform": PLATFORM, "combined": (*PORTABLE, *PLATFORM)}
+    got = z.groupBy("ep").agg(*[_composite(names, loadings).alias(f"{k}_own") for k, names in sets.items()], F.bool_or(F.col("metric").isin(*PLATFORM)).alias("wide"))
+    got = got.withColumns({"portable_score": F.coalesce("portable_own", F.lit(0.0)), "platform_score": F.when(F.col("wide"), F.col("platform_own")).otherwise(0.0)})
+    got = got.withColumn("combined_score", F.when(F.col("wide"), F.col("combined_own")).otherwise(F.col("portable_score")))
+    fits = lambda k: "pca" if loadings and loadings[0] and set(loadings[0]) <= set(sets[k]) else "rms"
+    method = F.lit(fits(score_type)) if score_type != "combined" else F.when(F.col("wide"), fits("combined")).otherwise(fits("portable"))
+    return got.select("ep", "portable_score", "platform_score", "combined_score", F.col(f"{score_type}_score").alias("deviation_score"), method.alias("method"))
+
+
+def calibrate(audit: DataFrame, min_episodes: int = MIN_EPISODES, include_platform: bool = False) -> tuple[DataFrame, list[dict[str, float]], list[float]]:
+    """profile, components and their shares of variance over the portable metrics, or with ``include_platform`` over all six.
+
+    The portable ones alone compare across platforms and are the default. Fewer than ``min_episodes``
+    episodes: the profile without components.
+    """
+    names = (*PORTABLE, *PLATFORM) if include_platform else PORTABLE
+    scores = score_metrics(audit).select("ep", *names)
+    profile = reference_profile(scores)
+    few = scores.limit(min_episodes).count() < min_episodes
+    return (profile, [], []) if few else (profile, *pca_loadings(bad_z(scores, profile)))
 
 
-def score_against(audit: DataFrame, profile: DataFrame, loadings: list[dict[str, float]]) -> DataFrame:
+def score_against(audit: DataFrame, profile: DataFrame, loadings: list[dict[str, float]], score_type: str = "combined") -> DataFrame:
     """The three scores and the percentile of every audited episode against a stored reference."""
     z = bad_z(score_metrics(audit), profile)
-    return deviation_scores(z, loadings).join(approx_percentile(z), "ep")
+    return deviation_scores(z, loadings, score_type=score_type).join(approx_percentile(z), "ep")
 
 
 def save_profile(profile: DataFrame, loadings: list[dict[str, float]], shares: list[float], path: str) -> None:

@@ -3,7 +3,7 @@
 ``measure`` works out every figure in one plan: frames are distributed by episode once, differences,
 medians and thresholds are windows on that distribution, and one aggregate closes it. The other
 functions pick columns from it, and what they do not pick is pruned from the plan. An episode is one
-window partition, so it is sorted and, if need be, spilled by one task.
+window partition, sorted and, if need be, spilled by one task, unless ``measure`` is asked for blocks.
 
 ``status`` columns: 'na' where a metric cannot be computed, 'exclude' for values that are not finite.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.seq import BINS, by_frame, difference, edge_bin, finite, norm, percentiles, valley_threshold, whole
+from tidemark.functions.seq import BINS, WHOLE, Cut, by_frame, difference, edge_bin, finite, norm, percentiles, valley_threshold, whole
 from tidemark.sources.features import NUMBERS, STATE, keys
 
 SPIKE_Z = 5.0
@@ -30,13 +30,13 @@ def steps(frames: DataFrame) -> DataFrame:
     return out.withColumn("motion", norm("d1")).withColumn("jump", norm("d2"))
 
 
-def _stepped(frames: DataFrame) -> DataFrame:
+def _stepped(frames: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """``steps`` with the time step and the state's step, speed and change of speed."""
-    before = F.lag("t").over(by_frame())
-    out = frames.withColumns({"dt": F.col("t") - before, "first": F.lag("fi").over(by_frame()).isNull(), "d1": difference("action"), "ds": difference("state")})
+    by = cut.by_frame()
+    out = frames.withColumns({"dt": F.col("t") - F.lag("t").over(by), "first": cut.first(), "d1": difference("action", by), "ds": difference("state", by)})
     safe = F.when(F.col("dt") == 0, 1e-9).otherwise(F.coalesce("dt", F.lit(1.0)))
     out = out.withColumn("vel", F.transform("ds", lambda x: x / safe))
-    out = out.withColumns({"d2": difference("d1"), "acc": difference("vel")})
+    out = out.withColumns({"d2": difference("d1", by), "acc": difference("vel", by)})
     return out.withColumns({"motion": norm("d1"), "jump": norm("d2"), "sn": norm("ds"), "speed": norm("vel"), "change": norm("acc"), "delta_ok": F.coalesce(finite("d1"), F.lit(True))})
 
 
@@ -46,38 +46,44 @@ def _cells(columns: tuple[str, ...] = FEATURES) -> dict[str, Column]:
     return {"cells": F.size(values).cast("long"), "nan_cells": count(F.isnan), "inf_cells": count(lambda x: F.abs(x) == float("inf"))}
 
 
-def _idle(rows: DataFrame) -> DataFrame:
+def _idle(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """Adds n, top, bin, motion_mad, thr, method, idle and active (null on an episode's first frame)."""
-    rows = rows.withColumns({"n": F.count("motion").over(whole()), "top": F.max("motion").over(whole()), "motion_med": F.median("motion").over(whole())})
+    rows = cut.know(rows, {"n": F.count("motion"), "top": F.max("motion"), "motion_med": F.median("motion")})
     place = F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"))).otherwise(0)
     rows = rows.withColumn("bin", F.when(F.col("motion").isNotNull(), place))
-    hist = F.array(*[F.count_if(F.col("bin") == i).over(whole()) for i in range(BINS)])
-    rows = rows.withColumns({"motion_mad": F.median(F.abs(F.col("motion") - F.col("motion_med"))).over(whole()), "hist": hist})
-    rows = rows.withColumn("valley", F.when(F.col("first"), valley_threshold(F.col("hist"), F.col("n"), F.col("top"))))  # once an episode
-    rows = rows.withColumn("valley", F.max("valley").over(whole()))
+    spread = F.median(F.abs(F.col("motion") - F.col("motion_med")))
+    if cut.block is None:
+        hist = F.array(*[F.count_if(F.col("bin") == i).over(whole()) for i in range(BINS)])
+        rows = rows.withColumns({"motion_mad": spread.over(whole()), "hist": hist})
+        rows = rows.withColumn("valley", F.when(F.col("first"), valley_threshold(F.col("hist"), F.col("n"), F.col("top"))))  # once an episode
+        rows = rows.withColumn("valley", F.max("valley").over(whole()))
+    else:
+        hist = F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)])
+        valley = valley_threshold(F.col("hist"), F.col("_n"), F.col("_top"))
+        rows = cut.know(rows, {"motion_mad": spread, "hist": hist, "_n": F.max("n"), "_top": F.max("top")}, {"valley": valley}).drop("_n", "_top")
     method = F.when(F.col("valley").isNotNull(), "bimodal_gap").when(3 * F.col("motion_mad") < IDLE_FLOOR, "floor").otherwise("mad")
     rows = rows.withColumns({"method": method, "thr": F.greatest(F.coalesce("valley", 3 * F.col("motion_mad")), F.lit(IDLE_FLOOR))})
     idle = F.col("motion") < F.col("thr")
     return rows.withColumns({"idle": idle, "active": (~idle).cast("int")})
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """Adds step (from 0), moves (an active step after none), run (frames of a run, at its last step) and the full windows."""
-    rows = rows.withColumn("step", F.row_number().over(by_frame()) - 2)
-    upto = by_frame().rowsBetween(Window.unboundedPreceding, 0)
-    full = {f"w{n}": F.sum("active").over(by_frame().rowsBetween(-(n - 2), 0)) == n - 1 for n in WINDOWS}
-    rows = rows.withColumns({"was": F.lag("active").over(by_frame()), "then": F.lead("active").over(by_frame()), "paused": F.max(F.when(F.col("idle"), F.col("step"))).over(upto), **full})
+    by = cut.by_frame()
+    rows = rows.withColumn("step", F.row_number().over(by) - 2 if cut.block is None else F.col("fi") - 1)
+    full = {f"w{n}": F.sum("active").over(by.rowsBetween(-(n - 2), 0)) == n - 1 for n in WINDOWS}
+    rows = rows.withColumns({"was": F.lag("active").over(by), "then": F.lead("active").over(by), **full})
+    rows = cut.highest_before(rows, "paused", F.when(F.col("idle"), F.col("step")))
     on = F.col("active") == 1
     run = F.when(on & (F.coalesce("then", F.lit(0)) == 0), F.col("step") - F.coalesce("paused", F.lit(-1)) + 1)
     return rows.withColumns({"moves": on & (F.coalesce("was", F.lit(0)) == 0), "run": run.cast("long")})
 
 
-def _grid(rows: DataFrame) -> DataFrame:
+def _grid(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """Adds cell, the code of the frame's cell over the first (at most three) state dimensions."""
     for d in range(GRID_DIMS):
         rows = rows.withColumn(f"x{d}", F.get("state", F.lit(d)))
-    ends = {f"{k}{d}": f(f"x{d}").over(whole()) for d in range(GRID_DIMS) for k, f in (("lo", F.min), ("hi", F.max))}
-    rows, cell = rows.withColumns(ends), F.lit(0)
+    rows, cell = cut.know(rows, {f"{k}{d}": f(f"x{d}") for d in range(GRID_DIMS) for k, f in (("lo", F.min), ("hi", F.max))}), F.lit(0)
     for d in range(GRID_DIMS):
         lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
         low, high = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
@@ -85,19 +91,24 @@ def _grid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.when(F.coalesce(finite("state"), F.lit(False)), cell))
 
 
-def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float = SPIKE_Z) -> DataFrame:
+def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float = SPIKE_Z, block: int | None = None) -> DataFrame:
     """Every figure of every episode, from one distribution of the frames.
 
     ``frames`` may also have number (the stored frame number: missing ones are counted), cells,
     nan_cells, inf_cells (counts over features that are not in action and state) and features (what is
     counted of each feature, see ``sources.features``; else action and state are the features).
+    With ``block`` an episode is dealt in blocks of so many frames (``functions.seq.Cut``), so one long
+    episode is many tasks; the figures are the same. Its medians and percentiles meet as counts of
+    distinct values in the task that closes the episode.
     """
-    rows = _stepped(frames)
+    cut = Cut.of(frames, block)
+    rows = _stepped(cut.deal(frames), cut)
     for name, count in _cells().items():
         rows = rows.withColumn(name, count + F.coalesce(name, F.lit(0).cast("long")) if name in frames.columns else count)
-    rows = _grid(_runs(_idle(rows)))
-    rows = rows.withColumns({f"{c}_med": F.median(c).over(whole()) for c in ("jump", "change")})
-    rows = rows.withColumns({f"{c}_mad": F.median(F.abs(F.col(c) - F.col(f"{c}_med"))).over(whole()) for c in ("jump", "change")})
+    rows = _grid(_runs(_idle(rows, cut), cut), cut)
+    rows = cut.know(rows, {f"{c}_med": F.median(c) for c in ("jump", "change")})
+    rows = cut.know(rows, {f"{c}_mad": F.median(F.abs(F.col(c) - F.col(f"{c}_med"))) for c in ("jump", "change")})
+    rows = cut.own(rows)
     spike = lambda c: (F.col(f"{c}_mad") > 0) & (F.abs(F.try_divide(F.lit(0.6745) * (F.col(c) - F.col(f"{c}_med")), F.col(f"{c}_mad"))) > spike_z)
     ms, count = 1000 * F.col("dt"), F.count("*")
     pace = F.when(F.col("dt").isNull(), F.col("sn") * default_hz).otherwise(F.try_divide("sn", F.when(F.col("dt") <= 0, 1e-9).otherwise(F.col("dt"))))
@@ -355,29 +366,45 @@ def action_dim_stats(frames: DataFrame, dims: int) -> DataFrame:
     return got.select("ep", "dim", "mean", "std", F.col("p")[0].alias("p05"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"), "lo", "hi")
 
 
-def sensor_offsets(streams: DataFrame) -> DataFrame:
-    """Signed offset (ms) from each time of the smaller stream to the nearest of the other, ties to the earlier.
-
-    Every pair of an episode's streams; two running windows over the union of both.
-    """
+def _pair_sides(streams: DataFrame) -> DataFrame:
+    """Each pair (one, two) of an episode's streams with every row of both; query marks those of the smaller stream."""
     sizes = streams.groupBy("ep", "stream").agg(F.count("*").alias("n"))
     a, b = sizes.alias("a"), sizes.alias("b")
     pairs = a.join(b, (F.col("a.ep") == F.col("b.ep")) & (F.col("a.stream") < F.col("b.stream")))
     swap = F.col("a.n") > F.col("b.n")
     pairs = pairs.select(F.col("a.ep").alias("ep"), F.col("a.stream").alias("one"), F.col("b.stream").alias("two"), F.when(swap, F.col("b.stream")).otherwise(F.col("a.stream")).alias("base"))
     sides = pairs.select("ep", "one", "two", "base", F.explode(F.array("one", "two")).alias("stream"))
-    rows = streams.join(sides, ["ep", "stream"]).withColumn("query", F.col("stream") == F.col("base"))
+    return streams.join(sides, ["ep", "stream"]).withColumn("query", F.col("stream") == F.col("base"))
+
+
+def sensor_offsets(streams: DataFrame, bucket: float | None = None) -> DataFrame:
+    """Signed offset (ms) from each time of the smaller stream to the nearest of the other, ties to the earlier.
+
+    Every pair of an episode's streams; two running windows over the union of both. With ``bucket``
+    (seconds) a pair is dealt by time buckets, so that a long stream is many tasks: the last time of
+    the other stream before a bucket and the first after it come from a table of a row a bucket.
+    """
+    rows, pair = _pair_sides(streams), ["ep", "one", "two"]
     other = F.when(~F.col("query"), F.col("t"))
-    upto = lambda order: Window.partitionBy("ep", "one", "two").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    if bucket is None:
+        keys, rows = pair, rows.withColumns({"before": F.lit(None).cast("double"), "after": F.lit(None).cast("double")})
+    else:
+        keys, rows = [*pair, "slot"], rows.withColumn("slot", F.floor(F.col("t") / bucket))
+        ends = rows.groupBy(*keys).agg(F.min(other).alias("least"), F.max(other).alias("most"))
+        along = Window.partitionBy(*pair).orderBy("slot")
+        ends = ends.select(*keys, F.max("most").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("least").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+        rows = rows.join(ends, keys)
+    upto = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     back, ahead = F.max(other).over(upto(F.asc("t"))), F.min(other).over(upto(F.desc("t")))  # both run once over the stream
     rows = rows.withColumn("back", back).withColumn("ahead", ahead).filter("query")
+    rows = rows.withColumns({"back": F.coalesce("back", "before"), "ahead": F.coalesce("ahead", "after")})
     near = F.when(F.col("back").isNull(), F.col("ahead")).when(F.col("ahead").isNull() | (F.col("t") - F.col("back") <= F.col("ahead") - F.col("t")), F.col("back")).otherwise(F.col("ahead"))
     return rows.select("ep", "one", "two", "t", ((near - F.col("t")) * 1000).alias("offset"))
 
 
-def sensor_sync_pairs(streams: DataFrame) -> DataFrame:
-    """Offsets of every pair of an episode's streams, in milliseconds."""
-    rows = sensor_offsets(streams).withColumn("size", F.abs("offset"))
+def sensor_sync_pairs(streams: DataFrame, bucket: float | None = None) -> DataFrame:
+    """Offsets of every pair of an episode's streams, in milliseconds; ``bucket`` as in ``sensor_offsets``."""
+    rows = sensor_offsets(streams, bucket).withColumn("size", F.abs("offset"))
     got = rows.groupBy("ep", "one", "two").agg(F.count("*").alias("n"), F.avg("offset").alias("offset_mean"), F.stddev_pop("offset").alias("offset_std"), percentiles("size", 0.5, 0.95, 0.99).alias("p"), F.max("size").alias("offset_max"), F.median("offset").alias("signed_median"))
     return got.select("ep", "one", "two", "n", "offset_mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "offset_max", "offset_std", "signed_median")
 

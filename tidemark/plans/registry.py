@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import seq
+from tidemark.functions import quantiles, seq
 from tidemark.operators import calibrate, export, metrics, report, text, verdict
 from tidemark.plans import sql
 from tidemark.sources import adapters, layouts
@@ -110,6 +110,7 @@ _add("corrupt_verdict", _a1, lambda f: verdict.judged(verdict.scalars(_corrupt(f
 _add("joint_limit", _a2, lambda f: metrics.joint_limit(f, f.sparkSession.createDataFrame([(0, -0.1, 0.1), (1, -0.05, 0.05), (2, 0.0, 0.2)], "joint int, lo double, hi double")))
 _add("action_dim_stats", _a3, lambda f: metrics.action_dim_stats(f, 3).select("ep", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "p05", "p50", "p95", "lo", "hi"))
 _add("sensor_sync_pairs", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync_pairs(x).select("ep", "one", "two", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "offset_max", "offset_mean", "offset_std", "signed_median")]))
+_add("sensor_offsets_bucketed", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_offsets(x, 7 * 86_400.0).groupBy("ep", "one", "two").agg(F.count("*").alias("n"), F.round(F.max(F.abs("offset")), 3).alias("offset_max"), F.round(F.avg("offset"), 3).alias("offset_mean")))
 _add("sensor_sync", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync(x).select("ep", "pairs", F.round("worst_p95", 3).alias("worst_p95"), F.round("worst_max", 3).alias("worst_max")))
 
 _add("episode_verdict", _audit, lambda a: a.select("ep", "frames", "spike_count", "effective_motion_ratio", "severity", "verdict"))
@@ -128,6 +129,7 @@ _add("evidence_level", _results, report.evidence_level)
 _add("deviation_stats", _results, lambda r: report.deviation_stats(r).select(F.round("mean_deviation", 6).alias("mean_deviation"), F.round("median_deviation", 6).alias("median_deviation")))
 _add("temporal_motion_summary", _audit, report.temporal_motion_summary)
 _add("utility_summary", _audit, report.utility_summary)
+_add("utility_summary_refined", _audit, lambda a: quantiles.quantile_table(a.select(*report.UTILITY).persist(), report.UTILITY, few=4))
 _add("audit_summary", _audit, report.audit_summary)
 _add("pattern_type", _audit, lambda a: report.pattern_types(a).select("ep", "pattern", "place"))
 _add("pattern_distribution", _audit, report.pattern_distribution)
@@ -148,6 +150,7 @@ _QUERIES["episode_lookup"] = lambda s, d: _a1(s, d).filter("ep = 7").select("ep"
 _add("portable_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", *calibrate.PORTABLE))
 _add("platform_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", "velocity_p95", "velocity_max", F.round("path_length", 6).alias("path_length")))
 _add("reference_profile", _audit, lambda a: calibrate.reference_profile(calibrate.score_metrics(a)))
+_add("reference_profile_refined", _audit, lambda a: calibrate.refined_profile(calibrate.score_metrics(a).persist(), few=4))
 _add("bad_z", _audit, lambda a: _z(a).select("ep", "metric", F.round("z", 9).alias("z")))
 _add("percentile_rank", _audit, lambda a: _z(a).select("ep", "metric", F.round("rank", 9).alias("rank")))
 _add("rms_score", _audit, lambda a: calibrate.rms_scores(_z(a)).select("ep", *[F.round(c, 6).alias(c) for c in ("portable_score", "platform_score", "combined_rms")]))

@@ -302,6 +302,7 @@ ORACLES |= {
 }
 
 ORACLES |= {
+    "sensor_offsets_bucketed": f"WITH {_STREAMS} SELECT ep, one, two, n, round(offset_max, 3) offset_max, round(offset_mean, 3) offset_mean FROM sp",
     "coverage_two_dims": f"WITH {_AUDIT}, cn AS (SELECT ep, 10 * (@V) + @K c, count(*) n FROM e1 GROUP BY ALL), ct AS (SELECT ep, sum(n) t FROM cn GROUP BY ep) SELECT cn.ep, CAST(sum(n) AS BIGINT) frames, count(*) occupied, count(*) / 100.0e0 occupancy_rate, count(*) FILTER (n < 0.1e0 * t / 100) + 100 - count(*) underrepresented FROM cn JOIN ct ON cn.ep = ct.ep GROUP BY cn.ep".replace("@V", _PLACE["@V"]).replace("@K", _PLACE["@K"]),
     "export_custom": f"WITH {_DECIDED}, i AS (SELECT ep FROM au UNION SELECT unnest(range(0, 400, 2))), j AS (SELECT i.ep, de.u, coalesce(de.verdict, 'PASS') v FROM i LEFT JOIN de ON i.ep = de.ep) SELECT ep, CASE WHEN u = 'REMOVE' THEN false WHEN u IN ('KEEP', 'UNCERTAIN') THEN true ELSE v <> 'REVIEW' END kept, CASE WHEN u = 'REMOVE' THEN 'by_user' WHEN u = 'KEEP' THEN 'kept_by_user' WHEN u = 'UNCERTAIN' THEN 'uncertain' WHEN v = 'REVIEW' THEN 'by_review' ELSE 'kept' END reason FROM j",
     "affected_joints": f"SELECT ep, coalesce(string_agg(joint, ',' ORDER BY joint) FILTER (spikes > 0), '') joints FROM ({_JOINTS}) q GROUP BY ep",
@@ -353,4 +354,6 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "score_summary": ("median", "p95", "mean", "largest"),
     "score_distribution": ("p05", "p50", "p95"),
 }
+ORACLES |= {f"{k}_refined": ORACLES[k] for k in ("utility_summary", "reference_profile")}
+ROUNDED |= {f"{k}_refined": ROUNDED[k] for k in ("utility_summary", "reference_profile")}
 ORACLES |= {k: "SELECT * REPLACE (" + ", ".join(f'round("{c}", 6) AS "{c}"' for c in v) + f") FROM ({ORACLES[k]}) q" for k, v in ROUNDED.items()}
