@@ -66,7 +66,7 @@ def audited(spark: SparkSession, path: str, most: int | None = None) -> DataFram
 def _audit(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> int:
     print(text.summary(audit))
     if args.report:
-        sinks.save_report(audit, verdict.metric_results(audit), args.report)
+        sinks.save_report(audit, verdict.metric_results(audit), args.report, args.path, layouts.load_info(spark, args.path))
         if args.reference:
             profile, loadings, _ = calibrate.load_profile(spark, args.reference)
             calibrate.score_against(audit, profile, loadings).write.mode("overwrite").json(f"{args.report}/scores")

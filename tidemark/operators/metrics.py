@@ -140,6 +140,8 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         F.count_if(spike("jump")).alias("spike_count"),
         percentiles("jump", 0.95, 0.99).alias("jump_p"),
         F.max("jump").alias("jump_max"),
+        percentiles("motion", 0.95, 0.99).alias("delta_p"),
+        F.max("motion").alias("delta_max"),
         n_steps.alias("n"),
         F.first("method").alias("method"),
         F.first("thr").alias("thr"),
@@ -196,7 +198,7 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         F.when(F.col("backward") > 0, 0.0).otherwise(F.coalesce(late, F.lit(1.0))).alias("time_score"),
         *[F.col("dt_p")[i].alias(f"dt_p{k}") for i, k in enumerate((50, 95, 99))],
         F.when(F.col("dt_mean") > 0, F.try_divide("dt_std", "dt_mean")).otherwise(0.0).alias("cv"),
-        *[use("jump_status", c).alias(k) for k, c in {"spike_count": F.col("spike_count"), "spike_rate": F.col("spike_count") / F.greatest(F.col("frames") - 2, F.lit(1)), "jump_p95": F.col("jump_p")[0], "jump_p99": F.col("jump_p")[1], "jump_max": F.col("jump_max")}.items()],
+        *[use("jump_status", c).alias(k) for k, c in {"spike_count": F.col("spike_count"), "spike_rate": F.col("spike_count") / F.greatest(F.col("frames") - 2, F.lit(1)), "jump_p95": F.col("jump_p")[0], "jump_p99": F.col("jump_p")[1], "jump_max": F.col("jump_max"), "delta_p95": F.col("delta_p")[0], "delta_p99": F.col("delta_p")[1], "delta_max": F.col("delta_max")}.items()],
         "n",
         *[use("idle_status", F.col(c)).alias(c) for c in ("method", "thr", "motion_mad")],
         ratio.alias("idle_ratio"),

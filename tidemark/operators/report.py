@@ -19,15 +19,17 @@ HISTORY_PATTERNS = ("Stuck", "Frozen", "Jittery", "Inefficient", "Unusual")
 PATTERNS = ("STUCK_LIKE", "FROZEN_LIKE", "JITTERY_LIKE", "INEFFICIENT", "UNUSUAL")
 
 
-def quantile_row(audit: DataFrame, *columns: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """metric, available, p05, p50, p95 of each column over the episodes that have it.
+def quantile_row(audit: DataFrame, *columns: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95), totals: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """metric, available, p05, p50, p95 of each column over the episodes that have it; with ``totals`` also total and touched of some.
 
-    Exact: the closing task holds the distinct figures of all episodes, a number for each.
+    Exact: the closing task holds the distinct figures of all episodes, a number for each. For more
+    episodes than that allows see ``functions.quantiles``.
     """
-    got = audit.agg(*[F.struct(F.count(c).alias("n"), percentiles(c, *shares).alias("p")).alias(c) for c in columns])
     names = [f"p{round(100 * s):02d}" for s in shares]
-    rows = [F.struct(F.lit(c).alias("metric"), F.col(c)["n"].alias("available"), *[F.get(F.col(c)["p"], F.lit(i)).alias(n) for i, n in enumerate(names)]) for c in columns]
-    return got.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    more = lambda c: [(totals or {}).get(c, (F.lit(None), F.lit(None)))[i].cast("long").alias(k) for i, k in enumerate(("total", "touched"))] if totals else []
+    got = audit.agg(*[F.struct(F.count(c).alias("n"), percentiles(c, *shares).alias("p"), *more(c)).alias(c) for c in columns])
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(c)["n"].alias("available"), *[F.get(F.col(c)["p"], F.lit(i)).alias(n) for i, n in enumerate(names)], *[F.col(c)[k].alias(k) for k in (("total", "touched") if totals else ())]) for c in columns]
+    return got.select(F.inline(F.array(*rows)))
 
 
 TEMPORAL_MOTION = ("dt_p50", "worst_p95", "velocity_p95", "spike_count", "idle_total", "idle_prefix_ratio", "run_p50", "run_p90", "run_max", "transitions", "valid_5", "valid_10", "valid_20")
@@ -37,9 +39,8 @@ UTILITY = ("idle_ratio", "effective_motion_ratio", "occupancy_rate", "duration",
 def temporal_motion_summary(audit: DataFrame) -> DataFrame:
     """Percentiles of time steps, sensor offsets, velocity, spikes and idle structure; total is set for spikes, touched counts episodes above 0."""
     rows = audit.withColumn("idle_prefix_ratio", F.try_divide("idle_prefix", "frames"))
-    shares = quantile_row(rows, *TEMPORAL_MOTION, shares=(0.05, 0.5, 0.95, 0.99))
-    spikes = audit.agg(F.coalesce(F.sum("spike_count"), F.lit(0).cast("long")).alias("total"), F.count_if(F.col("spike_count") > 0).alias("touched")).withColumn("metric", F.lit("spike_count"))
-    return shares.join(spikes, "metric", "left")
+    extra = {"spike_count": (F.coalesce(F.sum("spike_count"), F.lit(0).cast("long")), F.count_if(F.col("spike_count") > 0))}
+    return quantile_row(rows, *TEMPORAL_MOTION, shares=(0.05, 0.5, 0.95, 0.99), totals=extra)
 
 
 def utility_summary(audit: DataFrame) -> DataFrame:
@@ -157,19 +158,18 @@ def _integrity_counts() -> list[Column]:
     return [sum((F.count_if(on(k)) for k in CRITICAL), F.lit(0)).alias("available"), sum((F.count_if(on(k) & _state(k, "passed")) for k in CRITICAL), F.lit(0)).alias("passed")]
 
 
-def quality_dimensions(audit: DataFrame) -> DataFrame:
-    """integrity, temporal, motion and consistency, 0 to 100, to one digit (halves to even).
-
-    Integrity: passed of the available results of the five integrity metrics. What cannot be computed
-    takes 100, 100, 75 and 70.
-    """
-    got = audit.agg(
+def _dimension_counts() -> list[Column]:
+    available = F.when(_state("distribution", "availability") == "available", F.col("duration"))
+    return [
         *_integrity_counts(),
         F.count("*").alias("n"),
         F.count_if(_state("timestamp_validity", "passed")).alias("timed"),
         F.median("effective_motion_ratio").alias("moving"),
-        F.percentile(F.when(_state("distribution", "availability") == "available", F.col("duration")), F.array(F.lit(0.5), F.lit(0.95))).alias("d"),
-    )
+        F.percentile(available, F.array(F.lit(0.5), F.lit(0.95))).alias("d"),
+    ]
+
+
+def _dimensions(counts: DataFrame) -> DataFrame:
     mid, high = F.col("d")[0], F.col("d")[1]
     spread = F.when((mid > 0) & (high > 0), 100 * (1 - F.least(F.try_divide(high, mid) - 1, F.lit(1.0))))
     dims = {
@@ -178,19 +178,29 @@ def quality_dimensions(audit: DataFrame) -> DataFrame:
         "motion": F.coalesce(100 * F.col("moving"), F.lit(75.0)),
         "consistency": F.greatest(F.coalesce(spread, F.lit(70.0)), F.lit(0.0)),
     }
-    return got.select(*[F.bround(c, 1).alias(k) for k, c in dims.items()])
+    return counts.withColumns({k: F.bround(c, 1) for k, c in dims.items()})
+
+
+def quality_dimensions(audit: DataFrame) -> DataFrame:
+    """integrity, temporal, motion and consistency, 0 to 100, to one digit (halves to even).
+
+    Integrity: passed of the available results of the five integrity metrics. Consistency: durations of
+    the episodes that have an action or a state; an episode without frames has neither. What cannot be
+    computed takes 100, 100, 75 and 70.
+    """
+    return _dimensions(audit.agg(*_dimension_counts())).select(*HEALTH_WEIGHTS)
 
 
-def dataset_health(audit: DataFrame) -> DataFrame:
-    """The weighted index as a whole number, its grade, training readiness and the index after a clean-up.
+def dataset_health(audit: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """The weighted index as a whole number, its grade, training readiness and the index after a clean-up; one aggregate.
 
     Ready: fewer than 5 % excluded and 15 % in review; conditionally: 10 % and 30 %. integrity_passed is
     the integrity results that passed, divided by the five metrics and rounded down, as reports show it.
+    ``more``: further aggregates, which become columns.
     """
-    counts = audit.agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(k) for v, k in zip(VERDICTS, ("passes", "review", "excluded"), strict=True)], *_integrity_counts()
-    ).withColumn("integrity_passed", F.floor(F.col("passed") / len(CRITICAL)))
-    both = quality_dimensions(audit).withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one")
+    verdicts = [F.count_if(F.col("verdict") == v).alias(k) for v, k in zip(VERDICTS, ("passes", "review", "excluded"), strict=True)]
+    counts = audit.agg(*verdicts, *_dimension_counts(), *[c.alias(k) for k, c in (more or {}).items()])
+    both = _dimensions(counts.withColumn("integrity_passed", F.floor(F.col("passed") / len(CRITICAL))))
     both = both.withColumn("health", F.bround(sum((F.col(k) * F.lit(w) for k, w in HEALTH_WEIGHTS.items()), F.lit(0.0)), 0).cast("long"))
     grade, ready = F.lit("Poor"), F.lit("Not Ready")
     for bound, name in reversed(GRADES):
@@ -199,7 +209,7 @@ def dataset_health(audit: DataFrame) -> DataFrame:
     for most_x, most_r, name in reversed(READY):
         ready = F.when((x < most_x) & (r < most_r), name).otherwise(ready)
     after = F.least(F.lit(100.0), F.col("health") + F.least(F.lit(20.0), 30 * x)).cast("long")
-    return both.select("n", "passes", "review", "excluded", *HEALTH_WEIGHTS, "health", grade.alias("grade"), ready.alias("readiness"), "integrity_passed", (F.col("n") - F.col("integrity_passed")).alias("integrity_failed"), after.alias("after_cleanup"))
+    return both.select("n", "passes", "review", "excluded", *HEALTH_WEIGHTS, "health", grade.alias("grade"), ready.alias("readiness"), "integrity_passed", (F.col("n") - F.col("integrity_passed")).alias("integrity_failed"), after.alias("after_cleanup"), *(more or {}))
 
 
 def health_by_verdict(audit: DataFrame) -> DataFrame:

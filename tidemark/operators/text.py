@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.report import audit_summary, dataset_health, pattern_types, reason_vector, top_observations
+from tidemark.operators.report import audit_summary, dataset_health, patterns, reasons, top_observations
 
 # pattern: (why, next). Findings are signals of statistics and never labels.
 ADVICE = {
@@ -23,22 +23,28 @@ def percent(share: Column) -> Column:
     return F.concat(F.bround(100 * share, 0).cast("long").cast("string"), F.lit("%"))
 
 
-def diagnosis(audit: DataFrame) -> DataFrame:
-    """ep, what, why, next of each episode, by its strongest pattern."""
-    first = pattern_types(audit).filter("place = 0").select("ep", "pattern")
+def said(duration: Column, spikes: Column, low_motion: Column, pattern: Column) -> tuple[Column, Column, Column]:
+    """what was seen, why it may be and what to do next, by an episode's strongest pattern."""
     parts = F.concat_ws(
         ", ",
-        F.when(F.col("duration") > 0, F.format_string("duration = %.2fs", "duration")),
-        F.when(F.col("spikes") > 0, F.format_string("%d action spikes", F.col("spikes").cast("long"))),
-        F.concat(F.lit("effective motion = "), percent(1 - F.col("low_motion"))),
+        F.when(duration > 0, F.format_string("duration = %.2fs", duration)),
+        F.when(spikes > 0, F.format_string("%d action spikes", spikes.cast("long"))),
+        F.concat(F.lit("effective motion = "), percent(1 - low_motion)),
     )
 
     def advice(place: int) -> Column:
         table = F.create_map(*[F.lit(x) for name, words in ADVICE.items() for x in (name, words[place])])
-        return F.coalesce(F.try_element_at(table, F.col("pattern")), F.lit(NOTHING[place]))
+        return F.coalesce(F.try_element_at(table, pattern), F.lit(NOTHING[place]))
+
+    return F.concat(F.lit("Episode "), parts, F.lit(".")), advice(0), advice(1)
 
-    rows = reason_vector(audit).join(first, "ep", "left")
-    return rows.select("ep", F.concat(F.lit("Episode "), parts, F.lit(".")).alias("what"), advice(0).alias("why"), advice(1).alias("next"))
+
+def diagnosis(audit: DataFrame) -> DataFrame:
+    """ep, what, why, next of each episode, by its strongest pattern."""
+    r = reasons()
+    what, why, following = said(r["duration"], r["spikes"], r["low_motion"], F.col("pattern"))
+    rows = audit.withColumn("pattern", F.get(patterns(), F.lit(0))["pattern"])
+    return rows.select("ep", what.alias("what"), why.alias("why"), following.alias("next"))
 
 
 def summary(audit: DataFrame) -> str:

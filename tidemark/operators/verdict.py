@@ -63,13 +63,14 @@ def ladder(critical: Column, review: Column, severity: Column) -> Column:
     return F.when(critical, "EXCLUDE").when(review | (severity >= REVIEW_SEVERITY), "REVIEW").otherwise("PASS")
 
 
-def scalars(frames: DataFrame, streams: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
+def scalars(frames: DataFrame, streams: DataFrame | None = None, limits: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """One wide row per episode: what verdicts, scores and reports are made from.
 
     ``streams`` (ep, stream, t) make sensor synchronisation available, ``limits`` (joint, lo, hi) the
-    joint limits; without them these two metrics are not available.
+    joint limits; without them these two metrics are not available. ``block`` deals episodes in blocks
+    of so many frames.
     """
-    wide = m.measure(frames)
+    wide = m.measure(frames, block=block)
     if limits is None:
         wide = wide.withColumns({"violations": F.lit(None).cast("long")})
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import quantiles, seq
-from tidemark.operators import calibrate, export, metrics, report, text, verdict
+from tidemark.operators import calibrate, documents, export, metrics, report, text, verdict
 from tidemark.plans import sql
 from tidemark.sources import adapters, layouts
 
@@ -73,6 +73,13 @@ def _feature_names(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.concat(prefix, "l_returnflag").alias("name")).distinct()
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """The lists of an episode's report as texts."""
+    joined = lambda c: F.array_join(F.sort_array(c), ",")
+    lists = [joined(c).alias(c) for c in ("issues", "hard_fail_issues", "risk_signals", "unverifiable_metrics")]
+    return rows.select("ep", F.col("integrity_check.passed").alias("passed"), "behavior_verdict", "evidence_level", *lists, F.col("pattern_type.primary").alias("pattern"), F.col("pattern_type.secondary").alias("second_pattern"), F.col("diagnosis.why").alias("why"))
+
+
 def _z(audit: DataFrame) -> DataFrame:
     scores = calibrate.score_metrics(audit)
     return calibrate.bad_z(scores, calibrate.reference_profile(scores))
@@ -114,6 +121,7 @@ _add("sensor_offsets_bucketed", lambda s, d: adapters.event_streams(adapters.tab
 _add("sensor_sync", lambda s, d: adapters.event_streams(adapters.table(s, d, "events")), lambda x: metrics.sensor_sync(x).select("ep", "pairs", F.round("worst_p95", 3).alias("worst_p95"), F.round("worst_max", 3).alias("worst_max")))
 
 _add("episode_verdict", _audit, lambda a: a.select("ep", "frames", "spike_count", "effective_motion_ratio", "severity", "verdict"))
+_add("episode_verdict_blocks", lambda s, d: verdict.judged(verdict.scalars(_a1(s, d), block=40)), lambda a: a.select("ep", "frames", "spike_count", "effective_motion_ratio", "severity", "verdict"))
 _add("behavior_severity", _audit, lambda a: a.groupBy("severity").agg(F.count("*").alias("episodes")))
 _add("verdict_counts", _audit, verdict.verdict_counts)
 _add("episode_audit", _results)
@@ -141,6 +149,8 @@ _add("dataset_health", _audit, report.dataset_health)
 _add("top_observations", _audit, report.top_observations)
 _add("top_observations_full", _full_audit, lambda a: report.top_observations(a, occupancy=True))
 _add("episode_report", _audit, lambda a: report.episode_report(a, verdict.metric_results(a)))
+_add("episode_documents", _audit, lambda a: _flat(documents.episode_reports(a)))
+_add("dataset_document", _audit, lambda a: documents.dataset_report(a, "events").select("dataset_id", "profile.total_episodes", "quality.dhi", "quality.training_readiness", F.col("integrity.top_issues").getItem("INT-04").alias("backward_episodes"), "evidence_summary.hard_fail_episodes", "evidence_summary.risk_signal_episodes", F.col("evidence_summary.unverifiable_metric_episodes").getItem("joint_limit").alias("unverifiable_limits"), *[F.col("pattern_distribution").getItem(p.lower()).alias(p.lower()) for p in report.PATTERNS], "estimated_post_cleanup_quality"))
 _add("episode_table", _audit, lambda a: report.episode_table(a, verdict.metric_results(a)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6)))
 _add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
 _add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))

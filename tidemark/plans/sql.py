@@ -321,6 +321,11 @@ ORACLES |= {
     + f") v(pattern, why, \"next\")) SELECT au.ep, 'Episode ' || concat_ws(', ', CASE WHEN duration > 0 THEN printf('duration = %.2fs', duration) END, CASE WHEN coalesce(spike_count, 0) > 0 THEN printf('%d action spikes', spike_count) END, 'effective motion = ' || CAST(CAST(round_even(100 * (1 - (1 - coalesce(effective_motion_ratio, 1.0e0))), 0) AS BIGINT) AS VARCHAR) || '%') || '.' AS what, coalesce(why, '{NOTHING[0]}') why, coalesce(\"next\", '{NOTHING[1]}') AS \"next\" FROM au LEFT JOIN pt ON au.ep = pt.ep AND place = 0 LEFT JOIN ad ON pt.pattern = ad.pattern",
     "feature_keys": "SELECT DISTINCT n AS name, CASE WHEN starts_with(n, 'observation.') THEN 'modality' WHEN n = 'action' OR starts_with(n, 'action.') THEN 'action' END kind, regexp_replace(n, '^(observation|action)\\.', '') AS label FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'observation.' WHEN 1 THEN 'action.' ELSE 'other.' END || l_returnflag n FROM lineitem) q",
 }
+ORACLES |= {
+    "episode_verdict_blocks": ORACLES["episode_verdict"],
+    "episode_documents": f"SELECT ep, hard_fail_issues = '' passed, CASE verdict WHEN 'PASS' THEN 'LIKELY_USABLE' WHEN 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'RECOMMENDED_EXCLUDE' END behavior_verdict, evidence evidence_level, issues, hard_fail_issues, risk_signals, unverifiable unverifiable_metrics, pattern, second_pattern, why FROM ({ORACLES['episode_report']}) r JOIN ({ORACLES['episode_diagnosis']}) d USING (ep)",
+    "dataset_document": "SELECT 'events' dataset_id, n total_episodes, health dhi, readiness training_readiness, CAST(NULL AS BIGINT) backward_episodes, " + ", ".join(f"(SELECT max(episodes) FILTER ({w}) FROM ({ORACLES[k]}) e) {c}" for c, k, w in [("hard_fail_episodes", "evidence_summary", "evidence = 'HARD_FAIL'"), ("risk_signal_episodes", "evidence_summary", "evidence = 'RISK_SIGNAL'"), ("unverifiable_limits", "evidence_summary", "metric = 'joint_limit'"), *[(p.lower(), "pattern_distribution", f"pattern = '{p}'") for p in ("STUCK_LIKE", "FROZEN_LIKE", "JITTERY_LIKE", "INEFFICIENT", "UNUSUAL")]]) + f", after_cleanup estimated_post_cleanup_quality FROM ({ORACLES['dataset_health']}) h",
+}
 ROUNDED: dict[str, tuple[str, ...]] = {
     "dt_percentiles": ("dt_p50", "dt_p95", "dt_p99", "dt_max"),
     "mad_per_episode": ("med", "mad"),
@@ -342,6 +347,7 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "approx_percentile": ("percentile",),
     "dataset_health": ("integrity", "temporal", "motion", "consistency"),
     "episode_verdict": ("effective_motion_ratio",),
+    "episode_verdict_blocks": ("effective_motion_ratio",),
     "deviation_heuristic": ("low_motion",),
     "portable_metrics": ("duration", "effective_motion_ratio"),
     "platform_metrics": ("velocity_p95", "velocity_max"),

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import export, report
+from tidemark.operators import documents, export, report
 from tidemark.operators.verdict import CRITICAL, VERDICTS
 from tidemark.sources import layouts
 
@@ -24,13 +24,23 @@ SNAPSHOT = "name string, run string, episodes long, passes long, review long, ex
 ANNOTATOR = ("sample_id", "dataset_alias", "dataset_path", "episode_index", "human_label", "reviewer_id", "review_seconds", "notes")
 
 
-def save_report(audit: DataFrame, results: DataFrame, path: str) -> None:
-    """``path/dataset``: one JSON row; ``path/episodes`` and ``path/metrics``: a row per episode and per metric result."""
-    report.dataset_health(audit).coalesce(1).write.mode("overwrite").json(f"{path}/dataset")
-    report.episode_report(audit, results).write.mode("overwrite").json(f"{path}/episodes")
+def save_report(audit: DataFrame, results: DataFrame, path: str, dataset: str = "", info: dict | None = None) -> None:
+    """The reports of an audit under ``path``; ``dataset``: where the dataset lies, ``info``: its metadata.
+
+    ``engine``: the engine's report, a file for each document, as ``read_report`` takes it; ``dataset``:
+    one document; ``episodes`` and ``metrics``: a JSON row for each episode and each metric result.
+    """
+    documents.engine_documents(audit, dataset, info).write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}/engine")
+    documents.dataset_report(audit, dataset, layouts.profile(info or {})).coalesce(1).write.mode("overwrite").json(f"{path}/dataset")
+    documents.episode_reports(audit).write.mode("overwrite").json(f"{path}/episodes")
     results.write.mode("overwrite").json(f"{path}/metrics")
 
 
+def save_csv(audit: DataFrame, results: DataFrame, path: str, *verdicts: str) -> None:
+    """The flat table of the episodes, or of those with one of ``verdicts``, as CSV files with a header."""
+    report.episode_csv(audit, results, *verdicts).write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """path, num_episodes, dataset, ep, frames, verdict, hard_fail, risk of the judged episodes of JSON reports (one document a file).
 
