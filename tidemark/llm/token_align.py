@@ -36,6 +36,8 @@ HEAVY_PAIRS = 1 << 16
 # Pieces remembered by a worker before it starts anew, and their bytes.
 CACHE_PIECES, CACHE_BYTES = 200_000, 1 << 25
 ROWS_AT_ONCE = 256
+# New pieces are joined to texts of about so many bytes, which costs less than a call for each.
+RUN_BYTES = 2048
 SPACE = "▁"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, n_products long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -141,21 +143,51 @@ class Aligner:
         self.table = np.zeros((0, 8), np.int64)  # n_a, n_b, n_groups, n_overlaps, n_products, whether its bytes differ, first link, links
         self.pairs = np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _one_by_one(self, new: list[str]) -> tuple[list[bool], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """good (both encodings give the piece's bytes back), and of the good ones all ids and their numbers, on both sides."""
         ids_a, ids_b = self.a.encode(new), self.b.encode(new)
         bytes_a, bytes_b = self.a.bytes, self.b.bytes
         good = [b"".join([bytes_a[i] for i in x]) == (raw := p.encode()) == b"".join([bytes_b[i] for i in y]) and bool(raw) for p, x, y in zip(new, ids_a, ids_b, strict=True)]
+        out = []
+        for ids in (ids_a, ids_b):
+            kept = [x for x, ok in zip(ids, good, strict=True) if ok]
+            out += [np.fromiter(chain.from_iterable(kept), np.int64), np.array(list(map(len, kept)), np.int64)]
+        return good, *out
+
+    def _in_runs(self, new: list[str]) -> tuple[list[bool], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for pieces that may be joined to longer texts, as no token goes over their edges; if that shows otherwise, one by one."""
+        raw = [p.encode() for p in new]
+        stop = np.cumsum(list(map(len, raw)))
+        edges = np.searchsorted(stop, np.arange(RUN_BYTES, stop[-1] + RUN_BYTES, RUN_BYTES)) + 1
+        edges = [0, *np.unique(np.minimum(edges, len(new))).tolist()]
+        texts, out = ["".join(new[i:j]) for i, j in zip(edges, edges[1:])], []
+        for side, size in ((self.a, self.size_a), (self.b, self.size_b)):
+            ids = np.fromiter(chain.from_iterable(side.encode(texts)), np.int64)
+            ends = np.cumsum(size[ids])
+            last = np.searchsorted(ends, stop)
+            if not len(ends) or ends[-1] != stop[-1] or (ends[last] != stop).any() or b"".join(map(side.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                return self._one_by_one(new)
+            out += [ids, np.diff(last, prepend=-1)]
+        return [True] * len(new), *out
+
+    def _learn(self, new: list[str]) -> None:
+        joins = [p for p in new if self.cut and p[0] == " " and SPACE not in p and not p.isspace()]
+        alone = [p for p in new if not (self.cut and p[0] == " " and SPACE not in p and not p.isspace())]
+        for pieces, encoded in ((joins, self._in_runs), (alone, self._one_by_one)):
+            if pieces:
+                self._keep(pieces, *encoded(pieces))
+
+    def _keep(self, new: list[str], good: list[bool], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         rows = np.zeros((len(new), 8), np.int64)
         rows[:, 5] = ~np.array(good)
         said = [""] * len(new)
         at = [k for k, ok in enumerate(good) if ok]
         pairs = np.zeros(0, np.int64)
         if at:
-            n_a, n_b = (np.array([len(ids[k]) for k in at], np.int64) for ids in (ids_a, ids_b))
-            a, b = (np.fromiter(chain.from_iterable(ids[k] for k in at), np.int64) for ids in (ids_a, ids_b))
-            got = align(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+            ends_a = np.cumsum(self.size_a[a])
+            got = align(ends_a, np.cumsum(self.size_b[b]))
             close = got["closes"]
-            stop = np.cumsum(self.size_a[a])[np.cumsum(n_a) - 1]  # each piece's end in bytes
+            stop = ends_a[np.cumsum(n_a) - 1]  # each piece's end in bytes
             groups = np.diff(np.searchsorted(close, stop, "right"), prepend=0)
             overlaps = np.diff(np.searchsorted(got["ends"], stop, "right"), prepend=0)
             product = np.bincount(got["group_a"], minlength=len(close)) * np.bincount(got["group_b"], minlength=len(close))
@@ -165,13 +197,12 @@ class Aligner:
             pairs = a[place_a] * SECOND_IDS + b[place_b]
             first = len(self.pairs) + np.cumsum(count) - count
             rows[at] = np.stack((n_a, n_b, groups, overlaps, products, np.zeros_like(n_a), first, count), 1)
-            said_groups = self._names(a, b, got["group_a"], got["group_b"], len(close))
-            where = 0
+            said_groups, where = self._names(a, b, got["group_a"], got["group_b"], len(close)), 0
             for k, n in zip(at, groups.tolist(), strict=True):
-                said[k] = ";".join(said_groups[where : where + n])
+                said[k] = said_groups[where] if n == 1 else ";".join(said_groups[where : where + n])
                 where += n
         start = len(self.said)
-        self.known.update((p, start + k) for k, p in enumerate(new))
+        self.known.update(zip(new, range(start, start + len(new))))
         self.weight += sum(map(len, new))
         self.said += said
         self.table = np.concatenate((self.table, rows))
