@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import quantiles
+from tidemark.functions.ranking import numbered
 from tidemark.operators import calibrate, metrics
 
 SHARES = (0.0, 0.05, 0.25, 0.5, 0.95, 0.99, 1.0)
@@ -16,9 +17,9 @@ SHARES = (0.0, 0.05, 0.25, 0.5, 0.95, 0.99, 1.0)
 def numbers(kind):
     rng = random.Random(kind)
     return {
-        "plain": [rng.gauss(0, 1) for _ in range(3000)],
+        "plain": [rng.gauss(0, 1) for _ in range(1500)],
         "ties": [rng.choice([0.0, 1.0, 1.0, 2.0]) for _ in range(3000)],
-        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(2000)] + [1.7e308, -1.7e308],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(300)] + [1.7e308, -1.7e308],
         "close": [1.0 + k * 2**-52 for k in range(500)] * 2,
         "one": [4.25],
         "few": [3.0, None, 1.0, float("nan")],
@@ -31,7 +32,7 @@ def test_refined_quantiles(spark, kind):
     values = numbers(kind)
     df = spark.createDataFrame([(x,) for x in values], "x double").withColumn("none", F.lit(None).cast("double")).persist()
     real = sorted(x for x in values if x is not None and not math.isnan(x))
-    for buckets, few in ((7, 3), (256, 1000)):
+    for buckets, few in ((16, 8), (256, 1000)):
         got = quantiles.exact_quantiles(df, ("x", "none"), SHARES, buckets, few)
         assert got["none"] == (0, [None] * len(SHARES)) and got["x"][0] == len(real)
         for share, q in zip(SHARES, got["x"][1]):
@@ -44,10 +45,10 @@ def test_refined_quantiles(spark, kind):
 def test_refined_profile(spark):
     rng = random.Random(9)
     rows = [(i, rng.gauss(5, 2), float(rng.randint(0, 3)), rng.random()) for i in range(700)]
-    scores = spark.createDataFrame(rows, "ep long, duration double, spike_count double, effective_motion_ratio double").persist()
-    pairs = zip(*[sorted(f.collect(), key=lambda r: r.metric) for f in (calibrate.reference_profile(scores), calibrate.refined_profile(scores, few=5, buckets=9))], strict=True)
+    scores = spark.createDataFrame(rows[:300], "ep long, duration double, spike_count double, effective_motion_ratio double").persist()
+    pairs = zip(*[sorted(f.collect(), key=lambda r: r.metric) for f in (calibrate.reference_profile(scores), calibrate.refined_profile(scores, few=20, buckets=16))], strict=True)
     for one, two in pairs:
-        assert one.metric == two.metric and one.n == two.n == 700
+        assert one.metric == two.metric and one.n == two.n == 300
         assert list(one)[2:] == pytest.approx(list(two)[2:], abs=1e-12)
 
 
@@ -149,3 +150,30 @@ def test_portable_calibration_is_the_default(spark):
     wide = calibrate.calibrate(audit, include_platform=True)
     assert {r.metric for r in wide[0].collect()} == set(columns) == set(wide[1][0])
     assert calibrate.calibrate(audit, min_episodes=41)[1:] == ([], [])
+
+
+def test_parameters_by_dataset(spark):
+    """One plan with a table of parameters gives what a plan for each dataset gives."""
+    frames = long_frames(spark).withColumn("set", F.concat(F.lit("d"), (F.col("ep") % 3).cast("string"))).withColumn("t", F.when(F.col("ep") == 2, None).otherwise(F.col("t")))
+    table = spark.createDataFrame([("d1", 1e6, 1.0, 0.9, 12, 4, None), ("d2", None, None, None, None, None, 5.0)], "set string, spike_z double, idle_multiple double, idle_floor double, bins int, resolution int, default_hz double")
+    got = {r.ep: r.asDict() for r in metrics.measure(metrics.with_parameters(frames, table, "set")).collect()}
+    plain = {r.ep: r.asDict() for r in metrics.measure(frames).collect()}
+    assert got[3] == plain[3] and got[6]["n"] == plain[6]["n"]  # d0 has no row: the defaults
+    assert got[2]["duration"] == pytest.approx(400 / 5.0) and plain[2]["duration"] == pytest.approx(400 / 30.0)
+    assert got[1]["spike_count"] < plain[1]["spike_count"] and got[1]["occupancy_rate"] == got[1]["occupied"] / 4**3 != plain[1]["occupancy_rate"]
+    assert got[1]["thr"] >= 0.9 and got[1]["method"] in ("bimodal_gap", "floor", "mad")
+    blocks = {r.ep: r.asDict() for r in metrics.measure(metrics.with_parameters(frames, table, "set"), block=50).collect()}
+    for ep in (1, 2):
+        assert all(blocks[ep][k] == pytest.approx(got[ep][k], rel=1e-9) for k in ("thr", "spike_count", "idle_ratio", "duration", "occupancy_rate"))
+
+
+def test_numbers_over_a_whole_table(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 3), rng.choice([0.5, 1.0, 2.0]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b double, i long").repartition(7)
+    got = numbered(df, [F.asc("a"), F.desc("b"), F.asc("i")]).collect()
+    want = {r[2]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[0], -r[1], r[2])))}
+    assert {r.i: r["rank"] for r in got} == want and len(got) == 2000
+    assert numbered(df.limit(0), ["i"]).collect() == []
+    plan = numbered(df, ["a", "i"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

@@ -103,15 +103,15 @@ def robust(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("z", F.when(F.col(value).isNotNull(), z))
 
 
-def edge_bin(value: Column, top: Column, bins: int = BINS) -> Column:
+def edge_bin(value: Column, top: Column, bins: int | Column = BINS) -> Column:
     """The bin of ``value`` over [0, top] by comparison with the edges i * (top / bins); the last is closed."""
     width = top / bins
-    guess = F.greatest(F.least(F.floor(F.try_divide(value, width)).cast("int"), F.lit(bins - 1)), F.lit(0))
+    guess = F.greatest(F.least(F.floor(F.try_divide(value, width)).cast("int"), F.lit(bins - 1).cast("int")), F.lit(0))
     low = F.when(value < guess * width, guess - 1).otherwise(guess)
     return F.when((low < bins - 1) & (value >= (low + 1) * width), low + 1).otherwise(low)
 
 
-def valley_threshold(hist: Column, n: Column, top: Column, bins: int = BINS) -> Column:
+def valley_threshold(hist: Column, n: Column, top: Column, bins: int | Column = BINS) -> Column:
     """Upper edge of the emptiest bin between the idle peak and the next rise; null if there is none.
 
     One fold over the bins: ``open`` once a tenth of all steps lie at or below a nearly empty bin,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import numbered
+
 STRATEGIES = {"conservative": ("EXCLUDE",), "aggressive": ("EXCLUDE", "REVIEW")}
 # Accepted spellings of a label; names of the training policies.
 LABELS = {"KEEP": "KEEP", "GOOD": "KEEP", "REVIEW": "REVIEW", "REMOVE": "REMOVE", "BAD": "REMOVE", "DROP": "REMOVE", "EXCLUDE": "REMOVE"}
@@ -86,7 +88,7 @@ def blind_sample(rows: DataFrame, n: int, salt: str | None = None) -> DataFrame:
     marked = rows.join(picks, ["dataset", "ep"], "left").withColumn("key", key)
     by = Window.partitionBy("dataset").orderBy(F.col("first").asc_nulls_last(), "key")
     chosen = marked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
-    return chosen.select("dataset", "ep", F.format_string("S%04d", F.row_number().over(Window.orderBy("dataset", "ep"))).alias("sample_id"))
+    return numbered(chosen.select("dataset", "ep"), ["dataset", "ep"]).select("dataset", "ep", F.format_string("S%04d", "rank").alias("sample_id"))
 
 
 def normalise_label(label: Column) -> Column:

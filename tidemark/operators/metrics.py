@@ -21,9 +21,30 @@ IDLE_FLOOR = 1e-6
 WINDOWS = (5, 10, 20)
 DEFAULT_HZ = 30.0
 GRID_DIMS, RESOLUTION, THIN = 3, 10, 0.1
+# Where the number of bins is a parameter, histograms have so many; it may be at most this.
+MOST_BINS = 100
 FEATURES = ("action", "state")
 
 
+# What may differ by dataset or platform: a column of this name in the frames (``with_parameters``) goes before the default.
+PARAMETERS = {"spike_z": SPIKE_Z, "idle_multiple": 3.0, "idle_floor": IDLE_FLOOR, "bins": BINS, "resolution": RESOLUTION, "default_hz": DEFAULT_HZ}
+
+
+def with_parameters(frames: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``frames`` with the parameters of their ``key`` (a dataset, a platform): ``table`` has a row for each key and some of ``PARAMETERS`` as columns.
+
+    Keys that ``table`` lacks and nulls take the defaults. One plan so audits many datasets, each with its own thresholds.
+    """
+    own = [c for c in PARAMETERS if c in table.columns]
+    named = table.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in own])
+    rows = frames.join(named, F.col(key) == F.col("_key"), "left").drop("_key")
+    return rows.withColumns({c: F.coalesce(F.col(f"_{c}"), F.lit(PARAMETERS[c])) for c in own}).drop(*[f"_{c}" for c in own])
+
+
+def _parameter(rows: DataFrame, name: str, default: float | None = None) -> Column:
+    return F.col(name) if name in rows.columns else F.lit(PARAMETERS[name] if default is None else default)
+
+
 def steps(frames: DataFrame) -> DataFrame:
     """Frames with d1, motion (norm of d1), d2 and jump (norm of d2) of the action."""
     out = frames.withColumn("d1", difference("action")).withColumn("d2", difference("d1"))
@@ -48,21 +69,22 @@ def _cells(columns: tuple[str, ...] = FEATURES) -> dict[str, Column]:
 
 def _idle(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """Adds n, top, bin, motion_mad, thr, method, idle and active (null on an episode's first frame)."""
+    bins, most, floor, times = _parameter(rows, "bins"), BINS if "bins" not in rows.columns else MOST_BINS, _parameter(rows, "idle_floor"), _parameter(rows, "idle_multiple")
     rows = cut.know(rows, {"n": F.count("motion"), "top": F.max("motion"), "motion_med": F.median("motion")})
-    place = F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"))).otherwise(0)
+    place = F.when(F.col("top") > 0, edge_bin(F.col("motion"), F.col("top"), bins)).otherwise(0)
     rows = rows.withColumn("bin", F.when(F.col("motion").isNotNull(), place))
     spread = F.median(F.abs(F.col("motion") - F.col("motion_med")))
     if cut.block is None:
-        hist = F.array(*[F.count_if(F.col("bin") == i).over(whole()) for i in range(BINS)])
+        hist = F.array(*[F.count_if(F.col("bin") == i).over(whole()) for i in range(most)])
         rows = rows.withColumns({"motion_mad": spread.over(whole()), "hist": hist})
-        rows = rows.withColumn("valley", F.when(F.col("first"), valley_threshold(F.col("hist"), F.col("n"), F.col("top"))))  # once an episode
+        rows = rows.withColumn("valley", F.when(F.col("first"), valley_threshold(F.col("hist"), F.col("n"), F.col("top"), bins)))  # once an episode
         rows = rows.withColumn("valley", F.max("valley").over(whole()))
     else:
-        hist = F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)])
-        valley = valley_threshold(F.col("hist"), F.col("_n"), F.col("_top"))
-        rows = cut.know(rows, {"motion_mad": spread, "hist": hist, "_n": F.max("n"), "_top": F.max("top")}, {"valley": valley}).drop("_n", "_top")
-    method = F.when(F.col("valley").isNotNull(), "bimodal_gap").when(3 * F.col("motion_mad") < IDLE_FLOOR, "floor").otherwise("mad")
-    rows = rows.withColumns({"method": method, "thr": F.greatest(F.coalesce("valley", 3 * F.col("motion_mad")), F.lit(IDLE_FLOOR))})
+        hist = F.array(*[F.count_if(F.col("bin") == i) for i in range(most)])
+        valley = valley_threshold(F.col("hist"), F.col("_n"), F.col("_top"), F.col("_bins"))
+        rows = cut.know(rows, {"motion_mad": spread, "hist": hist, "_n": F.max("n"), "_top": F.max("top"), "_bins": F.max(bins)}, {"valley": valley}).drop("_n", "_top", "_bins")
+    method = F.when(F.col("valley").isNotNull(), "bimodal_gap").when(times * F.col("motion_mad") < floor, "floor").otherwise("mad")
+    rows = rows.withColumns({"method": method, "thr": F.greatest(F.coalesce("valley", times * F.col("motion_mad")), floor)})
     idle = F.col("motion") < F.col("thr")
     return rows.withColumns({"idle": idle, "active": (~idle).cast("int")})
 
@@ -81,13 +103,14 @@ def _runs(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
 
 def _grid(rows: DataFrame, cut: Cut = WHOLE) -> DataFrame:
     """Adds cell, the code of the frame's cell over the first (at most three) state dimensions."""
+    resolution = _parameter(rows, "resolution")
     for d in range(GRID_DIMS):
         rows = rows.withColumn(f"x{d}", F.get("state", F.lit(d)))
     rows, cell = cut.know(rows, {f"{k}{d}": f(f"x{d}") for d in range(GRID_DIMS) for k, f in (("lo", F.min), ("hi", F.max))}), F.lit(0)
     for d in range(GRID_DIMS):
         lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
         low, high = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
-        cell = cell * RESOLUTION + F.coalesce(edge_bin(F.col(f"x{d}") - low, high - low, RESOLUTION), F.lit(0))
+        cell = cell * resolution + F.coalesce(edge_bin(F.col(f"x{d}") - low, high - low, resolution), F.lit(0))
     return rows.withColumn("cell", F.when(F.coalesce(finite("state"), F.lit(False)), cell))
 
 
@@ -96,7 +119,8 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
 
     ``frames`` may also have number (the stored frame number: missing ones are counted), cells,
     nan_cells, inf_cells (counts over features that are not in action and state) and features (what is
-    counted of each feature, see ``sources.features``; else action and state are the features).
+    counted of each feature, see ``sources.features``; else action and state are the features), and any
+    of ``PARAMETERS``, which must be the same in all frames of an episode.
     With ``block`` an episode is dealt in blocks of so many frames (``functions.seq.Cut``), so one long
     episode is many tasks; the figures are the same. Its medians and percentiles meet as counts of
     distinct values in the task that closes the episode.
@@ -109,9 +133,10 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
     rows = cut.know(rows, {f"{c}_med": F.median(c) for c in ("jump", "change")})
     rows = cut.know(rows, {f"{c}_mad": F.median(F.abs(F.col(c) - F.col(f"{c}_med"))) for c in ("jump", "change")})
     rows = cut.own(rows)
-    spike = lambda c: (F.col(f"{c}_mad") > 0) & (F.abs(F.try_divide(F.lit(0.6745) * (F.col(c) - F.col(f"{c}_med")), F.col(f"{c}_mad"))) > spike_z)
+    hz, bound, resolution = _parameter(rows, "default_hz", default_hz), _parameter(rows, "spike_z", spike_z), _parameter(rows, "resolution")
+    spike = lambda c: (F.col(f"{c}_mad") > 0) & (F.abs(F.try_divide(F.lit(0.6745) * (F.col(c) - F.col(f"{c}_med")), F.col(f"{c}_mad"))) > bound)
     ms, count = 1000 * F.col("dt"), F.count("*")
-    pace = F.when(F.col("dt").isNull(), F.col("sn") * default_hz).otherwise(F.try_divide("sn", F.when(F.col("dt") <= 0, 1e-9).otherwise(F.col("dt"))))
+    pace = F.when(F.col("dt").isNull(), F.col("sn") * hz).otherwise(F.try_divide("sn", F.when(F.col("dt") <= 0, 1e-9).otherwise(F.col("dt"))))
     missing = F.lit(0).cast("long")
     if "number" in frames.columns:
         rows = rows.withColumn("inside", F.when((F.col("number") >= 0) & (F.col("number") < F.count("*").over(whole())), F.col("number")))
@@ -134,6 +159,7 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         F.every("delta_ok").alias("delta_ok"),
         F.every(F.coalesce(finite("state"), F.lit(True))).alias("state_ok"),
         F.max(F.size("state")).alias("width"),
+        F.max(resolution).alias("grid"),
         F.size(F.collect_set("cell")).cast("long").alias("occupied"),
         *[F.sum(c).alias(c) for c in ("cells", "nan_cells", "inf_cells")],
         missing.alias("missing"),
@@ -161,7 +187,7 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         percentiles("speed", 0.5, 0.95, 0.99).alias("speed_p"),
         F.max("speed").alias("velocity_max"),
         F.count_if(spike("change")).alias("acc_spikes"),
-        F.when(F.count("t") == count, F.max_by("t", "fi") - F.min_by("t", "fi")).otherwise((count - 1) / F.lit(default_hz)).alias("duration"),
+        F.when(F.count("t") == count, F.max_by("t", "fi") - F.min_by("t", "fi")).otherwise((count - 1) / F.max(hz)).alias("duration"),
         F.coalesce(F.sum("sn"), F.lit(0.0)).alias("path_length"),
         F.max_by("state", "fi").alias("end_state"),
         F.avg(pace).alias("pace_mean"),
@@ -206,7 +232,7 @@ def measure(frames: DataFrame, default_hz: float = DEFAULT_HZ, spike_z: float =
         *[use("sufficiency_status", c).alias(k) for k, c in {"idle_total": ratio, **{k: F.col(k) for k in ("idle_prefix", "transitions", *[f"valid_{k}" for k in WINDOWS])}, "run_p50": F.coalesce(F.col("run_p")[0], F.lit(0.0)), "run_p90": F.coalesce(F.col("run_p")[1], F.lit(0.0)), "run_max": F.col("run_max")}.items()],
         *[use("velocity_status", c).alias(k) for k, c in {**{f"velocity_p{k}": F.col("speed_p")[i] for i, k in enumerate((50, 95, 99))}, "velocity_max": F.col("velocity_max"), "acc_spikes": F.col("acc_spikes"), "acc_spike_rate": F.col("acc_spikes") / F.col("frames")}.items()],
         use("coverage_status", F.col("occupied")).alias("occupied"),
-        use("coverage_status", F.col("occupied") / F.pow(F.lit(float(RESOLUTION)), F.least("width", F.lit(GRID_DIMS)))).alias("occupancy_rate"),
+        use("coverage_status", F.col("occupied") / F.pow(F.col("grid").cast("double"), F.least("width", F.lit(GRID_DIMS)))).alias("occupancy_rate"),
     )
 
 

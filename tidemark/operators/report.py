@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import numbered
 from tidemark.functions.seq import percentiles
 from tidemark.operators.verdict import CRITICAL, METRICS, VERDICTS, effective_points, spike_points
 
@@ -321,6 +322,17 @@ def episode_table(audit: DataFrame, results: DataFrame) -> DataFrame:
     return audit.join(dev, "ep").select("ep", "verdict", order.alias("class"), "deviation", F.greatest("deviation", F.col("severity").cast("double")).alias("issue_severity"))
 
 
+def episode_ranks(audit: DataFrame) -> DataFrame:
+    """ep, verdict, deviation, rank over the whole dataset: EXCLUDE, REVIEW, PASS, the larger deviation first, then by number.
+
+    The deviation is 100 (1 - mean score of all results), to six digits.
+    """
+    order = F.when(F.col("verdict") == "EXCLUDE", 0).when(F.col("verdict") == "REVIEW", 1).otherwise(2)
+    mean = F.aggregate("results", F.lit(0.0), lambda a, r: a + r["score"]) / F.size("results")
+    rows = audit.select("ep", "verdict", order.alias("class"), F.round(100 * (1 - mean), 6).alias("deviation"))
+    return numbered(rows, [F.asc("class"), F.desc("deviation"), F.asc("ep")]).select("ep", "verdict", "deviation", "rank")
+
+
 def findings(audit: DataFrame) -> DataFrame:
     """Behavioural findings with their points: medium from 20 on, else low."""
     rows = F.array(F.struct(F.lit("action_discontinuity").alias("metric"), spike_points(F.coalesce("spike_count", F.lit(0))).alias("points")), F.struct(F.lit("idle_ratio").alias("metric"), effective_points(F.coalesce("effective_motion_ratio", F.lit(1.0))).alias("points")))

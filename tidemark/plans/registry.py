@@ -80,6 +80,12 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.select("ep", F.col("integrity_check.passed").alias("passed"), "behavior_verdict", "evidence_level", *lists, F.col("pattern_type.primary").alias("pattern"), F.col("pattern_type.secondary").alias("second_pattern"), F.col("diagnosis.why").alias("why"))
 
 
+def _with_parameters(frames: DataFrame) -> DataFrame:
+    """Episodes of two kinds: one with the defaults, one with a wider spike bound and a coarser grid."""
+    table = frames.sparkSession.createDataFrame([("odd", 8.0, 5)], "kind string, spike_z double, resolution int")
+    return metrics.with_parameters(frames.withColumn("kind", F.when(F.col("ep") % 2 == 1, "odd").otherwise("even")), table, "kind")
+
+
 def _z(audit: DataFrame) -> DataFrame:
     scores = calibrate.score_metrics(audit)
     return calibrate.bad_z(scores, calibrate.reference_profile(scores))
@@ -152,6 +158,8 @@ _add("episode_report", _audit, lambda a: report.episode_report(a, verdict.metric
 _add("episode_documents", _audit, lambda a: _flat(documents.episode_reports(a)))
 _add("dataset_document", _audit, lambda a: documents.dataset_report(a, "events").select("dataset_id", "profile.total_episodes", "quality.dhi", "quality.training_readiness", F.col("integrity.top_issues").getItem("INT-04").alias("backward_episodes"), "evidence_summary.hard_fail_episodes", "evidence_summary.risk_signal_episodes", F.col("evidence_summary.unverifiable_metric_episodes").getItem("joint_limit").alias("unverifiable_limits"), *[F.col("pattern_distribution").getItem(p.lower()).alias(p.lower()) for p in report.PATTERNS], "estimated_post_cleanup_quality"))
 _add("episode_table", _audit, lambda a: report.episode_table(a, verdict.metric_results(a)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6)))
+_add("episode_ranks", _audit, report.episode_ranks)
+_add("measured_with_parameters", lambda s, d: _with_parameters(_a1(s, d)), lambda f: metrics.measure(f).select("ep", "spike_count", "idle_ratio", "occupancy_rate", "method"))
 _add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
 _add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))
 _QUERIES["spike_regions"] = lambda s, d: report.spike_regions(seq.robust(metrics.steps(_a1(s, d)), "jump").withColumn("frames", F.count("*").over(seq.whole())).filter(F.abs("z") > 5))

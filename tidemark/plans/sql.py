@@ -87,6 +87,13 @@ au AS (SELECT *, idle_points + spike_points severity, backward > 0 hard_fail,
 )
 # The bin of v and of k: how many of the nine inner edges lie at or below.
 _PLACE = {"@V": " + ".join(f"CAST(v - lv >= {i} * ((hv - lv) / 10) AS INT)" for i in range(1, 10)), "@K": " + ".join(f"CAST(k - lk >= {i} * ((hk - lk) / 10) AS INT)" for i in range(1, 10))}
+
+
+def _coarse(x: str) -> str:
+    """The bin among five."""
+    return " + ".join(f"CAST({x} - l{x} >= {i} * ((h{x} - l{x}) / 5) AS INT)" for i in range(1, 5))
+
+
 _AUDIT = _AUDIT.replace("@V", _PLACE["@V"]).replace("@K", _PLACE["@K"])
 # The metrics with the frames they need; two of them need a side table.
 _NEEDS = """(VALUES ('missing_dropout', 0), ('invalid_values', 0), ('schema_consistency', 0), ('timestamp_validity', 0), ('joint_limit', NULL), ('sensor_synchronization', NULL), ('sampling_jitter', 2),
@@ -322,6 +329,8 @@ ORACLES |= {
     "feature_keys": "SELECT DISTINCT n AS name, CASE WHEN starts_with(n, 'observation.') THEN 'modality' WHEN n = 'action' OR starts_with(n, 'action.') THEN 'action' END kind, regexp_replace(n, '^(observation|action)\\.', '') AS label FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'observation.' WHEN 1 THEN 'action.' ELSE 'other.' END || l_returnflag n FROM lineitem) q",
 }
 ORACLES |= {
+    "episode_ranks": f"WITH {_RESULTS}, d AS (SELECT ep, round(100 * (1 - avg(CAST(score AS DOUBLE))), 6) deviation FROM rs GROUP BY ep) SELECT au.ep, verdict, deviation, row_number() OVER (ORDER BY CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, deviation DESC, au.ep) AS rank FROM au JOIN d ON au.ep = d.ep",
+    "measured_with_parameters": "WITH " + _AUDIT + ", jw AS (SELECT ep, count(*) FILTER (abs(z) > 8) wide FROM jz GROUP BY ep), og AS (SELECT ep, count(DISTINCT 5 * (@V) + @K) occupied FROM e1 GROUP BY ep) SELECT au.ep, CASE WHEN au.ep % 2 = 1 AND spike_count IS NOT NULL THEN wide ELSE spike_count END spike_count, idle_ratio, CASE WHEN au.ep % 2 = 1 THEN occupied / 25.0e0 ELSE occupancy_rate END occupancy_rate, \"method\" FROM au JOIN jw ON au.ep = jw.ep JOIN og ON au.ep = og.ep".replace("@V", _coarse("v")).replace("@K", _coarse("k")),
     "episode_verdict_blocks": ORACLES["episode_verdict"],
     "episode_documents": f"SELECT ep, hard_fail_issues = '' passed, CASE verdict WHEN 'PASS' THEN 'LIKELY_USABLE' WHEN 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'RECOMMENDED_EXCLUDE' END behavior_verdict, evidence evidence_level, issues, hard_fail_issues, risk_signals, unverifiable unverifiable_metrics, pattern, second_pattern, why FROM ({ORACLES['episode_report']}) r JOIN ({ORACLES['episode_diagnosis']}) d USING (ep)",
     "dataset_document": "SELECT 'events' dataset_id, n total_episodes, health dhi, readiness training_readiness, CAST(NULL AS BIGINT) backward_episodes, " + ", ".join(f"(SELECT max(episodes) FILTER ({w}) FROM ({ORACLES[k]}) e) {c}" for c, k, w in [("hard_fail_episodes", "evidence_summary", "evidence = 'HARD_FAIL'"), ("risk_signal_episodes", "evidence_summary", "evidence = 'RISK_SIGNAL'"), ("unverifiable_limits", "evidence_summary", "metric = 'joint_limit'"), *[(p.lower(), "pattern_distribution", f"pattern = '{p}'") for p in ("STUCK_LIKE", "FROZEN_LIKE", "JITTERY_LIKE", "INEFFICIENT", "UNUSUAL")]]) + f", after_cleanup estimated_post_cleanup_quality FROM ({ORACLES['dataset_health']}) h",
@@ -348,6 +357,7 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "dataset_health": ("integrity", "temporal", "motion", "consistency"),
     "episode_verdict": ("effective_motion_ratio",),
     "episode_verdict_blocks": ("effective_motion_ratio",),
+    "measured_with_parameters": ("idle_ratio",),
     "deviation_heuristic": ("low_motion",),
     "portable_metrics": ("duration", "effective_motion_ratio"),
     "platform_metrics": ("velocity_p95", "velocity_max"),
