@@ -130,7 +130,7 @@ def test_scores_of_metric_subsets(spark):
         z = {}
         for r in table.collect():
             z.setdefault(r.ep, {})[r.metric] = r.z
-        for r in calibrate.deviation_scores(table, parts).collect():
+        for r in calibrate.deviation_scores(table, parts, score_type="combined").collect():
             assert [r.portable_score, r.platform_score, r.combined_score] == pytest.approx([f(z[r.ep]) for f in want[:3]])
             assert r.deviation_score == r.combined_score and r.method == want[3]
         got = calibrate.deviation_scores(table, parts, score_type="portable").first()

@@ -137,14 +137,14 @@ def _composite(names: tuple[str, ...], loadings: list[dict[str, float]]) -> Colu
     return F.sqrt(F.avg(F.when(F.col("metric").isin(*names), F.col("z") * F.col("z"))))
 
 
-def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = None, min_episodes: int = MIN_EPISODES, score_type: str = "combined") -> DataFrame:
-    """portable_score, platform_score, combined_score, the score of ``score_type`` as deviation_score, and its method.
+def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = None, min_episodes: int = MIN_EPISODES, score_type: str | None = None) -> DataFrame:
+    """portable_score, platform_score, combined_score and the method of the last; with ``score_type`` that score as deviation_score, and its method.
 
     A score takes components only if their metrics are all among its own. Without platform metrics in
     the reference the platform score is 0 and the combined score is the portable one. Without
     ``loadings`` they come from ``z`` itself if it has enough episodes.
     """
-    if score_type not in ("portable", "platform", "combined"):
+    if score_type not in (None, "portable", "platform", "combined"):
         raise ValueError(f"no such score: {score_type}")
     if loadings is None:
         enough = z.select("ep").distinct().count() >= min_episodes
@@ -154,8 +154,9 @@ def deviation_scores(z: DataFrame, loadings: list[dict[str, float]] | None = Non
     got = got.withColumns({"portable_score": F.coalesce("portable_own", F.lit(0.0)), "platform_score": F.when(F.col("wide"), F.col("platform_own")).otherwise(0.0)})
     got = got.withColumn("combined_score", F.when(F.col("wide"), F.col("combined_own")).otherwise(F.col("portable_score")))
     fits = lambda k: "pca" if loadings and loadings[0] and set(loadings[0]) <= set(sets[k]) else "rms"
-    method = F.lit(fits(score_type)) if score_type != "combined" else F.when(F.col("wide"), fits("combined")).otherwise(fits("portable"))
-    return got.select("ep", "portable_score", "platform_score", "combined_score", F.col(f"{score_type}_score").alias("deviation_score"), method.alias("method"))
+    method = F.lit(fits(score_type)) if score_type in ("portable", "platform") else F.when(F.col("wide"), fits("combined")).otherwise(fits("portable"))
+    chosen = [F.col(f"{score_type}_score").alias("deviation_score")] if score_type else []
+    return got.select("ep", "portable_score", "platform_score", "combined_score", *chosen, method.alias("method"))
 
 
 def calibrate(audit: DataFrame, min_episodes: int = MIN_EPISODES, include_platform: bool = False) -> tuple[DataFrame, list[dict[str, float]], list[float]]:
@@ -171,7 +172,7 @@ def calibrate(audit: DataFrame, min_episodes: int = MIN_EPISODES, include_platfo
     return (profile, [], []) if few else (profile, *pca_loadings(bad_z(scores, profile)))
 
 
-def score_against(audit: DataFrame, profile: DataFrame, loadings: list[dict[str, float]], score_type: str = "combined") -> DataFrame:
+def score_against(audit: DataFrame, profile: DataFrame, loadings: list[dict[str, float]], score_type: str | None = None) -> DataFrame:
     """The three scores and the percentile of every audited episode against a stored reference."""
     z = bad_z(score_metrics(audit), profile)
     return deviation_scores(z, loadings, score_type=score_type).join(approx_percentile(z), "ep")
