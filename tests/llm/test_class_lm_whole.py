@@ -105,3 +105,59 @@ def test_exchange_takes_a_word_out_of_its_class_first():
     moved = class_lm.exchange(pairs, sides, np.array([1]), np.array([1]), np.array([True]))
     kept = class_lm.exchange(pairs, sides, np.array([1]), np.array([1]), np.array([False]))
     assert kept.tolist() == [1] and moved[0] in (0, 1, 2) and (pairs >= 0).all()
+
+
+def test_many_words_at_once_go_where_exchange_puts_each():
+    rng = np.random.default_rng(5)
+    words, size = 40, class_lm.ALL
+    n = [rng.integers(1, 9, rng.integers(1, 30)) for _ in range(words)]
+    left, right = ([rng.integers(0, size, len(k)) for k in n] for _ in range(2))
+    own = rng.integers(0, class_lm.CLASSES, words)
+    table = rng.integers(0, 50, (size, size)).astype(np.float64)
+    sides = np.zeros((2, words, size), np.int64)
+    for w in range(words):
+        np.add.at(sides[0, w], left[w], n[w])
+        np.add.at(sides[1, w], right[w], n[w])
+    counts = np.array([k.sum() for k in n])
+    want = class_lm.exchange(table, sides, own, counts, np.ones(words, bool))
+    cut = np.cumsum([0, *map(len, n)])
+    got, times = class_lm._best_classes(cut, *map(np.concatenate, (left, right, n)), table, table.sum(0), own)
+    assert got.tolist() == want.tolist() and times.tolist() == counts.tolist()
+
+
+def test_every_other_word_is_summed_once_and_counted_in_its_class(spark, docs, monkeypatch):
+    monkeypatch.setattr(class_lm, "SLICE", 50)
+    train = docs.filter(~class_lm._held_out())
+    texts = [tokens(r.text) for r in train.collect()]
+    counts = collections.Counter(h for t in texts for h in t)
+    end = int(class_lm.END.view(np.int64))
+    top = sorted((h for h in counts if h != end), key=lambda h: -counts[h])[:100]
+    words = np.sort(np.array(top, np.int64).view(np.uint64))
+    model = class_lm.WordClasses(words, np.arange(100) % class_lm.CLASSES)
+    pairs, _ = class_lm.neighbour_counts(train, model)
+    raw = class_lm.open_words(train, model)
+    rows = raw.mapInArrow(class_lm._settle(pairs.astype(float), pairs.sum(0).astype(float)), class_lm.OPEN_WORDS).collect()
+    assert {r.h: r.n for r in rows} == {h: n for h, n in counts.items() if h != end and h not in set(top)}
+    assert all(0 <= r["class"] < class_lm.CLASSES and len({c.sides for c in r.cells}) == len(r.cells) and sum(c.n for c in r.cells) == r.n for r in rows)
+    table, total = class_lm._with_open(pairs, spark.createDataFrame(rows, class_lm.OPEN_WORDS))
+    want, sizes = pairs.astype(float), pairs.sum(0).astype(float)
+    of = {r.h: r["class"] for r in rows}
+    fixed = {h: class_lm.END_CLASS if h == end else int(model.of(np.array([h], np.int64).view(np.uint64))[0][0]) for h in counts}
+    for t in texts:
+        cls = [class_lm.END_CLASS, *(fixed[h] for h in t)]
+        for i, h in enumerate(t):
+            if h in of:
+                want[cls[i], of[h]] += 1
+                want[of[h], cls[i + 2]] += 1
+                sizes[of[h]] += 1
+    assert (table == want).all() and (total == sizes).all()
+    for sweep in range(2):  # two sweeps move every word once
+        moved = {r.h: r["class"] for r in spark.createDataFrame(rows, class_lm.OPEN_WORDS).mapInArrow(class_lm._settle(table, total, sweep), class_lm.OPEN_WORDS).collect()}
+        assert all(moved[r.h] == r["class"] for r in rows if (r.h & 1) != sweep)
+        for r in [r for r in rows if (r.h & 1) == sweep][:50]:
+            sides = np.zeros((2, 1, class_lm.ALL), np.int64)
+            for c in r.cells:
+                sides[0, 0, c.sides // class_lm.ALL] += c.n
+                sides[1, 0, c.sides % class_lm.ALL] += c.n
+            best = class_lm.exchange(table, sides, np.array([r["class"]]), np.array([r.n]), np.ones(1, bool), total)
+            assert moved[r.h] == best[0]

@@ -4,8 +4,9 @@ Counts cover every training text and every training word has a class of its own
 are 64-bit hashes. The ``ANCHORS`` most frequent words settle first: each sweep counts, over all
 training texts, the classes beside each of them, and moves half of them, each to the class that
 raises the likelihood of class pairs most; the next sweep counts anew. Then every other word, however
-rare, is put where its own neighbours' classes gain most, given the anchors' classes; these counts
-are as many as the words, so they are dealt by word. A token's probability is class transition times
+rare, is put where its own neighbours' classes gain most, and swept too: each sweep counts class pairs
+with all words in their classes and moves half of the words. What these words have beside them is
+summed by word and dealt by word; a neighbour that is no anchor counts there as one open class. A token's probability is class transition times
 word emission, both smoothed; a word that no training text has is one unknown type with a class of
 its own.
 
@@ -30,6 +31,9 @@ ANCHORS = 1 << 13
 CLASSES = 62
 OPEN, END_CLASS, ALL = CLASSES, CLASSES + 1, CLASSES + 2
 SWEEPS = 3
+OPEN_SWEEPS = 2
+SLICE = 1 << 15
+OPEN_WORDS = "h long, class int, n long, cells array<struct<sides:int,n:long>>"
 END = np.uint64(0x243F6A8885A308D3)
 WORD_ADD, CLASS_ADD, PRIOR = 0.5, 0.1, 10
 
@@ -127,12 +131,12 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts: np.ndarray, moving: np.ndarray) -> np.ndarray:
+def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts: np.ndarray, moving: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """The classes after each of the ``moving`` words went to its best one, all judged by the same counts.
 
     A word is taken out of its class before it is judged; ties go to the first class.
     """
-    table, total, out = pairs.astype(np.float64), pairs.sum(0).astype(np.float64), classes.copy()
+    table, total, out = pairs.astype(np.float64), pairs.sum(0).astype(np.float64) if total is None else total, classes.copy()
     for w in np.flatnonzero(moving):
         left, right, n, was = sides[0, w].astype(np.float64), sides[1, w].astype(np.float64), float(counts[w]), classes[w]
         i, j = np.flatnonzero(left), np.flatnonzero(right)
@@ -146,24 +150,85 @@ def exchange(pairs: np.ndarray, sides: np.ndarray, classes: np.ndarray, counts:
     return out
 
 
-def _best_classes(words: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, classes, counts) of words given by sorted rows (word, left class, right class, times): ``exchange`` of open words."""
-    distinct, begin = np.unique(words, return_index=True)
-    number = np.repeat(np.arange(len(distinct)), np.diff(np.append(begin, len(words))))
-    counts = np.add.reduceat(n, begin).astype(np.float64)
-    total, gain = table.sum(0), np.zeros((len(distinct), CLASSES))
+def _best_classes(cut: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, table: np.ndarray, total: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, counts) of the words whose cells (left class, right class, times) begin at ``cut``: ``exchange`` of many words at once.
+
+    ``own``: the classes the words have now; each word is taken out of its own before it is judged.
+    """
+    number = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    counts = np.add.reduceat(n, cut[:-1]).astype(np.float64)
+    size = np.repeat(total[None, :CLASSES], len(counts), 0)
+    if own is not None:
+        size[np.arange(len(own)), own] -= counts
+        size = np.maximum(size, 0)
+    gain = -2 * (_xlogx(size + counts[:, None]) - _xlogx(size))
     for side, known in ((left, table[:, :CLASSES]), (right, table[:CLASSES].T)):
         cells, where = np.unique(number * ALL + side, return_inverse=True)
-        times = np.bincount(where, n).astype(np.float64)
+        times = np.bincount(where, n)
         was = known[cells % ALL]
-        np.add.at(gain, cells // ALL, _xlogx(was + times[:, None]) - _xlogx(was))
-    gain -= 2 * (_xlogx(total[None, :CLASSES] + counts[:, None]) - _xlogx(total[None, :CLASSES]))
-    return distinct, gain.argmax(1), counts.astype(np.int64)
+        if own is not None:
+            was[np.arange(len(cells)), own[cells // ALL]] -= times
+            was = np.maximum(was, 0)
+        more = _xlogx(was + times[:, None]) - _xlogx(was)
+        gain += np.add.reduceat(more, np.searchsorted(cells, np.arange(len(counts)) * ALL), 0)
+    return gain.argmax(1), counts.astype(np.int64)
+
+
+def _cells(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, cut, left, right, times) of runs of rows with about ``SLICE`` cells."""
+    offsets = column.offsets.to_numpy()
+    sides, times = (column.values.field(k).to_numpy() for k in ("sides", "n"))
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
+        part = slice(offsets[row], offsets[end])
+        yield row, end, offsets[row : end + 1] - offsets[row], sides[part] // ALL, sides[part] % ALL, times[part]
+        row = end
+
+
+def _settle(table: np.ndarray, total: np.ndarray, sweep: int | None = None):
+    """Rows of ``OPEN_WORDS`` with each word, or in a sweep each second one by its hash, in its best class."""
+
+    def settle(batches):
+        for batch in batches:
+            h, classes, counts = (batch.column(k).to_numpy().copy() for k in ("h", "class", "n"))
+            moving = np.arange(len(h)) if sweep is None else np.flatnonzero((h & 1) == sweep % 2)
+            for row, end, *cells in _cells(batch.column("cells").take(pa.array(moving))):
+                some = moving[row:end]
+                classes[some], counts[some] = _best_classes(*cells, table, total, None if sweep is None else classes[some])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(classes), pa.array(counts), batch.column("cells")], ["h", "class", "n", "cells"])
 
+    return settle
 
-def open_words(train: DataFrame, anchors: WordClasses, pairs: np.ndarray) -> DataFrame:
-    """(h, class, n) of every training word that is no anchor."""
-    table = pairs.astype(np.float64)
+
+def _with_open(pairs: np.ndarray, words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Class pairs and class sizes with the open words in their classes; a neighbour that is open itself stays ``OPEN``."""
+
+    def count(batches):
+        sums = np.zeros((2, ALL * ALL))
+        for batch in batches:
+            classes = batch.column("class").to_numpy()
+            for row, end, cut, left, right, n in _cells(batch.column("cells")):
+                own = np.repeat(classes[row:end], np.diff(cut))
+                sums[0] += np.bincount(left * ALL + own, n, ALL * ALL)
+                sums[1] += np.bincount(own * ALL + right, n, ALL * ALL)
+        for kind in (0, 1):
+            some = np.flatnonzero(sums[kind])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(sums[kind][some].astype(np.int64))], ["kind", "cell", "n"])
+
+    rows = words.mapInArrow(count, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    more = np.zeros((2, ALL * ALL))
+    more[rows.column("kind").to_numpy(), rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    more = more.reshape(2, ALL, ALL)
+    return pairs + more.sum(0), pairs.sum(0) + more[0].sum(0)
+
+
+def open_words(train: DataFrame, anchors: WordClasses) -> DataFrame:
+    """Rows of ``OPEN_WORDS``, without classes yet: every training word that is no anchor.
+
+    Occurrences are summed by word and classes beside it before a word's cells meet, so that a word
+    has at most ALL x ALL of them, however frequent it is.
+    """
 
     def beside(batches):
         for batch in batches:
@@ -178,27 +243,10 @@ def open_words(train: DataFrame, anchors: WordClasses, pairs: np.ndarray) -> Dat
                 first = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(sides[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(h))).astype(np.int32))], ["h", "sides", "n"])
 
-    def decide(batches):
-        def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            h, sides, n = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
-            words, classes, counts = _best_classes(h, sides // ALL, sides % ALL, n, table)
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(classes.astype(np.int32)), pa.array(counts)], ["h", "class", "n"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy()
-            last = int(np.searchsorted(h, h[-1]))
-            if last or (held and held[-1].column(0)[-1].as_py() != h[0]):
-                yield answer([*held, batch.slice(0, last)])
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield answer(held)
-
     rows = train.select("text").mapInArrow(beside, "h long, sides int, n int")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(decide, "h long, class int, n long")
+    sums = rows.groupBy("h", "sides").agg(F.sum("n").alias("n"))
+    words = sums.groupBy("h").agg(F.collect_list(F.struct("sides", "n")).alias("cells"))
+    return words.select("h", F.lit(-1).alias("class"), F.lit(0).cast("long").alias("n"), "cells")
 
 
 def _bands(vocabulary: DataFrame) -> list:
@@ -230,11 +278,19 @@ def cluster(train: DataFrame) -> DataFrame:
     for sweep in range(SWEEPS):
         pairs, sides = neighbour_counts(train, model)
         model = WordClasses(model.words, exchange(pairs, sides, model.classes, counts, order // CLASSES % 2 == sweep % 2))
-    pairs, _ = neighbour_counts(train, model)
+    pairs, sides = neighbour_counts(train, model)
+    table, total = pairs.astype(np.float64), pairs.sum(0).astype(np.float64)
+    words = materialize(open_words(train, model).mapInArrow(_settle(table, total), OPEN_WORDS), "open")
+    for sweep in range(OPEN_SWEEPS):
+        table, total = _with_open(pairs, words)
+        moved = materialize(words.mapInArrow(_settle(table, total, sweep), OPEN_WORDS), "open")
+        discard(words)
+        words = moved
     spark = train.sparkSession
     fixed = pa.table({"h": np.append(model.words, END).view(np.int64), "class": np.append(model.classes, END_CLASS).astype(np.int32)})
     known = vocabulary.join(F.broadcast(spark.createDataFrame(fixed)), "h").select("h", "class", "n")  # at most ANCHORS + 1 rows
-    classes = materialize(known.unionByName(open_words(train, model, pairs)).withColumn("band", band), "classes")
+    classes = materialize(known.unionByName(words.select("h", "class", "n")).withColumn("band", band), "classes")
+    discard(words)
     discard(vocabulary)
     return classes
 
