@@ -138,15 +138,21 @@ def pattern_distribution(audit: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("episodes")) for p in PATTERNS])).alias("r")).select("r.*")
 
 
-def _history_pattern() -> Column:
+def history_pattern() -> Column:
     effective, shaky = F.coalesce("effective_motion_ratio", F.lit(1.0)), F.coalesce("spike_count", F.lit(0)) > 20
     low = effective < 0.3
     return F.when(low & shaky, "Stuck").when(low, "Frozen").when(shaky, "Jittery").when(effective < 0.5, "Inefficient").otherwise("Unusual")
 
 
+def available_deviation() -> Column:
+    """100 (1 - mean score of the available results), null without any."""
+    off = F.filter("results", lambda r: r["availability"] == "available")
+    return 100 * (1 - F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, r: a + r["score"]), F.size(off)))
+
+
 def pattern_history(audit: DataFrame) -> DataFrame:
     """The simpler ladder that the run history uses."""
-    return audit.select("ep", _history_pattern().alias("pattern"))
+    return audit.select("ep", history_pattern().alias("pattern"))
 
 
 def _state(name: str, field: str) -> Column:
@@ -389,9 +395,7 @@ def removal_list(table: DataFrame, decisions: DataFrame, n: int = 20) -> DataFra
 def snapshots(audit: DataFrame, name: Column, run: Column) -> DataFrame:
     """One row per dataset and run, as the run history keeps them: verdict counts, integrity, deviations, patterns and headline figures."""
     rows = audit.withColumns({"name": name, "run": run})
-    off = F.filter("results", lambda r: r["availability"] == "available")
-    mean = F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, r: a + r["score"]), F.size(off))
-    rows = rows.withColumns({"off": 100 * (1 - mean), "pattern": _history_pattern()})
+    rows = rows.withColumns({"off": available_deviation(), "pattern": history_pattern()})
     return rows.groupBy("name", "run").agg(
         F.count("*").alias("episodes"),
         *[F.count_if(F.col("verdict") == v).alias(k) for v, k in zip(VERDICTS, ("passes", "review", "excluded"), strict=True)],

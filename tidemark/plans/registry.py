@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import quantiles, seq
-from tidemark.operators import calibrate, documents, export, metrics, report, text, verdict
+from tidemark.operators import calibrate, documents, export, history, metrics, report, text, verdict
 from tidemark.plans import sql
 from tidemark.sources import adapters, layouts
 
@@ -202,6 +202,7 @@ _QUERIES["episode_csv"] = lambda s, d: report.episode_csv(a := _audit(s, d), ver
 _QUERIES["review_queue"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a), "REVIEW", "EXCLUDE").select("ep", "verdict", "issue_severity")
 _add("removal_list", _audit, lambda a: report.removal_list(report.episode_table(a, verdict.metric_results(a)).withColumn("issue_severity", F.round("issue_severity", 6)), export.export_decisions(a, _user_decisions(a), "aggressive")))
 _add("audit_trend", _audit, lambda a: report.trend(report.snapshots(a, F.lit("a1"), F.col("ep") % 5), "pass_rate").withColumns({"value": F.round("value", 4), "change": F.round("change", 4)}))
+_add("history_merged", _audit, lambda a: history.snapshots(history.merged(*[history.states(a.filter(F.col("ep") % 3 == k), F.lit("a1"), F.col("ep") % 5) for k in range(3)])).select("run", "episodes", "passes", "review", "excluded", "total_spikes", "n_stuck", "n_frozen", "n_jittery", "n_inefficient", "n_unusual"))
 _QUERIES["score_summary"] = lambda s, d: calibrate.score_summary(_QUERIES["rms_score"](s, d))
 
 _add("dataset_health_ui", _audit, report.health_by_verdict)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.operators.report import TEMPORAL_MOTION, UTILITY
+from tidemark.operators.report import HISTORY_PATTERNS, TEMPORAL_MOTION, UTILITY
 from tidemark.operators.text import ADVICE, NOTHING
 
 _FRAMES = """
@@ -305,6 +305,9 @@ ORACLES |= {
     "review_queue": f"SELECT ep, verdict, issue_severity FROM ({_TABLE}) t WHERE verdict <> 'PASS'",
     "removal_list": f"SELECT ep, reason, issue_severity FROM (SELECT *, CASE WHEN ep % 4 = 0 THEN CASE ep % 3 WHEN 0 THEN 'by_user' END WHEN verdict = 'REVIEW' THEN 'by_review' WHEN verdict = 'EXCLUDE' THEN 'by_verdict' END reason FROM ({_TABLE}) t) q WHERE reason IS NOT NULL ORDER BY issue_severity DESC, ep LIMIT 20",
     "audit_trend": f"WITH {_AUDIT}, sn AS (SELECT ep % 5 run, round(count(*) FILTER (verdict = 'PASS') * 1.0e0 / count(*), 4) v FROM au GROUP BY ep % 5) SELECT 'a1' AS name, run, v AS value, round(v - lag(v) OVER (ORDER BY run), 4) AS change FROM sn",
+    "history_merged": f"WITH {_PATTERNS} SELECT CAST(au.ep % 5 AS VARCHAR) run, count(*) episodes, count(*) FILTER (verdict = 'PASS') passes, count(*) FILTER (verdict = 'REVIEW') review, count(*) FILTER (verdict = 'EXCLUDE') excluded, CAST(coalesce(sum(spike_count), 0) AS BIGINT) total_spikes, "
+    + ", ".join(f"count(*) FILTER (ph.pattern = '{p}') n_{p.lower()}" for p in HISTORY_PATTERNS)
+    + " FROM au JOIN ph ON au.ep = ph.ep GROUP BY au.ep % 5",
     "score_summary": " UNION ALL ".join(f"SELECT '{c}' score, median({c}) median, quantile_cont({c}, 0.95) p95, avg({c}) mean, max({c}) largest FROM ({_RMS}) q" for c in ("portable_score", "platform_score", "combined_rms")),
 }
 

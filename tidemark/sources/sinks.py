@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import documents, export, report
+from tidemark.operators import documents, export, history, report
 from tidemark.operators.verdict import CRITICAL, VERDICTS
 from tidemark.sources import layouts
 
@@ -85,11 +85,26 @@ def save_snapshot(audit: DataFrame, name: str, run: str, path: str) -> None:
 
 def load_history(spark: SparkSession, path: str | None) -> DataFrame:
     """Every stored run; ``report.trend`` takes it. No path, no folder or a file that cannot be read: no rows from there."""
-    nothing = spark.createDataFrame([], SNAPSHOT)
+    return _stored(spark, path, SNAPSHOT)
+
+
+def save_state(audit: DataFrame, name: str, run: str, part: str, path: str) -> None:
+    """Adds the state of one part of a run under ``path``; the same part again replaces itself, other parts stay."""
+    state = history.states(audit, F.lit(name), F.lit(run)).drop("name", "run")
+    state.coalesce(1).write.mode("overwrite").parquet(f"{path}/name={name}/run={run}/part={part}")
+
+
+def load_states(spark: SparkSession, path: str | None) -> DataFrame:
+    """The merged state of every stored run; ``history.snapshots`` takes it. As ``load_history`` with what is not there or broken."""
+    return history.merged(_stored(spark, path, history.STATE))
+
+
+def _stored(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    nothing = spark.createDataFrame([], schema)
     if path is None:
         return nothing
     try:
-        rows = spark.read.schema(SNAPSHOT).option("ignoreCorruptFiles", True).parquet(path)
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return nothing
