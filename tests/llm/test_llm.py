@@ -345,6 +345,24 @@ def test_tokens_of_texts_with_rare_spaces(spark):
     assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("chunk, overlap", [(40, 1), (300, 16), (16_384, 256)])
+def test_texts_over_one_chunk_are_spliced_with_null_and_repeated_ids(spark, docs, chunk, overlap):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(path)
+    texts = [r.text for r in docs.limit(60).collect()] + [None, "", " ", "x" * 500, " \n" * 400, "one two " * 3000, "a" * 41]
+    ids = [None if i % 7 == 0 else i // 2 for i in range(len(texts))]
+    df = spark.createDataFrame([(k, t, "z") for k, t in zip(ids, texts)], "doc_id long, text string, n_tokens string")
+    got = token_resync.count_tokens(df, path, chunk=chunk, overlap=overlap).collect()
+    want = []
+    for k, t in zip(ids, texts):
+        n = len(plain.encode(t or "", add_special_tokens=False).ids)
+        want.append((k, len((t or "").encode()), n, n > 512))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_other_tokenizers_get_whole_texts(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

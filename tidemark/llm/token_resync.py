@@ -1,6 +1,6 @@
 """Token counts of whole texts with a public tokenizer file.
 
-Huge texts are encoded in overlapping chunks with offsets. Two neighbours are spliced at a boundary
+Texts longer than one chunk are encoded in overlapping chunks with offsets. Two neighbours are spliced at a boundary
 that both encodings have, that is proven stable, and after which both agree to the overlap's end. If
 no such boundary lies in the overlap it is doubled, at most to the text's end. Other texts are cut at
 the same stable boundaries, and each distinct piece is encoded once for each task.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-HUGE_CHARS = 4 * CHUNK_CHARS
 # Pieces remembered by a worker before it starts anew (about 40 MB).
 CACHE_PIECES = 300_000
 TOKEN_LIMIT = 512
@@ -100,7 +99,7 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
     return total + sum(e > settled for e in ends)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs`` (doc_id, text).
 
     ``path`` is a tokenizers JSON file that all workers see. Null text: empty, no tokens. Null ids
@@ -117,8 +116,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
                 for i, text in enumerate(texts):
                     if not may_cut:
                         whole[i] = len(tokenizer.encode(text, add_special_tokens=False).ids)
-                    elif len(text) > HUGE_CHARS:
-                        whole[i] = count_huge(tokenizer, text)
+                    elif len(text) > chunk:
+                        whole[i] = count_huge(tokenizer, text, chunk, overlap)
                     else:
                         cut[i] = _PIECE.findall(text)
                 if len(known) > CACHE_PIECES:
