@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tidemark.__main__ import audited, main
-from tidemark.operators import calibrate, export, report
+from tidemark.operators import calibrate, export, history, report
 from tidemark.sources import layouts, sinks
 
 
@@ -45,6 +45,13 @@ def test_audit_prints_reports_and_keeps_runs(spark, dataset, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "report/episodes")).count() == 3
 
 
+def test_audit_of_parts_keeps_states(spark, dataset, tmp_path):
+    for part in ("a", "b", "b"):
+        assert 2 == main(["audit", dataset, "--history", str(tmp_path / "states"), "--name", "both", "--part", part], spark)
+    (got,) = history.snapshots(sinks.load_states(spark, str(tmp_path / "states"))).collect()
+    assert (got.name, got.run, got.episodes, got.excluded) == ("both", "0", 6, 2)
+
+
 def test_calibrate_writes_a_reference(spark, dataset, tmp_path):
     with pytest.raises(ValueError, match="too few"):
         main(["calibrate", dataset, str(tmp_path / "ref")], spark)

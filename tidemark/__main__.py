@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
     audit.add_argument("--report")
     audit.add_argument("--history", help="folder of the run history")
     audit.add_argument("--run", default="0")
+    audit.add_argument("--part", help="the dataset is this part of the run: HISTORY gets its state, which merges with those of other parts")
+    audit.add_argument("--name", help="the dataset's name in the history; by default the last folder of its path")
     audit.add_argument("--reference", help="a stored reference; scores go to REPORT/scores")
     audit.add_argument("--max-episodes", type=int, help="only the first episodes of the metadata")
     fit = commands.add_parser("calibrate", help="store the medians and spreads of a dataset as a reference")
@@ -71,7 +73,11 @@ def _audit(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> i
             profile, loadings, _ = calibrate.load_profile(spark, args.reference)
             calibrate.score_against(audit, profile, loadings).write.mode("overwrite").json(f"{args.report}/scores")
     if args.history:
-        sinks.save_snapshot(audit, args.path.rstrip("/").rsplit("/", 1)[-1], args.run, args.history)
+        name = args.name or args.path.rstrip("/").rsplit("/", 1)[-1]
+        if args.part is None:
+            sinks.save_snapshot(audit, name, args.run, args.history)
+        else:
+            sinks.save_state(audit, name, args.run, args.part, args.history)
     return 0 if audit.filter("verdict = 'EXCLUDE'").isEmpty() else 2
 
 
