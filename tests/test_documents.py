@@ -62,7 +62,7 @@ def test_episode_reports(by_ep):
 def test_engine_documents_read_back(spark, audit, tmp_path):
     path = f"{tmp_path}/out"
     sinks.save_report(audit, verdict.metric_results(audit), path, "/data/set", {"features": {"observation.state": {}, "action": {}}, "fps": 10, "robot_type": "arm"})
-    sinks.save_csv(audit, verdict.metric_results(audit), f"{path}/csv", "EXCLUDE")
+    sinks.save_csv(audit, f"{path}/csv", "EXCLUDE")
     got = {r.ep: (r.dataset, r.frames, r.verdict, r.hard_fail, r.risk) for r in sinks.read_report(spark, f"{path}/engine").collect()}
     own = audit.filter("frames > 0").select("ep", F.lit("set"), "frames", "verdict", "hard_fail", export.risk_points())
     assert got == {r[0]: tuple(r)[1:] for r in own.collect()} and len(got) == 5

@@ -6,7 +6,7 @@ import pytest
 from tidemark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["idle_threshold", "temporal_sufficiency", "sensor_sync_pairs", "coverage", "joint_spikes", "velocity_stats", "timestamp_validity", "missing_frames", "invalid_values", "blind_sample", "percentile_rank", "pattern_type", "export_report", "top_observations", "dt_stats", "schema_consistency", "episode_integrity", "removal_list", "audit_trend", "history_merged", "score_summary", "dataset_health_ui", "hero_metrics", "episode_diagnosis", "feature_keys"]
+NAMES = ["episode_report", "episode_csv", "episode_ranks", "episode_overview", "episode_export", "issue_counts", "top_issues", "listed_episodes", "legacy_aggregates", "idle_threshold", "temporal_sufficiency", "sensor_sync_pairs", "coverage", "joint_spikes", "velocity_stats", "timestamp_validity", "missing_frames", "invalid_values", "blind_sample", "percentile_rank", "pattern_type", "export_report", "top_observations", "dt_stats", "schema_consistency", "episode_integrity", "removal_list", "audit_trend", "history_merged", "score_summary", "dataset_health_ui", "hero_metrics", "episode_diagnosis", "feature_keys"]
 
 
 def tidy(rows):

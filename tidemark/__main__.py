@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,19 @@ def parser() -> argparse.ArgumentParser:
     advise = commands.add_parser("recommend", help="print how idle the dataset is, as pruning advice takes it")
     advise.add_argument("path")
     advise.add_argument("--policy", default="frame-wise")
+    commands.add_parser("example", help="list the datasets under ./examples and show how the commands are used").add_argument("path", nargs="?", default="examples")
     return top
 
 
+def examples(path: str) -> str:
+    """The datasets (folders with meta/info.json) of a folder on this machine, and a command for each use."""
+    found = sorted(str(p.parent.parent) for p in Path(path).glob("*/meta/info.json"))
+    one = found[0] if found else "PATH"
+    lines = [f"Datasets under {path}:", *[f"  {p}" for p in found]] if found else [f"No datasets under {path}."]
+    uses = (f"audit {one}", f"audit {one} --report OUT", f"calibrate {one} REFERENCE", f"audit {one} --report OUT --reference REFERENCE", f"clean {one} OUT")
+    return "\n".join([*lines, "", *[f"  python -m tidemark {u}" for u in uses]])
+
+
 def loaded(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """frames and metadata (ep) of a stored dataset: its listed episodes, without the skipped ones (``layouts.skipped_episodes``)."""
     info = layouts.load_info(spark, path)
@@ -95,6 +106,9 @@ def _clean(args: argparse.Namespace, spark: SparkSession, audit: DataFrame) -> i
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "example":
+        print(examples(args.path))
+        return 0
     spark = spark or build_session("tidemark")
     try:
         if args.command == "recommend":

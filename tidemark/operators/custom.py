@@ -1,7 +1,8 @@
 """The user's own metrics, and thresholds other than the built-in ones.
 
 A metric is anything with a ``name`` and a ``compute`` that takes frames and gives ep, availability,
-status and score. ``PythonMetric`` wraps a function of one episode's pandas frame; an episode for
+status and score; ``passed``, ``review``, ``exclude``, ``not_available`` and ``error`` make such results as
+columns, all five with the same fields, so that ``F.when`` can choose among them. ``PythonMetric`` wraps a function of one episode's pandas frame; an episode for
 which it raises has availability 'error', which no verdict counts.
 """
 
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import verdict
@@ -27,6 +28,48 @@ class Metric(Protocol):
         """ep, availability (available, not_available, error), status (pass, review, exclude, na), score of each episode."""
 
 
+def _made(name: str, availability: str, status: str, measurement: Column | None, severity: str | None, reason: str | Column, message: str | Column, otherwise: float) -> Column:
+    figures = F.create_map().cast("map<string,double>") if measurement is None else measurement.cast("map<string,double>")
+    words = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    return F.struct(
+        F.lit(name).alias("metric"),
+        F.lit(availability).alias("availability"),
+        F.lit(status).alias("status"),
+        F.lit(severity).cast("string").alias("severity"),
+        words(reason).alias("reason"),
+        words(message).alias("message"),
+        figures.alias("measurement"),
+        F.lit(status == "pass").alias("passed"),
+        F.lit(status in ("review", "exclude")).alias("has_finding"),
+        F.coalesce(F.try_element_at(figures, F.lit("score_compat")), F.lit(otherwise)).alias("score"),
+    )
+
+
+def passed(name: str, measurement: Column | None = None, message: str | Column = "", severity: str | None = None) -> Column:
+    """A result, as a column of an episode's row, that is fine: score 1, or the measurement's score_compat."""
+    return _made(name, "available", "pass", measurement, severity, F.lit(None).cast("string"), message, 1.0)
+
+
+def review(name: str, measurement: Column | None = None, reason: str | Column = "", message: str | Column = "", severity: str = "medium") -> Column:
+    """A finding that asks for review: score 0.5, or the measurement's score_compat."""
+    return _made(name, "available", "review", measurement, severity, reason, message, 0.5)
+
+
+def exclude(name: str, reason: str | Column = "", message: str | Column = "") -> Column:
+    """A certain error: a finding without measurement, of high severity and score 0."""
+    return _made(name, "available", "exclude", None, "high", reason, message, 0.0)
+
+
+def not_available(name: str, reason: str | Column = "", message: str | Column = "") -> Column:
+    """No data to judge by: no finding, score 0."""
+    return _made(name, "not_available", "na", None, None, reason, message, 0.0)
+
+
+def error(name: str, reason: str | Column = "", message: str | Column = "") -> Column:
+    """The computation failed: skipped, of high severity, no finding, score 0."""
+    return _made(name, "error", "skipped", None, "high", reason, message, 0.0)
+
+
 @dataclass(frozen=True)
 class PythonMetric:
     """``function`` gets the frames of an episode in order and returns (status, score), or None where it cannot tell."""
@@ -42,7 +85,7 @@ class PythonMetric:
                 got = function(episode.sort_values("fi"))
                 answer = ("available", *got) if got is not None else ("not_available", "na", 0.0)
             except Exception:  # one episode's failure must not end the audit
-                answer = ("error", "na", 0.0)
+                answer = ("error", "skipped", 0.0)
             return pd.DataFrame([(int(episode["ep"].iloc[0]), *answer)], columns=["ep", "availability", "status", "score"])
 
         return frames.groupBy("ep").applyInPandas(judge, "ep long, availability string, status string, score double")

@@ -117,7 +117,6 @@ def episode_reports(audit: DataFrame) -> DataFrame:
     off = lambda r: r["availability"] == "not_available"
     names = lambda test: F.transform(F.filter("results", test), lambda r: r["metric"])
     some = lambda test: F.exists("results", test)
-    level = F.when(some(hard), "HARD_FAIL").when(some(risky), "RISK_SIGNAL").when(some(off), "UNVERIFIABLE").otherwise("NO_FINDING")
     by_metric = F.map_from_entries(F.transform("results", lambda r: F.struct(r["metric"], F.when(off(r), "UNVERIFIABLE").when(risky(r), "RISK_SIGNAL").otherwise(evidence_of(r["metric"])))))
     reason = F.create_map(*[x for k in CRITICAL for x in (F.lit(k), _reason(k))])
     issues = F.transform(F.filter("results", hard), lambda r: F.struct(code_of(r["metric"]).alias("code"), r["metric"].alias("metric"), F.coalesce(F.try_element_at(reason, r["metric"]), r["metric"]).alias("reason")))
@@ -138,7 +137,7 @@ def episode_reports(audit: DataFrame) -> DataFrame:
         "ep",
         F.struct((~some(hard)).alias("passed"), issues.alias("issues")).alias("integrity_check"),
         F.element_at(verdict, F.col("verdict")).alias("behavior_verdict"),
-        level.alias("evidence_level"),
+        report.evidence().alias("evidence_level"),
         by_metric.alias("evidence_by_metric"),
         _codes(hard).alias("hard_fail_issues"),
         names(risky).alias("risk_signals"),

@@ -78,6 +78,15 @@ def issue_codes(results: DataFrame) -> DataFrame:
     return results.filter("availability = 'available' and not passed").select("ep", "metric", F.coalesce(F.try_element_at(code, F.col("metric")), F.lit("UNK-00")).alias("code"))
 
 
+def evidence() -> Column:
+    """HARD_FAIL before RISK_SIGNAL before UNVERIFIABLE before NO_FINDING, from the results of an episode's row."""
+    some = lambda test: F.exists("results", test)
+    hard = some(lambda r: (r["availability"] == "available") & ~r["passed"] & r["metric"].isin(*CRITICAL))
+    risk = some(lambda r: (r["availability"] == "available") & (r["status"] == "review") & r["metric"].isin(*BEHAVIOUR))
+    off = some(lambda r: r["availability"] == "not_available")
+    return F.when(hard, "HARD_FAIL").when(risk, "RISK_SIGNAL").when(off, "UNVERIFIABLE").otherwise("NO_FINDING")
+
+
 def evidence_level(results: DataFrame) -> DataFrame:
     """HARD_FAIL before RISK_SIGNAL before UNVERIFIABLE before NO_FINDING, by episode.
 
@@ -150,6 +159,11 @@ def available_deviation() -> Column:
     return 100 * (1 - F.try_divide(F.aggregate(off, F.lit(0.0), lambda a, r: a + r["score"]), F.size(off)))
 
 
+def deviation() -> Column:
+    """``available_deviation``, 0 without any available result."""
+    return F.coalesce(available_deviation(), F.lit(0.0))
+
+
 def pattern_history(audit: DataFrame) -> DataFrame:
     """The simpler ladder that the run history uses."""
     return audit.select("ep", history_pattern().alias("pattern"))
@@ -292,22 +306,29 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     return audit.agg(F.count("*").alias("episodes"), F.count_if(F.expr("verdict = 'PASS'")).alias("passed"), F.count_if(F.expr("verdict = 'REVIEW'")).alias("review"), F.count_if(F.expr("verdict = 'EXCLUDE'")).alias("excluded"), (F.count_if(F.expr("verdict = 'PASS'")) / F.count("*")).alias("pass_rate"))
 
 
-def episode_report(audit: DataFrame, results: DataFrame) -> DataFrame:
-    """Each episode's report: verdict, evidence, codes, patterns, reasons, figures, what could not be judged, and the dataset's medians."""
+def episode_report(audit: DataFrame) -> DataFrame:
+    """Each episode's report: verdict, evidence, codes, patterns, reasons, figures, what could not be judged, and the dataset's medians.
+
+    All but the medians are columns of the episode's own row.
+    """
     medians = audit.agg(F.median("duration").alias("median_duration"), F.median("spike_count").alias("median_spikes"), F.median("velocity_p95").alias("median_velocity")).withColumn("one", F.lit(1))
-    patterns = pattern_types(audit).groupBy("ep").agg(F.max(F.when(F.col("place") == 0, F.col("pattern"))).alias("pattern"), F.max(F.when(F.col("place") == 1, F.col("pattern"))).alias("second_pattern"))
     code = F.create_map(*[F.lit(x) for pair in ISSUE_CODES.items() for x in pair])
-    on = F.col("availability") == "available"
-    named = lambda test, what=F.col("metric"): F.concat_ws(",", F.sort_array(F.collect_set(F.when(test, what))))
-    issue = F.coalesce(F.try_element_at(code, F.col("metric")), F.lit("UNK-00"))
-    lists = results.groupBy("ep").agg(
-        named(on & ~F.col("passed"), issue).alias("issues"),
-        named(on & ~F.col("passed") & F.col("metric").isin(*CRITICAL), issue).alias("hard_fail_issues"),
-        named(on & (F.col("status") == "review") & F.col("metric").isin(*BEHAVIOUR)).alias("risk_signals"),
-        named(F.col("availability") == "not_available").alias("unverifiable"),
-    )
-    figures = audit.select("ep", "verdict", "severity", "frames", "duration", "spike_count", "effective_motion_ratio", "velocity_p95", "path_length")
-    rows = figures.join(evidence_level(results), "ep", "left").join(lists, "ep", "left").join(patterns, "ep", "left").join(reason_vector(audit).select("ep", "low_motion", "deviation"), "ep", "left")
+    failed = lambda r: (r["availability"] == "available") & ~r["passed"]
+    issue = lambda r: F.coalesce(F.try_element_at(code, r["metric"]), F.lit("UNK-00"))
+    named = lambda test, what=lambda r: r["metric"]: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("results", test), what))), ",")
+    r = reasons()
+    rows = audit.withColumn("found", patterns()).select(
+        "ep", "verdict", "severity", "frames", "duration", "spike_count", "effective_motion_ratio", "velocity_p95", "path_length",
+        evidence().alias("evidence"),
+        named(failed, issue).alias("issues"),
+        named(lambda r: failed(r) & r["metric"].isin(*CRITICAL), issue).alias("hard_fail_issues"),
+        named(lambda r: (r["availability"] == "available") & (r["status"] == "review") & r["metric"].isin(*BEHAVIOUR)).alias("risk_signals"),
+        named(lambda r: r["availability"] == "not_available").alias("unverifiable"),
+        F.get("found", F.lit(0))["pattern"].alias("pattern"),
+        F.get("found", F.lit(1))["pattern"].alias("second_pattern"),
+        r["low_motion"].alias("low_motion"),
+        (r["duration"] + r["spikes"] + r["low_motion"]).alias("deviation"),
+    )
     return rows.withColumn("one", F.lit(1)).join(F.broadcast(medians), "one").drop("one")  # medians: one row
 
 
@@ -321,21 +342,22 @@ def spike_regions(spikes: DataFrame) -> DataFrame:
     return spikes.select("ep", "fi", F.greatest(F.col("fi") - pad, F.lit(0)).alias("start"), F.least(F.col("fi") + pad, F.col("frames") - 1).alias("end"))
 
 
-def episode_table(audit: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per episode with its deviation and place: EXCLUDE, REVIEW, PASS, then by deviation."""
-    dev = results.groupBy("ep").agg((100 * (1 - F.avg("score"))).alias("deviation"))
-    order = F.when(F.col("verdict") == "EXCLUDE", 0).when(F.col("verdict") == "REVIEW", 1).otherwise(2)
-    return audit.join(dev, "ep").select("ep", "verdict", order.alias("class"), "deviation", F.greatest("deviation", F.col("severity").cast("double")).alias("issue_severity"))
+def _class() -> Column:
+    return F.when(F.col("verdict") == "EXCLUDE", 0).when(F.col("verdict") == "REVIEW", 1).otherwise(2)
+
+
+def episode_table(audit: DataFrame) -> DataFrame:
+    """One row per episode with its deviation (``deviation``) and place: EXCLUDE, REVIEW, PASS, then by deviation."""
+    rows = audit.select("ep", "verdict", _class().alias("class"), deviation().alias("deviation"), "severity")
+    return rows.select("ep", "verdict", "class", "deviation", F.greatest("deviation", F.col("severity").cast("double")).alias("issue_severity"))
 
 
 def episode_ranks(audit: DataFrame) -> DataFrame:
     """ep, verdict, deviation, rank over the whole dataset: EXCLUDE, REVIEW, PASS, the larger deviation first, then by number.
 
-    The deviation is 100 (1 - mean score of all results), to six digits.
+    The deviation is 100 (1 - mean score of the available results), to two digits; 0 without any.
     """
-    order = F.when(F.col("verdict") == "EXCLUDE", 0).when(F.col("verdict") == "REVIEW", 1).otherwise(2)
-    mean = F.aggregate("results", F.lit(0.0), lambda a, r: a + r["score"]) / F.size("results")
-    rows = audit.select("ep", "verdict", order.alias("class"), F.round(100 * (1 - mean), 6).alias("deviation"))
+    rows = audit.select("ep", "verdict", _class().alias("class"), F.round(deviation(), 2).alias("deviation"))
     return numbered(rows, [F.asc("class"), F.desc("deviation"), F.asc("ep")]).select("ep", "verdict", "deviation", "rank")
 
 
@@ -379,11 +401,10 @@ def validation_records(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("frames") > 0) & F.col("verdict").isin(*VERDICTS)).select("ep", "verdict", "frames")
 
 
-def episode_csv(audit: DataFrame, results: DataFrame, *verdicts: str) -> DataFrame:
-    """The flat table that is exported: all episodes, or those with one of ``verdicts``."""
-    score = episode_table(audit, results).select("ep", "issue_severity")
+def episode_csv(audit: DataFrame, *verdicts: str) -> DataFrame:
+    """A flat table of all episodes, or of those with one of ``verdicts``; ``overview.export_rows`` has the columns of the user's export."""
     rows = audit.filter(F.col("verdict").isin(*verdicts)) if verdicts else audit
-    return rows.join(score, "ep", "left").select("ep", "frames", "duration", "verdict", "spike_count", "idle_ratio", F.coalesce("issue_severity", F.lit(0.0)).alias("issue_severity"))
+    return rows.select("ep", "frames", "duration", "verdict", "spike_count", "idle_ratio", F.greatest(deviation(), F.col("severity").cast("double")).alias("issue_severity"))
 
 
 def removal_list(table: DataFrame, decisions: DataFrame, n: int = 20) -> DataFrame:

@@ -47,6 +47,39 @@ def diagnosis(audit: DataFrame) -> DataFrame:
     return rows.select("ep", what.alias("what"), why.alias("why"), following.alias("next"))
 
 
+def described(audit: DataFrame, n: int = 5, occupancy: bool = False) -> DataFrame:
+    """``report.top_observations`` with a sentence for each; one more pass gives the figures that sentences name.
+
+    A metric without a sentence of its own tells how many episodes it touches.
+    """
+    figures = audit.agg(
+        F.count("*").alias("n"),
+        F.median("worst_p95").alias("sync"),
+        F.coalesce(F.sum("spike_count"), F.lit(0)).cast("long").alias("spikes"),
+        F.median("occupancy_rate").alias("occupied"),
+        F.median("idle_ratio").alias("idle"),
+        F.lit(1).alias("one"),
+    )
+    share = percent(F.col("ratio"))
+    of = F.format_string("in %d of %d episode(s)", "episodes", "n")
+    words = {
+        "missing_dropout": F.concat(F.lit("Frames or features are missing "), of),
+        "invalid_values": F.concat(F.lit("Values that are NaN or infinite "), of),
+        "schema_consistency": F.concat(F.lit("Features of another length or shape "), of),
+        "timestamp_validity": F.concat(F.lit("Time runs backward "), of),
+        "joint_limit": F.concat(F.lit("Joints beyond their limits "), of),
+        "sensor_synchronization": F.when(F.col("episodes") == 0, "Sensor offsets: no episode has time stamps by stream").otherwise(F.concat(F.format_string("Sensor offsets: the median of the p95 is %.1f ms, known ", "sync"), of)),
+        "action_discontinuity": F.concat(F.format_string("%d jump(s) of the action ", "spikes"), of, F.lit(": a signal of statistics, no proof of damage")),
+        "state_space_occupancy": F.format_string("A median of %.1f%% of the state cells is occupied", 100 * F.col("occupied")),
+        "idle_ratio": F.format_string("A median of %.1f%% of the steps is idle", 100 * F.col("idle")),
+    }
+    sentence = F.concat("observation", F.lit(": "), of, F.lit(" ("), share, F.lit(")"))
+    for name, said_of_it in words.items():
+        sentence = F.when(F.col("observation") == name, said_of_it).otherwise(sentence)
+    rows = top_observations(audit, n, occupancy).withColumn("one", F.lit(1)).join(F.broadcast(figures), "one")  # figures: one row
+    return rows.select("rank", "observation", "significance", sentence.alias("description"))
+
+
 def summary(audit: DataFrame) -> str:
     """The dataset's report as text. Only single rows and the five top findings come to the driver."""
     counts, health = audit_summary(audit).first(), dataset_health(audit).first()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import quantiles, seq
-from tidemark.operators import calibrate, documents, export, history, metrics, report, text, verdict
+from tidemark.operators import calibrate, documents, export, history, metrics, overview, report, text, verdict
 from tidemark.plans import sql
 from tidemark.sources import adapters, layouts
 
@@ -87,7 +87,7 @@ def _with_parameters(frames: DataFrame) -> DataFrame:
 
 
 def _z(audit: DataFrame) -> DataFrame:
-    scores = calibrate.score_metrics(audit)
+    scores = calibrate.score_metrics(audit).persist()  # read by the profile and by z
     return calibrate.bad_z(scores, calibrate.reference_profile(scores))
 
 
@@ -154,11 +154,17 @@ _add("quality_dimensions", _audit, report.quality_dimensions)
 _add("dataset_health", _audit, report.dataset_health)
 _add("top_observations", _audit, report.top_observations)
 _add("top_observations_full", _full_audit, lambda a: report.top_observations(a, occupancy=True))
-_add("episode_report", _audit, lambda a: report.episode_report(a, verdict.metric_results(a)))
+_add("episode_report", _audit, lambda a: report.episode_report(a))
 _add("episode_documents", _audit, lambda a: _flat(documents.episode_reports(a)))
 _add("dataset_document", _audit, lambda a: documents.dataset_report(a, "events").select("dataset_id", "profile.total_episodes", "quality.dhi", "quality.training_readiness", F.col("integrity.top_issues").getItem("INT-04").alias("backward_episodes"), "evidence_summary.hard_fail_episodes", "evidence_summary.risk_signal_episodes", F.col("evidence_summary.unverifiable_metric_episodes").getItem("joint_limit").alias("unverifiable_limits"), *[F.col("pattern_distribution").getItem(p.lower()).alias(p.lower()) for p in report.PATTERNS], "estimated_post_cleanup_quality"))
-_add("episode_table", _audit, lambda a: report.episode_table(a, verdict.metric_results(a)).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6)))
+_add("episode_table", _audit, lambda a: report.episode_table(a).withColumn("deviation", F.round("deviation", 6)).withColumn("issue_severity", F.round("issue_severity", 6)))
 _add("episode_ranks", _audit, report.episode_ranks)
+_add("episode_overview", _audit, overview.episode_overview)
+_add("episode_export", _audit, overview.export_rows)
+_add("issue_counts", _full_audit, overview.issue_counts)
+_add("top_issues", _full_audit, overview.top_issues)
+_add("listed_episodes", _full_audit, lambda a: overview.listed_episodes(a, 100).withColumn("episodes", F.array_join("episodes", ",")))
+_add("legacy_aggregates", _full_audit, lambda a: overview.legacy_aggregates(a).select("temporal.dt_median_ms.*", F.col("temporal.sensor_sync_worst_p95_ms.p95").alias("sync_p95"), F.col("temporal.sensor_sync_worst_p95_ms.max").alias("sync_max"), "motion.total_joint_violations", "motion.total_discontinuity_spikes", "motion.discontinuity_affected_episodes", F.col("motion.idle_ratio.p95").alias("idle_p95")))
 _add("measured_with_parameters", lambda s, d: _with_parameters(_a1(s, d)), lambda f: metrics.measure(f).select("ep", "spike_count", "idle_ratio", "occupancy_rate", "method"))
 _add("issue_stats", _audit, lambda a: report.findings(a).groupBy("metric", "level").agg(F.count("*").alias("episodes")))
 _add("anonymize", _audit, lambda a: report.anonymized(a.select("ep", F.concat(F.lit("/data/"), F.col("ep").cast("string")).alias("path")), "path"))
@@ -198,9 +204,9 @@ _add("integrity_pass_rate", _results, report.integrity_pass_rate)
 _add("episode_integrity", _results, report.episode_integrity)
 _add("reference_medians", _audit, report.reference_medians)
 _QUERIES["validation_records"] = lambda s, d: report.validation_records(_QUERIES["zero_frame_guard"](s, d))
-_QUERIES["episode_csv"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a))
-_QUERIES["review_queue"] = lambda s, d: report.episode_csv(a := _audit(s, d), verdict.metric_results(a), "REVIEW", "EXCLUDE").select("ep", "verdict", "issue_severity")
-_add("removal_list", _audit, lambda a: report.removal_list(report.episode_table(a, verdict.metric_results(a)).withColumn("issue_severity", F.round("issue_severity", 6)), export.export_decisions(a, _user_decisions(a), "aggressive")))
+_QUERIES["episode_csv"] = lambda s, d: report.episode_csv(_audit(s, d))
+_QUERIES["review_queue"] = lambda s, d: report.episode_csv(_audit(s, d), "REVIEW", "EXCLUDE").select("ep", "verdict", "issue_severity")
+_add("removal_list", _audit, lambda a: report.removal_list(report.episode_table(a).withColumn("issue_severity", F.round("issue_severity", 6)), export.export_decisions(a, _user_decisions(a), "aggressive")))
 _add("audit_trend", _audit, lambda a: report.trend(report.snapshots(a, F.lit("a1"), F.col("ep") % 5), "pass_rate").withColumns({"value": F.round("value", 4), "change": F.round("change", 4)}))
 _add("history_merged", _audit, lambda a: history.snapshots(history.merged(*[history.states(a.filter(F.col("ep") % 3 == k), F.lit("a1"), F.col("ep") % 5) for k in range(3)])).select("run", "episodes", "passes", "review", "excluded", "total_spikes", "n_stuck", "n_frozen", "n_jittery", "n_inefficient", "n_unusual"))
 _QUERIES["score_summary"] = lambda s, d: calibrate.score_summary(_QUERIES["rms_score"](s, d))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators.report import HISTORY_PATTERNS, TEMPORAL_MOTION, UTILITY
 from tidemark.operators.text import ADVICE, NOTHING
+from tidemark.operators.verdict import CRITICAL, METRICS, REVIEW
 
 _FRAMES = """
 fr AS (SELECT user_id ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 fi, epoch_us(ts) / 1e6 t, value v,
@@ -211,6 +212,14 @@ _JOINTS = f"WITH {_VECTORS}, a AS (SELECT ep, j, median(abs(d2)) med FROM l2 GRO
 
 _EVIDENCE = "CASE WHEN bool_or(availability = 'available' AND NOT passed AND metric IN ('missing_dropout', 'invalid_values', 'schema_consistency', 'timestamp_validity', 'joint_limit')) THEN 'HARD_FAIL' WHEN bool_or(status = 'review' AND metric IN ('action_discontinuity', 'idle_ratio')) THEN 'RISK_SIGNAL' WHEN bool_or(availability = 'not_available') THEN 'UNVERIFIABLE' ELSE 'NO_FINDING' END"
 
+# The deviation of an episode from its available results; what of it the table of episodes shows.
+_OFF = "d AS (SELECT ep, coalesce(100 * (1 - avg(CAST(score AS DOUBLE)) FILTER (availability = 'available')), 0.0e0) d FROM rs GROUP BY ep)"
+_BAD = "availability = 'available' AND NOT passed"
+_SHOWN = f"""si AS (SELECT ep, coalesce(string_agg(upper(replace(metric, '_', '-')), ', ') FILTER ({_BAD} AND metric = 'timestamp_validity'), '') hard, count(*) FILTER ({_BAD}) n,
+                      coalesce(list(upper(replace(metric, '_', '-')) ORDER BY list_position({list(METRICS)}, metric)) FILTER ({_BAD}), []) issues, bool_or({_BAD} AND metric IN {REVIEW}) other FROM rs GROUP BY ep),
+sh AS (SELECT si.*, CASE WHEN coalesce(effective_motion_ratio, 1) < 0.3 AND coalesce(spike_count, 0) > 20 THEN 'Stuck-like (risk signal)' WHEN coalesce(effective_motion_ratio, 1) < 0.3 THEN 'Frozen-like (risk signal)'
+                         WHEN coalesce(spike_count, 0) > 20 THEN 'Jitter-like (risk signal)' WHEN other THEN 'Unusual-like (risk signal)' END label FROM si JOIN au ON si.ep = au.ep)"""
+
 ORACLES: dict[str, str] = {
     "frames_canonical": f"WITH {_FRAMES} SELECT ep, CAST(fi AS INT) fi, t, v, k FROM fr",
     "frame_deltas": f"WITH {_STEPS} SELECT ep, CAST(fi AS INT) fi, d1 FROM st",
@@ -264,7 +273,7 @@ ORACLES: dict[str, str] = {
     "dataset_health": f"WITH {_AUDIT}, {_DIMS}, q AS (SELECT count(*) n, count(*) FILTER (verdict = 'PASS') passes, count(*) FILTER (verdict = 'REVIEW') review, count(*) FILTER (verdict = 'EXCLUDE') excluded, count(*) FILTER (backward = 0) ok FROM au), z AS (SELECT *, CAST(round_even(0.4e0 * integrity + 0.2e0 * temporal + 0.2e0 * motion + 0.2e0 * consistency, 0) AS BIGINT) health, excluded * 1.0e0 / n x, review * 1.0e0 / n r FROM qd, q) SELECT n, passes, review, excluded, integrity, temporal, motion, consistency, health, CASE WHEN health >= 90 THEN 'Excellent' WHEN health >= 75 THEN 'Good' WHEN health >= 60 THEN 'Fair' ELSE 'Poor' END grade, CASE WHEN x < 0.05e0 AND r < 0.15e0 THEN 'Ready' WHEN x < 0.1e0 AND r < 0.3e0 THEN 'Conditionally Ready' ELSE 'Not Ready' END readiness, (3 * n + ok) // 5 integrity_passed, n - (3 * n + ok) // 5 integrity_failed, CAST(floor(least(100.0e0, health + least(20.0e0, 30 * x))) AS BIGINT) after_cleanup FROM z",
     "top_observations": f"WITH {_AUDIT} " + _observed("au", {"timestamp_validity": "backward > 0"}, "false"),
     "episode_report": f"WITH {_RESULTS}, {_PATTERNS.removeprefix(_AUDIT).lstrip(',')}, e AS (SELECT ep, {_EVIDENCE} evidence, coalesce(string_agg(CASE metric WHEN 'timestamp_validity' THEN 'INT-04' WHEN 'action_discontinuity' THEN 'MOT-01' WHEN 'idle_ratio' THEN 'MOT-03' END, ',' ORDER BY CASE metric WHEN 'timestamp_validity' THEN 1 WHEN 'action_discontinuity' THEN 2 ELSE 3 END) FILTER (availability = 'available' AND NOT passed), '') issues, coalesce(string_agg('INT-04', ',') FILTER (metric = 'timestamp_validity' AND NOT passed), '') hard_fail_issues, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (status = 'review'), '') risk_signals, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (availability = 'not_available'), '') unverifiable FROM rs GROUP BY ep), md2 AS (SELECT median(duration) median_duration, median(spike_count) median_spikes, median(velocity_p95) median_velocity FROM au) SELECT au.ep, verdict, severity, frames, duration, spike_count, effective_motion_ratio, velocity_p95, path_length, e.* EXCLUDE (ep), p0.pattern, p1.pattern second_pattern, 1 - coalesce(effective_motion_ratio, 1.0e0) low_motion, duration + coalesce(spike_count, 0) + (1 - coalesce(effective_motion_ratio, 1.0e0)) deviation, md2.* FROM au LEFT JOIN e ON au.ep = e.ep LEFT JOIN pt p0 ON au.ep = p0.ep AND p0.place = 0 LEFT JOIN pt p1 ON au.ep = p1.ep AND p1.place = 1 CROSS JOIN md2",
-    "episode_table": f"WITH {_RESULTS}, d AS (SELECT ep, 100 * (1 - avg(CAST(score AS DOUBLE))) d FROM rs GROUP BY ep) SELECT au.ep, verdict, CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END AS \"class\", round(d, 6) deviation, round(greatest(d, CAST(severity AS DOUBLE)), 6) issue_severity FROM au JOIN d ON au.ep = d.ep",
+    "episode_table": f"WITH {_RESULTS}, {_OFF} SELECT au.ep, verdict, CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END AS \"class\", round(d, 6) deviation, round(greatest(d, CAST(severity AS DOUBLE)), 6) issue_severity FROM au JOIN d ON au.ep = d.ep",
     "issue_stats": f"WITH {_AUDIT}, f AS (SELECT 'action_discontinuity' metric, spike_points p FROM au UNION ALL SELECT 'idle_ratio', idle_points FROM au) SELECT metric, CASE WHEN p >= 20 THEN 'medium' ELSE 'low' END AS level, count(*) episodes FROM f WHERE p > 0 GROUP BY ALL",
     "anonymize": "SELECT DISTINCT user_id ep, 'redacted:' || substr(sha256('/data/' || user_id), 1, 16) path FROM events",
     "spike_regions": f"WITH {_ROBUST}, f AS (SELECT ep, fi, z, count(*) OVER (PARTITION BY ep) n FROM jz) SELECT ep, CAST(fi AS INT) fi, CAST(greatest(fi - greatest(1, n // 100), 0) AS BIGINT) AS start, CAST(least(fi + greatest(1, n // 100), n - 1) AS BIGINT) AS \"end\" FROM f WHERE abs(z) > 5",
@@ -332,13 +341,20 @@ ORACLES |= {
     "feature_keys": "SELECT DISTINCT n AS name, CASE WHEN starts_with(n, 'observation.') THEN 'modality' WHEN n = 'action' OR starts_with(n, 'action.') THEN 'action' END kind, regexp_replace(n, '^(observation|action)\\.', '') AS label FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'observation.' WHEN 1 THEN 'action.' ELSE 'other.' END || l_returnflag n FROM lineitem) q",
 }
 ORACLES |= {
-    "episode_ranks": f"WITH {_RESULTS}, d AS (SELECT ep, round(100 * (1 - avg(CAST(score AS DOUBLE))), 6) deviation FROM rs GROUP BY ep) SELECT au.ep, verdict, deviation, row_number() OVER (ORDER BY CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, deviation DESC, au.ep) AS rank FROM au JOIN d ON au.ep = d.ep",
+    "episode_ranks": f"WITH {_RESULTS}, {_OFF}, k AS (SELECT ep, round(d, 2) deviation FROM d) SELECT au.ep, verdict, deviation, row_number() OVER (ORDER BY CASE verdict WHEN 'EXCLUDE' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, deviation DESC, au.ep) AS rank FROM au JOIN k ON au.ep = k.ep",
+    "episode_overview": f"WITH {_RESULTS}, {_OFF}, {_SHOWN} SELECT au.ep, frames, CASE WHEN hard = '' THEN 'PASS' ELSE 'FAIL' END integrity_check, CASE hard WHEN '' THEN '—' ELSE hard END integrity_issues, verdict, round(d, 2) deviation, coalesce(label, '—') pattern, CASE n WHEN 0 THEN 'None' ELSE array_to_string(issues[1:3], ', ') END top_issues, n issue_count FROM au JOIN d ON au.ep = d.ep JOIN sh ON au.ep = sh.ep",
+    "episode_export": f"WITH {_RESULTS}, {_OFF}, {_SHOWN} SELECT au.ep episode_id, frames num_frames, CASE WHEN hard = '' THEN 'PASS' ELSE 'FAIL' END integrity_check, verdict behavior_verdict, round(greatest(round(d, 2), CAST(severity AS DOUBLE)), 2) issue_severity_score, coalesce(label, '') pattern_type, n + CAST(label IS NOT NULL AS BIGINT) issue_count, concat_ws('; ', nullif(array_to_string(issues, '; '), ''), 'PATTERN_' || upper(label)) top_issues, '' user_decision, '' user_notes FROM au JOIN d ON au.ep = d.ep JOIN sh ON au.ep = sh.ep",
+    "issue_counts": f"WITH {_FULL}, c AS (SELECT ep, bool_or({_BAD} AND metric IN {CRITICAL}) h, bool_or({_BAD} AND metric IN {REVIEW}) r, count(*) FILTER (availability = 'not_available') u FROM fs GROUP BY ep) SELECT count(*) FILTER (h) critical, count(*) FILTER (r OR severity > 0) warning, count(*) FILTER (r OR severity > 0) risk_signal, CAST(sum(u) AS BIGINT) unverifiable, CAST(0 AS BIGINT) info FROM c JOIN fv ON c.ep = fv.ep",
+    "top_issues": f"WITH {_FULL}, i AS (SELECT metric FROM fs WHERE {_BAD} UNION ALL SELECT 'action_discontinuity' FROM fv WHERE spike_points > 0 UNION ALL SELECT 'idle_ratio' FROM fv WHERE idle_points > 0), c AS (SELECT metric, count(*) episodes FROM i GROUP BY metric) SELECT metric, upper(replace(metric, '_', '-')) code, episodes, CASE WHEN metric IN {CRITICAL} THEN 'critical' WHEN metric IN {REVIEW} THEN 'warning' ELSE 'info' END severity, CASE WHEN metric IN {CRITICAL} THEN 'HARD_FAIL' WHEN metric IN {REVIEW} THEN 'RISK_SIGNAL' ELSE 'UNVERIFIABLE' END evidence, CASE metric WHEN 'action_discontinuity' THEN 'Jitter-like (risk signal)' WHEN 'idle_ratio' THEN 'Stuck/Frozen-like (risk signal)' WHEN 'velocity_acceleration' THEN 'Jitter-like (risk signal)' END pattern FROM c ORDER BY episodes DESC, coalesce(list_position({list(METRICS)}, metric), 14), metric LIMIT 10",
+    "listed_episodes": f"WITH {_FULL} SELECT verdict, CAST(ep // 100 AS BIGINT) part, string_agg(CAST(ep AS VARCHAR), ',' ORDER BY ep) episodes FROM fv WHERE verdict <> 'PASS' GROUP BY ALL",
+    "legacy_aggregates": f"WITH {_FULL}, w AS (SELECT ep, max(p95) p FROM sp GROUP BY ep) SELECT (SELECT quantile_cont(dt_p50, 0.5) FROM au) median, (SELECT quantile_cont(dt_p50, 0.95) FROM au) p95, (SELECT quantile_cont(dt_p50, 0.99) FROM au) p99, (SELECT quantile_cont(p, 0.95) FROM w) sync_p95, (SELECT max(p) FROM w) sync_max, CAST(sum(violations) AS BIGINT) total_joint_violations, CAST(sum(spike_count) AS BIGINT) total_discontinuity_spikes, count(*) FILTER (spike_count > 0) discontinuity_affected_episodes, quantile_cont(idle_ratio, 0.95) idle_p95 FROM fv",
     "measured_with_parameters": "WITH " + _AUDIT + ", jw AS (SELECT ep, count(*) FILTER (abs(z) > 8) wide FROM jz GROUP BY ep), og AS (SELECT ep, count(DISTINCT 5 * (@V) + @K) occupied FROM e1 GROUP BY ep) SELECT au.ep, CASE WHEN au.ep % 2 = 1 AND spike_count IS NOT NULL THEN wide ELSE spike_count END spike_count, idle_ratio, CASE WHEN au.ep % 2 = 1 THEN occupied / 25.0e0 ELSE occupancy_rate END occupancy_rate, \"method\" FROM au JOIN jw ON au.ep = jw.ep JOIN og ON au.ep = og.ep".replace("@V", _coarse("v")).replace("@K", _coarse("k")),
     "episode_verdict_blocks": ORACLES["episode_verdict"],
     "episode_documents": f"SELECT ep, hard_fail_issues = '' passed, CASE verdict WHEN 'PASS' THEN 'LIKELY_USABLE' WHEN 'REVIEW' THEN 'NEEDS_REVIEW' ELSE 'RECOMMENDED_EXCLUDE' END behavior_verdict, evidence evidence_level, issues, hard_fail_issues, risk_signals, unverifiable unverifiable_metrics, pattern, second_pattern, why FROM ({ORACLES['episode_report']}) r JOIN ({ORACLES['episode_diagnosis']}) d USING (ep)",
     "dataset_document": "SELECT 'events' dataset_id, n total_episodes, health dhi, readiness training_readiness, CAST(NULL AS BIGINT) backward_episodes, " + ", ".join(f"(SELECT max(episodes) FILTER ({w}) FROM ({ORACLES[k]}) e) {c}" for c, k, w in [("hard_fail_episodes", "evidence_summary", "evidence = 'HARD_FAIL'"), ("risk_signal_episodes", "evidence_summary", "evidence = 'RISK_SIGNAL'"), ("unverifiable_limits", "evidence_summary", "metric = 'joint_limit'"), *[(p.lower(), "pattern_distribution", f"pattern = '{p}'") for p in ("STUCK_LIKE", "FROZEN_LIKE", "JITTERY_LIKE", "INEFFICIENT", "UNUSUAL")]]) + f", after_cleanup estimated_post_cleanup_quality FROM ({ORACLES['dataset_health']}) h",
 }
 ROUNDED: dict[str, tuple[str, ...]] = {
+    "legacy_aggregates": ("median", "p95", "p99", "sync_p95", "sync_max", "idle_p95"),
     "dt_percentiles": ("dt_p50", "dt_p95", "dt_p99", "dt_max"),
     "mad_per_episode": ("med", "mad"),
     "action_discontinuity": ("spike_rate", "jump_p95", "jump_p99", "jump_max"),

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import documents, export, history, report
+from tidemark.operators import documents, export, history, overview, report
 from tidemark.operators.verdict import CRITICAL, VERDICTS
 from tidemark.sources import layouts
 
@@ -36,9 +36,10 @@ def save_report(audit: DataFrame, results: DataFrame, path: str, dataset: str =
     results.write.mode("overwrite").json(f"{path}/metrics")
 
 
-def save_csv(audit: DataFrame, results: DataFrame, path: str, *verdicts: str) -> None:
-    """The flat table of the episodes, or of those with one of ``verdicts``, as CSV files with a header."""
-    report.episode_csv(audit, results, *verdicts).write.mode("overwrite").option("header", True).csv(path)
+def save_csv(audit: DataFrame, path: str, *verdicts: str, decisions: DataFrame | None = None) -> None:
+    """The flat export of the episodes, or of those with one of ``verdicts``, as CSV files with a header; ``decisions`` (ep, decision, notes) are the user's."""
+    rows = audit.filter(F.col("verdict").isin(*verdicts)) if verdicts else audit
+    overview.export_rows(rows, decisions).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
