@@ -140,7 +140,8 @@ def _fold():
 def fit(docs: DataFrame, labels: DataFrame) -> NeighbourModel:
     """Learn from at most ``SAMPLE`` labelled rows outside the held-out fold, chosen by hash of the id.
 
-    Rows of ``labels`` (doc_id, quality) with a null are passed over; of repeated ids one counts.
+    Rows of ``labels`` (doc_id, quality) with a null are passed over; of repeated ids one counts, chosen
+    where the rows are, so that no more than the sample comes to the driver.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter(~_fold())
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -152,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> NeighbourModel:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select("doc_id", "quality", "text")
-    got = rows.mapInArrow(featured, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    one = rows.mapInArrow(featured, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("x").alias("x"))
+    got = one.toPandas().sort_values("doc_id", kind="stable")  # at most SAMPLE rows
     x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, WIDTH), np.float32)
     return NeighbourModel(x, got["quality"].to_numpy())
 
