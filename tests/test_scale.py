@@ -52,6 +52,37 @@ def test_refined_profile(spark):
         assert list(one)[2:] == pytest.approx(list(two)[2:], abs=1e-12)
 
 
+def test_neighbours_among_the_doubles(spark):
+    tiny = [(x,) for x in [0.0] * 20 + [5e-324] * 20]
+    ends = [(x,) for x in [float("-inf")] * 20 + [-1.7976931348623157e308] * 20]
+    for values in (tiny, ends):
+        got = quantiles.exact_quantiles(spark.createDataFrame(values, "x double"), ("x",), (0.0, 0.25, 0.75, 1.0), 16, 8)
+        low, high = values[0][0], values[-1][0]
+        assert got == {"x": (40, [low, low, high, high])}
+
+
+def test_steps_of_refinement_take_no_task_a_part(spark):
+    """Nor do they take more jobs for more shares."""
+    sc = spark.sparkContext
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(5, 2), rng.random(), 10.0 ** rng.uniform(-2, 2)) for i in range(900)]
+    scores = spark.createDataFrame(rows, "ep long, duration double, spike_count double, effective_motion_ratio double").repartition(40).persist()
+    assert scores.count() == 900
+    tracker, jobs = sc.statusTracker(), {}
+    try:
+        for name, shares in (("one", (0.5,)), ("five", (0.5, 0.05, 0.25, 0.75, 0.95))):
+            sc.setJobGroup(name, name)
+            quantiles.exact_quantiles(scores, ("duration", "spike_count", "effective_motion_ratio"), shares, few=4)
+            jobs[name] = tracker.getJobIdsForGroup(name)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        scores.unpersist()
+    stages = [tracker.getStageInfo(s) for ids in jobs.values() for j in ids for s in tracker.getJobInfo(j).stageIds]
+    ran = [s.numTasks for s in stages if s is not None and s.numCompletedTasks]
+    assert ran and max(ran) <= sc.defaultParallelism
+    assert len(jobs["five"]) <= len(jobs["one"]) + 3  # at most one more step
+
+
 def long_frames(spark):
     rng = np.random.default_rng(4)
     rows = []

@@ -2,9 +2,11 @@
 
 Order statistics are found by refinement: the values between a low and a high bound are counted in
 buckets of equal width, the bucket that holds the wanted rank becomes the next range, and so on until a
-range has few values left, which are then looked at one by one. Each step is one aggregate with at
-most ranges x buckets rows; all columns and ranks go through it together. The bucket of a value never
-falls as the value grows, whatever the rounding, so ranks stay exact.
+range has few values left, which are then counted one by one. Each step is one aggregate with at
+most ranges x buckets (or few) rows; all columns and ranks go through it together. The ranges of a
+column do not overlap, so that a value falls into one of them at most, and they come to the step as a
+small table: its plan is the same however many there are. The bucket of a value never falls as the
+value grows, whatever the rounding, so ranks stay exact.
 """
 
 from __future__ import annotations
@@ -31,21 +33,32 @@ class _Range:
         return self.column, self.lo, self.hi
 
 
-def _inside(value: Column, r: _Range) -> Column:
-    return (value >= r.lo) & (value <= r.hi)
+def _bucket(buckets: int) -> Column:
+    """The bucket of x between lo and hi."""
+    # halves, so that the width of the whole range of doubles is still a number; infinities count as the ends
+    lo, hi = F.greatest("lo", F.lit(-LARGEST)) / 2, F.least("hi", F.lit(LARGEST)) / 2
+    inside = F.least(F.greatest("x", F.lit(-LARGEST)), F.lit(LARGEST)) / 2
+    place = F.least(F.floor((inside - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+    # neighbours among the doubles may have no width
+    return F.when(hi > lo, place).when(F.col("x") > F.col("lo"), buckets - 1).otherwise(0)
 
 
-def _bucket(value: Column, r: _Range, buckets: int) -> Column:
-    # halves, so that the width of the whole range of doubles is still a number; infinities count as the ends
-    lo, hi = max(r.lo, -LARGEST), min(r.hi, LARGEST)
-    inside = F.least(F.greatest(value, F.lit(lo)), F.lit(hi))
-    return F.least(F.floor((inside / 2 - lo / 2) / F.lit(hi / 2 - lo / 2) * buckets), F.lit(buckets - 1))
+def _long(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """column, x: the values that count, in as many parts as tasks run at once: a task keeps counts alone, and many small parts cost a step more than their rows do."""
+    doubles = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return doubles.unpivot([], list(columns), "column", "x").filter("x is not null and not isnan(x)")
+
+
+def _table(df: DataFrame, ranges: list[_Range], few: int) -> DataFrame:
+    """i, of, lo, hi, small: the ranges as rows."""
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(r.column).alias("of"), F.lit(r.lo).alias("lo"), F.lit(r.hi).alias("hi"), F.lit(r.n <= few).alias("small")) for i, r in enumerate(ranges)]
+    return df.sparkSession.range(0, 1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
-def order_statistics(df: DataFrame, wanted: dict[str, list[int]], ends: dict[str, tuple[float, float, int]], buckets: int = BUCKETS, few: int = FEW) -> dict[tuple[str, int], float]:
+def order_statistics(values: DataFrame, wanted: dict[str, list[int]], ends: dict[str, tuple[float, float, int]], buckets: int = BUCKETS, few: int = FEW) -> dict[tuple[str, int], float]:
     """The values at the places (from 0) ``wanted`` of each column in its order; ``ends``: least, largest and number of its values.
 
-    ``df`` is read once a step, so it should be persisted or materialised. Null and NaN do not count.
+    ``values`` (column, x) is read once a step, so what it comes from should be persisted or materialised.
     """
     at = {(c, k): _Range(c, *ends[c], 0) for c, ks in wanted.items() for k in ks}
     found: dict[tuple[str, int], float] = {}
@@ -57,42 +70,31 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], ends: dict[str
         ranges = list({r.key: r for r in at.values()}.values())
         if not ranges:
             return found
-        small, large = [r for r in ranges if r.n <= few], [r for r in ranges if r.n > few]
-        if small:
-            cells = F.array(*[F.when(_inside(F.col(r.column), r), F.struct(F.lit(i).alias("i"), F.col(r.column).alias("x"))) for i, r in enumerate(small)])
-            held: dict[int, list[float]] = {}
-            for row in df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*").collect():  # few values a range
-                held.setdefault(row.i, []).append(row.x)
-            for i, r in enumerate(small):
-                values = sorted(held[i])
-                for place in [p for p, own in at.items() if own.key == r.key]:
-                    found[place] = values[place[1] - r.below]
-                    del at[place]
-        if large:
-            cells = F.array(*[F.when(_inside(F.col(r.column), r), F.struct(F.lit(i).alias("i"), _bucket(F.col(r.column), r, buckets).alias("b"), F.col(r.column).alias("x"))) for i, r in enumerate(large)])
-            rows = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
-            counts: dict[int, list] = {}
-            for row in rows.groupBy("i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "b").collect():  # ranges x buckets rows
-                counts.setdefault(row.i, []).append(row)
-            for i, r in enumerate(large):
-                for place in [p for p, own in at.items() if own.key == r.key]:
-                    below = r.below
-                    for row in counts[i]:
-                        if place[1] < below + row.n:
-                            at[place] = _Range(r.column, row.lo, row.hi, row.n, below)
-                            break
-                        below += row.n
+        inside = (F.col("column") == F.col("of")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+        rows = values.join(F.broadcast(_table(values, ranges, few)), inside)
+        rows = rows.withColumns({"b": F.when(~F.col("small"), _bucket(buckets)), "one": F.when(F.col("small"), F.col("x"))})
+        counts: dict[int, list] = {}
+        for row in rows.groupBy("i", "b", "one").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest")).collect():  # ranges x buckets rows
+            counts.setdefault(row.i, []).append(row)
+        for i, r in enumerate(ranges):
+            cells = sorted(counts[i], key=lambda row: row.least)
+            for place in [p for p, own in at.items() if own.key == r.key]:
+                below = r.below
+                for row in cells:
+                    if place[1] < below + row.n:
+                        at[place] = _Range(r.column, row.least, row.largest, row.n, below)
+                        break
+                    below += row.n
 
 
 def exact_quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...], buckets: int = BUCKETS, few: int = FEW) -> dict[str, tuple[int, list[float | None]]]:
-    """column: (number of values, its quantiles at ``shares``, linear between neighbours); without values nulls."""
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    doubles = doubles.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
-    row = doubles.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).alias(c) for c in columns]).first()
-    ends = {c: (row[c].lo, row[c].hi, row[c].n) for c in columns if row[c].n}
+    """column: (number of values, its quantiles at ``shares``, linear between neighbours); without values nulls. Null and NaN do not count."""
+    long = _long(df, columns)
+    rows = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect()  # a row a column
+    ends = {r.column: (r.lo, r.hi, r.n) for r in rows}
     spots = {c: [s * (ends[c][2] - 1) for s in shares] for c in ends}
     wanted = {c: sorted({k for s in spots[c] for k in (math.floor(s), math.ceil(s))}) for c in ends}
-    values = order_statistics(doubles, wanted, ends, buckets, few)
+    values = order_statistics(long, wanted, ends, buckets, few)
 
     def between(c: str, spot: float) -> float:
         low, high = math.floor(spot), math.ceil(spot)
@@ -109,9 +111,7 @@ def quantile_table(df: DataFrame, columns: tuple[str, ...], shares: tuple[float,
     return df.sparkSession.createDataFrame([(c, n, *ps) for c, (n, ps) in got.items()], schema)
 
 
-def median_deviations(df: DataFrame, columns: tuple[str, ...], **how: int) -> dict[str, tuple[float | None, float | None]]:
-    """column: (median, median of the distances to it)."""
-    mids = {c: ps[0] for c, (_, ps) in exact_quantiles(df, columns, (0.5,), **how).items()}
-    far = df.select(*[F.abs(F.col(c).cast("double") - F.lit(mids[c])).alias(c) for c in columns])
-    mads = exact_quantiles(far, columns, (0.5,), **how)
-    return {c: (mids[c], mads[c][1][0]) for c in columns}
+def median_deviations(df: DataFrame, mids: dict[str, float | None], **how: int) -> dict[str, float | None]:
+    """column: the median of the distances to its median, which is given."""
+    far = df.select(*[F.abs(F.col(c).cast("double") - F.lit(mid)).alias(c) for c, mid in mids.items()])
+    return {c: ps[0] for c, (_, ps) in exact_quantiles(far, tuple(mids), (0.5,), **how).items()}

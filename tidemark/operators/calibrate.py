@@ -40,8 +40,9 @@ def reference_profile(scores: DataFrame) -> DataFrame:
 def refined_profile(scores: DataFrame, **how: int) -> DataFrame:
     """``reference_profile`` for more episodes than one task should hold: by refinement (``functions.quantiles``), ``scores`` read several times."""
     names = tuple(c for c in scores.columns if c != "ep")
-    spread, anchors = median_deviations(scores, names, **how), exact_quantiles(scores, names, (0.05, 0.25, 0.75, 0.95), **how)
-    rows = [(c, anchors[c][0], *spread[c], *anchors[c][1]) for c in names if anchors[c][0]]
+    anchors = exact_quantiles(scores, names, (0.5, 0.05, 0.25, 0.75, 0.95), **how)
+    mads = median_deviations(scores, {c: ps[0] for c, (_, ps) in anchors.items()}, **how)
+    rows = [(c, n, mid, mads[c], *ps) for c, (n, (mid, *ps)) in anchors.items() if n]
     return scores.sparkSession.createDataFrame(rows, "metric string, n long, median double, mad double, p05 double, p25 double, p75 double, p95 double")
 
 

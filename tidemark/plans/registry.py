@@ -47,6 +47,15 @@ def _add(name: str, source: Callable[[SparkSession, str], DataFrame], plan: Call
     _QUERIES[name] = lambda spark, sf_dir: plan(source(spark, sf_dir))
 
 
+def _kept(rows: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` of ``rows`` that are persisted while it reads them several times; its result no longer needs them."""
+    rows = rows.persist()
+    try:
+        return use(rows)
+    finally:
+        rows.unpersist()
+
+
 def _corrupt(frames: DataFrame) -> DataFrame:
     v = F.when(F.col("event_id") % 97 == 0, float("nan")).when(F.col("event_id") % 89 == 0, float("inf")).otherwise(F.col("action")[0])
     return frames.withColumn("action", F.array(v)).withColumn("state", F.array(v, F.col("state")[1]))
@@ -143,7 +152,7 @@ _add("evidence_level", _results, report.evidence_level)
 _add("deviation_stats", _results, lambda r: report.deviation_stats(r).select(F.round("mean_deviation", 6).alias("mean_deviation"), F.round("median_deviation", 6).alias("median_deviation")))
 _add("temporal_motion_summary", _audit, report.temporal_motion_summary)
 _add("utility_summary", _audit, report.utility_summary)
-_add("utility_summary_refined", _audit, lambda a: quantiles.quantile_table(a.select(*report.UTILITY).persist(), report.UTILITY, few=4))
+_add("utility_summary_refined", _audit, lambda a: _kept(a.select(*report.UTILITY), lambda x: quantiles.quantile_table(x, report.UTILITY, few=4)))
 _add("audit_summary", _audit, report.audit_summary)
 _add("pattern_type", _audit, lambda a: report.pattern_types(a).select("ep", "pattern", "place"))
 _add("pattern_distribution", _audit, report.pattern_distribution)
@@ -174,7 +183,7 @@ _QUERIES["episode_lookup"] = lambda s, d: _a1(s, d).filter("ep = 7").select("ep"
 _add("portable_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", *calibrate.PORTABLE))
 _add("platform_metrics", _audit, lambda a: calibrate.score_metrics(a).select("ep", "velocity_p95", "velocity_max", F.round("path_length", 6).alias("path_length")))
 _add("reference_profile", _audit, lambda a: calibrate.reference_profile(calibrate.score_metrics(a)))
-_add("reference_profile_refined", _audit, lambda a: calibrate.refined_profile(calibrate.score_metrics(a).persist(), few=4))
+_add("reference_profile_refined", _audit, lambda a: _kept(calibrate.score_metrics(a), lambda x: calibrate.refined_profile(x, few=4)))
 _add("bad_z", _audit, lambda a: _z(a).select("ep", "metric", F.round("z", 9).alias("z")))
 _add("percentile_rank", _audit, lambda a: _z(a).select("ep", "metric", F.round("rank", 9).alias("rank")))
 _add("rms_score", _audit, lambda a: calibrate.rms_scores(_z(a)).select("ep", *[F.round(c, 6).alias(c) for c in ("portable_score", "platform_score", "combined_rms")]))
