@@ -4,6 +4,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,57 @@ def test_every_other_word_is_summed_once_and_counted_in_its_class(spark, docs, m
                 sides[1, 0, c.sides % class_lm.ALL] += c.n
             best = class_lm.exchange(table, sides, np.array([r["class"]]), np.array([r.n]), np.ones(1, bool), total)
             assert moved[r.h] == best[0]
+
+
+def test_sweeps_do_not_read_the_texts_again(docs):
+    train, reads = docs.filter(~class_lm._held_out()), []
+
+    class Train:
+        sparkSession = train.sparkSession
+
+        def select(self, *columns):
+            reads.append(columns)
+            return train.select(*columns)
+
+    assert class_lm.cluster(Train()).count() > 0
+    assert len(reads) == 3  # the counts of words, the numbers of anchors, the other words
+
+
+@pytest.mark.parametrize("anchors", [0, 100, 300])
+def test_written_numbers_give_the_neighbours_of_the_texts(docs, monkeypatch, anchors):
+    monkeypatch.setattr(class_lm, "RUN", 37)
+    train = docs.filter(~class_lm._held_out())
+    texts = [tokens(r.text) for r in train.collect()]
+    counts = collections.Counter(h for t in texts for h in t)
+    end = int(class_lm.END.view(np.int64))
+    words = np.sort(np.array(sorted(set(counts) - {end}, key=lambda h: -counts[h])[:anchors], np.int64).view(np.uint64))
+    model = class_lm.WordClasses(words, np.arange(anchors) % class_lm.CLASSES)
+    place = {int(h): k for k, h in enumerate(words.view(np.int64))}
+    want_pairs, want = np.zeros((class_lm.ALL, class_lm.ALL), int), np.zeros((2, anchors, class_lm.ALL), int)
+    for t in texts:
+        cls = [class_lm.END_CLASS, *(class_lm.END_CLASS if h == end else place[h] % class_lm.CLASSES if h in place else class_lm.OPEN for h in t)]
+        for i, h in enumerate(t):
+            want_pairs[cls[i], cls[i + 1]] += 1
+            if h in place:
+                want[0, place[h], cls[i]] += 1
+                want[1, place[h], cls[i + 2]] += 1
+    ids = class_lm.anchor_ids(train, model)
+    assert ids.count() == len(texts)
+    pairs, sides = class_lm.neighbour_counts(train, model, ids)
+    assert (pairs == want_pairs).all() and (sides == want).all() and (class_lm._sum_pairs(ids, model) == want_pairs).all()
+
+
+def test_places_of_words_with_the_same_leading_bits():
+    rng = np.random.default_rng(3)
+    low, top = np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1)
+    for words in (low[:0], low[:1], np.concatenate((low[::2], np.sort(rng.integers(2**40, 2**63, 500, dtype=np.uint64)), top - low[::-2]))):
+        asked = np.concatenate((words, low, top - low, rng.integers(0, 2**63, 100, dtype=np.uint64)))
+        of = {w: k for k, w in enumerate(words.tolist())}
+        assert class_lm.Places(words).of(asked).tolist() == [of.get(h, -1) for h in asked.tolist()]
+
+
+def test_a_word_over_several_batches_is_one_row():
+    h, sides = np.repeat([-5, 2, 9], [3, 40, 1]), np.arange(44, dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(sides), pa.array(np.arange(44))], ["h", "sides", "n"])
+    rows = [r for b in class_lm._gather(batch.slice(k, 7) for k in range(0, 44, 7)) for r in b.to_pylist()]
+    assert [(r["h"], [c["sides"] for c in r["cells"]]) for r in rows] == [(-5, [0, 1, 2]), (2, list(range(3, 43))), (9, [43])]

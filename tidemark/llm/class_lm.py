@@ -10,6 +10,9 @@ summed by word and dealt by word; a neighbour that is no anchor counts there as
 word emission, both smoothed; a word that no training text has is one unknown type with a class of
 its own.
 
+The sweeps of the anchors do not read the texts again: these are written once as numbers of anchors,
+two bytes a token. What tasks count in a sweep moves as blocks of ``BLOCK`` cells, summed by block.
+
 The table of words grows with the corpus and is joined by shuffle. Only its head, at most ``HEAD``
 most frequent words, is sent to all tasks, which spares those words the join and changes no figure.
 """
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ OPEN, END_CLASS, ALL = CLASSES, CLASSES + 1, CLASSES + 2
 SWEEPS = 3
 OPEN_SWEEPS = 2
 SLICE = 1 << 15
+BLOCK = 512
+RUN = 1 << 20
 OPEN_WORDS = "h long, class int, n long, cells array<struct<sides:int,n:long>>"
 END = np.uint64(0x243F6A8885A308D3)
 WORD_ADD, CLASS_ADD, PRIOR = 0.5, 0.1, 10
@@ -56,27 +62,67 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield row, end, hashes, where
 
 
-def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Where each hash is among the sorted words, or -1."""
-    if not len(words):
-        return np.full(len(hashes), -1)
-    at = np.searchsorted(words, hashes)
-    at[at == len(words)] = 0
-    return np.where(words[at] == hashes, at, -1)
+class Places:
+    """Where hashes are among sorted words: few have the same leading bits, so few are compared."""
+
+    def __init__(self, words: np.ndarray):
+        bits = (4 * len(words)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.words = np.append(words, words[-1:])  # the end of the last run; a hash that is sent there is larger
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        if len(words):
+            np.cumsum(np.bincount((words >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        run = (hashes >> self.shift).astype(np.int64)
+        at = self.first[run]
+        out = np.where(self.words[at] == hashes, at, -1)
+        left = np.flatnonzero((out < 0) & (self.first[run + 1] > at + 1))
+        at = at[left]
+        while len(left):
+            at += 1
+            hit = self.words[at] == hashes[left]
+            out[left[hit]] = at[hit]
+            more = ~hit & (at + 1 < self.first[run[left] + 1])
+            left, at = left[more], at[more]
+        return out.astype(np.int64)
 
 
 class WordClasses:
     """Sorted hashes of some words and their classes; END has its own class and all else is open."""
 
     def __init__(self, words: np.ndarray, classes: np.ndarray):
-        self.words, self.classes = words, classes
+        self.words, self.classes, self.places = words, classes, Places(words)
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes, and each word's place or -1."""
-        at = _places(self.words, hashes)
+        at = self.places.of(hashes)
         classes = np.where(at >= 0, self.classes[at] if len(self.words) else OPEN, OPEN)
         return np.where(hashes == END, END_CLASS, classes), at
 
+    def by_id(self) -> np.ndarray:
+        """Classes by number, as ``anchor_ids`` has them: the words, then every other word as one, then END."""
+        return np.append(self.classes, [OPEN, END_CLASS]).astype(np.uint8)
+
+    def id_type(self) -> np.dtype:
+        return np.min_scalar_type(len(self.words) + 1)
+
+
+def _binaries(data: np.ndarray, cut: np.ndarray) -> pa.BinaryArray:
+    """Rows of ``data`` that begin at ``cut`` (one more than rows), as bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.Array, kind: type | np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of ``_binaries``."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data.view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
 
 def word_counts(train: DataFrame) -> DataFrame:
     """(h, n) of every distinct token of the training texts, END included."""
@@ -90,41 +136,85 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(classes: np.ndarray) -> np.ndarray:
-    """Counts of class pairs in a run of texts, each ended by END."""
-    left = np.concatenate(([END_CLASS], classes[:-1]))
-    return np.bincount(left * ALL + classes, minlength=ALL * ALL)
+def anchor_ids(train: DataFrame, words: WordClasses) -> DataFrame:
+    """(ids) of every row of ``train``: the numbers of its tokens, one after another, in as few bytes as they fit."""
+
+    def number(batches):
+        for batch in batches:
+            for row, end, hashes, where in _tokens(batch.column(0)):
+                ids = words.places.of(hashes)
+                ids[ids < 0] = len(words.words)
+                ids[hashes == END] = len(words.words) + 1
+                yield pa.RecordBatch.from_arrays([_binaries(ids.astype(words.id_type()), np.searchsorted(where, np.arange(end - row + 1)))], ["ids"])
 
+    return train.select("text").mapInArrow(number, "ids binary")
 
-def neighbour_counts(train: DataFrame, words: WordClasses) -> tuple[np.ndarray, np.ndarray]:
+
+def neighbour_counts(train: DataFrame, words: WordClasses, ids: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Class pairs (left, right), and for each of ``words`` the classes to its left and right.
 
-    Both tables have a fixed size; tasks add up their own before anything moves.
+    Both tables have a fixed size; tasks add up their own before anything moves, and blocks of cells
+    are summed by block. ``ids``: the ``anchor_ids`` of ``train``, if they are written already.
     """
-    size = len(words.words)
+    of, kind = words.by_id(), words.id_type()
+    cells = len(of) * ALL
+    blocks = -(-2 * cells // BLOCK)
 
     def count(batches):
-        pairs, sides = np.zeros(ALL * ALL, np.int64), np.zeros(2 * size * ALL, np.int64)
+        sides = np.zeros(blocks * BLOCK, np.int64)
         for batch in batches:
-            for _, _, hashes, _ in _tokens(batch.column(0)):
-                cls, index = words.of(hashes)
-                pairs += _pair_counts(cls)
-                some = np.flatnonzero(index >= 0)  # never the last token, which is an END
-                left = np.where(some > 0, cls[some - 1], END_CLASS)
-                sides[: size * ALL] += np.bincount(index[some] * ALL + left, minlength=size * ALL)
-                sides[size * ALL :] += np.bincount(index[some] * ALL + cls[some + 1], minlength=size * ALL)
-        for kind, table in ((0, pairs), (1, sides)):
-            some = np.flatnonzero(table)
-            for k in range(0, len(some), 100_000):
-                part = some[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(table[part])], ["kind", "cell", "n"])
-
-    rows = train.select("text").mapInArrow(count, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
-    kinds, cells, sums = (rows.column(k).to_numpy() for k in ("kind", "cell", "n"))
-    tables = np.zeros(ALL * ALL, np.int64), np.zeros(2 * size * ALL, np.int64)
-    for kind, table in enumerate(tables):
-        table[cells[kinds == kind]] = sums[kinds == kind]
-    return tables[0].reshape(ALL, ALL), tables[1].reshape(2, size, ALL)
+            own, _ = _joined(batch.column(0), kind)
+            cls = np.concatenate((of[-1:], of[own], of[-1:]))  # texts end by END, so each begins after one
+            for k in range(0, len(own), RUN):
+                at = own[k : k + RUN].astype(np.int64) * ALL
+                sides[:cells] += np.bincount(at + cls[k : k + len(at)], minlength=cells)
+                sides[cells : 2 * cells] += np.bincount(at + cls[k + 2 : k + 2 + len(at)], minlength=cells)
+        sides = sides.reshape(blocks, BLOCK)
+        some = np.flatnonzero(sides.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), _binaries(sides[some].ravel(), np.arange(len(some) + 1) * BLOCK)], ["block", "n"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            block, (n, _) = batch.column(0).to_numpy(), _joined(batch.column(1), np.int64)
+            for b, row in zip(block.tolist(), n.reshape(-1, BLOCK), strict=True):
+                if b in sums:
+                    sums[b] += row
+                else:
+                    sums[b] = row.copy()
+        n = np.concatenate([*sums.values(), np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), _binaries(n, np.arange(len(sums) + 1) * BLOCK)], ["block", "n"])
+
+    ids = anchor_ids(train, words) if ids is None else ids
+    rows = ids.mapInArrow(count, "block long, n binary").repartition("block").mapInArrow(add, "block long, n binary").toArrow()
+    sides = np.zeros((blocks, BLOCK), np.int64)
+    for batch in rows.to_batches():
+        sides[batch.column("block").to_numpy()] = _joined(batch.column("n"), np.int64)[0].reshape(-1, BLOCK)
+    sides = sides.ravel()[: 2 * cells].reshape(2, len(of), ALL)
+    pairs = np.zeros((ALL, ALL), np.int64)
+    np.add.at(pairs, of, sides[0])
+    return pairs.T.copy(), sides[:, : len(words.words)]
+
+
+def _sum_pairs(rows: DataFrame, words: WordClasses | None = None) -> np.ndarray:
+    """Class pairs of texts, which are a byte of class a token or else the ``anchor_ids`` of ``words``."""
+    of, kind = (words.by_id(), words.id_type()) if words else (np.arange(ALL, dtype=np.uint8), np.dtype(np.uint8))
+
+    def count(batches):
+        total = np.zeros(ALL * ALL, np.int64)
+        for batch in batches:
+            own, _ = _joined(batch.column(0), kind)
+            cls = np.concatenate((of[-1:], of[own]))
+            for k in range(0, len(own), RUN):
+                right = cls[k + 1 : k + 1 + RUN]
+                total += np.bincount(cls[k : k + len(right)] * np.int64(ALL) + right, minlength=ALL * ALL)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    sums = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ALL * ALL, np.int64)
+    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(ALL, ALL)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -186,8 +276,8 @@ def _cells(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         row = end
 
 
-def _settle(table: np.ndarray, total: np.ndarray, sweep: int | None = None):
-    """Rows of ``OPEN_WORDS`` with each word, or in a sweep each second one by its hash, in its best class."""
+def _settle(table: np.ndarray, total: np.ndarray, sweep: int | None = None, last: bool = False):
+    """Rows of ``OPEN_WORDS`` with each word, or in a sweep each second one by its hash, in its best class; if ``last``, without cells."""
 
     def settle(batches):
         for batch in batches:
@@ -196,7 +286,8 @@ def _settle(table: np.ndarray, total: np.ndarray, sweep: int | None = None):
             for row, end, *cells in _cells(batch.column("cells").take(pa.array(moving))):
                 some = moving[row:end]
                 classes[some], counts[some] = _best_classes(*cells, table, total, None if sweep is None else classes[some])
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(classes), pa.array(counts), batch.column("cells")], ["h", "class", "n", "cells"])
+            kept = [] if last else [batch.column("cells")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(classes), pa.array(counts), *kept], ["h", "class", "n", "cells"][: 3 + len(kept)])
 
     return settle
 
@@ -223,8 +314,28 @@ def _with_open(pairs: np.ndarray, words: DataFrame) -> tuple[np.ndarray, np.ndar
     return pairs + more.sum(0), pairs.sum(0) + more[0].sum(0)
 
 
-def open_words(train: DataFrame, anchors: WordClasses) -> DataFrame:
-    """Rows of ``OPEN_WORDS``, without classes yet: every training word that is no anchor.
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``OPEN_WORDS``, without classes yet, from rows (h, sides, n) sorted by h; a word may go on in the next batch."""
+
+    def words(h, sides, n):
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        cells = pa.StructArray.from_arrays([pa.array(sides), pa.array(n)], ["sides", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), cells)
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.full(len(first), -1, np.int32)), pa.array(np.zeros(len(first), np.int64)), lists], ["h", "class", "n", "cells"])
+
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    for batch in batches:
+        kept = [np.concatenate((old, batch.column(k).to_numpy())) for old, k in zip(kept, ("h", "sides", "n"), strict=True)]
+        last = int(np.searchsorted(kept[0], kept[0][-1:], "left")[0]) if len(kept[0]) else 0
+        if last:
+            yield words(*(k[:last] for k in kept))
+        kept = [k[last:] for k in kept]
+    if len(kept[0]):
+        yield words(*kept)
+
+
+def open_words(train: DataFrame, anchors: WordClasses, then=None) -> DataFrame:
+    """Rows of ``OPEN_WORDS``, without classes yet: every training word that is no anchor; ``then`` changes them in the same tasks.
 
     Occurrences are summed by word and classes beside it before a word's cells meet, so that a word
     has at most ALL x ALL of them, however frequent it is.
@@ -245,8 +356,7 @@ def open_words(train: DataFrame, anchors: WordClasses) -> DataFrame:
 
     rows = train.select("text").mapInArrow(beside, "h long, sides int, n int")
     sums = rows.groupBy("h", "sides").agg(F.sum("n").alias("n"))
-    words = sums.groupBy("h").agg(F.collect_list(F.struct("sides", "n")).alias("cells"))
-    return words.select("h", F.lit(-1).alias("class"), F.lit(0).cast("long").alias("n"), "cells")
+    return sums.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: then(_gather(batches)) if then else _gather(batches), OPEN_WORDS)
 
 
 def _bands(vocabulary: DataFrame) -> list:
@@ -275,15 +385,18 @@ def cluster(train: DataFrame) -> DataFrame:
     order = np.argsort(words[rank])  # sorted by hash; the value is the rank by frequency
     model = WordClasses(words[rank][order], order % CLASSES)
     counts = counts[rank][order]
+    ids = materialize(anchor_ids(train, model), "ids", "zstd")
     for sweep in range(SWEEPS):
-        pairs, sides = neighbour_counts(train, model)
+        pairs, sides = neighbour_counts(train, model, ids)
         model = WordClasses(model.words, exchange(pairs, sides, model.classes, counts, order // CLASSES % 2 == sweep % 2))
-    pairs, sides = neighbour_counts(train, model)
+    pairs = _sum_pairs(ids, model)
+    discard(ids)
     table, total = pairs.astype(np.float64), pairs.sum(0).astype(np.float64)
-    words = materialize(open_words(train, model).mapInArrow(_settle(table, total), OPEN_WORDS), "open")
+    words = materialize(open_words(train, model, _settle(table, total)), "open")
     for sweep in range(OPEN_SWEEPS):
         table, total = _with_open(pairs, words)
-        moved = materialize(words.mapInArrow(_settle(table, total, sweep), OPEN_WORDS), "open")
+        last = sweep == OPEN_SWEEPS - 1
+        moved = materialize(words.mapInArrow(_settle(table, total, sweep, last), OPEN_WORDS[: OPEN_WORDS.index(", cells")] if last else OPEN_WORDS), "open")
         discard(words)
         words = moved
     spark = train.sparkSession
@@ -352,10 +465,11 @@ def _resolved(docs: DataFrame, classes: DataFrame, emissions: Emissions) -> Data
     base_log, word_log = emissions.base(counts), emissions.word(counts, own)
 
     def begin(batches):
+        places_of = Places(words).of
         for batch in batches:
             for row, end, hashes, where in _tokens(batch.column(2)):
                 n = end - row
-                at = _places(words, hashes)
+                at = places_of(hashes)
                 known = at >= 0
                 cls = np.where(known, own[at] if len(words) else OPEN, OPEN).astype(np.uint8)
                 begins = np.searchsorted(where, np.arange(n + 1))
@@ -368,9 +482,8 @@ def _resolved(docs: DataFrame, classes: DataFrame, emissions: Emissions) -> Data
                 cut = np.searchsorted(where[rest[first]], np.arange(n + 1))
                 lists = [_lists(hashes[rest[first]].view(np.int64), cut), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), places)]
                 sums = [np.bincount(where, minlength=n), np.bincount(where[known], minlength=n), np.bincount(where[known], base_log[at[known]] if len(words) else None, n).astype(np.float64), np.bincount(where[known], word_log[at[known]] if len(words) else None, n).astype(np.float64)]
-                text = cls.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), *map(pa.array, sums), pa.array([text[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary()), *lists],
+                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), *map(pa.array, sums), _binaries(cls, begins), *lists],
                     ["row", "doc_id", "n_tokens", "n_known", "base_score", "emission", "classes", "words", "places"],
                 )
 
@@ -383,21 +496,17 @@ def _resolved(docs: DataFrame, classes: DataFrame, emissions: Emissions) -> Data
     def finish(batches):
         for batch in batches:
             known, base, word = (batch.column(k).to_numpy().copy() for k in ("n_known", "base_score", "emission"))
-            tokens, texts, all_found = batch.column("n_tokens").to_numpy(), batch.column("classes").to_pylist(), batch.column("found")
-            for i in range(batch.num_rows):
-                cls, times, here = np.frombuffer(texts[i], np.uint8).copy(), 0, all_found[i].values
-                if here is not None and len(here):
-                    of, n = here.field("class").to_numpy(), here.field("n").to_numpy()
-                    at = here.field("at")
-                    k = np.diff(at.offsets.to_numpy())
-                    cls[at.flatten().to_numpy()] = np.repeat(of, k)
-                    times = int(k.sum())
-                    base[i] += (k * emissions.base(n)).sum()
-                    word[i] += (k * emissions.word(n, of)).sum()
-                known[i] += times
-                base[i] += (tokens[i] - known[i]) * emissions.base(np.zeros(1))[0]
-                texts[i] = cls.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(word), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "n_known", "base_score", "emission", "classes"])
+            tokens, (cls, cut) = batch.column("n_tokens").to_numpy(), _joined(batch.column("classes"), np.uint8)
+            of, n, at = pc.list_flatten(batch.column("found")).flatten()
+            of, n, k, at = of.to_numpy(), n.to_numpy(), pc.list_value_length(at).to_numpy(), pc.list_flatten(at).to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("found")).fill_null(0).to_numpy())
+            cls = cls.copy()
+            cls[np.repeat(cut[text], k) + at] = np.repeat(of, k)
+            known += np.bincount(text, k, batch.num_rows).astype(np.int64)
+            base += np.bincount(text, k * emissions.base(n), batch.num_rows)
+            word += np.bincount(text, k * emissions.word(n, of), batch.num_rows)
+            base += (tokens - known) * emissions.base(np.zeros(1))[0]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(word), _binaries(cls, cut)], ["doc_id", "n_tokens", "n_known", "base_score", "emission", "classes"])
 
     both = begun.drop("words", "places").join(found, "row", "left")
     done = materialize(both.mapInArrow(finish, fields.removeprefix("row long, ")), "resolved")
@@ -407,18 +516,7 @@ def _resolved(docs: DataFrame, classes: DataFrame, emissions: Emissions) -> Data
 
 def _count_pairs(done: DataFrame) -> np.ndarray:
     """Class pairs of all training texts, every word in its own class."""
-
-    def count(batches):
-        total = np.zeros(ALL * ALL, np.int64)
-        for batch in batches:
-            total += _pair_counts(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)) if batch.num_rows else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-
-    rows = done.filter(~F.col("held_out")).select("classes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(ALL * ALL, np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(ALL, ALL)
+    return _sum_pairs(done.filter(~F.col("held_out")).select("classes"))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -436,10 +534,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            total = batch.column("emission").to_numpy().copy()
-            for i, text in enumerate(batch.column("classes").to_pylist()):
-                cls = np.frombuffer(text, np.uint8)
-                total[i] += transition[np.concatenate(([END_CLASS], cls[:-1])), cls].sum()
+            total, (cls, cut) = batch.column("emission").to_numpy().copy(), _joined(batch.column("classes"), np.uint8)
+            if len(total):  # a text has its END at least
+                total += np.add.reduceat(transition[np.append(END_CLASS, cls[:-1]), cls], cut[:-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     scored = done.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
